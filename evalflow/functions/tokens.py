@@ -23,7 +23,7 @@ def python_tokens(encode: Callable[[str], list]) -> TokenCounter:
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda row: sum(len(encode(t)) for t in row if t is not None))
+        return texts.map(lambda row: 0 if row is None else sum(len(encode(t)) for t in row if t is not None))
 
     return lambda texts: count(texts)
 

@@ -97,6 +97,12 @@ def catalogue_models(catalogue_json: Column) -> Column:
     return F.from_json(catalogue_json, "models array<struct<name: string>>")["models"]["name"]
 
 
+def listed_models(listing: Column) -> Column:
+    """Array of model names in a printed listing: the first word of every line after the header."""
+    lines = F.filter(F.slice(F.split(listing, "\n"), 2, 1 << 30), lambda line: strip(line) != "")
+    return F.transform(lines, lambda line: F.split_part(line, F.lit(" "), F.lit(1)))
+
+
 def _sql_result(content: Column) -> Column:
     return generated_sql(content)["gen_sql"]
 

@@ -51,12 +51,17 @@ def evaluator_summary(runs: DataFrame) -> DataFrame:
     return _known(runs, *keys).groupBy(*keys).agg(F.avg("accuracy").alias("accuracy"))
 
 
+def _fixed(value: Column, pattern: str) -> Column:
+    """Decimal text by a pattern; rounds half to even on the exact binary value, as Python does."""
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def display(df: DataFrame, digits: int = 3) -> DataFrame:
     """Fractional columns as text with a fixed number of decimals."""
     pattern = "0." + "0" * digits
     return df.select(
         *[
-            F.format_number(F.col(c), pattern).alias(c) if t in ("float", "double") else F.col(c)
+            _fixed(F.col(c), pattern).alias(c) if t in ("float", "double") else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -151,7 +156,7 @@ def first_value_per_model(tests: DataFrame, value: str, key: str = "model") -> D
 
 def _cell(df: DataFrame, name: str, missing: str) -> Column:
     kind = dict(df.dtypes)[name]
-    text = F.format_number(F.col(name), "0.00") if kind in ("float", "double") else F.col(name).cast("string")
+    text = _fixed(F.col(name), "0.00") if kind in ("float", "double") else F.col(name).cast("string")
     return F.coalesce(text, F.lit(missing))
 
 
@@ -188,7 +193,7 @@ def run_metrics_long(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def number(name: str, form: str, unit: str) -> Column:
         value = F.coalesce(F.col(name), F.lit(0.0)) if name in runs.columns else F.lit(0.0)
-        return F.concat(F.format_number(value.cast("double"), form), F.lit(unit))
+        return F.concat(_fixed(value.cast("double"), form), F.lit(unit))
 
     rows = [
         ("Basic Information", "Execution Time", text("timestamp")),
@@ -204,7 +209,7 @@ def run_metrics_long(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
         share = F.coalesce(F.try_divide(F.col("successful_count") * F.lit(100.0), F.col("test_size")), F.lit(0.0))
         count = F.concat(
             F.col("successful_count").cast("string"), F.lit("/"), F.col("test_size").cast("string"),
-            F.lit(" ("), F.format_number(share, "0.0"), F.lit("%)"),
+            F.lit(" ("), _fixed(share, "0.0"), F.lit("%)"),
         )
         rows.append(("Performance Metrics", "Success Count", count))
     rows += [

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evalflow.operators.outcomes import generation_stats
 from evalflow.sources.logs import parse_result_lines
@@ -97,5 +98,5 @@ def run_updates_to_table(stream: DataFrame, path: str, checkpoint: str, mode: st
         .start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "bigint")
+    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
     return stream.sparkSession.read.schema(schema).parquet(path)

@@ -89,8 +89,8 @@ VIEWS: dict[str, str] = {
     # Latency tests; every tenth one has no load time.
     "tests": """
         SELECT 'model-' || user_id AS model, CAST(event_id + 1 AS BIGINT) AS test_no,
-               CASE WHEN event_id % 10 <> 0 THEN value / 8 END AS load_s, value / 4 AS first_token_s,
-               value + 1 AS total_s, CAST(floor(value * 3) AS BIGINT) AS tokens,
+               CASE WHEN event_id % 10 <> 0 THEN value / 7 END AS load_s, value / 3 AS first_token_s,
+               value / 3 + 1 AS total_s, CAST(floor(value * 3) AS BIGINT) AS tokens,
                CAST(floor(value * 2) AS DOUBLE) AS tokens_per_s
         FROM {events}""",
     # SQL texts with one dialect marker each, and the dialects an external checker accepts.

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalflow.functions.text import json_object
+from evalflow.functions.text import json_object, let
 
 
 def _int_div(a: Column, b: Column) -> Column:
@@ -16,6 +16,10 @@ def _int_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
+def _to_micros(seconds: Column) -> Column:
+    return F.rint(seconds * F.lit(1e6)).cast("bigint")
+
+
 def _micros_to_seconds(micros: Column) -> Column:
     return micros.cast("double") / F.lit(1e6)
 
@@ -32,31 +36,46 @@ def response_latency(response_json: Column, measured_s: Column) -> Column:
     Server times are nanoseconds. The measured time stands in for the total when the server
     gave none; an invalid or failed response keeps only the measured time.
     """
-    response = json_object(response_json)
-    error = F.try_variant_get(response, "$.error", "string")
-    usable = response.isNotNull() & (error.isNull() | error.isin("", "false"))
+    thousand = F.lit(1000).cast("bigint")
 
-    def nanos(name: str) -> Column:
-        return F.coalesce(F.try_variant_get(response, f"$.{name}", "bigint"), F.lit(0).cast("bigint"))
+    def read(response: Column) -> Column:
+        error = F.try_variant_get(response, "$.error", "string")
 
-    total, load = nanos("total_duration"), nanos("prompt_eval_duration")
-    generation, tokens = nanos("eval_duration"), nanos("eval_count")
-    thousand = F.lit(1000).cast("bigint")
-    timed = usable & (generation != 0) & (total != 0)
-    measured_micros = F.round(measured_s * F.lit(1e6)).cast("bigint")
-    total_micros = F.when(timed, _int_div(total, thousand)).otherwise(measured_micros)
-    return F.struct(
-        F.when(usable & (load != 0), _micros_to_seconds(_int_div(load, thousand))).alias("load_s"),
-        F.when(timed, _micros_to_seconds(_int_div(total - generation, thousand))).alias("first_token_s"),
-        _micros_to_seconds(total_micros).alias("total_s"),
-        F.when(usable, tokens).alias("tokens"),
-        F.when(usable, _token_rate(tokens, total_micros)).alias("tokens_per_s"),
-    )
+        def nanos(name: str) -> Column:
+            return F.coalesce(F.try_variant_get(response, f"$.{name}", "bigint"), F.lit(0).cast("bigint"))
+
+        return F.struct(
+            (response.isNotNull() & (error.isNull() | error.isin("", "false"))).alias("usable"),
+            nanos("total_duration").alias("total"),
+            nanos("prompt_eval_duration").alias("load"),
+            nanos("eval_duration").alias("generation"),
+            nanos("eval_count").alias("tokens"),
+        )
+
+    def fields(r: Column) -> Column:
+        usable, tokens = r["usable"], r["tokens"]
+        timed = usable & (r["generation"] != 0) & (r["total"] != 0)
+        total_micros = F.when(timed, _int_div(r["total"], thousand)).otherwise(_to_micros(measured_s))
+
+        def rest(micros: Column) -> Column:
+            return F.struct(
+                F.when(usable & (r["load"] != 0), _micros_to_seconds(_int_div(r["load"], thousand))).alias("load_s"),
+                F.when(timed, _micros_to_seconds(_int_div(r["total"] - r["generation"], thousand))).alias(
+                    "first_token_s"
+                ),
+                _micros_to_seconds(micros).alias("total_s"),
+                F.when(usable, tokens).alias("tokens"),
+                F.when(usable, _token_rate(tokens, micros)).alias("tokens_per_s"),
+            )
+
+        return let(total_micros, rest)
+
+    return let(let(json_object(response_json), read), fields)
 
 
 def _millis(text: Column, *patterns: str) -> Column:
     """Seconds of the first pattern that matches a millisecond amount."""
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("double") / F.lit(1000.0) for p in patterns]
+    found = [F.regexp_extract(text, p, 1).try_cast("double") / F.lit(1000.0) for p in patterns]
     return F.coalesce(*found)
 
 
@@ -75,7 +94,7 @@ def text_latency(text: Column, total_s: Column) -> Column:
     tokens = _largest_count(
         text, r"eval count: *([0-9]+) token\(s\)", "generated ([0-9]+) tokens", "eval ([0-9]+) tokens"
     )
-    total_micros = F.round(total_s * F.lit(1e6)).cast("bigint")
+    total_micros = _to_micros(total_s)
     return F.struct(
         _millis(text, r"load ([0-9.]+)ms", r"loaded [^\n]* in ([0-9.]+)ms").alias("load_s"),
         _millis(text, r"first token ([0-9.]+)ms", r"first token in ([0-9.]+)ms").alias("first_token_s"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalflow.functions.sql_text import generated_sql
-from evalflow.functions.text import json_field, json_object, strip, unfenced
+from evalflow.functions.text import json_field, json_object, let, strip
 from evalflow.functions.verdict import strict_verdict
 
 
@@ -27,7 +27,7 @@ def variant_content(response: Column) -> Column:
 
 def response_content(response_json: Column) -> Column:
     """Answer text of a response given as JSON text."""
-    return variant_content(json_object(response_json))
+    return let(json_object(response_json), variant_content)
 
 
 def output_field(result: Column, name: str) -> Column:
@@ -43,13 +43,15 @@ def translation(content: Column, compat: bool = False) -> Column:
     """
     if compat:
         return F.struct(F.lit("").alias("e_question"), F.lit("").alias("e_answer"))
-    answer = json_object(content)
 
-    def field(name: str) -> Column:
-        value = F.coalesce(F.try_variant_get(answer, f"$.{name}", "string"), F.lit(""))
-        return F.when(answer.isNotNull(), value)
+    def read(answer: Column) -> Column:
+        def field(name: str) -> Column:
+            value = F.coalesce(F.try_variant_get(answer, f"$.{name}", "string"), F.lit(""))
+            return F.when(answer.isNotNull(), value)
 
-    return F.struct(field("question").alias("e_question"), field("sql_query").alias("e_answer"))
+        return F.struct(field("question").alias("e_question"), field("sql_query").alias("e_answer"))
+
+    return let(json_object(content), read)
 
 
 def _python_literal_prompts(texts: pd.Series) -> pd.DataFrame:
@@ -81,9 +83,11 @@ def recovered_prompt(prompt: Column) -> Column:
     dict_like = F.ltrim(prompt, F.lit(" \t\r\n")).startswith("{")
     read_literal = F.pandas_udf(_python_literal_prompts, "struct<parsed: boolean, prompt: string>")
     literal = read_literal(F.when(dict_like & request.isNull(), prompt))
-    from_json = F.coalesce(
-        F.try_variant_get(request, "$.prompt", "string"),
-        F.try_variant_get(request, "$.request.prompt", "string"),
+    from_json = let(
+        request,
+        lambda r: F.coalesce(
+            F.try_variant_get(r, "$.prompt", "string"), F.try_variant_get(r, "$.request.prompt", "string")
+        ),
     )
     return (
         F.when(request.isNotNull(), from_json)
@@ -107,17 +111,13 @@ def _sql_result(content: Column) -> Column:
     return generated_sql(content)["gen_sql"]
 
 
-def _verdict_result(content: Column) -> Column:
-    return strict_verdict(unfenced(content))
-
-
 def _translation_result(content: Column) -> Column:
     return strip(content)
 
 
 PROCESSORS: dict[str, Callable[[Column], Column]] = {
     "nl2sql": _sql_result,
-    "evaluation": _verdict_result,
+    "evaluation": strict_verdict,
     "translate": _translation_result,
 }
 

@@ -6,6 +6,8 @@ documents can be processed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,13 +23,22 @@ FENCE = "```"
 _END_MARK = "evalflow:end-of-value"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    The optimizer copies an expression into every place that uses it, so a chain of readings of a
+    computed text would compute that text once per reading. A lambda variable is not copied.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
     return F.btrim(text, F.lit(WHITESPACE))
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def fenced_blocks(text: Column) -> Column:
@@ -46,10 +57,13 @@ def first_longest(texts: Column) -> Column:
 
 def unfenced(text: Column) -> Column:
     """Content of the first closed fence (an opening ``json`` tag is dropped), else the text."""
-    parts = F.split(text, FENCE, 3)
-    inner = F.get(parts, 1)
-    inner = F.when(inner.startswith("json"), F.substr(inner, F.lit(5))).otherwise(inner)
-    return F.when(F.size(parts) == 3, strip(inner)).otherwise(text)
+
+    def inner(parts: Column) -> Column:
+        block = F.get(parts, 1)
+        tagged = F.when(block.startswith("json"), F.substr(block, F.lit(5))).otherwise(block)
+        return F.when(F.size(parts) == 3, strip(tagged))
+
+    return F.when(text.contains(FENCE), F.coalesce(let(F.split(text, FENCE, 3), inner), text)).otherwise(text)
 
 
 def json_object(text: Column) -> Column:
@@ -61,9 +75,12 @@ def json_object(text: Column) -> Column:
     """
     looks_like_object = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END_MARK}"]')))
-    pair = F.try_variant_get(wrapped, "$", "array<variant>")
-    closed = F.try_variant_get(wrapped, "$[1]", "string").eqNullSafe(F.lit(_END_MARK)) & (F.size(pair) == 2)
-    return F.when(looks_like_object & closed, F.get(pair, 0))
+
+    def first_of_pair(items: Column) -> Column:
+        mark = F.try_variant_get(F.get(items, 1), "$", "string")
+        return F.when((F.size(items) == 2) & mark.eqNullSafe(F.lit(_END_MARK)), F.get(items, 0))
+
+    return F.when(looks_like_object, let(F.try_variant_get(wrapped, "$", "array<variant>"), first_of_pair))
 
 
 def json_field(text: Column, name: str) -> Column:

@@ -8,62 +8,71 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalflow.functions.text import json_field, strip
+from evalflow.functions.text import blank_to_null, json_field, let, strip, unfenced
 
 _KEYED_YES = r"""(?iU)['"]resolve_yn['"]:\s*['"]yes['"]"""
 _KEYED_NO = r"""(?iU)['"]resolve_yn['"]:\s*['"]no['"]"""
-_LOOSE_KEY = r"""(?iU)resolve_yn\s*+(?::\s*+)?['"]?(yes|no)"""
+# Patterns over whole texts start with the letters of the word, not with \b: that is faster.
+_LOOSE_KEY = r"""(?U)[rR](?iu:esolve_yn)\s*+(?::\s*+)?['"]?(?iu:(yes|no))"""
+_KEY = r"[rR](?iu:esolve_yn)"
+_WORD_YES = r"(?U)[yY](?<=\b.)(?iu:es)\b"
+_WORD_NO = r"(?U)[nN](?<=\b.)(?iu:o)\b"
 
 
 def _json_verdict(text: Column) -> Column:
     return strip(F.lower(json_field(text, "resolve_yn")))
 
 
+def _keyed_verdict(text: Column) -> Column:
+    return F.when(text.rlike(_KEYED_YES), "yes").when(text.rlike(_KEYED_NO), "no")
+
+
 def _loose_key_verdict(text: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(text, _LOOSE_KEY, 1)), F.lit(""))
-
-
-def strict_verdict(body: Column) -> Column:
-    """Verdict of an answer whose code fence was already removed (see ``text.unfenced``)."""
-    return F.when(
-        body.isNotNull(),
-        F.coalesce(
-            _json_verdict(body),
-            F.when(body.rlike(_KEYED_YES), "yes"),
-            F.when(body.rlike(_KEYED_NO), "no"),
-            _loose_key_verdict(body),
-            F.when(body.rlike(r"(?iU)\byes\b"), "yes"),
-            F.when(body.rlike(r"(?iU)\bno\b"), "no"),
-            F.lit("unknown"),
-        ),
+    return blank_to_null(F.lower(F.regexp_extract(text, _LOOSE_KEY, 1)))
+
+
+def _strict(body: Column) -> Column:
+    return F.coalesce(
+        _json_verdict(body),
+        F.when(body.rlike(_KEY), F.coalesce(_keyed_verdict(body), _loose_key_verdict(body))),
+        F.when(body.rlike(_WORD_YES), "yes"),
+        F.when(body.rlike(_WORD_NO), "no"),
+        F.lit("unknown"),
     )
 
 
+def strict_verdict(content: Column) -> Column:
+    """Verdict of an answer; only the first code fence is read, if there is one."""
+    return F.when(content.isNotNull(), let(unfenced(content), _strict))
+
+
 def lenient_verdict(content: Column) -> Column:
     """Verdict of a raw log answer: the words also count inside other words."""
-    lowered = F.lower(content)
-    return F.when(
-        content.isNotNull(),
-        F.coalesce(
-            _json_verdict(content),
-            _loose_key_verdict(content),
-            F.when(lowered.contains("yes"), "yes"),
-            F.when(lowered.contains("no"), "no"),
-            F.lit("unknown"),
-        ),
-    )
+
+    def read(text: Column) -> Column:
+        word = let(
+            F.lower(text),
+            lambda low: F.when(low.contains("yes"), "yes").when(low.contains("no"), "no").otherwise("unknown"),
+        )
+        return F.coalesce(_json_verdict(text), _loose_key_verdict(text), word)
+
+    return F.when(content.isNotNull(), let(content, read))
 
 
 def normalized_verdict(value: Column) -> Column:
     """Bring a stored verdict to yes / no / unknown; values of no known form stay as they are."""
-    tidy = strip(F.lower(value))
-    lowered = F.lower(value)
-    return F.coalesce(
-        F.when(tidy.isin("yes", "no", "unknown"), tidy),
-        F.when(lowered.startswith("yes"), "yes"),
-        F.when(lowered.startswith("no"), "no"),
-        F.when(value.contains("'resolve_yn': 'yes'") | value.contains('"resolve_yn": "yes"'), "yes"),
-        F.when(value.contains("'resolve_yn': 'no'") | value.contains('"resolve_yn": "no"'), "no"),
-        _json_verdict(value),
-        value,
-    )
+
+    def read(text: Column) -> Column:
+        low = F.lower(text)
+        tidy = strip(low)
+        return F.coalesce(
+            F.when(tidy.isin("yes", "no", "unknown"), tidy),
+            F.when(low.startswith("yes"), "yes"),
+            F.when(low.startswith("no"), "no"),
+            F.when(text.contains("'resolve_yn': 'yes'") | text.contains('"resolve_yn": "yes"'), "yes"),
+            F.when(text.contains("'resolve_yn': 'no'") | text.contains('"resolve_yn": "no"'), "no"),
+            _json_verdict(text),
+            text,
+        )
+
+    return let(value, read)

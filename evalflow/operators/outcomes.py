@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from evalflow.functions.errors import API, OTHER, RATE_LIMIT, error_class
 from evalflow.functions.naming import model_size
-from evalflow.functions.text import unfenced
+from evalflow.functions.times import seconds_between
 from evalflow.functions.verdict import lenient_verdict, strict_verdict
 
 
 def with_verdict(df: DataFrame, content: str = "content", name: str = "resolve_yn") -> DataFrame:
-    """Add the strict verdict of an answer; the code fence is removed once."""
-    return df.withColumn("_body", unfenced(F.col(content))).withColumn(name, strict_verdict(F.col("_body"))).drop("_body")
+    """Add the strict verdict of an answer."""
+    return df.withColumn(name, strict_verdict(F.col(content)))
 
 
 def with_lenient_verdict(df: DataFrame, content: str = "content", name: str = "resolve_yn") -> DataFrame:
@@ -31,13 +31,9 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def _seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)
-
-
 def wall_seconds(start: str = "start_ts", end: str = "end_ts") -> Column:
     """Aggregate: seconds from the first start to the last end."""
-    return F.coalesce(_seconds_between(F.min(start), F.max(end)), F.lit(0.0))
+    return F.coalesce(seconds_between(F.min(start), F.max(end)), F.lit(0.0))
 
 
 def _outcome_columns(total: Column, ok: Column, failed: Column, seconds: Column) -> dict[str, Column]:
@@ -234,7 +230,7 @@ def tokens_per_minute(
     keys: Sequence[str] = ("model",),
 ) -> DataFrame:
     """Requests and tokens per minute, with a flag where a budget is exceeded."""
-    folded = attempts.groupBy(*keys, F.date_trunc("minute", time).cast("timestamp_ntz").alias("minute")).agg(
+    folded = attempts.groupBy(*keys, F.window(time, "1 minute")["start"].alias("minute")).agg(
         F.count("*").alias("requests"), F.sum("tokens").cast("bigint").alias("tokens")
     )
     over = (F.col("requests") > max_requests) | (F.coalesce("tokens", F.lit(0)) > max_tokens)

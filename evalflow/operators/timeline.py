@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalflow.functions.errors import RATE_LIMIT
+from evalflow.functions.times import micros
 from evalflow.operators.ids import running_values
 from evalflow.operators.outcomes import ratio
 
@@ -68,7 +69,7 @@ def with_cooldown(
     last = running_values(
         rows, [time, "_free", *tie], {"_last": ("max", F.when(limited, F.col(time)))}, group=list(keys)
     )
-    passed = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_last").cast("timestamp"))
+    passed = micros(F.col(time)) - micros(F.col("_last"))
     flag = F.coalesce(passed < F.lit(cooldown_s * 1_000_000), F.lit(False))
     return last.withColumn("in_cooldown", flag).drop("_free", "_last")
 
@@ -82,9 +83,8 @@ def first_outcomes(attempts: DataFrame, keys: Sequence[str] = ("run", "task_id")
 def running_progress(outcomes: DataFrame, run: str = "run", time: str = "end_ts", task: str = "task_id") -> DataFrame:
     """Completed, successful and failed tasks so far, and the completion rate per second of the run."""
     ok = F.coalesce(F.col("ok"), F.lit(False))
-    start = F.unix_micros(F.col(time).cast("timestamp"))
     progress = running_values(
-        outcomes.withColumn("_t", start),
+        outcomes.withColumn("_t", micros(F.col(time))),
         [time, task],
         {
             "completed": ("sum", F.lit(1).cast("bigint")),

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalflow.functions.text import FENCE, blank_to_null, fenced_blocks, first_longest, json_field, json_object, let, strip
+from evalflow.functions.text import FENCE, blank_to_null, fenced_blocks, first_longest, json_field, json_object, let, strip, word_pattern
 
 _SQL_FENCE = "(?s)```sql.*?```"
-# The word SELECT in any case and what follows up to a semicolon. Looking for the first letter before
-# the word boundary is checked is twice as fast as \b in front (\u017f is the long s, also an S).
-_SELECT = r"(?sU)[sS\u017f](?<=\b.)(?iu:elect)\b.[^;]*;?"
+# The word SELECT and what follows, at least one character, up to a semicolon.
+_SELECT = word_pattern("select") + ".[^;]*;?"
 
 
 def _sql_fence(content: Column) -> Column:

@@ -22,6 +22,31 @@ FENCE = "```"
 
 _END_MARK = "evalflow:end-of-value"
 
+_WORD = r"[\p{L}\p{N}_]"
+# Java looks back over surrogate pairs only if the pattern text holds one, so one letter is spelled out.
+_WORD_BEFORE = "[\\p{L}\\p{N}_\U0001d4b3]"
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A Java pattern whose classes \\b, \\w, \\s and \\d cover the characters Python's cover.
+
+    Java's Unicode classes differ in numbers such as one half, in combining marks and in the
+    separators U+001C to U+001F. Classes inside brackets are not rewritten.
+    """
+    edge = f"(?:(?<={_WORD_BEFORE})(?!{_WORD})|(?<!{_WORD_BEFORE})(?={_WORD}))"
+    space = r"[\s\x1c-\x1f\x85\p{Z}]"
+    return pattern.replace(r"\b", edge).replace(r"\w", _WORD).replace(r"\s", space).replace(r"\d", r"\p{Nd}")
+
+
+def word_pattern(word: str) -> str:
+    """Pattern of a whole word in any case.
+
+    The first letter is checked before anything else, which is faster over a long text than a word
+    boundary in front. U+017F is the long s, which counts as an s in any case.
+    """
+    first = "".join(sorted({word[0].lower(), word[0].upper()})) + ("\\u017f" if word[0].lower() == "s" else "")
+    return f"(?s)(?=[{first}])(?<!{_WORD_BEFORE})(?iu:{word})(?!{_WORD})"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, however often the body names it.

@@ -8,15 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalflow.functions.text import blank_to_null, json_field, let, strip, unfenced
+from evalflow.functions.text import blank_to_null, json_field, let, strip, unfenced, unicode_pattern, word_pattern
 
-_KEYED_YES = r"""(?iU)['"]resolve_yn['"]:\s*['"]yes['"]"""
-_KEYED_NO = r"""(?iU)['"]resolve_yn['"]:\s*['"]no['"]"""
-# Patterns over whole texts start with the letters of the word, not with \b: that is faster.
-_LOOSE_KEY = r"""(?U)[rR](?iu:esolve_yn)\s*+(?::\s*+)?['"]?(?iu:(yes|no))"""
+_KEYED_YES = unicode_pattern(r"""(?iu)['"]resolve_yn['"]:\s*['"]yes['"]""")
+_KEYED_NO = unicode_pattern(r"""(?iu)['"]resolve_yn['"]:\s*['"]no['"]""")
 _KEY = r"[rR](?iu:esolve_yn)"
-_WORD_YES = r"(?U)[yY](?<=\b.)(?iu:es)\b"
-_WORD_NO = r"(?U)[nN](?<=\b.)(?iu:o)\b"
+_LOOSE_KEY = _KEY + unicode_pattern(r"""\s*+(?::\s*+)?['"]?(?iu:(yes|no))""")
+_WORD_YES = word_pattern("yes")
+_WORD_NO = word_pattern("no")
 
 
 def _json_verdict(text: Column) -> Column:

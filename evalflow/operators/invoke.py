@@ -72,7 +72,8 @@ def invoke(
 ) -> DataFrame:
     """Call the model for each row ``task_id, model, request`` and return one row per attempt.
 
-    At most ``partitions * concurrency`` calls run at once. Requests are spread by task id. A
+    At most ``partitions * concurrency`` calls run at once (default: one task per core). Requests are
+    spread by task id. A
     request is tried until it succeeds, fails for good or used ``max_attempts``; an answer that
     ``accept`` turns down counts as a failure. The attempts are written once and read back, so no
     later action repeats a call.
@@ -82,7 +83,9 @@ def invoke(
     )
     if dict(source.dtypes)["request"] != "string":
         source = source.withColumn("request", F.to_json("request"))
-    spread = source.repartition(partitions, "task_id") if partitions else source.repartition("task_id")
+    # A fixed number of tasks: adaptive execution would merge small requests into a few slow tasks.
+    tasks = partitions or source.sparkSession.sparkContext.defaultParallelism
+    spread = source.repartition(tasks, "task_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()

@@ -128,8 +128,12 @@ def training_rows(df: DataFrame, key: Sequence[str], excluded_db: int = 1, seed:
 
 
 def cases(joined: DataFrame, verdict: str) -> DataFrame:
-    """Rows of one verdict in task order."""
-    return joined.where(F.col("resolve_yn") == verdict).orderBy("task_id")
+    """Rows of one verdict in task order.
+
+    After the filter the verdict is a constant, so an expensive reading runs once, in the filter.
+    """
+    found = joined.where(F.col("resolve_yn") == verdict).withColumn("resolve_yn", F.lit(verdict))
+    return found.select(*joined.columns).orderBy("task_id")
 
 
 def pending_rows(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -133,8 +133,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV that keeps empty strings apart from NULL and quotes texts by doubling quotes."""
-    df.write.mode(mode).options(header="true", quote='"', escape='"', emptyValue='""').csv(path)
+    """CSV with doubled quotes; like NULL, an empty text is read back as NULL."""
+    df.write.mode(mode).options(header="true", quote='"', escape='"').csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def stage_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; on local masters a temporary one if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="evalflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evalflow-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def stage_path(spark: SparkSession, label: str) -> str:

@@ -4,6 +4,8 @@ A window over a large group puts the whole group into one task. These operators
 by (group, order) instead, which also splits a group that holds most of the rows, compute inside
 the partitions, and shift by the totals of the partitions before. The order must be total (add a
 unique column), so that equal keys can be split too.
+
+The rows are written once in between; select the columns that are needed first.
 """
 
 from __future__ import annotations

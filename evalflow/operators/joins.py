@@ -48,7 +48,7 @@ def attach_results(
 
 def lost_requests(requests: DataFrame, log: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """Requests that never show up in the log, as error rows."""
-    missing = requests.select(*keys).join(log.select(*keys), list(keys), "left_anti")
+    missing = requests.select(*keys).join(log.select(*keys).distinct(), list(keys), "left_anti")
     return missing.withColumn("error", F.lit(LOST))
 
 

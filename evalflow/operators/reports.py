@@ -98,11 +98,6 @@ def metric_spread(runs: DataFrame, metrics: Sequence[str] = METRICS) -> DataFram
     return wide.select("nl2sql_model", F.explode("_rows").alias("_row")).select("_row.metric", "nl2sql_model", "_row.mean", "_row.std", "_row.n")
 
 
-def write_metric_sections(runs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The metric table with one folder per metric."""
-    metric_spread(runs).write.mode(mode).partitionBy("metric").parquet(path)
-
-
 def ranking(runs: DataFrame, by: str = "accuracy", k: int | None = None) -> DataFrame:
     """Models by falling mean; equal means are ordered by name. With ``k`` only the best ones."""
     means = (

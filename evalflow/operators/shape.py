@@ -133,13 +133,15 @@ def cases(joined: DataFrame, verdict: str) -> DataFrame:
     After the filter the verdict is a constant, so an expensive reading runs once, in the filter.
     """
     found = joined.where(F.col("resolve_yn") == verdict).withColumn("resolve_yn", F.lit(verdict))
-    return found.select(*joined.columns).orderBy("task_id")
+    # The row number behind the id lets the sort spread an id that repeats very often.
+    numbered = found.select(*joined.columns, F.monotonically_increasing_id().alias("_row"))
+    return numbered.orderBy("task_id", "_row").drop("_row")
 
 
 def pending_rows(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key has no finished output yet (resume).
 
-    Keys repeat freely in ``done``; an anti join never multiplies rows, and a hot key on the left
-    is split by the adaptive skew join.
+    Keys may repeat in ``done``: they are reduced to distinct ones before the shuffle, which the join
+    needs anyway. A hot key on the left is split by the adaptive skew join.
     """
-    return todo.join(done.select(*keys), list(keys), "left_anti")
+    return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")

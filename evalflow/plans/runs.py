@@ -7,13 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalflow.functions.latency import response_latency
 from evalflow.functions.responses import response_content, translation
 from evalflow.functions.sql_text import generated_sql
+from evalflow.functions.times import seconds_between
+from evalflow.operators.ids import assign_task_ids
 from evalflow.operators.invoke import ClientFactory, invoke, latest_outcome
-from evalflow.operators.joins import join_verdicts, tidy_verdicts
+from evalflow.operators.joins import benchmark_matrix, join_verdicts, tidy_verdicts
 from evalflow.operators.outcomes import generation_stats, verification_stats, with_verdict
-from evalflow.operators.prompts import build_requests, generation_prompts, translation_prompts, verdict_prompts
+from evalflow.operators.prompts import (
+    build_requests,
+    generation_prompts,
+    probe_prompts,
+    translation_prompts,
+    verdict_prompts,
+)
 from evalflow.operators.shape import pending_rows
+from evalflow.operators.timeline import with_start_type
 from evalflow.sources.datasets import ColumnRoles
 
 
@@ -119,3 +129,44 @@ def verify(
     names = {"nl2sql_model": F.lit(model), "test_dataset": F.lit(dataset_name), "evaluator_model": F.lit(evaluator)}
     stats = verification_stats(results.withColumns(names), verdicts.withColumns(names), list(names))
     return RunResult(joined, attempts, stats)
+
+
+def benchmark(
+    models: DataFrame,
+    client_factory: ClientFactory,
+    repeats: int = 5,
+    prompt_length: int = 100,
+    force_cold: bool = False,
+    options: RunOptions | None = None,
+) -> DataFrame:
+    """Latency rows of ``repeats`` tests per model; a failed test keeps only its measured time.
+
+    Tests of one model run side by side unless ``options`` asks for one task and one call at a time.
+    """
+    options = options or RunOptions(max_attempts=1, concurrency=1, partitions=1)
+    tests = assign_task_ids(benchmark_matrix(models, repeats), ["model", "test_no"])
+    requests = build_requests(probe_prompts(tests, prompt_length), F.col("model"), "text")
+    attempts = invoke(
+        requests,
+        client_factory,
+        max_attempts=options.max_attempts,
+        concurrency=options.concurrency,
+        backoff_s=options.backoff_s,
+        partitions=options.partitions,
+    )
+    last = latest_outcome(attempts.drop("model", "phase"))
+    timed = last.withColumn("_l", response_latency(F.col("response"), seconds_between(F.col("start_ts"), F.col("end_ts"))))
+    missing = F.lit(None).cast("double")
+    rows = with_start_type(tests, force_cold=force_cold).join(timed.select("task_id", "_l.*"), "task_id", "left")
+    return rows.select(
+        "model",
+        "test_no",
+        F.lit(prompt_length).alias("prompt_length"),
+        "start_type",
+        "load_s",
+        "first_token_s",
+        "total_s",
+        "tokens",
+        "tokens_per_s",
+        *[missing.alias(c) for c in ("cpu_pct", "mem", "gpu_mem")],
+    )

@@ -10,8 +10,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches of whole documents: keep a batch well below the Python worker's memory.
+    # Arrow batches may hold whole documents: bound them by size as well as by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalflow.operators import ids, reports, timeline
+from evalflow.operators import reports, timeline
+from evalflow.plans.reports import write_report
 from evalflow.sources.stats import model_lines
+from evalflow.staging import stage_path
 from suite.registry import query
 from suite.views import table, view
 
@@ -225,3 +227,27 @@ def _(spark, sf):
     listing = F.concat(F.lit("NAME  ID  SIZE\nm"), F.col("page_id"), F.lit(":7b  abc  4 GB\n"))
     pages = table(spark, sf, "pages").select("page_id", listed_models(listing).alias("models"))
     return pages.select("page_id", F.explode("models").alias("model"))
+
+
+@query(
+    "written_report",
+    f"""SELECT 'metrics' AS part, metric || ' ' || nl2sql_model AS name, CAST(n AS BIGINT) AS n FROM (
+          SELECT 'accuracy' AS metric, nl2sql_model, count(accuracy) AS n FROM ({_KNOWN}) k GROUP BY nl2sql_model
+          UNION ALL SELECT 'avg_processing_time', nl2sql_model, count(avg_processing_time) FROM ({_KNOWN}) k GROUP BY nl2sql_model) m
+        UNION ALL SELECT 'model_summary', nl2sql_model, CAST(sum(test_size) AS BIGINT) FROM ({_KNOWN}) k GROUP BY nl2sql_model
+        UNION ALL SELECT 'md', '', count(*) + 4 FROM orders UNION ALL SELECT 'wiki', '', count(*) + 3 FROM orders""",
+)
+def _(spark, sf):
+    path = stage_path(spark, "report")
+    write_report(_runs(spark, sf), path, ["run_id"])
+    metrics = spark.read.parquet(f"{path}/metrics").select(
+        F.lit("metrics").alias("part"), F.concat_ws(" ", "metric", "nl2sql_model").alias("name"), "n"
+    )
+    summary = spark.read.parquet(f"{path}/model_summary").select(
+        F.lit("model_summary").alias("part"), F.col("nl2sql_model").alias("name"), F.col("test_size").alias("n")
+    )
+    out = metrics.unionByName(summary)
+    for kind in ("md", "wiki"):
+        lines = spark.read.text(f"{path}/lines_{kind}").agg(F.count("*").alias("n"))
+        out = out.unionByName(lines.select(F.lit(kind).alias("part"), F.lit("").alias("name"), "n"))
+    return out

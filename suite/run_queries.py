@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from evalflow.functions import templates as T
 from evalflow.functions.naming import endpoint_kind
 from evalflow.functions.tokens import python_tokens
 from evalflow.operators import ids, invoke, joins, outcomes, prompts, shape, timeline
 from evalflow.plans import runs
+from evalflow.sources import artifacts
 from evalflow.sources.datasets import ColumnRoles, apply_roles, output_column
+from evalflow.staging import stage_path
 from suite import duck
 from suite.registry import query
 from suite.views import table, view
@@ -532,8 +535,14 @@ def stub_client():
             raise invoke.CallError("bad request", 400)
         if n % 11 == 0 or (n % 5 == 0 and attempt < 3):
             raise invoke.CallError("server overloaded", 503)
-        if "resolve_yn" in json.dumps(request.get("format", {})):
+        wanted = request.get("format", {}).get("required", [])
+        if "resolve_yn" in wanted:
             return json.dumps({"response": json.dumps({"resolve_yn": "yes" if n % 2 else "no"})})
+        if "sql_query" in wanted:
+            return json.dumps({"response": json.dumps({"question": f"Q{n}", "sql_query": f"SELECT {n}"})})
+        if not wanted:
+            times = {"total_duration": 3_000_000 * n, "eval_duration": 2_000_000 * n, "prompt_eval_duration": 1000 * n}
+            return json.dumps({"response": "done", "eval_count": len(request["model"]), **times})
         return json.dumps({"response": f"Here:\n```sql\nSELECT {n};\n```"})
 
     return call
@@ -592,3 +601,43 @@ _JUDGED = f"SELECT task_id, n, n % 7 <> 0 AND n % 11 <> 0 AS ok FROM (SELECT tas
 def _(spark, sf):
     result = runs.verify(_gen(_qa(spark, sf)), "qwq", "judge", stub_client, options=_OPTIONS, dataset_name="d")
     return result.stats.withColumn("accuracy", F.round("accuracy", 4))
+
+
+@query(
+    "translation_run",
+    f"""SELECT task_id, split, CASE WHEN ok THEN 'Q' || n END AS e_question, CASE WHEN ok THEN 'SELECT ' || n END AS e_answer, CASE WHEN ok THEN 'ok' ELSE 'rejected' END AS parse_status
+        FROM (SELECT task_id, split, n, n % 7 <> 0 AND n % 11 <> 0 AS ok FROM (SELECT task_id, split, length({_fill('translate')}) AS n FROM {{qa}} q) x) y""",
+)
+def _(spark, sf):
+    result = runs.generate(_qa(spark, sf), "qwq", stub_client, ColumnRoles(input="question"), _OPTIONS, mode="translate")
+    return result.rows.select("task_id", "split", "e_question", "e_answer", "parse_status")
+
+
+@query(
+    "generation_resumed",
+    f"SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'earlier' WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql FROM ({_STUB}) s",
+)
+def _(spark, sf):
+    qa = _qa(spark, sf)
+    schema = StructType([StructField("task_id", LongType()), StructField("gen_sql", StringType())])
+    path = artifacts.artifact_path(spark, stage_path(spark, "results"), "org/qa:a:test", "qwq:7b", "judge:27b")
+    earlier = qa.where("task_id % 2 = 0").select("task_id", F.lit("earlier").alias("gen_sql"))
+    artifacts.resume_stage(earlier, path, ["task_id"], lambda rows: rows, schema)
+    ask = lambda rows: runs.generate(rows, "qwq", stub_client, options=_OPTIONS).rows
+    return artifacts.resume_stage(qa, path, ["task_id"], ask, schema)
+
+
+_PROBE = "102"
+
+
+@query(
+    "benchmark_run",
+    f"""SELECT model, n AS test_no, {_PROBE}::INTEGER AS prompt_length, CASE WHEN n = 1 THEN 'cold' ELSE 'warm' END AS start_type,
+        ({_PROBE} * 1000 // 1000) / 1e6 AS load_s, {_PROBE} * 1000 / 1e6 AS first_token_s, {_PROBE} * 3000 / 1e6 AS total_s,
+        CAST(length(model) AS BIGINT) AS tokens, (length(model) * 100000000 // ({_PROBE} * 3000)) / 100.0::DOUBLE AS tokens_per_s
+        FROM (SELECT DISTINCT source AS model FROM documents) d, (SELECT unnest([1, 2, 3])::INTEGER AS n) t""",
+)
+def _(spark, sf):
+    models = table(spark, sf, "documents").select(F.col("source").alias("model")).distinct()
+    options = runs.RunOptions(max_attempts=1, concurrency=4, backoff_s=0.0)
+    return runs.benchmark(models, stub_client, 3, 102, options=options).drop("cpu_pct", "mem", "gpu_mem")

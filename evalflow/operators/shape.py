@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evalflow.functions.dialect import combined_dialects, dialect_class, pattern_dialects
-from evalflow.functions.text import FENCE, strip
+from evalflow.functions.text import FENCE, let, strip
 
 _QUESTION, _METADATA = "question:", "metadata:"
 
@@ -41,6 +41,24 @@ QUESTION_METADATA = PromptHandler(
 )
 
 
+def keep_present(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a computed column and keep the rows where it is not NULL.
+
+    A filter on a computed column is pushed below it and computes it a second time; an explode of the
+    values that are present computes it once.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array_compact(F.array(value))).alias(name))
+
+
+def _parsed(handlers: Sequence[PromptHandler], prompt: str = "prompt", completion: str = "completion") -> Column:
+    text, answer = F.coalesce(F.col(prompt), F.lit("")), F.coalesce(F.col(completion), F.lit(""))
+    chain = None
+    for handler in handlers:
+        chain = (F if chain is None else chain).when(handler.applies(text), handler.parse(text, answer))
+    return chain
+
+
 def parse_prompts(
     df: DataFrame,
     handlers: Sequence[PromptHandler] = (QUESTION_METADATA,),
@@ -51,12 +69,7 @@ def parse_prompts(
 
     The first handler that applies decides, also when its parse yields NULL.
     """
-    text, answer = F.coalesce(F.col(prompt), F.lit("")), F.coalesce(F.col(completion), F.lit(""))
-    chain = None
-    for handler in handlers:
-        step = (F if chain is None else chain).when(handler.applies(text), handler.parse(text, answer))
-        chain = step
-    return df.withColumn("parsed", chain)
+    return df.withColumn("parsed", _parsed(handlers, prompt, completion))
 
 
 def transform_prompts(
@@ -69,14 +82,16 @@ def transform_prompts(
 
     With an ``Observation`` the numbers of retained and skipped rows are collected during the pass.
     """
-    parsed = parse_prompts(df, handlers)
-    if observation is not None:
-        parsed = parsed.observe(
+    if observation is None:
+        kept = keep_present(df.select(*keep, "prompt", "completion"), "parsed", _parsed(handlers))
+    else:
+        whole = parse_prompts(df, handlers).observe(
             observation,
             F.count_if(F.col("parsed").isNotNull()).alias("retained"),
             F.count_if(F.col("parsed").isNull()).alias("skipped"),
         )
-    return parsed.where(F.col("parsed").isNotNull()).select(*keep, "parsed.*")
+        kept = whole.where(F.col("parsed").isNotNull())
+    return kept.select(*keep, "parsed.*")
 
 
 def skipped_prompts(df: DataFrame, handlers: Sequence[PromptHandler] = (QUESTION_METADATA,)) -> DataFrame:
@@ -84,12 +99,16 @@ def skipped_prompts(df: DataFrame, handlers: Sequence[PromptHandler] = (QUESTION
     return parse_prompts(df, handlers).where(F.col("parsed").isNull()).drop("parsed")
 
 
+def _dialects(sql_column: str, candidates: str | None) -> Column:
+    found = F.array().cast("array<string>") if candidates is None else F.col(candidates)
+    return combined_dialects(pattern_dialects(F.col(sql_column)), found)
+
+
 def with_dialects(
     df: DataFrame, sql_column: str = "sql", dbms_column: str = "dbms", candidates: str | None = None
 ) -> DataFrame:
     """Add the sorted dialect list; ``candidates`` names an array column of an external checker."""
-    found = F.array().cast("array<string>") if candidates is None else F.col(candidates)
-    return df.withColumn(dbms_column, combined_dialects(pattern_dialects(F.col(sql_column)), found))
+    return df.withColumn(dbms_column, _dialects(sql_column, candidates))
 
 
 def tag_dialects(
@@ -98,7 +117,8 @@ def tag_dialects(
     """Rows with at least one dialect. A table without the SQL column comes back unchanged."""
     if sql_column not in df.columns:
         return df
-    return with_dialects(df, sql_column, dbms_column, candidates).where(F.size(dbms_column) > 0)
+    found = let(_dialects(sql_column, candidates), lambda d: F.when(F.size(d) > 0, d))
+    return keep_present(df, dbms_column, found)
 
 
 def untagged_rows(df: DataFrame, sql_column: str = "sql", candidates: str | None = None) -> DataFrame:

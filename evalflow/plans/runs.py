@@ -58,9 +58,12 @@ def _call(prompted: DataFrame, model: str, mode: str, client_factory: ClientFact
 
 def _outcomes(attempts: DataFrame) -> DataFrame:
     """One row per request with its answer text and the time span of all its attempts."""
-    spans = attempts.groupBy("task_id").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
-    last = latest_outcome(attempts.select("task_id", "attempt", "response", "error"))
-    return last.join(spans, "task_id").withColumn("content", response_content(F.col("response")))
+    ends = attempts.groupBy("task_id").agg(
+        F.max_by("response", "attempt").alias("_response"),
+        F.min("start_ts").alias("start_ts"),
+        F.max("end_ts").alias("end_ts"),
+    )
+    return ends.withColumn("content", response_content(F.col("_response"))).drop("_response")
 
 
 def _stats_input(rows: DataFrame, dataset_name: str, model: str) -> DataFrame:

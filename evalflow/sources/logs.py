@@ -81,12 +81,10 @@ def parse_result_lines(lines: DataFrame, response_column: str = "response", comp
     only and leaves the id empty when it is no object. With ``response_column="resolve_yn"`` the
     response is reduced to a verdict. A line that is no JSON array is returned in ``bad_line``.
     """
-    log = lines.select("value", F.try_parse_json("value").alias("line")).select(
-        "value",
-        "line",
-        F.try_variant_get("line", "$", "array<variant>").alias("items"),
-    )
-    log = log.withColumn("request", F.get("items", 0)).withColumn("response", F.get("items", 1))
+    # Each line is parsed once: a filter on a column derived from an exploded value stays above it.
+    items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    log = lines.select("value", F.explode(F.array(items)).alias("items"))
+    log = log.withColumns({"request": F.get("items", 0), "response": F.get("items", 1)})
     log = log.withColumn("content", variant_content(F.col("response")))
 
     is_object = F.schema_of_variant("response").startswith("OBJECT")

@@ -18,7 +18,7 @@ from suite.views import TABLES
 
 def _cell(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.6g}" if abs(v) >= 1e15 else repr(round(v, 6) + 0.0)
+        return "nan" if math.isnan(v) else repr(v + 0.0)
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     return repr(v)

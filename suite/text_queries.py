@@ -10,7 +10,7 @@ from evalflow.functions.latency import resource_sample, response_latency, text_l
 from evalflow.functions.naming import artifact_key, endpoint_kind, model_size, provider_kind
 from evalflow.functions.sql_text import extract_sql, extract_sql_without_json, generated_sql
 from evalflow.functions.verdict import normalized_verdict
-from evalflow.operators.outcomes import parse_counts, transform_counts, verdict_distribution, with_lenient_verdict, with_verdict
+from evalflow.operators.outcomes import parse_counts, transform_counts, verdict_distribution, verdict_summary, with_lenient_verdict, with_verdict
 from evalflow.operators.shape import (
     QUESTION_METADATA,
     PromptHandler,
@@ -104,6 +104,15 @@ def _(spark, sf):
     return verdict_distribution(read.withColumn("resolve_yn", normalized_verdict(F.col("resolve_yn"))), ["model"])
 
 
+@query(
+    "verdict_summary",
+    f"""SELECT model, CAST(count(*) FILTER (resolve_yn = 'yes') AS BIGINT) AS yes, CAST(count(*) FILTER (resolve_yn = 'no') AS BIGINT) AS no,
+        CAST(count(*) FILTER (resolve_yn NOT IN ('yes', 'no')) AS BIGINT) AS other FROM ({_STRICT}) s GROUP BY model""",
+)
+def _(spark, sf):
+    return verdict_summary(with_verdict(view(spark, sf, "verdicts")), ["model"])
+
+
 # --- responses in both provider shapes ---------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import re
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
-from evalflow.functions import sql_text, verdict
+from evalflow.functions import dialect, sql_text, verdict
 
 PIECES = [
     "```", "```sql", "```json", "``", "SELECT", "select a", ";", "\n", " ", "\xa0", "\r\n", "칼럼", "é", "_",
@@ -95,3 +95,18 @@ def test_generated_texts(evaluate, texts):
     texts = [t.encode("utf-8", "ignore").decode().replace("\x00", "") for t in texts]
     assert evaluate(texts, sql_text.extract_sql) == [python_sql(t) for t in texts]
     assert evaluate(texts, verdict.strict_verdict) == [python_verdict(t) for t in texts]
+
+
+DIALECT_PIECES = [
+    "limit 5 , 10", "ifnull", "(", ")", "`칼럼`", "`", "offset 3", "RETURNING", "é", "½", "_", " ", "\xa0", "'", "::text", "array", "[",
+    "]", "pragma", "rowid", "insert or ignore", "top 5", "isnull", "@@", "x", "rownum", "from dual", "minus", "nvl", "decode", ",",
+    "number", "1", "\n", "serial", "identity", "𝒳", "\u0301",
+]
+
+
+def test_dialects(evaluate):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(DIALECT_PIECES) for _ in range(rng.randint(0, 10))) for _ in range(4000)]
+    for got, text in zip(evaluate(texts, dialect.pattern_dialects), texts, strict=True):
+        want = [n for n, patterns in sorted(dialect.DIALECT_PATTERNS.items()) if any(re.search(p, text.lower()) for p in patterns)]
+        assert got == want, repr(text)

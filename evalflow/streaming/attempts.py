@@ -21,7 +21,8 @@ def attempt_states(
 
     A task waiting for a retry is lost when event time has passed its last attempt by
     ``lost_after_s``. The state is one small row per task and is removed at that time; the rows of
-    a task arrive in batches and are only counted.
+    a task arrive in batches and are only counted. A task that succeeded or failed in an earlier
+    trigger keeps its outcome.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,15 +36,14 @@ def attempt_states(
                 yield row("lost", count)
             return
         count, status, last_ms = state.get if state.exists else (0, "pending", 0)
-        known = status
+        known, over = status, status in ("success", "failed")
+        # One trigger may deliver the rows of a task in several pieces; all of them are counted.
         for batch in batches:
-            if status in ("success", "failed"):
-                continue
-            count += len(batch)
             last_ms = max(last_ms, int(batch[time].max().timestamp() * 1000))
-            if bool(batch["ok"].any()):
-                status = "success"
-        if status != "success":
+            if not over:
+                count += len(batch)
+                status = "success" if bool(batch["ok"].any()) else status
+        if not over and status != "success":
             status = "retry" if count < max_attempts else "failed"
         state.update((count, status, last_ms))
         state.setTimeoutTimestamp(max(last_ms + lost_after_s * 1000, state.getCurrentWatermarkMs() + 1))

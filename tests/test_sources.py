@@ -134,6 +134,22 @@ def test_stream_states(attempt_files):
     ]
 
 
+def test_stream_states_of_a_hot_task(spark, tmp_path):
+    """A task with many more rows than one Arrow batch is still counted whole."""
+    rows = spark.range(25_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1).alias("task_id"),
+        (F.col("id") == 7).alias("ok"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("end_ts"),
+    )
+    path = str(tmp_path / "attempts")
+    rows.coalesce(1).write.parquet(path)
+    states = attempt_stream.attempt_states(spark.readStream.schema(rows.schema).parquet(path))
+    got = stream_logs.run_updates_to_table(states, str(tmp_path / "out"), str(tmp_path / "state"))
+    hot = got.where("task_id = 1").collect()
+    assert [(r["status"], r["attempts"]) for r in hot] == [("success", 22_500)]
+    assert got.count() == 2501
+
+
 def test_stream_progress_has_closed_minutes_only(attempt_files):
     stream, tmp = attempt_files
     got = stream_logs.run_to_table(stream_logs.progress_per_minute(stream), str(tmp / "out"), str(tmp / "state")).collect()

@@ -11,9 +11,6 @@ from evalflow.functions.naming import is_chat_model
 from evalflow.functions.tokens import TokenCounter, request_cost, word_tokens
 from evalflow.sources.datasets import ColumnRoles
 
-MODES = ("nl2sql", "verdict", "translate", "text")
-
-
 def _model(model: str | Column) -> Column:
     return F.lit(model) if isinstance(model, str) else model
 

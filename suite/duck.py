@@ -33,9 +33,6 @@ def extract_sql(x: str) -> str:
         ELSE coalesce({json_text(x, "gen_sql")}, '') END"""
 
 
-_WORD = r"[\p{L}\p{N}_]"
-
-
 def word(x: str, w: str) -> str:
     edge = r"[^\p{L}\p{N}_]"
     return f"regexp_matches({x}, '(?i)(?:^|{edge}){w}(?:$|{edge})')"

@@ -75,14 +75,14 @@ def _(spark, sf):
 @query(
     "job_log_roundtrip",
     """SELECT CAST(task_id AS VARCHAR) AS task_id, question AS prompt, NULL AS metadata, CAST(false AS BOOLEAN) AS bad FROM {qa} q
-       UNION ALL SELECT NULL, NULL, NULL, true FROM {qa} q WHERE task_id % 5 = 0""",
+       UNION ALL SELECT NULL, NULL, NULL, true FROM {qa} q WHERE split = 'de'""",
 )
 def _(spark, sf):
     path = stage_path(spark, "jobs")
     qa = view(spark, sf, "qa")
     jobs = qa.select("task_id", F.struct(F.lit("m").alias("model"), F.col("question").alias("prompt")).alias("request"))
     logs.write_jobs(jobs, path)
-    bad = qa.where(F.col("task_id") % 5 == 0).select(F.concat(F.lit('{"task_id": '), F.col("task_id"), F.lit(', "request')).alias("value"))
+    bad = qa.where("split = 'de'").select(F.concat(F.lit('{"task_id": '), F.col("task_id"), F.lit(', "request')).alias("value"))
     bad.write.mode("append").text(path)
     return logs.read_jobs(spark, path).select(
         "task_id",
@@ -123,7 +123,7 @@ def _result_lines(spark, sf):
     metadata = F.when(k % 4 == 3, F.lit("null"))
     line = logs.result_line(request, response, F.col("task_id"), metadata)
     broken = F.concat(F.lit("[{bad "), F.col("task_id"))
-    return view(spark, sf, "verdicts").select("task_id", F.when(F.col("task_id") % 21 == 20, broken).otherwise(line).alias("value"))
+    return view(spark, sf, "verdicts").select("task_id", F.when(F.col("model") == "src7", broken).otherwise(line).alias("value"))
 
 
 def _write_log(spark, sf):
@@ -135,7 +135,7 @@ def _write_log(spark, sf):
 _KIND = "task_id % 8 % 4"
 _LOG = f"""SELECT CAST(task_id AS VARCHAR) AS task_id, CASE WHEN task_id % 8 < 6 THEN 'Q' || task_id ELSE '{{"id":' || task_id || '}}' END AS prompt,
     CASE {_KIND} WHEN 0 THEN {duck.lenient_verdict('content')} WHEN 1 THEN {duck.lenient_verdict('content')} WHEN 2 THEN truth ELSE 'unknown' END AS resolve_yn,
-    {_KIND} = 3 AS failed FROM {{verdicts}} v WHERE task_id % 21 <> 20"""
+    {_KIND} = 3 AS failed FROM {{verdicts}} v WHERE model <> 'src7'"""
 
 
 @query("result_log", _LOG)
@@ -148,14 +148,14 @@ def _(spark, sf):
     "result_log_compat",
     f"""SELECT CASE WHEN {_KIND} = 3 THEN '' ELSE CAST(task_id AS VARCHAR) END AS task_id,
         CASE {_KIND} WHEN 2 THEN '{{"resolve_yn":"' || upper(truth) || '"}}' WHEN 3 THEN '{{"error":"timed out","task_id":' || task_id || '}}' ELSE content END AS response
-        FROM {{verdicts}} v WHERE task_id % 21 <> 20""",
+        FROM {{verdicts}} v WHERE model <> 'src7'""",
 )
 def _(spark, sf):
     log = logs.read_result_log(spark, _write_log(spark, sf), compat=True).where("bad_line IS NULL")
     return log.select("task_id", "response")
 
 
-@query("result_log_rejects", "SELECT '[{bad ' || task_id AS bad_line FROM {verdicts} v WHERE task_id % 21 = 20")
+@query("result_log_rejects", "SELECT '[{bad ' || task_id AS bad_line FROM {verdicts} v WHERE model = 'src7'")
 def _(spark, sf):
     return logs.read_result_log(spark, _write_log(spark, sf)).where("bad_line IS NOT NULL").select("bad_line")
 
@@ -165,7 +165,7 @@ def _(spark, sf):
     f"""SELECT n AS total_requests, s + f AS completed, s AS successful, f AS failed, {duck.percent('s + f', 'n')} AS completion_pct,
         {duck.percent('s', 'n')} AS success_pct, {duck.percent('f', 'n')} AS failure_pct
         FROM (SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({_KIND} < 3) AS BIGINT) AS s,
-              CAST(count(*) FILTER ({_KIND} = 3) AS BIGINT) AS f FROM {{verdicts}} v WHERE task_id % 21 <> 20) x""",
+              CAST(count(*) FILTER ({_KIND} = 3) AS BIGINT) AS f FROM {{verdicts}} v WHERE model <> 'src7') x""",
 )
 def _(spark, sf):
     return outcomes.log_summary(logs.read_result_log(spark, _write_log(spark, sf)))
@@ -173,14 +173,15 @@ def _(spark, sf):
 
 @query(
     "stats_append",
-    """SELECT run_id % 2 = 0 AS verified, timestamp, nl2sql_model, CASE WHEN run_id % 2 = 0 THEN evaluator_model END AS evaluator_model, accuracy,
-       CASE WHEN run_id % 2 = 1 THEN run_id / 1000 END AS avg_translation_time_s, CASE WHEN run_id % 2 = 0 THEN 'verification' ELSE 'translation' END AS phase FROM {runs} r""",
+    """SELECT verified, timestamp, nl2sql_model, CASE WHEN verified THEN evaluator_model END AS evaluator_model, accuracy,
+       CASE WHEN NOT verified THEN run_id / 1000 END AS avg_translation_time_s, CASE WHEN verified THEN 'verification' ELSE 'translation' END AS phase
+       FROM (SELECT *, test_dataset = 'F' AS verified FROM {runs} r) x""",
 )
 def _(spark, sf):
     path = stage_path(spark, "stats")
     runs = view(spark, sf, "runs")
-    verified = runs.where("run_id % 2 = 0").withColumn("phase", F.lit("verification"))
-    translated = runs.where("run_id % 2 = 1").drop("evaluator_model").withColumns(
+    verified = runs.where("test_dataset = 'F'").withColumn("phase", F.lit("verification"))
+    translated = runs.where("test_dataset <> 'F'").drop("evaluator_model").withColumns(
         {"phase": F.lit("translation"), "avg_translation_time_ms": F.col("run_id"), "memory_usage": F.lit(1)}
     )
     stats.append_stats(verified, path)
@@ -195,16 +196,19 @@ def _(spark, sf):
 @query(
     "stats_csv_union",
     """SELECT timestamp, nl2sql_model, evaluator_model, successful_count, comments FROM (
-         SELECT timestamp, nl2sql_model, evaluator_model, successful_count, 'say "' || run_id || '",' || chr(10) || 'next' AS comments FROM {runs} r WHERE run_id % 2 = 0
-         UNION ALL SELECT timestamp, nl2sql_model, NULL, successful_count, 'plain' FROM {runs} r WHERE run_id % 2 = 1) x""",
+         SELECT timestamp, nl2sql_model, evaluator_model, successful_count, 'say "' || run_id || '",' || chr(10) || 'next' AS comments FROM {runs} r WHERE test_dataset = 'F'
+         UNION ALL SELECT timestamp, nl2sql_model, NULL, successful_count, 'plain' FROM {runs} r WHERE test_dataset <> 'F') x""",
 )
 def _(spark, sf):
     path = stage_path(spark, "stats")
     note = F.concat(F.lit('say "'), F.col("run_id"), F.lit('",\nnext'))
-    runs = view(spark, sf, "runs").withColumn("comments", F.when(F.col("run_id") % 2 == 0, note).otherwise("plain"))
+    runs = view(spark, sf, "runs").withColumn("comments", F.when(F.col("test_dataset") == "F", note).otherwise("plain"))
     stamped = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
-    for name, fields, rest in (("verification", stats.VERIFICATION_FIELDS, 0), ("translation", stats.GENERATION_FIELDS, 1)):
-        rows = stats.stats_rows(runs.where(F.col("run_id") % 2 == rest).withColumn("phase", F.lit(name)))
+    for name, fields, part in (
+        ("verification", stats.VERIFICATION_FIELDS, "test_dataset = 'F'"),
+        ("translation", stats.GENERATION_FIELDS, "test_dataset <> 'F'"),
+    ):
+        rows = stats.stats_rows(runs.where(part).withColumn("phase", F.lit(name)))
         datasets.write_csv(rows.withColumn("timestamp", stamped).select(fields), f"{path}/{name}")
     union = stats.read_stats_csv(spark, f"{path}/verification", f"{path}/translation")
     return union.select("timestamp", "nl2sql_model", "evaluator_model", "successful_count", "comments")

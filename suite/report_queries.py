@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalflow.functions.responses import listed_models
 from evalflow.operators import reports, timeline
 from evalflow.plans.reports import write_report
 from evalflow.sources.stats import model_lines
@@ -210,11 +211,11 @@ def _(spark, sf):
     return reports.run_metrics_long(rows, ["run_id"])
 
 
-@query("model_list", "SELECT source AS model FROM documents WHERE doc_id % 3 = 2")
+@query("model_list", "SELECT source AS model FROM documents WHERE lang NOT IN ('en', 'fr')")
 def _(spark, sf):
     line = (
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("  # "), F.col("source")))
-        .when(F.col("doc_id") % 3 == 1, F.lit("   "))
+        F.when(F.col("lang") == "en", F.concat(F.lit("  # "), F.col("source")))
+        .when(F.col("lang") == "fr", F.lit("   "))
         .otherwise(F.col("source"))
     )
     return model_lines(table(spark, sf, "documents").select(line.alias("value")))
@@ -222,8 +223,6 @@ def _(spark, sf):
 
 @query("text_catalogue", "SELECT page_id, 'm' || page_id || ':7b' AS model FROM pages")
 def _(spark, sf):
-    from evalflow.functions.responses import listed_models
-
     listing = F.concat(F.lit("NAME  ID  SIZE\nm"), F.col("page_id"), F.lit(":7b  abc  4 GB\n"))
     pages = table(spark, sf, "pages").select("page_id", listed_models(listing).alias("models"))
     return pages.select("page_id", F.explode("models").alias("model"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from evalflow.functions import templates as T
-from evalflow.functions.naming import endpoint_kind
+from evalflow.functions.dialect import DIALECT_HINTS
 from evalflow.functions.tokens import python_tokens
 from evalflow.operators import ids, invoke, joins, outcomes, prompts, shape, timeline
 from evalflow.plans import runs
@@ -114,7 +114,7 @@ _ALTERNATES = [
     "render_alternates",
     "SELECT task_id, "
     + ", ".join(
-        f"{_fill(n, dbms=duck.lit('Oracle'), dbms_instructions=duck.lit(prompts.dialect_hint.__globals__['DIALECT_HINTS']['oracle']))} AS {n}"
+        f"{_fill(n, dbms=duck.lit('Oracle'), dbms_instructions=duck.lit(DIALECT_HINTS['oracle']))} AS {n}"
         for n in _ALTERNATES
     )
     + " FROM {qa} q",
@@ -133,13 +133,13 @@ def _(spark, sf):
 
 @query(
     "training_rows",
-    "SELECT item_id, text, db_id FROM (SELECT p_partkey AS item_id, CASE WHEN p_size % 10 > 0 THEN p_name END AS text, p_size % 4 AS db_id FROM part) x WHERE text IS NOT NULL AND db_id <> 1",
+    "SELECT item_id, text, db_id FROM (SELECT p_partkey AS item_id, CASE WHEN p_type <> 'ECONOMY' THEN p_name END AS text, p_size AS db_id FROM part) x WHERE text IS NOT NULL AND db_id <> 1",
 )
 def _(spark, sf):
     rows = table(spark, sf, "part").select(
         F.col("p_partkey").alias("item_id"),
-        F.when(F.col("p_size") % 10 > 0, F.col("p_name")).alias("text"),
-        (F.col("p_size") % 4).alias("db_id"),
+        F.when(F.col("p_type") != "ECONOMY", F.col("p_name")).alias("text"),
+        F.col("p_size").alias("db_id"),
     )
     return shape.training_rows(rows, ["item_id"])
 
@@ -211,8 +211,6 @@ def _(spark, sf):
     return out
 
 
-_COUNT = "CAST(length(regexp_replace({x}, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+|[^\\s]', 'x', 'g')) - length(regexp_replace(regexp_replace({x}, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+|[^\\s]', 'x', 'g'), 'x', '', 'g')) AS BIGINT)"
-
 
 def _count(x):
     return f"CAST(len(regexp_extract_all({x}, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}\\s]')) AS BIGINT)"
@@ -319,20 +317,23 @@ def accuracy_by_model(spark, sf):
     return stats.select("nl2sql_model", "test_size", "successful_count", F.round("accuracy", 4).alias("accuracy"))
 
 
+_HAS_RESULT = "length(answer) > length(question)"
+
+
 def _results(spark, sf):
-    """Processed results of two thirds of the rows, as the runner stores them."""
+    """Processed results as the runner stores them; rows with a short answer have none."""
     stored = F.to_json(F.struct(F.concat(F.lit("SELECT "), F.col("task_id")).alias("gen_sql")))
-    return _qa(spark, sf).where(F.col("task_id") % 3 > 0).select("task_id", stored.alias("result"))
+    return _qa(spark, sf).where(_HAS_RESULT).select("task_id", stored.alias("result"))
 
 
-@query("attach_results", "SELECT task_id, question, CASE WHEN task_id % 3 > 0 THEN 'SELECT ' || task_id END AS gen_sql FROM {qa} q")
+@query("attach_results", f"SELECT task_id, question, CASE WHEN {_HAS_RESULT} THEN 'SELECT ' || task_id END AS gen_sql FROM {{qa}} q")
 def _(spark, sf):
     return joins.attach_results(_qa(spark, sf).select("task_id", "question"), _results(spark, sf))
 
 
 @query(
     "request_response_pairs",
-    """SELECT question AS request, '{"gen_sql":"SELECT ' || task_id || '"}' AS response, task_id AS index FROM {qa} q WHERE task_id % 3 > 0""",
+    f"""SELECT question AS request, '{{"gen_sql":"SELECT ' || task_id || '"}}' AS response, task_id AS index FROM {{qa}} q WHERE {_HAS_RESULT}""",
 )
 def _(spark, sf):
     requests = _qa(spark, sf).select("task_id", F.col("question").alias("request"))
@@ -350,8 +351,8 @@ def _(spark, sf):
 
 @query(
     "complete_log",
-    """SELECT task_id, CAST(NULL AS VARCHAR) AS error, 'ok' AS response FROM {qa} q WHERE task_id % 3 > 0
-       UNION ALL SELECT task_id, 'request was not processed (lost)', NULL FROM {qa} q WHERE task_id % 3 = 0""",
+    f"""SELECT task_id, CAST(NULL AS VARCHAR) AS error, 'ok' AS response FROM {{qa}} q WHERE {_HAS_RESULT}
+       UNION ALL SELECT task_id, 'request was not processed (lost)', NULL FROM {{qa}} q WHERE NOT ({_HAS_RESULT})""",
 )
 def _(spark, sf):
     log = _results(spark, sf).select("task_id", F.lit(None).cast("string").alias("error"), F.lit("ok").alias("response"))
@@ -615,13 +616,13 @@ def _(spark, sf):
 
 @query(
     "generation_resumed",
-    f"SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'earlier' WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql FROM ({_STUB}) s",
+    f"SELECT task_id, CASE WHEN split = 'en' THEN 'earlier' WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql FROM ({_STUB}) s",
 )
 def _(spark, sf):
     qa = _qa(spark, sf)
     schema = StructType([StructField("task_id", LongType()), StructField("gen_sql", StringType())])
     path = artifacts.artifact_path(spark, stage_path(spark, "results"), "org/qa:a:test", "qwq:7b", "judge:27b")
-    earlier = qa.where("task_id % 2 = 0").select("task_id", F.lit("earlier").alias("gen_sql"))
+    earlier = qa.where("split = 'en'").select("task_id", F.lit("earlier").alias("gen_sql"))
     artifacts.resume_stage(earlier, path, ["task_id"], lambda rows: rows, schema)
     ask = lambda rows: runs.generate(rows, "qwq", stub_client, options=_OPTIONS).rows
     return artifacts.resume_stage(qa, path, ["task_id"], ask, schema)

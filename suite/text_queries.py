@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from evalflow.functions import responses as R
 from evalflow.functions.dialect import DIALECT_PATTERNS, dialect_hint, dialect_label, pattern_dialects
 from evalflow.functions.latency import resource_sample, response_latency, text_latency
-from evalflow.functions.naming import artifact_key, endpoint_kind, model_size, provider_kind
+from evalflow.functions.naming import artifact_key, endpoint_kind, model_size, provider_kind, safe_name
 from evalflow.functions.sql_text import extract_sql, extract_sql_without_json, generated_sql
+from evalflow.functions.text import strip
 from evalflow.functions.verdict import normalized_verdict
 from evalflow.operators.outcomes import parse_counts, transform_counts, verdict_distribution, verdict_summary, with_lenient_verdict, with_verdict
 from evalflow.operators.shape import (
@@ -23,7 +24,6 @@ from evalflow.operators.shape import (
     with_dialect_class,
     with_dialects,
 )
-from evalflow.functions.text import strip
 from suite import duck
 from suite.registry import query
 from suite.views import view
@@ -422,8 +422,6 @@ _RESERVED = "regexp_matches(upper(k), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$')"
 )
 def _(spark, sf):
     dataset = F.concat(F.lit("org/set:"), F.col("event_type"), F.lit("?"))
-    from evalflow.functions.naming import safe_name
-
     return view(spark, sf, "models").select(
         "event_id", safe_name(F.col("model")).alias("name"), artifact_key(dataset, F.col("model")).alias("key")
     )

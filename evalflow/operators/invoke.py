@@ -89,11 +89,14 @@ def invoke(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
-        with ThreadPoolExecutor(concurrency) as pool:
-            for batch in batches:
-                rows = list(batch.itertuples(index=False))
-                done = pool.map(lambda row: _call_with_retries(client, accept, max_attempts, backoff_s, row), rows)
-                yield pd.DataFrame([a for attempts in done for a in attempts], columns=_COLUMNS)
+        try:
+            with ThreadPoolExecutor(concurrency) as pool:
+                for batch in batches:
+                    rows = list(batch.itertuples(index=False))
+                    done = pool.map(lambda row: _call_with_retries(client, accept, max_attempts, backoff_s, row), rows)
+                    yield pd.DataFrame([a for attempts in done for a in attempts], columns=_COLUMNS)
+        finally:
+            getattr(client, "close", lambda: None)()
 
     return stage(spread.mapInPandas(run, ATTEMPT_SCHEMA), "attempts")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalflow.operators import ids, outcomes, shape
+from evalflow.operators import outcomes, shape
 from evalflow.sources import datasets, logs, stats
 from evalflow.staging import stage_path
 from suite import duck
@@ -94,17 +94,20 @@ def _(spark, sf):
 
 @query(
     "job_line_numbers",
-    """SELECT task_id, CASE WHEN task_id % 4 = 0 THEN '{"run":7}' ELSE '{"original_index":' || (n - 1) || '}' END AS metadata
-       FROM (SELECT CAST(task_id AS VARCHAR) AS id, task_id, row_number() OVER (ORDER BY task_id) AS n FROM {qa} q) x""",
+    """SELECT task_id, CASE WHEN split = 'en' THEN '{"run":7}' ELSE 'line number' END AS metadata FROM {qa} q""",
 )
 def _(spark, sf):
     path = stage_path(spark, "jobs")
-    qa = ids.assign_task_ids(view(spark, sf, "qa").select(F.col("task_id").alias("key"), "question"), ["key"], "line")
-    own = F.when(F.col("key") % 4 == 0, F.struct(F.lit(7).alias("run")))
-    job = F.to_json(F.struct(F.col("key").alias("task_id"), F.struct(F.col("question").alias("prompt")).alias("request"), own.alias("metadata")))
-    # One file, so that its line numbers are the row order.
-    qa.select(job.alias("value"), "line").coalesce(1).sortWithinPartitions("line").select("value").write.text(path)
-    return logs.read_jobs_with_line_numbers(spark, path).select(F.col("task_id").cast("bigint").alias("task_id"), "metadata")
+    own = F.when(F.col("split") == "en", F.struct(F.lit(7).alias("run")))
+    # Each task writes one file, so the row number inside the task is the line number in the file.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    request = F.struct(F.col("question").alias("prompt"), row.alias("row"))
+    job = F.to_json(F.struct("task_id", request.alias("request"), own.alias("metadata")))
+    view(spark, sf, "qa").select(job.alias("value")).write.text(path)
+    jobs = logs.read_jobs_with_line_numbers(spark, path)
+    expected = F.concat(F.lit('{"original_index":'), F.get_json_object("request", "$.row"), F.lit("}"))
+    metadata = F.when(F.col("metadata") == expected, "line number").otherwise(F.col("metadata"))
+    return jobs.select(F.col("task_id").cast("bigint").alias("task_id"), metadata.alias("metadata"))
 
 
 def _result_lines(spark, sf):

@@ -7,7 +7,7 @@ callable ``client(request_json, attempt) -> response_json``; it signals failure
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -38,20 +38,21 @@ class CallError(Exception):
         return self.status is not None and 400 <= self.status < 500 and self.status != 429
 
 
-def _call_with_retries(client, accept, max_attempts, backoff_s, row) -> list[tuple]:
+def _call_with_retries(client, accept, max_attempts, backoff_s, row: tuple) -> list[tuple]:
     """All attempts of one request, the last one being a success or the final failure."""
+    task_id, model, phase, request, *carried = row
     attempts = []
     for attempt in range(1, max_attempts + 1):
         start = pd.Timestamp.now("UTC").tz_localize(None)
         response, error, final = None, None, False
         try:
-            response = client(row.request, attempt)
+            response = client(request, attempt)
             if accept is not None and not accept(response):
                 error = "response could not be read"
         except Exception as e:
             error, final = f"{type(e).__name__}: {e}", getattr(e, "final", False)
         end = pd.Timestamp.now("UTC").tz_localize(None)
-        attempts.append((row.task_id, row.model, row.phase, attempt, start, end, error is None, response, error))
+        attempts.append((task_id, model, phase, attempt, start, end, error is None, response, error, *carried))
         if error is None or final:
             break
         if backoff_s and attempt < max_attempts:
@@ -69,36 +70,40 @@ def invoke(
     accept: Callable[[str], bool] | None = None,
     partitions: int | None = None,
     phase: str = "run",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Call the model for each row ``task_id, model, request`` and return one row per attempt.
 
     At most ``partitions * concurrency`` calls run at once (default: one task per core). Requests are
-    spread by task id. A
-    request is tried until it succeeds, fails for good or used ``max_attempts``; an answer that
-    ``accept`` turns down counts as a failure. The attempts are written once and read back, so no
-    later action repeats a call.
+    spread by task id and model. A request is tried until it succeeds, fails for good or used
+    ``max_attempts``; an answer that ``accept`` turns down counts as a failure. Columns in ``carry`` are
+    repeated on every attempt. The attempts are written once and read back, so no later action repeats
+    a call.
     """
     source = requests.select(
-        F.col("task_id").cast("bigint").alias("task_id"), "model", F.lit(phase).alias("phase"), "request"
+        F.col("task_id").cast("bigint").alias("task_id"), "model", F.lit(phase).alias("phase"), "request", *carry
     )
-    if dict(source.dtypes)["request"] != "string":
+    types = dict(source.dtypes)
+    if types["request"] != "string":
         source = source.withColumn("request", F.to_json("request"))
     # A fixed number of tasks: adaptive execution would merge small requests into a few slow tasks.
     tasks = partitions or source.sparkSession.sparkContext.defaultParallelism
-    spread = source.repartition(tasks, "task_id")
+    spread = source.repartition(tasks, "task_id", "model")
+    columns = [*_COLUMNS, *carry]
+    schema = ", ".join([ATTEMPT_SCHEMA, *[f"{c} {types[c]}" for c in carry]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         try:
             with ThreadPoolExecutor(concurrency) as pool:
                 for batch in batches:
-                    rows = list(batch.itertuples(index=False))
+                    rows = list(batch.itertuples(index=False, name=None))
                     done = pool.map(lambda row: _call_with_retries(client, accept, max_attempts, backoff_s, row), rows)
-                    yield pd.DataFrame([a for attempts in done for a in attempts], columns=_COLUMNS)
+                    yield pd.DataFrame([a for attempts in done for a in attempts], columns=columns)
         finally:
             getattr(client, "close", lambda: None)()
 
-    return stage(spread.mapInPandas(run, ATTEMPT_SCHEMA), "attempts")
+    return stage(spread.mapInPandas(run, schema), "attempts")
 
 
 def warm_up(spark: SparkSession, client_factory: ClientFactory, model: str, request: str) -> DataFrame:

@@ -21,18 +21,21 @@ def tidy_verdicts(verdicts: DataFrame) -> DataFrame:
     return tidy.withColumn("prompt", recovered_prompt(F.col("prompt"))) if "prompt" in tidy.columns else tidy
 
 
-def join_verdicts(verdicts: DataFrame, dataset: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
+def join_verdicts(
+    verdicts: DataFrame, dataset: DataFrame, roles: ColumnRoles | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
     """Verdicts with the dataset columns they were given for; the column ``answer`` becomes ``gt_sql``.
 
+    Rows are matched by task id and, when the dataset holds answers of several models, further ``keys``.
     Log ids are text and may be missing; those that are no number belong to no row. The dataset side
     is cut to the needed columns. Its ids are unique, so a repeated verdict id never multiplies rows,
     and the adaptive skew join splits an id that repeats very often.
     """
     roles = roles or ColumnRoles()
     wanted = [c for c in (roles.question, roles.answer, roles.output, roles.context) if c in dataset.columns]
-    right = dataset.select(F.col("task_id").cast("bigint").alias("task_id"), *dict.fromkeys(wanted))
+    right = dataset.select(F.col("task_id").cast("bigint").alias("task_id"), *keys, *dict.fromkeys(wanted))
     left = verdicts.withColumn("task_id", F.col("task_id").try_cast("bigint"))
-    return left.join(right, "task_id", "inner").withColumnRenamed("answer", "gt_sql")
+    return left.join(right, ["task_id", *keys], "inner").withColumnRenamed("answer", "gt_sql")
 
 
 def attach_results(

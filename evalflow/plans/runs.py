@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,8 +45,11 @@ class RunResult:
     stats: DataFrame
 
 
-def _call(prompted: DataFrame, model: str, mode: str, client_factory: ClientFactory, options: RunOptions) -> DataFrame:
-    requests = build_requests(prompted, model, mode).select("task_id", "model", "request")
+def _call(
+    prompted: DataFrame, mode: str, client_factory: ClientFactory, options: RunOptions, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Attempts for rows with ``task_id``, ``model`` and ``prompt``."""
+    requests = build_requests(prompted, F.col("model"), mode).select("task_id", "model", "request", *carry)
     return invoke(
         requests,
         client_factory,
@@ -53,12 +57,13 @@ def _call(prompted: DataFrame, model: str, mode: str, client_factory: ClientFact
         concurrency=options.concurrency,
         backoff_s=options.backoff_s,
         partitions=options.partitions,
+        carry=carry,
     )
 
 
-def _outcomes(attempts: DataFrame) -> DataFrame:
-    """One row per request with its answer text and the time span of all its attempts."""
-    ends = attempts.groupBy("task_id").agg(
+def _outcomes(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per request with its last answer text and the time span of all its attempts."""
+    ends = attempts.groupBy(*keys).agg(
         F.max_by("response", "attempt").alias("_response"),
         F.min("start_ts").alias("start_ts"),
         F.max("end_ts").alias("end_ts"),
@@ -66,19 +71,15 @@ def _outcomes(attempts: DataFrame) -> DataFrame:
     return ends.withColumn("content", response_content(F.col("_response"))).drop("_response")
 
 
-def _stats_input(rows: DataFrame, dataset_name: str, model: str) -> DataFrame:
-    return rows.withColumns(
-        {
-            "nl2sql_model": F.lit(model),
-            "test_dataset": F.lit(dataset_name),
-            "ok": F.col("parse_status").eqNullSafe("ok"),
-        }
-    )
+def _each(df: DataFrame, names: str | Sequence[str], column: str) -> DataFrame:
+    """The rows once per name of a short list of models."""
+    listed = [names] if isinstance(names, str) else list(names)
+    return df.withColumn(column, F.explode(F.array(*[F.lit(n) for n in listed])))
 
 
 def generate(
     dataset: DataFrame,
-    model: str,
+    models: str | Sequence[str],
     client_factory: ClientFactory,
     roles: ColumnRoles | None = None,
     options: RunOptions | None = None,
@@ -86,51 +87,74 @@ def generate(
     dataset_name: str = "",
     done: DataFrame | None = None,
 ) -> RunResult:
-    """Ask the model for SQL (or a translation) of every row; the dataset needs a ``task_id``.
+    """Ask one or more models for SQL (or a translation) of every row; the dataset needs a ``task_id``.
 
-    ``done`` holds the task ids of earlier output; those rows are not asked again. Splits are a
-    column, so all of them run as one plan.
+    The result holds every row once per model, told apart by the column ``model``. ``done`` holds the
+    keys of earlier output (``task_id``, and ``model`` if it is there); those rows are not asked again.
+    Splits are a column, so all models and splits run as one plan.
     """
     roles, options = roles or ColumnRoles(), options or RunOptions()
+    keys = ["task_id", "model"]
+    asked = _each(dataset, models, "model")
     if done is not None:
-        dataset = pending_rows(dataset, done, ["task_id"])
-    prompted = translation_prompts(dataset, roles) if mode == "translate" else generation_prompts(dataset, model, roles)
-    attempts = _call(prompted, model, mode, client_factory, options)
-    answers = _outcomes(attempts)
-    if mode == "translate":
-        fields = translation(F.col("content"))
-        status = F.when(fields["e_question"].isNull(), "rejected").otherwise("ok")
-        parsed = answers.withColumns(
-            {"e_question": fields["e_question"], "e_answer": fields["e_answer"], "parse_status": status}
+        asked = pending_rows(asked, done, [k for k in keys if k in done.columns])
+    translate = mode == "translate"
+    prompted = translation_prompts(asked, roles) if translate else generation_prompts(asked, F.col("model"), roles)
+    attempts = _call(prompted, mode, client_factory, options)
+    answers = _outcomes(attempts, keys)
+    if translate:
+        parsed = answers.withColumn("_t", translation(F.col("content"))).select(
+            *keys,
+            "_t.*",
+            F.when(F.col("_t.e_question").isNull(), "rejected").otherwise("ok").alias("parse_status"),
+            "start_ts",
+            "end_ts",
         )
-        output = ["e_question", "e_answer", "parse_status"]
     else:
-        sql = generated_sql(F.col("content"))
-        parsed = answers.withColumn("_sql", sql).withColumns(
-            {roles.output: F.col("_sql.gen_sql"), "parse_status": F.col("_sql.parse_status")}
+        parsed = answers.withColumn("_sql", generated_sql(F.col("content"))).select(
+            *keys,
+            F.col("_sql.gen_sql").alias(roles.output),
+            F.col("_sql.parse_status").alias("parse_status"),
+            "start_ts",
+            "end_ts",
         )
-        output = [roles.output, "parse_status"]
-    rows = dataset.drop(*output).join(parsed.select("task_id", *output, "start_ts", "end_ts"), "task_id", "left")
-    stats = generation_stats(_stats_input(rows, dataset_name, model))
-    return RunResult(rows.drop("start_ts", "end_ts"), attempts, stats)
+    rows = asked.drop(*[c for c in parsed.columns if c not in keys]).join(parsed, keys, "left")
+    measured = rows.withColumns(
+        {
+            "nl2sql_model": F.col("model"),
+            "test_dataset": F.lit(dataset_name),
+            "ok": F.col("parse_status").eqNullSafe("ok"),
+        }
+    )
+    return RunResult(rows.drop("start_ts", "end_ts"), attempts, generation_stats(measured))
 
 
 def verify(
     results: DataFrame,
-    model: str,
-    evaluator: str,
+    evaluators: str | Sequence[str],
     client_factory: ClientFactory,
     roles: ColumnRoles | None = None,
     options: RunOptions | None = None,
     dataset_name: str = "",
 ) -> RunResult:
-    """Ask the evaluator about every generated query, join the verdicts back and compute the accuracy."""
+    """Ask one or more evaluators about every generated query and compute the accuracy.
+
+    ``results`` are the rows of ``generate``. The verdicts are joined back to their rows by task and
+    model; the statistics have one row per model and evaluator.
+    """
     roles, options = roles or ColumnRoles(), options or RunOptions()
-    attempts = _call(verdict_prompts(results, roles), evaluator, "verdict", client_factory, options)
-    verdicts = tidy_verdicts(with_verdict(_outcomes(attempts)).select("task_id", "resolve_yn"))
-    joined = join_verdicts(verdicts, results, roles)
-    names = {"nl2sql_model": F.lit(model), "test_dataset": F.lit(dataset_name), "evaluator_model": F.lit(evaluator)}
-    stats = verification_stats(results.withColumns(names), verdicts.withColumns(names), list(names))
+    answers = results.withColumnRenamed("model", "nl2sql_model")
+    asked = _each(answers, evaluators, "model")
+    attempts = _call(verdict_prompts(asked, roles), "verdict", client_factory, options, carry=["nl2sql_model"])
+    read = with_verdict(_outcomes(attempts, ["task_id", "nl2sql_model", "model"]))
+    verdicts = tidy_verdicts(read.select("task_id", "nl2sql_model", F.col("model").alias("evaluator_model"), "resolve_yn"))
+    joined = join_verdicts(verdicts, answers, roles, keys=["nl2sql_model"])
+    names = ["nl2sql_model", "evaluator_model", "test_dataset"]
+    stats = verification_stats(
+        asked.withColumnsRenamed({"model": "evaluator_model"}).withColumn("test_dataset", F.lit(dataset_name)),
+        verdicts.withColumn("test_dataset", F.lit(dataset_name)),
+        names,
+    )
     return RunResult(joined, attempts, stats)
 
 

@@ -600,7 +600,8 @@ _JUDGED = f"SELECT task_id, n, n % 7 <> 0 AND n % 11 <> 0 AS ok FROM (SELECT tas
         'correct: ' || count(*) FILTER (ok AND n % 2 = 1) || '/' || count(*) AS comments, 'verification' AS phase FROM ({_JUDGED}) j""",
 )
 def _(spark, sf):
-    result = runs.verify(_gen(_qa(spark, sf)), "qwq", "judge", stub_client, options=_OPTIONS, dataset_name="d")
+    results = _gen(_qa(spark, sf)).withColumn("model", F.lit("qwq"))
+    result = runs.verify(results, "judge", stub_client, options=_OPTIONS, dataset_name="d")
     return result.stats.withColumn("accuracy", F.round("accuracy", 4))
 
 
@@ -642,3 +643,27 @@ def _(spark, sf):
     models = table(spark, sf, "documents").select(F.col("source").alias("model")).distinct()
     options = runs.RunOptions(max_attempts=1, concurrency=4, backoff_s=0.0)
     return runs.benchmark(models, stub_client, 3, 102, options=options).drop("cpu_pct", "mem", "gpu_mem")
+
+
+_MATRIX_RUN = f"""SELECT task_id, model, n, n % 7 <> 0 AND n % 11 <> 0 AS ok FROM (
+    SELECT task_id, m AS model, CASE WHEN m LIKE 'sqlcoder%' THEN length({_fill('generate_tagged')}) ELSE length({_fill('generate')}) END AS n
+    FROM {{qa}} q, (SELECT unnest(['qwq', 'sqlcoder:15b']) AS m) t) x"""
+_MATRIX_SQL = "CASE WHEN ok THEN 'SELECT ' || n || ';' END"
+_MATRIX_JUDGED = f"""SELECT model, judge, k, k % 7 <> 0 AND k % 11 <> 0 AND k % 2 = 1 AS correct FROM (
+    SELECT r.model, judge, length({_fill('verdict', gen_sql='r.sql')}) AS k
+    FROM (SELECT task_id, model, {_MATRIX_SQL} AS sql FROM ({_MATRIX_RUN}) y) r JOIN {{qa}} q USING (task_id),
+         (SELECT unnest(['judge-a', 'judge-b']) AS judge) t) z"""
+
+
+@query(
+    "matrix_run",
+    f"""SELECT model AS nl2sql_model, judge AS evaluator_model, CAST(count(*) AS BIGINT) AS test_size, CAST(count(*) FILTER (correct) AS BIGINT) AS successful_count,
+        round(count(*) FILTER (correct) * 100.0::DOUBLE / count(*), 4) AS accuracy FROM ({_MATRIX_JUDGED}) j GROUP BY model, judge""",
+)
+def _(spark, sf):
+    """Two models and two evaluators in one plan each."""
+    generated = runs.generate(_qa(spark, sf), ["qwq", "sqlcoder:15b"], stub_client, options=_OPTIONS)
+    stats = runs.verify(generated.rows, ["judge-a", "judge-b"], stub_client, options=_OPTIONS).stats
+    return stats.select(
+        "nl2sql_model", "evaluator_model", "test_size", "successful_count", F.round("accuracy", 4).alias("accuracy")
+    )

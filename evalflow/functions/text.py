@@ -98,14 +98,17 @@ def json_object(text: Column) -> Column:
     text as the first of two array elements makes trailing text fail: the closing mark is
     only reached when the value before it was complete.
     """
-    looks_like_object = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END_MARK}"]')))
 
     def first_of_pair(items: Column) -> Column:
         mark = F.try_variant_get(F.get(items, 1), "$", "string")
         return F.when((F.size(items) == 2) & mark.eqNullSafe(F.lit(_END_MARK)), F.get(items, 0))
 
-    return F.when(looks_like_object, let(F.try_variant_get(wrapped, "$", "array<variant>"), first_of_pair))
+    def read(t: Column) -> Column:
+        wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END_MARK}"]')))
+        pair = let(F.try_variant_get(wrapped, "$", "array<variant>"), first_of_pair)
+        return F.when(F.ltrim(t, F.lit(" \t\r\n")).startswith("{"), pair)
+
+    return let(text, read)
 
 
 def json_field(text: Column, name: str) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from evalflow.llm.mixing import op6_mixing
+from evalflow.llm.pii import op2_pii
 from evalflow.llm.sharding import op7_sharding
 from evalflow.llm.token_counts import op9_token_counts
 from evalflow.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op9_token_counts": op9_token_counts,

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from evalflow.llm.decontamination import op1_decontamination
+from evalflow.llm.jaccard import op8_jaccard_join
 from evalflow.llm.mixing import op6_mixing
+from evalflow.llm.neighbours import op3_nearest
 from evalflow.llm.pii import op2_pii
 from evalflow.llm.sharding import op7_sharding
+from evalflow.llm.substrings import op4_substring_dedup
 from evalflow.llm.token_counts import op9_token_counts
 from evalflow.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
+    "op3_nearest": op3_nearest,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }

@@ -9,8 +9,8 @@ the library as a whole, since those are cut out before anything else.
 from __future__ import annotations
 
 import re
-from array import array
 
+import numpy as np
 import tokenizers
 
 # The characters of Unicode's White_Space property, at which the libraries' patterns split.
@@ -19,6 +19,8 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: A word with the one blank before it; all but the last of several white space characters; a single one.
 _SPACED = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 _BARE = re.compile(f"[^{WHITE_SPACE}]+")
+#: Characters at which str.split() parts words and the libraries do not.
+_CONTROLS = re.compile("[\x1c-\x1f]")
 #: Letters, then full stops and commas: two pieces for either vocabulary.
 _STOPPED = re.compile(r"(.*[A-Za-z])([.,]+)\Z", re.S)
 
@@ -33,16 +35,16 @@ class _Pieces(dict):
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.lower = lower
 
-    def encode(self, text: str) -> array:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids)
+    def encode(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, piece: str) -> array:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         if self.lower and not piece.islower() and (low := piece.lower()) != piece and piece.isascii():
             ids = self[low]
         elif stopped := _STOPPED.match(piece):
-            ids = self[stopped[1]] + self[stopped[2]]
+            ids = self[stopped[1]] + self[stopped[2]]  # numbers or bytes
         else:
             ids = self.encode(piece)
         self[piece] = ids
@@ -77,16 +79,14 @@ def token_counter(path: str):
 
 
 def token_ids(path: str):
-    """A function from a text to its ids, for a vocabulary that lowers case and drops white space."""
+    """A function from a text to its ids as little-endian 32-bit numbers, for a vocabulary that lowers case and drops
+    white space."""
     pieces = _of_worker(_Pieces, path, True)
     look = pieces.__getitem__
 
-    def ids(text: str) -> array:
+    def ids(text: str) -> bytes:
         if any(s in text for s in pieces.specials):
             return pieces.encode(text)
-        out = array("I")
-        for piece in map(look, _BARE.findall(text)):
-            out.extend(piece)
-        return out
+        return b"".join(map(look, _BARE.findall(text) if _CONTROLS.search(text) else text.split()))
 
     return ids

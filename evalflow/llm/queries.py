@@ -10,6 +10,7 @@ from evalflow.llm.pii import op2_pii
 from evalflow.llm.sharding import op7_sharding
 from evalflow.llm.substrings import op4_substring_dedup
 from evalflow.llm.token_counts import op9_token_counts
+from evalflow.llm.token_files import op5_token_files
 from evalflow.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_nearest": op3_nearest,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_jaccard_join": op8_jaccard_join,

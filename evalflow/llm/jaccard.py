@@ -29,12 +29,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalflow.llm.common import table
+from evalflow.llm.common import fresh, table
 from evalflow.llm.words import pieces, shingle_sets, word_hashes
 from evalflow.staging import stage
 
@@ -253,22 +252,22 @@ def components(edges: DataFrame, node: str = "binary") -> DataFrame:
         edges = stage(small.union(own).where("a <> b").distinct(), "components")
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """`doc_id`, `text_key`, `n_shingles`, `component_id` for every row; texts without words have no component but their own."""
+def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """`doc_id`, `text_key`, `n` and `root`, a name of the component (NULL for the empty set), for every row."""
     heavy = heavy_shingles(docs, size, percent)
     rows = stage(signatures(docs, size, percent, heavy), "jaccard-signatures")
     roots = components(links(docs, rows, size, percent))
-    slim = rows.select("doc_id", "text_key", "n", "set_id")
-    # From classes to components: first the smallest id of a class, then of the classes of a component.
-    owners = slim.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    owners = owners.join(roots, F.col("set_id") == F.col("node"), "left").select(
-        "set_id", F.coalesce("root", "set_id").alias("root"), "least"
-    )
-    named = owners.join(owners.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
-        F.col("set_id").alias("of_set"), "component_id"
-    )
-    # Rows of a large class are spread by AQE's skew join; the other side has one row per class.
-    return slim.join(named, F.col("set_id") == F.col("of_set"), "left").select(
+    # A large class is spread by AQE's skew join; the other side has one row per class.
+    found = rows.select("doc_id", "text_key", "n", "set_id").join(roots, F.col("set_id") == F.col("node"), "left")
+    return stage(found.select("doc_id", "text_key", "n", F.coalesce("root", "set_id").alias("root")), "jaccard-rooted")
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """`doc_id`, `text_key`, `n_shingles`, `component_id` for every row; texts without words have no component but their own."""
+    rows = rooted(docs, size, percent)
+    named = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.withColumnRenamed("root", "of_root")
+    return rows.join(named, F.col("root") == F.col("of_root"), "left").select(
         "doc_id",
         "text_key",
         F.col("n").alias("n_shingles"),
@@ -277,19 +276,28 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that have a near duplicate of smaller id; all columns.
+    """One document of every component, that of smallest id (NULL last), then of smallest text hash; all columns.
 
-    Rows of a component that share its id (repeated rows) are one document: the one of lowest text key stays once.
+    Documents without words all stay. Of equal rows that represent a component one stays.
     """
-    found = near_duplicates(docs, size, percent)
-    dropped = found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = dropped.select(F.col("doc_id").alias("out_id"), F.col("text_key").alias("out_key")).distinct()
-    left = docs.join(
-        dropped,
-        F.col("doc_id").eqNullSafe(F.col("out_id")) & (F.xxhash64("text") == F.col("out_key")),
-        "left_anti",
+    rows = rooted(docs, size, percent).where("n > 0")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    groups = rows.groupBy("root").agg(F.min(key).alias("best"), F.count("*").alias("rows")).where("rows > 1")
+    groups = groups.withColumnRenamed("root", "of_root")
+    several = rows.join(groups, F.col("root") == F.col("of_root")).select(
+        F.col("doc_id").alias("s_id"),
+        F.col("text_key").alias("s_key"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("once"),
     )
-    return left
+    several = stage(several.distinct(), "jaccard-several")
+    names = {c: fresh(docs, c) for c in ("s_id", "s_key", "once")}
+    several = several.withColumnsRenamed(names)
+    same = F.col("doc_id").eqNullSafe(F.col(names["s_id"])) & (F.xxhash64("text") == F.col(names["s_key"]))
+    found = docs.join(several, same, "left")
+    alone = found.where(F.col(names["once"]).isNull()).select(*docs.columns)
+    # Equal rows have the same place; of each, the first one that Spark meets stays.
+    first = docs.join(several.where(names["once"]), same).dropDuplicates([names["s_id"], names["s_key"]]).select(*docs.columns)
+    return alone.unionByName(first)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

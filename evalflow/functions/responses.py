@@ -116,7 +116,7 @@ def _translation_result(content: Column) -> Column:
 
 
 PROCESSORS: dict[str, Callable[[Column], Column]] = {
-    "nl2sql": _sql_result,
+    "generate": _sql_result,
     "evaluation": strict_verdict,
     "translate": _translation_result,
 }

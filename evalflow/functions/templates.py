@@ -22,6 +22,7 @@ Tables:
 Use only the tables and columns listed. Answer with JSON only, in this form:
 {_ANSWER_JSON}"""
 
+# The markers [QUESTION], [/QUESTION] and [SQL], and the slot names of all templates.
 GENERATE_TAGGED = """### Task
 Write a SQL query that answers [QUESTION]{question}[/QUESTION]
 
@@ -43,22 +44,19 @@ Tables:
 {schema}
 """
 
-GENERATE_LONG = f"""You turn questions into SQL.
+GENERATE_LONG = f"""A person who cannot write SQL asks about the data below. Give the query that gets the answer.
 
-Question: {{question}}
-Tables:
+What is asked: {{question}}
+
+Data:
 {{schema}}
 
-Steps:
-1. Read the question and the tables.
-2. Pick the joins, filters and aggregates that are needed; name no column that is not listed.
-3. If the tables cannot answer the question, say so in a field "error".
-4. Return JSON only.
+An output column for every piece of information that is asked for, no more. Counts and sums need a name of their own.
+If a word of the question fits several columns, take the one whose table is already joined.
 
-Example: for "staff of the Sales team" over staff(id, name, team_id) and team(id, name), return
-{{{{"gen_sql": "SELECT s.* FROM staff s JOIN team t ON s.team_id = t.id WHERE t.name = 'Sales'"}}}}
+For instance, over city(id, title, country, people) the question "largest city of each country" becomes
+{{{{"gen_sql": "SELECT country, MAX_BY(title, people) AS largest FROM city GROUP BY country"}}}}
 
-Form of the answer:
 {_ANSWER_JSON}"""
 
 GENERATE_DIALECT = f"""Write one {{dbms}} query for the question below.
@@ -70,18 +68,16 @@ Tables:
 Keep to the rules of {{dbms}}. Answer with JSON only, in this form:
 {_ANSWER_JSON}"""
 
-GENERATE_TAGGED_LONG = """### Instructions
-Read the question and the tables word by word, then write the SQL.
-Give every table an alias. Cast the numerator of a ratio to float.
+GENERATE_TAGGED_LONG = """### Data
+{schema}
 
-### Question
+### Wanted
 {question}
 
-### Tables
-{schema}
+### Conventions
+One statement without comments. Spell out the join conditions. Sort only where the question speaks of an order.
 
-### Response
-SQL for {question}:
+### Statement for: {question}
 ```sql
 """
 
@@ -105,32 +101,31 @@ Question: {question}
 Reference query: {gt_sql}
 Generated query: {gen_sql}"""
 
-VERDICT_TOLERANT = """Decide whether the generated query answers the question.
-Quoted numbers, quoted identifiers, keyword case and white space make no difference.
-Answer with JSON: {{"resolve_yn": "yes"}} or {{"resolve_yn": "no"}}
+VERDICT_TOLERANT = """A student wrote the second query as an exercise; the first is the teacher's. Mark it.
+Formatting and spelling variants that the database reads alike cost no marks. A different filter, join or output does.
+Mark as JSON, full marks {{"resolve_yn": "yes"}}, anything less {{"resolve_yn": "no"}}
 
-Tables: {schema}
-Question: {question}
-Reference query: {gt_sql}
-Generated query: {gen_sql}"""
+Exercise: {question}
+Over: {schema}
+Teacher: {gt_sql}
+Student: {gen_sql}"""
 
-VERDICT_RESULT_SET = """Would both queries return the same rows on every database with these tables?
-They must read the same columns and apply equivalent filters; implicit casts and quoting are fine.
-Answer with JSON: {{"resolve_yn": "yes"}} or {{"resolve_yn": "no"}}
+VERDICT_RESULT_SET = """Imagine small example tables with duplicates, missing values and unmatched keys, and run both queries over them.
+If you find one example where the outputs differ in their rows, the verdict is no; the order counts only where one is asked for.
+{{"resolve_yn": "yes"}} or {{"resolve_yn": "no"}}, as JSON
 
 Tables: {schema}
-Question: {question}
-Reference query: {gt_sql}
-Generated query: {gen_sql}"""
+Asked: {question}
+First: {gt_sql}
+Second: {gen_sql}"""
 
-VERDICT_INTENT = """Do both queries look for the same information, whatever their syntax?
-Treat 1 and '1', and "Name" and Name, as equal.
-Answer with JSON: {{"resolve_yn": "yes"}} or {{"resolve_yn": "no"}}
+VERDICT_INTENT = """Say in one sentence for yourself what each query finds out. Are the sentences the same, and do they answer the question?
+Return JSON only: {{"resolve_yn": "yes"}} if so, else {{"resolve_yn": "no"}}
 
-Tables: {schema}
 Question: {question}
-Reference query: {gt_sql}
-Generated query: {gen_sql}"""
+Tables: {schema}
+Query A: {gt_sql}
+Query B: {gen_sql}"""
 
 TRANSLATE = """Translate the question from Korean to English.
 In the SQL translate string literals and comments only; leave names, keywords and numbers as they are.

@@ -125,20 +125,12 @@ def keyed_task_ids(df: DataFrame, key: Sequence[str], name: str = "task_id") ->
 
 
 def limit_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
-    """The first ``n`` rows in the order."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in the order; no task holds all of them."""
+    return positions(df, order, name="_rank").where(F.col("_rank") < n).drop("_rank")
 
 
 def limit_per_group(df: DataFrame, n: int, order: Sequence[Column | str], group: Sequence[str] = ("split",)) -> DataFrame:
-    """The first ``n`` rows of every group.
-
-    Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows Spark drops the surplus before the
-    shuffle. Beyond it a ranked window would sort whole groups in one task, so positions are used.
-    """
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if n <= threshold:
-        rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-        return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    """The first ``n`` rows of every group, by positions: a group's rows are in as many tasks as it needs."""
     return positions(df, order, group, "_rank").where(F.col("_rank") < n).drop("_rank")
 
 

@@ -6,11 +6,14 @@ callable ``client(request_json, attempt) -> response_json``; it signals failure
 
 from __future__ import annotations
 
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +22,13 @@ from evalflow.staging import stage
 Client = Callable[[str, int], str]
 ClientFactory = Callable[[], Client]
 
+#: Besides the outcome: ``final`` marks a failure that is not repeated, ``last`` the attempt a request ended with.
 ATTEMPT_SCHEMA = (
     "task_id bigint, model string, phase string, attempt int, start_ts timestamp_ntz, end_ts timestamp_ntz, "
-    "ok boolean, response string, error string"
+    "ok boolean, final boolean, last boolean, response string, error string"
 )
+#: Requests of a task, about: what is lost with an executor, and the smallest share that can be dealt anew.
+TASK_REQUESTS = 1000
 _COLUMNS = [field.strip().split(" ")[0] for field in ATTEMPT_SCHEMA.split(",")]
 
 
@@ -38,7 +44,36 @@ class CallError(Exception):
         return self.status is not None and 400 <= self.status < 500 and self.status != 429
 
 
-def _call_with_retries(client, accept, max_attempts, backoff_s, row: tuple) -> list[tuple]:
+def _is_final(error: Exception) -> bool:
+    """Connection errors, time-outs, server errors and call limits may pass; anything else would only repeat itself."""
+    if isinstance(error, CallError):
+        return error.final
+    return not isinstance(error, (ConnectionError, TimeoutError))
+
+
+def _within(timeout_s: float | None, call: Callable[[], str]) -> str:
+    """The call's result; a call that takes longer is left behind in its thread and counts as timed out."""
+    if not timeout_s or timeout_s <= 0:
+        return call()
+    box: dict[str, object] = {}
+
+    def run() -> None:
+        try:
+            box["result"] = call()
+        except Exception as e:
+            box["error"] = e
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(timeout_s)
+    if thread.is_alive():
+        raise TimeoutError(f"no answer within {timeout_s:g} s")
+    if "error" in box:
+        raise box["error"]
+    return box["result"]
+
+
+def _call_with_retries(client, accept, max_attempts, backoff_s, timeout_s, row: tuple) -> list[tuple]:
     """All attempts of one request, the last one being a success or the final failure."""
     task_id, model, phase, request, *carried = row
     attempts = []
@@ -46,14 +81,15 @@ def _call_with_retries(client, accept, max_attempts, backoff_s, row: tuple) -> l
         start = pd.Timestamp.now("UTC").tz_localize(None)
         response, error, final = None, None, False
         try:
-            response = client(request, attempt)
+            response = _within(timeout_s, lambda: client(request, attempt))  # noqa: B023
             if accept is not None and not accept(response):
                 error = "response could not be read"
         except Exception as e:
-            error, final = f"{type(e).__name__}: {e}", getattr(e, "final", False)
+            error, final = f"{type(e).__name__}: {e}", _is_final(e)
         end = pd.Timestamp.now("UTC").tz_localize(None)
-        attempts.append((task_id, model, phase, attempt, start, end, error is None, response, error, *carried))
-        if error is None or final:
+        last = error is None or final or attempt == max_attempts
+        attempts.append((task_id, model, phase, attempt, start, end, error is None, final, last, response, error, *carried))
+        if last:
             break
         if backoff_s and attempt < max_attempts:
             time.sleep(min(backoff_s * 2 ** (attempt - 1), 60.0))
@@ -68,42 +104,66 @@ def invoke(
     concurrency: int = 10,
     backoff_s: float = 1.0,
     accept: Callable[[str], bool] | None = None,
+    timeout_s: float | None = 300.0,
     partitions: int | None = None,
     phase: str = "run",
     carry: Sequence[str] = (),
+    attempts_path: str | None = None,
+    buckets: int = 1,
 ) -> DataFrame:
     """Call the model for each row ``task_id, model, request`` and return one row per attempt.
 
-    At most ``partitions * concurrency`` calls run at once (default: one task per core). Requests are
-    spread by task id and model. A request is tried until it succeeds, fails for good or used
-    ``max_attempts``; an answer that ``accept`` turns down counts as a failure. Columns in ``carry`` are
-    repeated on every attempt. The attempts are written once and read back, so no later action repeats
-    a call.
+    A request is tried until it succeeds, fails for good, or used ``max_attempts``. A call without answer after
+    ``timeout_s`` and an answer that ``accept`` turns down are failures that may be repeated. Columns in ``carry``
+    are repeated on every attempt; ids keep their type. Requests are spread by task id and model over tasks of about
+    TASK_REQUESTS requests, or ``partitions`` tasks, with ``concurrency`` calls at once in each.
+
+    The attempts are written and read back, so no later action repeats a call. With ``attempts_path`` they are written
+    there in ``buckets`` parts, one after the other, and requests that have ended in an earlier run are not
+    called again: a run that is broken off repeats the calls of one bucket at most.
     """
-    source = requests.select(
-        F.col("task_id").cast("bigint").alias("task_id"), "model", F.lit(phase).alias("phase"), "request", *carry
-    )
+    spark = requests.sparkSession
+    source = requests.select("task_id", "model", F.lit(phase).alias("phase"), "request", *carry)
     types = dict(source.dtypes)
     if types["request"] != "string":
         source = source.withColumn("request", F.to_json("request"))
-    # A fixed number of tasks: adaptive execution would merge small requests into a few slow tasks.
-    tasks = partitions or source.sparkSession.sparkContext.defaultParallelism
-    spread = source.repartition(tasks, "task_id", "model")
     columns = [*_COLUMNS, *carry]
-    schema = ", ".join([ATTEMPT_SCHEMA, *[f"{c} {types[c]}" for c in carry]])
+    schema = ", ".join([ATTEMPT_SCHEMA.replace("task_id bigint", f"task_id {types['task_id']}"), *[f"{c} {types[c]}" for c in carry]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         try:
             with ThreadPoolExecutor(concurrency) as pool:
+                # The pool is kept filled across batches; results leave in the order of the requests.
+                waiting = deque()
                 for batch in batches:
-                    rows = list(batch.itertuples(index=False, name=None))
-                    done = pool.map(lambda row: _call_with_retries(client, accept, max_attempts, backoff_s, row), rows)
-                    yield pd.DataFrame([a for attempts in done for a in attempts], columns=columns)
+                    for row in batch.itertuples(index=False, name=None):
+                        waiting.append(pool.submit(_call_with_retries, client, accept, max_attempts, backoff_s, timeout_s, row))
+                        if len(waiting) > 4 * concurrency:
+                            yield pd.DataFrame(waiting.popleft().result(), columns=columns)
+                while waiting:
+                    yield pd.DataFrame(waiting.popleft().result(), columns=columns)
         finally:
             getattr(client, "close", lambda: None)()
 
-    return stage(spread.mapInPandas(run, schema), "attempts")
+    def called(part: DataFrame) -> DataFrame:
+        # A fixed number of tasks: adaptive execution would merge small requests into a few slow tasks.
+        tasks = partitions or max(spark.sparkContext.defaultParallelism, -(-part.count() // TASK_REQUESTS))
+        return part.repartition(tasks, "task_id", "model").mapInPandas(run, schema)
+
+    if attempts_path is None:
+        return stage(called(source), "attempts")
+    try:
+        ended = spark.read.schema(schema).parquet(attempts_path).where("last").select("task_id", "model", "phase")
+        source = source.join(ended, ["task_id", "model", "phase"], "left_anti").select(*source.columns)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    source = stage(source, "requests")
+    for bucket in range(buckets):
+        part = source.where(F.pmod(F.xxhash64("task_id", "model"), F.lit(buckets)) == bucket)
+        called(part).write.mode("append").parquet(attempts_path)
+    return spark.read.schema(schema).parquet(attempts_path)
 
 
 def warm_up(spark: SparkSession, client_factory: ClientFactory, model: str, request: str) -> DataFrame:

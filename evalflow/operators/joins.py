@@ -12,7 +12,6 @@ from evalflow.functions.verdict import normalized_verdict
 from evalflow.sources.datasets import ColumnRoles
 
 LOST = "request was not processed (lost)"
-MAX_LIST = 1000
 
 
 def tidy_verdicts(verdicts: DataFrame) -> DataFrame:
@@ -27,14 +26,14 @@ def join_verdicts(
     """Verdicts with the dataset columns they were given for; the column ``answer`` becomes ``gt_sql``.
 
     Rows are matched by task id and, when the dataset holds answers of several models, further ``keys``.
-    Log ids are text and may be missing; those that are no number belong to no row. The dataset side
+    Log ids are text and may be missing; they are read as the dataset's type of id, and those that cannot be belong to no row. The dataset side
     is cut to the needed columns. Its ids are unique, so a repeated verdict id never multiplies rows,
     and the adaptive skew join splits an id that repeats very often.
     """
     roles = roles or ColumnRoles()
     wanted = [c for c in (roles.question, roles.answer, roles.output, roles.context) if c in dataset.columns]
-    right = dataset.select(F.col("task_id").cast("bigint").alias("task_id"), *keys, *dict.fromkeys(wanted))
-    left = verdicts.withColumn("task_id", F.col("task_id").try_cast("bigint"))
+    right = dataset.select("task_id", *keys, *dict.fromkeys(wanted))
+    left = verdicts.withColumn("task_id", F.col("task_id").try_cast(dataset.schema["task_id"].dataType))
     return left.join(right, ["task_id", *keys], "inner").withColumnRenamed("answer", "gt_sql")
 
 
@@ -66,18 +65,14 @@ def request_response_pairs(requests: DataFrame, outcomes: DataFrame) -> DataFram
     return requests.join(answers, "task_id").select("request", "response", F.col("task_id").alias("index"))
 
 
-def listed_names(names: DataFrame, column: str = "model") -> list[str]:
-    """The distinct entries of a configuration list, read to the driver; long lists are refused."""
-    rows = names.select(column).distinct().limit(MAX_LIST + 1).collect()
-    if len(rows) > MAX_LIST:
-        raise ValueError(f"more than {MAX_LIST} entries; this is not a configuration list")
-    return sorted(r[0] for r in rows if r[0] is not None)
+def run_matrix(base: DataFrame, verifiers: DataFrame, column: str = "model", verifier: str = "model") -> DataFrame:
+    """One row per base model and distinct verifying model.
 
-
-def run_matrix(base: DataFrame, verifiers: Sequence[str], column: str = "model") -> DataFrame:
-    """One row per base model and verifying model."""
-    array = F.array(*[F.lit(v) for v in verifiers])
-    return base.select(F.col(column).alias("base_model"), F.explode(array).alias("verifying_model"))
+    The verifying models, a configuration list, become one array that every base model unfolds; nothing is
+    read to the driver.
+    """
+    listed = verifiers.select(F.collect_set(verifier)).scalar()
+    return base.select(F.col(column).alias("base_model"), F.explode(listed).alias("verifying_model"))
 
 
 def benchmark_matrix(models: DataFrame, repeats: int, column: str = "model") -> DataFrame:

@@ -50,23 +50,41 @@ def _outcome_columns(total: Column, ok: Column, failed: Column, seconds: Column)
 
 
 def generation_stats(
-    outcomes: DataFrame, keys: Sequence[str] = ("nl2sql_model", "test_dataset"), ok: str = "ok"
+    outcomes: DataFrame, keys: Sequence[str] = ("tested_model", "test_dataset"), ok: str = "ok"
 ) -> DataFrame:
     """Run statistics of the generation step: one outcome row per dataset row, with start and end times."""
-    counted = outcomes.groupBy(*keys).agg(
+    return generation_stats_of(generation_counts(outcomes, keys, ok), keys)
+
+
+def generation_counts(
+    outcomes: DataFrame, keys: Sequence[str] = ("tested_model", "test_dataset"), ok: str = "ok"
+) -> DataFrame:
+    """Counts and times of outcome rows that can be added up over parts of a run."""
+    return outcomes.groupBy(*keys).agg(
         F.count("*").alias("test_size"),
         F.count_if(F.col(ok)).alias("successful_count"),
-        F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("_failed"),
+        F.count_if(~F.coalesce(F.col(ok), F.lit(False))).alias("failed_count"),
+        F.min("start_ts").alias("start_ts"),
+        F.max("end_ts").alias("end_ts"),
+    )
+
+
+def generation_stats_of(counts: DataFrame, keys: Sequence[str] = ("tested_model", "test_dataset")) -> DataFrame:
+    """Run statistics from the counts of one or more parts of each run."""
+    counted = counts.groupBy(*keys).agg(
+        F.sum("test_size").alias("test_size"),
+        F.sum("successful_count").alias("successful_count"),
+        F.sum("failed_count").alias("_failed"),
         wall_seconds().alias("_seconds"),
     )
     columns = _outcome_columns(F.col("test_size"), F.col("successful_count"), F.col("_failed"), F.col("_seconds"))
     stats = counted.withColumns({**columns, "phase": F.lit("translation")})
-    if "nl2sql_model" in keys:
-        stats = stats.withColumn("model_size", model_size(F.col("nl2sql_model")))
+    if "tested_model" in keys:
+        stats = stats.withColumn("model_size", model_size(F.col("tested_model")))
     return stats.drop("_failed", "_seconds")
 
 
-def verification_stats(dataset: DataFrame, verdicts: DataFrame, keys: Sequence[str] = ("nl2sql_model",)) -> DataFrame:
+def verification_stats(dataset: DataFrame, verdicts: DataFrame, keys: Sequence[str] = ("tested_model",)) -> DataFrame:
     """Accuracy: verdicts ``yes`` per row of the dataset (not per verdict).
 
     Both sides are aggregated before they are joined.
@@ -137,18 +155,31 @@ def error_classes(attempts: DataFrame, error: str = "error", api_error: str | No
     return attempts.withColumn("error_class", error_class(F.col(error), api))
 
 
+def is_final(attempts: DataFrame) -> Column:
+    """Whether a failed attempt is one that is not repeated; attempts without the column ``final`` have none."""
+    return F.coalesce(F.col("final"), F.lit(False)) if "final" in attempts.columns else F.lit(False)
+
+
+def terminal_attempts(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """The attempts that end a request: a success, a final failure, or the last one that is allowed."""
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    return attempts.where(ok | is_final(attempts) | (F.col("attempt") >= max_attempts))
+
+
 def final_status(attempts: DataFrame, max_attempts: int = 3, keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """Status of each request after its attempts: success, retry, failed; never started is pending."""
     status = (
         F.when(F.col("_ok"), "success")
         .when(F.col("attempts") == 0, "pending")
-        .when(F.col("attempts") < max_attempts, "retry")
+        .when(~F.col("_final") & (F.col("attempts") < max_attempts), "retry")
         .otherwise("failed")
     )
     folded = attempts.groupBy(*keys).agg(
-        F.count("attempt").alias("attempts"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("_ok")
+        F.count("attempt").alias("attempts"),
+        F.coalesce(F.bool_or("ok"), F.lit(False)).alias("_ok"),
+        F.bool_or(is_final(attempts)).alias("_final"),
     )
-    return folded.withColumn("status", status).drop("_ok")
+    return folded.withColumn("status", status).drop("_ok", "_final")
 
 
 def status_counters(attempts: DataFrame, status: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -171,7 +202,7 @@ def status_counters(attempts: DataFrame, status: DataFrame, keys: Sequence[str]
     )
     if keys:
         return tasks.join(errors, list(keys))
-    return tasks.withColumn("_one", F.lit(1)).join(errors.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return tasks.withColumn("_errors", errors.select(F.struct("*")).scalar()).select("*", "_errors.*").drop("_errors")
 
 
 def batch_metrics(attempts: DataFrame, max_attempts: int = 3, keys: Sequence[str] = ("model",)) -> DataFrame:
@@ -179,12 +210,13 @@ def batch_metrics(attempts: DataFrame, max_attempts: int = 3, keys: Sequence[str
     per_task = attempts.groupBy(*keys, "task_id").agg(
         F.coalesce(F.bool_or("ok"), F.lit(False)).alias("_ok"),
         F.count("*").alias("_attempts"),
+        F.bool_or(is_final(attempts)).alias("_final"),
         F.min("start_ts").alias("start_ts"),
         F.max("end_ts").alias("end_ts"),
         F.count_if(F.col("error_class") == RATE_LIMIT).alias("_rate"),
         F.count_if(F.col("error_class").isNotNull() & (F.col("error_class") != RATE_LIMIT)).alias("_other"),
     )
-    failed = ~F.col("_ok") & (F.col("_attempts") >= max_attempts)
+    failed = ~F.col("_ok") & (F.col("_final") | (F.col("_attempts") >= max_attempts))
     folded = per_task.groupBy(*keys).agg(
         F.count("*").alias("total_requests"),
         F.count_if(F.col("_ok") | failed).alias("completed_requests"),
@@ -211,9 +243,10 @@ def batch_metrics(attempts: DataFrame, max_attempts: int = 3, keys: Sequence[str
     )
 
 
-def throughput(attempts: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """Requests, wall seconds, seconds per request and requests per second."""
-    folded = attempts.groupBy(*keys).agg(F.count("*").alias("requests"), wall_seconds().alias("elapsed_s"))
+def throughput(attempts: DataFrame, keys: Sequence[str] = ("model",), task: str = "task_id") -> DataFrame:
+    """Requests, wall seconds, seconds per request and requests per second; a request counts once, however often tried."""
+    per_task = attempts.groupBy(*keys, task).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    folded = per_task.groupBy(*keys).agg(F.count("*").alias("requests"), wall_seconds().alias("elapsed_s"))
     return folded.withColumns(
         {
             "avg_s_per_request": ratio(F.col("elapsed_s"), F.col("requests")),

@@ -99,7 +99,7 @@ def answer_format(mode: str, only_sql: bool = True) -> Column | None:
         return _answer_format("resolve_yn")
     if mode == "translate":
         return _answer_format("question", "sql_query")
-    if mode == "nl2sql":
+    if mode == "generate":
         return _answer_format("gen_sql") if only_sql else _answer_format("reasoning", "description", "gen_sql")
     if mode == "text":
         return None
@@ -107,7 +107,7 @@ def answer_format(mode: str, only_sql: bool = True) -> Column | None:
 
 
 def build_requests(
-    df: DataFrame, model: str | Column, mode: str = "nl2sql", only_sql: bool = True, prompt: str = "prompt"
+    df: DataFrame, model: str | Column, mode: str = "generate", only_sql: bool = True, prompt: str = "prompt"
 ) -> DataFrame:
     """Add ``model`` and ``request``: the provider-shaped request with unused fields NULL.
 
@@ -119,7 +119,7 @@ def build_requests(
     mini = F.lower(name).startswith("o1-mini")
     role = F.when(mini, "user").otherwise("system")
     message = F.struct(role.alias("role"), F.col(prompt).alias("content"))
-    wants_json = F.lit(mode in ("nl2sql", "verdict"))
+    wants_json = F.lit(mode in ("generate", "verdict"))
     fields = [
         name.alias("model"),
         F.when(chat, F.array(message)).alias("messages"),

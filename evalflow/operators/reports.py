@@ -26,8 +26,8 @@ def _known(df: DataFrame, *keys: str) -> DataFrame:
 def model_summary(runs: DataFrame) -> DataFrame:
     """Mean accuracy, time and throughput and the total size per model."""
     return (
-        _known(runs, "nl2sql_model")
-        .groupBy("nl2sql_model")
+        _known(runs, "tested_model")
+        .groupBy("tested_model")
         .agg(
             F.avg("accuracy").alias("accuracy"),
             F.avg("avg_processing_time").alias("avg_processing_time"),
@@ -38,7 +38,7 @@ def model_summary(runs: DataFrame) -> DataFrame:
 
 
 def dataset_summary(runs: DataFrame) -> DataFrame:
-    keys = ["nl2sql_model", "test_dataset"]
+    keys = ["tested_model", "test_dataset"]
     return (
         _known(runs, *keys)
         .groupBy(*keys)
@@ -47,7 +47,7 @@ def dataset_summary(runs: DataFrame) -> DataFrame:
 
 
 def evaluator_summary(runs: DataFrame) -> DataFrame:
-    keys = ["nl2sql_model", "evaluator_model"]
+    keys = ["tested_model", "evaluator_model"]
     return _known(runs, *keys).groupBy(*keys).agg(F.avg("accuracy").alias("accuracy"))
 
 
@@ -77,7 +77,7 @@ def summary_report(runs: DataFrame) -> dict[str, DataFrame]:
 
 
 def metric_spread(runs: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Long table ``metric, nl2sql_model, mean, std, n`` of the metrics a table has.
+    """Long table ``metric, tested_model, mean, std, n`` of the metrics a table has.
 
     Mean, sample deviation and count of all metrics come from one aggregation; the wide row per
     model is unpivoted afterwards, so no data row is multiplied.
@@ -94,25 +94,25 @@ def metric_spread(runs: DataFrame, metrics: Sequence[str] = METRICS) -> DataFram
         )
         for m in present
     ]
-    wide = _known(runs, "nl2sql_model").groupBy("nl2sql_model").agg(F.array(*aggregates).alias("_rows"))
-    return wide.select("nl2sql_model", F.explode("_rows").alias("_row")).select("_row.metric", "nl2sql_model", "_row.mean", "_row.std", "_row.n")
+    wide = _known(runs, "tested_model").groupBy("tested_model").agg(F.array(*aggregates).alias("_rows"))
+    return wide.select("tested_model", F.explode("_rows").alias("_row")).select("_row.metric", "tested_model", "_row.mean", "_row.std", "_row.n")
 
 
 def ranking(runs: DataFrame, by: str = "accuracy", k: int | None = None) -> DataFrame:
     """Models by falling mean; equal means are ordered by name. With ``k`` only the best ones."""
     means = (
-        _known(runs, "nl2sql_model")
-        .groupBy("nl2sql_model")
+        _known(runs, "tested_model")
+        .groupBy("tested_model")
         .agg(*[F.avg(c).alias(c) for c in ("accuracy", "avg_processing_time", "batch_throughput")])
-        .orderBy(F.desc_nulls_last(by), "nl2sql_model")
+        .orderBy(F.desc_nulls_last(by), "tested_model")
     )
     return means.limit(k) if k else means
 
 
 def accuracy_matrix(runs: DataFrame, datasets: Sequence[str]) -> DataFrame:
     """Mean accuracy with one column per dataset; the list keeps the schema stable."""
-    keyed = _known(runs, "nl2sql_model", "test_dataset")
-    return keyed.groupBy("nl2sql_model").pivot("test_dataset", list(datasets)).agg(F.avg("accuracy"))
+    keyed = _known(runs, "tested_model", "test_dataset")
+    return keyed.groupBy("tested_model").pivot("test_dataset", list(datasets)).agg(F.avg("accuracy"))
 
 
 def recent_runs(runs: DataFrame, n: int = 5, tie: Sequence[str] = ()) -> DataFrame:
@@ -192,7 +192,7 @@ def run_metrics_long(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     rows = [
         ("Basic Information", "Execution Time", text("timestamp")),
-        ("Basic Information", "NL2SQL Model", text("nl2sql_model")),
+        ("Basic Information", "Model", text("tested_model")),
     ]
     if "evaluator_model" in runs.columns:
         rows.append(("Basic Information", "Evaluator Model", F.col("evaluator_model").cast("string")))

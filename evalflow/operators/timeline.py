@@ -48,8 +48,9 @@ def plan_admission(
     ).cast("decimal(28,0)")
     used = running_values(requests.withColumn("_cost", cost), order, {"_used": ("sum", F.col("_cost"))})
     before = F.col("_used") - F.col("_cost")
-    budget = F.lit(max_requests * max_tokens).cast("decimal(20,0)")
-    return used.withColumn("slot", F.floor(before / budget).cast("bigint")).drop("_cost", "_used")
+    # Whole-number division: a decimal quotient is rounded and can step into the next slot.
+    used = used.withColumns({"_before": before, "_budget": F.lit(max_requests * max_tokens).cast("decimal(20,0)")})
+    return used.withColumn("slot", F.expr("_before div _budget")).drop("_cost", "_used", "_before", "_budget")
 
 
 def with_cooldown(
@@ -75,7 +76,11 @@ def with_cooldown(
 
 
 def first_outcomes(attempts: DataFrame, keys: Sequence[str] = ("run", "task_id"), time: str = "end_ts", tie: str = "attempt") -> DataFrame:
-    """The first recorded outcome of each task; later ones do not count."""
+    """The first recorded outcome of each task; later ones do not count.
+
+    Of ``outcomes.terminal_attempts`` this is the outcome a task ends with; of all attempts it is the literal first one,
+    which counts a failure that was retried.
+    """
     first = F.min_by(F.struct(time, "ok"), F.struct(time, tie))
     return attempts.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first.*")
 

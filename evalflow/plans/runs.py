@@ -83,7 +83,7 @@ def generate(
     client_factory: ClientFactory,
     roles: ColumnRoles | None = None,
     options: RunOptions | None = None,
-    mode: str = "nl2sql",
+    mode: str = "generate",
     dataset_name: str = "",
     done: DataFrame | None = None,
 ) -> RunResult:
@@ -121,7 +121,7 @@ def generate(
     rows = asked.drop(*[c for c in parsed.columns if c not in keys]).join(parsed, keys, "left")
     measured = rows.withColumns(
         {
-            "nl2sql_model": F.col("model"),
+            "tested_model": F.col("model"),
             "test_dataset": F.lit(dataset_name),
             "ok": F.col("parse_status").eqNullSafe("ok"),
         }
@@ -143,13 +143,13 @@ def verify(
     model; the statistics have one row per model and evaluator.
     """
     roles, options = roles or ColumnRoles(), options or RunOptions()
-    answers = results.withColumnRenamed("model", "nl2sql_model")
+    answers = results.withColumnRenamed("model", "tested_model")
     asked = _each(answers, evaluators, "model")
-    attempts = _call(verdict_prompts(asked, roles), "verdict", client_factory, options, carry=["nl2sql_model"])
-    read = with_verdict(_outcomes(attempts, ["task_id", "nl2sql_model", "model"]))
-    verdicts = tidy_verdicts(read.select("task_id", "nl2sql_model", F.col("model").alias("evaluator_model"), "resolve_yn"))
-    joined = join_verdicts(verdicts, answers, roles, keys=["nl2sql_model"])
-    names = ["nl2sql_model", "evaluator_model", "test_dataset"]
+    attempts = _call(verdict_prompts(asked, roles), "verdict", client_factory, options, carry=["tested_model"])
+    read = with_verdict(_outcomes(attempts, ["task_id", "tested_model", "model"]))
+    verdicts = tidy_verdicts(read.select("task_id", "tested_model", F.col("model").alias("evaluator_model"), "resolve_yn"))
+    joined = join_verdicts(verdicts, answers, roles, keys=["tested_model"])
+    names = ["tested_model", "evaluator_model", "test_dataset"]
     stats = verification_stats(
         asked.withColumnsRenamed({"model": "evaluator_model"}).withColumn("test_dataset", F.lit(dataset_name)),
         verdicts.withColumn("test_dataset", F.lit(dataset_name)),

@@ -61,7 +61,7 @@ def output_column(mode: str, given: str | None = None, runner: str = "parser") -
     """Name of the result column of a mode; the batch runner and the parser differ for translations."""
     if given:
         return given
-    if mode == "nl2sql":
+    if mode == "generate":
         return "gen_sql"
     if mode == "translate" and runner == "parser":
         return "translation"
@@ -78,10 +78,13 @@ def apply_roles(df: DataFrame, roles: ColumnRoles, keep: tuple[str, ...] = ()) -
     return df.select(*keep, *[F.col(column).alias(role) for role, column in present.items()])
 
 
+#: What stands for NULL in CSV files, so that an empty text stays an empty text.
+NULL_MARK = "\\N"
+
 _READERS = {
     "parquet": {},
     "json": {},
-    "csv": {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'},
+    "csv": {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "nullValue": NULL_MARK},
 }
 
 
@@ -112,15 +115,21 @@ def read_dataset(
     schema: StructType | str | None = None,
     fallback: str | DatasetSpec | None = None,
 ) -> DataFrame:
-    """Rows of one split. A dataset that cannot be read is an error unless ``fallback`` is named."""
+    """Rows of one split. A folder that does not exist is an error unless ``fallback`` is named; a table without splits
+    is one if a split is asked for.
+    """
     spec = DatasetSpec.parse(address) if isinstance(address, str) else address
     try:
         df = _reader(spark, fmt, schema).load(spec.folder, format=fmt)
-    except AnalysisException:
-        if fallback is None:
+    except AnalysisException as missing:
+        if fallback is None or missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return read_dataset(spark, fallback, fmt, schema)
-    return df.where(F.col("split") == spec.split) if "split" in df.columns else df
+    if not spec.split:
+        return df
+    if "split" not in df.columns:
+        raise ValueError(f"{spec.folder} has no split=... folders")
+    return df.where(F.col("split") == spec.split)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -133,8 +142,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with doubled quotes; like NULL, an empty text is read back as NULL."""
-    df.write.mode(mode).options(header="true", quote='"', escape='"').csv(path)
+    """CSV with doubled quotes; NULL is written as a mark of its own, so empty texts and NULL both come back."""
+    df.write.mode(mode).options(header="true", quote='"', escape='"', nullValue=NULL_MARK).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalflow.sources.datasets import NULL_MARK
+
 VERIFICATION_FIELDS = [
-    "timestamp", "nl2sql_model", "evaluator_model", "test_dataset",
+    "timestamp", "tested_model", "evaluator_model", "test_dataset",
     "test_size", "successful_count", "accuracy", "comments", "phase",
 ]
 GENERATION_FIELDS = [
-    "timestamp", "nl2sql_model", "test_dataset", "test_size", "successful_count", "accuracy",
+    "timestamp", "tested_model", "test_dataset", "test_size", "successful_count", "accuracy",
     "avg_processing_time", "batch_throughput", "model_size", "comments", "phase",
     "throughput", "success_rate", "error_rate", "avg_translation_time_s", "avg_verification_time_s",
 ]
 
 STATS_SCHEMA = (
-    "timestamp timestamp_ntz, nl2sql_model string, evaluator_model string, test_dataset string, "
+    "timestamp timestamp_ntz, tested_model string, evaluator_model string, test_dataset string, "
     "test_size bigint, successful_count bigint, accuracy double, avg_processing_time double, "
     "batch_throughput double, model_size string, comments string, throughput double, "
     "success_rate double, error_rate double, avg_translation_time_s double, "
@@ -63,7 +65,7 @@ def read_stats_csv(spark: SparkSession, verification: str | None = None, generat
             continue
         schema = ", ".join(f"{name} {_TYPES[name]}" for name in fields)
         reader = spark.read.schema(schema).options(
-            header="true", multiLine="true", quote='"', escape='"', timestampNTZFormat="yyyy-MM-dd HH:mm:ss"
+            header="true", multiLine="true", quote='"', escape='"', nullValue=NULL_MARK, timestampNTZFormat="yyyy-MM-dd HH:mm:ss"
         )
         parts.append(reader.csv(path))
     if not parts:

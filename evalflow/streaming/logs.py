@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from evalflow.operators.outcomes import generation_stats
+from evalflow.operators.outcomes import generation_counts, generation_stats_of, is_final
 from evalflow.sources.logs import parse_result_lines
 from evalflow.sources.stats import stats_rows
 
@@ -32,10 +32,13 @@ def first_outcome_stream(
 
 
 def progress_per_minute(
-    outcomes: DataFrame, delay: str = "10 minutes", time: str = "end_ts", keys: Sequence[str] = ("model",)
+    outcomes: DataFrame, delay: str | None = "10 minutes", time: str = "end_ts", keys: Sequence[str] = ("model",)
 ) -> DataFrame:
-    """Completed, successful and failed calls per minute; in append mode a minute appears once it is closed."""
-    watermarked = outcomes if dict(outcomes.dtypes)[time] == "timestamp" else event_time(outcomes, time, delay)
+    """Completed, successful and failed tasks per minute; in append mode a minute appears once it is closed.
+
+    ``outcomes`` holds one row per task. The watermark is set here; ``delay=None`` is for a stream that already has one.
+    """
+    watermarked = outcomes if delay is None else event_time(outcomes, time, delay)
     ok = F.coalesce(F.col("ok"), F.lit(False))
     return (
         watermarked.groupBy(F.window(time, "1 minute").alias("_w"), *keys)
@@ -45,23 +48,31 @@ def progress_per_minute(
 
 
 def status_stream(attempts: DataFrame, max_attempts: int = 3, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """Current status per task as a streaming aggregate (update or complete mode)."""
-    folded = attempts.groupBy(*keys).agg(F.count("*").alias("attempts"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("_ok"))
-    status = F.when(F.col("_ok"), "success").when(F.col("attempts") < max_attempts, "retry").otherwise("failed")
-    return folded.withColumn("status", status).drop("_ok")
+    """Current status per task as a streaming aggregate (update or complete mode).
+
+    The state of a task is kept as long as the stream runs; `attempt_states` forgets tasks with event time.
+    """
+    folded = attempts.groupBy(*keys).agg(
+        F.count("*").alias("attempts"),
+        F.coalesce(F.bool_or("ok"), F.lit(False)).alias("_ok"),
+        F.bool_or(is_final(attempts)).alias("_final"),
+    )
+    waiting = ~F.col("_final") & (F.col("attempts") < max_attempts)
+    status = F.when(F.col("_ok"), "success").when(waiting, "retry").otherwise("failed")
+    return folded.withColumn("status", status).drop("_ok", "_final")
 
 
 def append_stats_stream(
-    outcomes: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("nl2sql_model", "test_dataset")
+    outcomes: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("tested_model", "test_dataset")
 ) -> StreamingQuery:
-    """Append the run statistics of every micro-batch to the log.
+    """Append the additive counts of every micro-batch: rows, successes, first start and last end.
 
-    Each batch owns one folder and overwrites it, so a repeated batch leaves one copy.
+    Each batch owns one folder and overwrites it, so a repeated batch leaves one copy. `streamed_stats` derives the run
+    statistics from all of them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = stats_rows(generation_stats(batch, keys))
-        rows.write.mode("overwrite").partitionBy("phase").parquet(f"{path}/batch_id={batch_id}")
+        generation_counts(batch, keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         outcomes.writeStream.foreachBatch(write)
@@ -71,6 +82,11 @@ def append_stats_stream(
     )
 
 
+def streamed_stats(spark: SparkSession, path: str, keys: Sequence[str] = ("tested_model", "test_dataset")) -> DataFrame:
+    """Run statistics from the counts of all micro-batches: one row per run, as if computed at once."""
+    return stats_rows(generation_stats_of(spark.read.parquet(path), keys))
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what is available in append mode into a Parquet table and read it back."""
     query = (

@@ -43,11 +43,11 @@ def _(spark, sf):
     return out
 
 
-@query("publish_splits", "SELECT doc_id, text, lang AS split FROM documents WHERE lang IN ('de', 'en')")
+@query("publish_splits", "SELECT doc_id, text, lang AS split FROM documents WHERE lang <> 'fr'")
 def _(spark, sf):
     target = stage_path(spark, "published")
     rows = _documents(spark, sf).drop("source")
-    parts = {lang: rows.where(F.col("split") == lang).drop("split") for lang in ("de", "en")}
+    parts = {lang: rows.where(F.col("split") == lang).drop("split") for lang in ("de", "en", "es")}
     datasets.publish_splits({**parts, "fr": None}, target)
     return spark.read.parquet(target).select("doc_id", "text", "split")
 
@@ -176,7 +176,7 @@ def _(spark, sf):
 
 @query(
     "stats_append",
-    """SELECT verified, timestamp, nl2sql_model, CASE WHEN verified THEN evaluator_model END AS evaluator_model, accuracy,
+    """SELECT verified, timestamp, tested_model, CASE WHEN verified THEN evaluator_model END AS evaluator_model, accuracy,
        CASE WHEN NOT verified THEN run_id / 1000 END AS avg_translation_time_s, CASE WHEN verified THEN 'verification' ELSE 'translation' END AS phase
        FROM (SELECT *, test_dataset = 'F' AS verified FROM {runs} r) x""",
 )
@@ -192,15 +192,15 @@ def _(spark, sf):
     rows = stats.read_stats(spark, path)
     return rows.select(
         (F.col("phase") == "verification").alias("verified"),
-        "timestamp", "nl2sql_model", "evaluator_model", "accuracy", "avg_translation_time_s", "phase",
+        "timestamp", "tested_model", "evaluator_model", "accuracy", "avg_translation_time_s", "phase",
     )
 
 
 @query(
     "stats_csv_union",
-    """SELECT timestamp, nl2sql_model, evaluator_model, successful_count, comments FROM (
-         SELECT timestamp, nl2sql_model, evaluator_model, successful_count, 'say "' || run_id || '",' || chr(10) || 'next' AS comments FROM {runs} r WHERE test_dataset = 'F'
-         UNION ALL SELECT timestamp, nl2sql_model, NULL, successful_count, 'plain' FROM {runs} r WHERE test_dataset <> 'F') x""",
+    """SELECT timestamp, tested_model, evaluator_model, successful_count, comments FROM (
+         SELECT timestamp, tested_model, evaluator_model, successful_count, 'say "' || run_id || '",' || chr(10) || 'next' AS comments FROM {runs} r WHERE test_dataset = 'F'
+         UNION ALL SELECT timestamp, tested_model, NULL, successful_count, 'plain' FROM {runs} r WHERE test_dataset <> 'F') x""",
 )
 def _(spark, sf):
     path = stage_path(spark, "stats")
@@ -214,7 +214,7 @@ def _(spark, sf):
         rows = stats.stats_rows(runs.where(part).withColumn("phase", F.lit(name)))
         datasets.write_csv(rows.withColumn("timestamp", stamped).select(fields), f"{path}/{name}")
     union = stats.read_stats_csv(spark, f"{path}/verification", f"{path}/translation")
-    return union.select("timestamp", "nl2sql_model", "evaluator_model", "successful_count", "comments")
+    return union.select("timestamp", "tested_model", "evaluator_model", "successful_count", "comments")
 
 
 @query(

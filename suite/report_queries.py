@@ -21,13 +21,13 @@ def _rounded(df, *columns, digits=4):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-_KNOWN = "SELECT * FROM {runs} r WHERE nl2sql_model IS NOT NULL"
+_KNOWN = "SELECT * FROM {runs} r WHERE tested_model IS NOT NULL"
 
 
 @query(
     "model_summary",
-    f"""SELECT nl2sql_model, round(avg(accuracy), 4) AS accuracy, round(avg(avg_processing_time), 4) AS avg_processing_time,
-        round(avg(batch_throughput), 4) AS batch_throughput, CAST(sum(test_size) AS BIGINT) AS test_size FROM ({_KNOWN}) k GROUP BY nl2sql_model""",
+    f"""SELECT tested_model, round(avg(accuracy), 4) AS accuracy, round(avg(avg_processing_time), 4) AS avg_processing_time,
+        round(avg(batch_throughput), 4) AS batch_throughput, CAST(sum(test_size) AS BIGINT) AS test_size FROM ({_KNOWN}) k GROUP BY tested_model""",
 )
 def _(spark, sf):
     return _rounded(reports.model_summary(_runs(spark, sf)), "accuracy", "avg_processing_time", "batch_throughput")
@@ -35,8 +35,8 @@ def _(spark, sf):
 
 @query(
     "dataset_summary",
-    f"""SELECT nl2sql_model, test_dataset, round(avg(accuracy), 4) AS accuracy, round(avg(avg_processing_time), 4) AS avg_processing_time
-        FROM ({_KNOWN}) k GROUP BY nl2sql_model, test_dataset""",
+    f"""SELECT tested_model, test_dataset, round(avg(accuracy), 4) AS accuracy, round(avg(avg_processing_time), 4) AS avg_processing_time
+        FROM ({_KNOWN}) k GROUP BY tested_model, test_dataset""",
 )
 def _(spark, sf):
     return _rounded(reports.dataset_summary(_runs(spark, sf)), "accuracy", "avg_processing_time")
@@ -44,7 +44,7 @@ def _(spark, sf):
 
 @query(
     "evaluator_summary",
-    f"SELECT nl2sql_model, evaluator_model, round(avg(accuracy), 4) AS accuracy FROM ({_KNOWN}) k GROUP BY nl2sql_model, evaluator_model",
+    f"SELECT tested_model, evaluator_model, round(avg(accuracy), 4) AS accuracy FROM ({_KNOWN}) k GROUP BY tested_model, evaluator_model",
 )
 def _(spark, sf):
     return _rounded(reports.evaluator_summary(_runs(spark, sf)), "accuracy")
@@ -52,9 +52,9 @@ def _(spark, sf):
 
 @query(
     "report_long",
-    f"""SELECT 'model_summary' AS report, nl2sql_model, '' AS part, round(avg(accuracy), 3) AS accuracy FROM ({_KNOWN}) k GROUP BY nl2sql_model
-        UNION ALL SELECT 'dataset_summary', nl2sql_model, test_dataset, round(avg(accuracy), 3) FROM ({_KNOWN}) k GROUP BY nl2sql_model, test_dataset
-        UNION ALL SELECT 'evaluator_summary', nl2sql_model, evaluator_model, round(avg(accuracy), 3) FROM ({_KNOWN}) k GROUP BY nl2sql_model, evaluator_model""",
+    f"""SELECT 'model_summary' AS report, tested_model, '' AS part, round(avg(accuracy), 3) AS accuracy FROM ({_KNOWN}) k GROUP BY tested_model
+        UNION ALL SELECT 'dataset_summary', tested_model, test_dataset, round(avg(accuracy), 3) FROM ({_KNOWN}) k GROUP BY tested_model, test_dataset
+        UNION ALL SELECT 'evaluator_summary', tested_model, evaluator_model, round(avg(accuracy), 3) FROM ({_KNOWN}) k GROUP BY tested_model, evaluator_model""",
 )
 def _(spark, sf):
     report = reports.summary_report(_runs(spark, sf))
@@ -62,7 +62,7 @@ def _(spark, sf):
     out = None
     for name, part in parts.items():
         shown = reports.display(report[name]).select(
-            F.lit(name).alias("report"), "nl2sql_model", part.alias("part"), F.col("accuracy").cast("double").alias("accuracy")
+            F.lit(name).alias("report"), "tested_model", part.alias("part"), F.col("accuracy").cast("double").alias("accuracy")
         )
         out = shown if out is None else out.unionByName(shown)
     return out
@@ -71,7 +71,7 @@ def _(spark, sf):
 @query(
     "metric_spread",
     " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, nl2sql_model, round(avg({m}), 4) AS mean, round(stddev_samp({m}), 4) AS std, CAST(count({m}) AS BIGINT) AS n FROM ({_KNOWN}) k GROUP BY nl2sql_model"
+        f"SELECT '{m}' AS metric, tested_model, round(avg({m}), 4) AS mean, round(stddev_samp({m}), 4) AS std, CAST(count({m}) AS BIGINT) AS n FROM ({_KNOWN}) k GROUP BY tested_model"
         for m in ("accuracy", "avg_processing_time")
     ),
 )
@@ -81,8 +81,8 @@ def _(spark, sf):
 
 @query(
     "model_ranking",
-    f"""SELECT nl2sql_model, round(avg(accuracy), 4) AS accuracy, round(avg(avg_processing_time), 4) AS avg_processing_time, round(avg(batch_throughput), 4) AS batch_throughput
-        FROM ({_KNOWN}) k GROUP BY nl2sql_model ORDER BY avg(accuracy) DESC NULLS LAST, nl2sql_model LIMIT 3""",
+    f"""SELECT tested_model, round(avg(accuracy), 4) AS accuracy, round(avg(avg_processing_time), 4) AS avg_processing_time, round(avg(batch_throughput), 4) AS batch_throughput
+        FROM ({_KNOWN}) k GROUP BY tested_model ORDER BY avg(accuracy) DESC NULLS LAST, tested_model LIMIT 3""",
 )
 def _(spark, sf):
     return _rounded(reports.ranking(_runs(spark, sf), k=3), "accuracy", "avg_processing_time", "batch_throughput")
@@ -90,16 +90,16 @@ def _(spark, sf):
 
 @query(
     "accuracy_matrix",
-    f"""SELECT nl2sql_model, round(avg(accuracy) FILTER (test_dataset = 'F'), 4) AS "F", round(avg(accuracy) FILTER (test_dataset = 'O'), 4) AS "O",
-        round(avg(accuracy) FILTER (test_dataset = 'P'), 4) AS "P" FROM ({_KNOWN}) k GROUP BY nl2sql_model""",
+    f"""SELECT tested_model, round(avg(accuracy) FILTER (test_dataset = 'F'), 4) AS "F", round(avg(accuracy) FILTER (test_dataset = 'O'), 4) AS "O",
+        round(avg(accuracy) FILTER (test_dataset = 'P'), 4) AS "P" FROM ({_KNOWN}) k GROUP BY tested_model""",
 )
 def _(spark, sf):
     return _rounded(reports.accuracy_matrix(_runs(spark, sf), ["F", "O", "P"]), "F", "O", "P")
 
 
-@query("recent_runs", "SELECT run_id, timestamp, nl2sql_model FROM {runs} r ORDER BY timestamp DESC, run_id DESC LIMIT 5")
+@query("recent_runs", "SELECT run_id, timestamp, tested_model FROM {runs} r ORDER BY timestamp DESC, run_id DESC LIMIT 5")
 def _(spark, sf):
-    return reports.recent_runs(_runs(spark, sf), tie=["run_id"]).select("run_id", "timestamp", "nl2sql_model")
+    return reports.recent_runs(_runs(spark, sf), tie=["run_id"]).select("run_id", "timestamp", "tested_model")
 
 
 def _tests(spark, sf):
@@ -164,17 +164,17 @@ def _(spark, sf):
 
 def _line_rows(spark, sf):
     runs = _runs(spark, sf)
-    return runs.select("run_id", "nl2sql_model", "test_dataset", (F.col("run_id") % 1000 / 8).alias("score"))
+    return runs.select("run_id", "tested_model", "test_dataset", (F.col("run_id") % 1000 / 8).alias("score"))
 
 
-_WIKI = """SELECT CAST(n + 3 AS BIGINT) AS line_no, '| ' || run_id || ' | ' || coalesce(nl2sql_model, 'nan') || ' | ' || test_dataset || ' | ' ||
+_WIKI = """SELECT CAST(n + 3 AS BIGINT) AS line_no, '| ' || run_id || ' | ' || coalesce(tested_model, 'nan') || ' | ' || test_dataset || ' | ' ||
     printf('%.2f', score) || ' |' AS line FROM (SELECT *, (run_id % 1000) / 8 AS score, row_number() OVER (ORDER BY run_id) AS n FROM {runs} r) x"""
 
 
 @query(
     "wiki_lines",
     f"""{_WIKI} UNION ALL SELECT 1, 'h1. Run statistics' UNION ALL SELECT 2, '' UNION ALL
-        SELECT 3, '|_. run_id |_. nl2sql_model |_. test_dataset |_. score |'""",
+        SELECT 3, '|_. run_id |_. tested_model |_. test_dataset |_. score |'""",
 )
 def _(spark, sf):
     return reports.wiki_lines(_line_rows(spark, sf), ["run_id"])
@@ -182,9 +182,9 @@ def _(spark, sf):
 
 @query(
     "markdown_lines",
-    """SELECT CAST(n + 4 AS BIGINT) AS line_no, '| ' || run_id || ' | ' || coalesce(nl2sql_model, '') || ' | ' || test_dataset || ' |' AS line
+    """SELECT CAST(n + 4 AS BIGINT) AS line_no, '| ' || run_id || ' | ' || coalesce(tested_model, '') || ' | ' || test_dataset || ' |' AS line
        FROM (SELECT *, row_number() OVER (ORDER BY run_id) AS n FROM {runs} r) x
-       UNION ALL SELECT 1, '# Run statistics' UNION ALL SELECT 2, '' UNION ALL SELECT 3, '| run_id | nl2sql_model | test_dataset |'
+       UNION ALL SELECT 1, '# Run statistics' UNION ALL SELECT 2, '' UNION ALL SELECT 3, '| run_id | tested_model | test_dataset |'
        UNION ALL SELECT 4, '|---|---|---|'""",
 )
 def _(spark, sf):
@@ -196,9 +196,9 @@ def _(spark, sf):
     """SELECT run_id, unnest(['Basic Information', 'Basic Information', 'Basic Information', 'Basic Information', 'Basic Information',
          'Performance Metrics', 'Performance Metrics', 'Time Metrics', 'Time Metrics']) AS section,
        unnest([1, 2, 3, 4, 5, 6, 7, 8, 9])::INTEGER AS position,
-       unnest(['Execution Time', 'NL2SQL Model', 'Evaluator Model', 'Test Dataset', 'Test Size', 'Success Count', 'Accuracy',
+       unnest(['Execution Time', 'Model', 'Evaluator Model', 'Test Dataset', 'Test Size', 'Success Count', 'Accuracy',
          'Avg Processing Time', 'Batch Throughput']) AS metric,
-       unnest([strftime(timestamp, '%Y-%m-%d %H:%M:%S'), coalesce(nl2sql_model, 'N/A'), evaluator_model, test_dataset, '50',
+       unnest([strftime(timestamp, '%Y-%m-%d %H:%M:%S'), coalesce(tested_model, 'N/A'), evaluator_model, test_dataset, '50',
          hits || '/50 (' || (hits * 2) || '.0%)', hits || '.00%', avg_processing_time::INTEGER || '.000 sec/query',
          batch_throughput::INTEGER || '.00 queries/sec']) AS value
        FROM (SELECT *, run_id % 50 AS hits FROM {runs} r) x""",
@@ -230,20 +230,20 @@ def _(spark, sf):
 
 @query(
     "written_report",
-    f"""SELECT 'metrics' AS part, metric || ' ' || nl2sql_model AS name, CAST(n AS BIGINT) AS n FROM (
-          SELECT 'accuracy' AS metric, nl2sql_model, count(accuracy) AS n FROM ({_KNOWN}) k GROUP BY nl2sql_model
-          UNION ALL SELECT 'avg_processing_time', nl2sql_model, count(avg_processing_time) FROM ({_KNOWN}) k GROUP BY nl2sql_model) m
-        UNION ALL SELECT 'model_summary', nl2sql_model, CAST(sum(test_size) AS BIGINT) FROM ({_KNOWN}) k GROUP BY nl2sql_model
+    f"""SELECT 'metrics' AS part, metric || ' ' || tested_model AS name, CAST(n AS BIGINT) AS n FROM (
+          SELECT 'accuracy' AS metric, tested_model, count(accuracy) AS n FROM ({_KNOWN}) k GROUP BY tested_model
+          UNION ALL SELECT 'avg_processing_time', tested_model, count(avg_processing_time) FROM ({_KNOWN}) k GROUP BY tested_model) m
+        UNION ALL SELECT 'model_summary', tested_model, CAST(sum(test_size) AS BIGINT) FROM ({_KNOWN}) k GROUP BY tested_model
         UNION ALL SELECT 'md', '', count(*) + 4 FROM orders UNION ALL SELECT 'wiki', '', count(*) + 3 FROM orders""",
 )
 def _(spark, sf):
     path = stage_path(spark, "report")
     write_report(_runs(spark, sf), path, ["run_id"])
     metrics = spark.read.parquet(f"{path}/metrics").select(
-        F.lit("metrics").alias("part"), F.concat_ws(" ", "metric", "nl2sql_model").alias("name"), "n"
+        F.lit("metrics").alias("part"), F.concat_ws(" ", "metric", "tested_model").alias("name"), "n"
     )
     summary = spark.read.parquet(f"{path}/model_summary").select(
-        F.lit("model_summary").alias("part"), F.col("nl2sql_model").alias("name"), F.col("test_size").alias("n")
+        F.lit("model_summary").alias("part"), F.col("tested_model").alias("name"), F.col("test_size").alias("n")
     )
     out = metrics.unionByName(summary)
     for kind in ("md", "wiki"):

@@ -155,7 +155,7 @@ def _(spark, sf):
     return named.withColumn("size", F.col("size").cast("bigint"))
 
 
-def _requests(spark, sf, mode="nl2sql"):
+def _requests(spark, sf, mode="generate"):
     prompted = prompts.generation_prompts(_qa(spark, sf), _model_of())
     return prompts.build_requests(prompted, _model_of(), mode)
 
@@ -206,7 +206,7 @@ def _(spark, sf):
         F.get_json_object(F.to_json("request"), "$.response_format").alias("mini_format"),
     )
     out = mini
-    for name, mode, only in (("verdict", "verdict", True), ("translate", "translate", True), ("reasoning", "nl2sql", False), ("text", "text", True)):
+    for name, mode, only in (("verdict", "verdict", True), ("translate", "translate", True), ("reasoning", "generate", False), ("text", "text", True)):
         out = out.join(required(mode, only).withColumnRenamed("r", name), "task_id")
     return out
 
@@ -228,7 +228,7 @@ def _(spark, sf):
 
 @query(
     "token_cost_shapes",
-    """SELECT task_id, CASE task_id % 3 WHEN 0 THEN 4 + 3 + 2 + 2 * 7 WHEN 1 THEN len(string_split(question, ' ')) + len(string_split(answer, ' ')) + 2 * 2 * 30
+    """SELECT task_id, CASE task_id % 3 WHEN 0 THEN 4 - 1 + 3 + 2 + 2 * 7 WHEN 1 THEN len(string_split(question, ' ')) + len(string_split(answer, ' ')) + 2 * 2 * 30
        ELSE len(string_split(question, ' ')) END AS tokens FROM {qa} q""",
 )
 def _(spark, sf):
@@ -242,8 +242,7 @@ def _(spark, sf):
     counter = python_tokens(lambda text: text.split(" "))
     rows = _qa(spark, sf).withColumn("request", request)
     costed = prompts.with_token_cost(rows, endpoint, counter=counter)
-    # A name takes the place of the role, which saves one token.
-    return costed.select("task_id", F.when(F.col("task_id") % 3 == 0, F.col("tokens") + 1).otherwise(F.col("tokens")).alias("tokens"))
+    return costed.select("task_id", "tokens")
 
 
 @query("role_mapping", "SELECT task_id, context, question, answer FROM {qa} q")
@@ -259,7 +258,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     roles = ColumnRoles.for_dataset("org/other:x", compat=True, input="question")
-    names = [output_column("nl2sql"), output_column("text"), output_column("translate"), output_column("translate", runner="batch")]
+    names = [output_column("generate"), output_column("text"), output_column("translate"), output_column("translate", runner="batch")]
     return apply_roles(_qa(spark, sf), roles, keep=("task_id",)).withColumn("outputs", F.lit(" ".join(names)))
 
 
@@ -275,7 +274,7 @@ _CASES = f"""SELECT s.task_id, d.question, d.context, d.answer AS gt_sql, d.gen_
 def _dataset(spark, sf):
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("task_id"),
-        F.col("source").alias("nl2sql_model"),
+        F.col("source").alias("tested_model"),
         F.col("text").alias("question"),
         F.col("lang").alias("context"),
         F.col("source").alias("answer"),
@@ -285,11 +284,11 @@ def _dataset(spark, sf):
 
 def _verdicts(spark, sf):
     read = outcomes.with_verdict(view(spark, sf, "verdicts"))
-    return joins.tidy_verdicts(read.select(F.col("task_id").cast("string").alias("task_id"), F.col("model").alias("nl2sql_model"), "resolve_yn"))
+    return joins.tidy_verdicts(read.select(F.col("task_id").cast("string").alias("task_id"), F.col("model").alias("tested_model"), "resolve_yn"))
 
 
 def _cases(spark, sf, verdict):
-    joined = joins.join_verdicts(_verdicts(spark, sf), _dataset(spark, sf).drop("nl2sql_model"))
+    joined = joins.join_verdicts(_verdicts(spark, sf), _dataset(spark, sf).drop("tested_model"))
     return shape.cases(joined.select("task_id", "question", "context", "gt_sql", "gen_sql", "resolve_yn"), verdict)
 
 
@@ -305,16 +304,16 @@ def _(spark, sf):
 
 @query(
     "accuracy_by_model",
-    f"""SELECT d.source AS nl2sql_model, CAST(count(*) AS BIGINT) AS test_size, CAST(count(*) FILTER (s.resolve_yn = 'yes') AS BIGINT) AS successful_count,
+    f"""SELECT d.source AS tested_model, CAST(count(*) AS BIGINT) AS test_size, CAST(count(*) FILTER (s.resolve_yn = 'yes') AS BIGINT) AS successful_count,
         round(count(*) FILTER (s.resolve_yn = 'yes') * 100.0::DOUBLE / count(*), 4) AS accuracy
         FROM documents d LEFT JOIN ({_STRICT}) s ON s.task_id = d.doc_id GROUP BY d.source""",
 )
 def accuracy_by_model(spark, sf):
     """Verdict answers, read, normalised, joined to their rows and counted per model."""
-    dataset = _dataset(spark, sf).select("task_id", "nl2sql_model", "answer")
+    dataset = _dataset(spark, sf).select("task_id", "tested_model", "answer")
     joined = joins.join_verdicts(_verdicts(spark, sf), dataset)
     stats = outcomes.verification_stats(dataset, joined)
-    return stats.select("nl2sql_model", "test_size", "successful_count", F.round("accuracy", 4).alias("accuracy"))
+    return stats.select("tested_model", "test_size", "successful_count", F.round("accuracy", 4).alias("accuracy"))
 
 
 _HAS_RESULT = "length(answer) > length(question)"
@@ -367,8 +366,7 @@ def _(spark, sf):
 @query("run_matrix", "SELECT DISTINCT d.source AS base_model, l.lang AS verifying_model FROM documents d, (SELECT DISTINCT lang FROM documents) l")
 def _(spark, sf):
     documents = table(spark, sf, "documents")
-    verifiers = joins.listed_names(documents, "lang")
-    return joins.run_matrix(documents.select("source").distinct(), verifiers, "source")
+    return joins.run_matrix(documents.select("source").distinct(), documents.select("lang"), "source", "lang")
 
 
 @query(
@@ -460,7 +458,7 @@ def _(spark, sf):
     return outcomes.tokens_per_minute(view(spark, sf, "attempts"), max_requests=1, max_tokens=100)
 
 
-_PROGRESS = """SELECT model AS run, task_id, end_ts, ok, row_number() OVER (PARTITION BY model, task_id ORDER BY end_ts, attempt) AS n FROM {attempts} a"""
+_PROGRESS = """SELECT model AS run, task_id, end_ts, ok, row_number() OVER (PARTITION BY model, task_id ORDER BY end_ts, attempt) AS n FROM {attempts} a WHERE ok OR attempt >= 3"""
 
 
 @query(
@@ -473,7 +471,7 @@ _PROGRESS = """SELECT model AS run, task_id, end_ts, ok, row_number() OVER (PART
 )
 def _(spark, sf):
     attempts = view(spark, sf, "attempts").withColumnRenamed("model", "run")
-    progress = timeline.running_progress(timeline.first_outcomes(attempts))
+    progress = timeline.running_progress(timeline.first_outcomes(outcomes.terminal_attempts(attempts, 3)))
     return progress.select("run", "task_id", "completed", "successful", "failed", "elapsed_s", F.round("rate", 6).alias("rate"))
 
 
@@ -482,14 +480,14 @@ _SPAN = duck.seconds("min(ts)", "max(ts)")
 
 @query(
     "run_statistics",
-    f"""SELECT nl2sql_model, test_dataset, n AS test_size, s AS successful_count, {duck.percent('s', 'n')} AS accuracy, round(sec / n, 6) AS avg_processing_time,
+    f"""SELECT tested_model, test_dataset, n AS test_size, s AS successful_count, {duck.percent('s', 'n')} AS accuracy, round(sec / n, 6) AS avg_processing_time,
         round({duck.ratio('n', 'sec')}, 6) AS batch_throughput, {duck.percent('s', 'n')} AS success_rate, {duck.percent('n - s', 'n')} AS error_rate,
         'ok: ' || s || ', failed: ' || (n - s) AS comments, 'translation' AS phase, 'Unknown' AS model_size
-        FROM (SELECT model AS nl2sql_model, 'd' || (event_id % 3) AS test_dataset, count(*)::BIGINT AS n, (count(*) FILTER (ok))::BIGINT AS s, {_SPAN} AS sec
+        FROM (SELECT model AS tested_model, 'd' || (event_id % 3) AS test_dataset, count(*)::BIGINT AS n, (count(*) FILTER (ok))::BIGINT AS s, {_SPAN} AS sec
               FROM {{attempts}} a GROUP BY ALL) x""",
 )
 def _(spark, sf):
-    rows = view(spark, sf, "attempts").withColumnsRenamed({"model": "nl2sql_model"})
+    rows = view(spark, sf, "attempts").withColumnsRenamed({"model": "tested_model"})
     rows = rows.withColumn("test_dataset", F.concat(F.lit("d"), F.col("event_id") % 3))
     stats = outcomes.generation_stats(rows)
     rounded = {c: F.round(c, 6) for c in ("avg_processing_time", "batch_throughput")}
@@ -516,7 +514,7 @@ def _(spark, sf):
 @query(
     "throughput",
     f"""SELECT model, n AS requests, sec AS elapsed_s, round(sec / n, 6) AS avg_s_per_request, round(n / sec, 9) AS requests_per_s
-        FROM (SELECT model, count(*)::BIGINT AS n, {_SPAN} AS sec FROM {{attempts}} a GROUP BY model) x""",
+        FROM (SELECT model, count(DISTINCT task_id)::BIGINT AS n, {_SPAN} AS sec FROM {{attempts}} a GROUP BY model) x""",
 )
 def _(spark, sf):
     rates = outcomes.throughput(view(spark, sf, "attempts"))
@@ -594,7 +592,7 @@ _JUDGED = f"SELECT task_id, n, n % 7 <> 0 AND n % 11 <> 0 AS ok FROM (SELECT tas
 
 @query(
     "verification_run",
-    f"""SELECT 'qwq' AS nl2sql_model, 'judge' AS evaluator_model, 'd' AS test_dataset, CAST(count(*) AS BIGINT) AS test_size,
+    f"""SELECT 'qwq' AS tested_model, 'judge' AS evaluator_model, 'd' AS test_dataset, CAST(count(*) AS BIGINT) AS test_size,
         CAST(count(*) FILTER (ok AND n % 2 = 1) AS BIGINT) AS successful_count,
         round(count(*) FILTER (ok AND n % 2 = 1) * 100.0::DOUBLE / count(*), 4) AS accuracy,
         'correct: ' || count(*) FILTER (ok AND n % 2 = 1) || '/' || count(*) AS comments, 'verification' AS phase FROM ({_JUDGED}) j""",
@@ -657,7 +655,7 @@ _MATRIX_JUDGED = f"""SELECT model, judge, k, k % 7 <> 0 AND k % 11 <> 0 AND k %
 
 @query(
     "matrix_run",
-    f"""SELECT model AS nl2sql_model, judge AS evaluator_model, CAST(count(*) AS BIGINT) AS test_size, CAST(count(*) FILTER (correct) AS BIGINT) AS successful_count,
+    f"""SELECT model AS tested_model, judge AS evaluator_model, CAST(count(*) AS BIGINT) AS test_size, CAST(count(*) FILTER (correct) AS BIGINT) AS successful_count,
         round(count(*) FILTER (correct) * 100.0::DOUBLE / count(*), 4) AS accuracy FROM ({_MATRIX_JUDGED}) j GROUP BY model, judge""",
 )
 def _(spark, sf):
@@ -665,5 +663,5 @@ def _(spark, sf):
     generated = runs.generate(_qa(spark, sf), ["qwq", "sqlcoder:15b"], stub_client, options=_OPTIONS)
     stats = runs.verify(generated.rows, ["judge-a", "judge-b"], stub_client, options=_OPTIONS).stats
     return stats.select(
-        "nl2sql_model", "evaluator_model", "test_size", "successful_count", F.round("accuracy", 4).alias("accuracy")
+        "tested_model", "evaluator_model", "test_size", "successful_count", F.round("accuracy", 4).alias("accuracy")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalflow.sources.stats import STATS_SCHEMA
+from evalflow.operators.outcomes import terminal_attempts
 from evalflow.staging import stage_path
 from evalflow.streaming import attempts as attempt_stream
 from evalflow.streaming import logs
@@ -32,17 +32,19 @@ _CLOSED = "minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL
 @query(
     "stream_progress",
     f"""SELECT * FROM (SELECT date_trunc('minute', ts) AS minute, model, CAST(count(*) AS BIGINT) AS completed, CAST(count(*) FILTER (ok) AS BIGINT) AS successful,
-        CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failed FROM {{attempts}} a GROUP BY ALL) x WHERE {_CLOSED}""",
+        CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failed FROM {{attempts}} a WHERE ok OR attempt >= 3 GROUP BY ALL) x WHERE {_CLOSED}""",
 )
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    return logs.run_to_table(logs.progress_per_minute(_attempt_stream(spark, sf)), f"{out}/rows", f"{out}/state")
+    ended = terminal_attempts(_attempt_stream(spark, sf), 3)
+    return logs.run_to_table(logs.progress_per_minute(ended), f"{out}/rows", f"{out}/state")
 
 
-@query("stream_first_outcomes", "SELECT DISTINCT task_id FROM {attempts} a")
+@query("stream_first_outcomes", "SELECT DISTINCT task_id FROM {attempts} a WHERE ok OR attempt >= 3")
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    deduped = logs.first_outcome_stream(_attempt_stream(spark, sf).select("task_id", "end_ts"), "1 day")
+    ended = terminal_attempts(_attempt_stream(spark, sf), 3)
+    deduped = logs.first_outcome_stream(ended.select("task_id", "end_ts"), "1 day")
     return logs.run_to_table(deduped, f"{out}/rows", f"{out}/state").select("task_id")
 
 
@@ -73,12 +75,12 @@ def _(spark, sf):
 
 @query(
     "stream_stats",
-    f"""SELECT nl2sql_model, test_dataset, n AS test_size, s AS successful_count, {duck.percent('s', 'n')} AS accuracy, 'translation' AS phase
-        FROM (SELECT model AS nl2sql_model, 'events' AS test_dataset, count(*)::BIGINT AS n, (count(*) FILTER (ok))::BIGINT AS s FROM {{attempts}} a GROUP BY model) x""",
+    f"""SELECT tested_model, test_dataset, n AS test_size, s AS successful_count, {duck.percent('s', 'n')} AS accuracy, 'translation' AS phase
+        FROM (SELECT model AS tested_model, 'events' AS test_dataset, count(*)::BIGINT AS n, (count(*) FILTER (ok))::BIGINT AS s FROM {{attempts}} a GROUP BY model) x""",
 )
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    rows = _attempt_stream(spark, sf).withColumnsRenamed({"model": "nl2sql_model"}).withColumn("test_dataset", F.lit("events"))
+    rows = _attempt_stream(spark, sf).withColumnsRenamed({"model": "tested_model"}).withColumn("test_dataset", F.lit("events"))
     logs.append_stats_stream(rows, f"{out}/rows", f"{out}/state").awaitTermination()
-    stats = spark.read.schema(f"{STATS_SCHEMA}, batch_id bigint").parquet(f"{out}/rows")
-    return stats.select("nl2sql_model", "test_dataset", "test_size", "successful_count", "accuracy", "phase")
+    stats = logs.streamed_stats(spark, f"{out}/rows")
+    return stats.select("tested_model", "test_dataset", "test_size", "successful_count", "accuracy", "phase")

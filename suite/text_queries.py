@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalflow.functions import responses as R
-from evalflow.functions.dialect import DIALECT_PATTERNS, dialect_hint, dialect_label, pattern_dialects
+from evalflow.functions.dialect import DIALECT_HINTS, DIALECT_PATTERNS, dialect_hint, dialect_label, pattern_dialects
 from evalflow.functions.latency import resource_sample, response_latency, text_latency
 from evalflow.functions.naming import artifact_key, endpoint_kind, model_size, provider_kind, safe_name
 from evalflow.functions.sql_text import extract_sql, extract_sql_without_json, generated_sql
@@ -121,7 +121,7 @@ def _provider_responses(spark, sf):
     chat = F.struct(F.array(F.struct(F.struct(F.col("content").alias("content")).alias("message"))).alias("choices"))
     plain = F.struct(F.col("content").alias("response"))
     bare = F.struct(F.struct(F.col("content").alias("content")).alias("message"))
-    broken = F.concat(F.lit("HTTP 502 "), F.substr("content", F.lit(1), F.lit(5)))
+    broken = F.concat(F.lit("HTTP 502 "), F.col("content"))
     response = (
         F.when(F.col("task_id") % 4 == 0, F.to_json(chat))
         .when(F.col("task_id") % 4 == 1, F.to_json(plain))
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query(
     "processor_by_mode",
-    f"""SELECT task_id, CASE WHEN json_sql IS NOT NULL THEN json_sql WHEN found <> '' THEN found END AS nl2sql,
+    f"""SELECT task_id, CASE WHEN json_sql IS NOT NULL THEN json_sql WHEN found <> '' THEN found END AS generate,
         {duck.strict_verdict('body')} AS evaluation, {duck.strip('content')} AS translate
         FROM (SELECT task_id, content, {duck.body('content')} AS body, {duck.extract_sql('content')} AS found,
               {duck.json_text('content', 'gen_sql')} AS json_sql FROM {{responses}} v) w""",
@@ -149,7 +149,7 @@ def _(spark, sf):
 def _(spark, sf):
     content = F.col("content")
     return view(spark, sf, "responses").select(
-        "task_id", *[R.processor_for(mode)(content).alias(mode) for mode in ("nl2sql", "evaluation", "translate")]
+        "task_id", *[R.processor_for(mode)(content).alias(mode) for mode in ("generate", "evaluation", "translate")]
     )
 
 
@@ -330,8 +330,7 @@ _LABEL = "CASE WHEN len(dbms) > 2 THEN 'General DBMS' WHEN len(dbms) > 0 THEN db
 @query(
     "dialect_hint",
     f"""SELECT id, label, CASE WHEN len(dbms) = 1 THEN NULL ELSE label END AS compat_label,
-        CASE label WHEN 'PostgreSQL' THEN 'Notes for PostgreSQL:' WHEN 'MySQL' THEN 'Notes for MySQL:'
-          WHEN 'Oracle' THEN 'Notes for Oracle:' WHEN 'SQLite' THEN 'Notes for SQLite:' ELSE '' END AS hint
+        CASE lower(label) {' '.join(f"WHEN {duck.lit(k)} THEN {duck.lit(v)}" for k, v in DIALECT_HINTS.items())} ELSE '' END AS hint
         FROM (SELECT id, dbms, {_LABEL} AS label FROM ({_TAGGED}) t) u""",
 )
 def _(spark, sf):
@@ -341,7 +340,7 @@ def _(spark, sf):
         "id",
         label.alias("label"),
         dialect_label(F.col("dbms"), compat=True).alias("compat_label"),
-        F.regexp_extract(dialect_hint(F.upper(label)), "(Notes for [^\n]*)", 1).alias("hint"),
+        dialect_hint(F.upper(label)).alias("hint"),
     )
 
 
@@ -454,9 +453,11 @@ def _(spark, sf):
 
 @query(
     "endpoint_kind",
-    r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '^https://[^/]+/openai/deployments/[^/]+/(.+?)(\?|$)', 1), ''),
-        nullif(regexp_extract(url, '^https://[^/]+/v\d+/(.+)$', 1), ''),
-        nullif(regexp_extract(url, '^http://[^/]+:\d+/api/(.+)$', 1), '')) AS endpoint FROM {urls} u""",
+    """SELECT page_id, nullif(CASE
+          WHEN proto = 'https' AND seg[2] = 'openai' AND seg[3] = 'deployments' THEN array_to_string(seg[5:], '/')
+          WHEN proto = 'https' AND length(seg[2]) > 1 AND seg[2][1] = 'v' AND try_cast(seg[2][2:] AS INTEGER) IS NOT NULL THEN array_to_string(seg[3:], '/')
+          WHEN proto = 'http' AND contains(seg[1], ':') AND seg[2] = 'api' THEN array_to_string(seg[3:], '/') END, '') AS endpoint
+        FROM (SELECT page_id, string_split(url, '://')[1] AS proto, string_split(string_split(string_split(url, '://')[2], '?')[1], '/') AS seg FROM {urls} u) x""",
 )
 def _(spark, sf):
     return view(spark, sf, "urls").select("page_id", endpoint_kind(F.col("url")).alias("endpoint"))

@@ -79,7 +79,7 @@ VIEWS: dict[str, str] = {
     # Run statistics.
     "runs": """
         SELECT o_orderkey AS run_id, o_orderdate AS timestamp,
-               CASE WHEN o_orderkey % 97 <> 0 THEN o_orderpriority END AS nl2sql_model,
+               CASE WHEN o_orderkey % 97 <> 0 THEN o_orderpriority END AS tested_model,
                'judge' || (o_custkey % 4) AS evaluator_model, o_orderstatus AS test_dataset,
                o_custkey AS test_size, o_custkey % 50 AS successful_count,
                CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice % 100 END AS accuracy,

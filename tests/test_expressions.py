@@ -144,7 +144,7 @@ def test_translation(evaluate):
 
 def test_processors():
     assert responses.processor_for("evaluation") is verdict.strict_verdict
-    assert responses.processor_for("anything") is responses.processor_for("nl2sql")
+    assert responses.processor_for("anything") is responses.processor_for("generate")
 
 
 def test_response_latency(evaluate):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import Observation
@@ -121,7 +122,7 @@ def test_durations_ignore_the_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        df = spark.sql("SELECT 'm' AS model, timestamp_ntz'2024-03-10 00:00:00' AS start_ts, timestamp_ntz'2024-03-10 08:00:00' AS end_ts")
+        df = spark.sql("SELECT 1 AS task_id, 'm' AS model, timestamp_ntz'2024-03-10 00:00:00' AS start_ts, timestamp_ntz'2024-03-10 08:00:00' AS end_ts")
         assert outcomes.throughput(df).first()["elapsed_s"] == 8 * 3600
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
@@ -136,6 +137,9 @@ def test_first_outcome_counts_once(spark):
         (1, 1, 0, 1, 0.0),
         (2, 2, 1, 1, 2.0),
     ]
+    # A failure that is tried again is no outcome.
+    ended = timeline.running_progress(timeline.first_outcomes(outcomes.terminal_attempts(df, 3))).orderBy("completed").collect()
+    assert [(r["task_id"], r["successful"], r["failed"]) for r in ended] == [(2, 1, 0), (1, 2, 0)]
 
 
 # --- prompts and requests ----------------------------------------------------------------------
@@ -251,7 +255,52 @@ def test_invoke_retries(spark, flaky_client):
     last = {r["task_id"]: (r["ok"], r["response"]) for r in invoke.latest_outcome(attempts).collect()}
     assert last == {1: (True, "NOW"), 2: (True, "LATER"), 3: (False, None), 4: (False, None)}
     status = {r["task_id"]: r["status"] for r in outcomes.final_status(attempts, 4).collect()}
-    assert status == {1: "success", 2: "success", 3: "failed", 4: "retry"}
+    assert status == {1: "success", 2: "success", 3: "failed", 4: "failed"}
+    ended = {r["task_id"]: (r["attempt"], r["final"]) for r in attempts.where("last").collect()}
+    assert ended == {1: (1, False), 2: (3, False), 3: (4, False), 4: (1, True)}
+
+
+def test_hanging_calls_time_out(spark):
+    def factory():
+        def call(request, attempt):
+            if attempt == 1:
+                time.sleep(30)
+            return "done"
+
+        return call
+
+    df = spark.createDataFrame([("a" * 64, "m", "x")], "task_id string, model string, request string")
+    attempts = invoke.invoke(df, factory, max_attempts=2, backoff_s=0.0, timeout_s=0.5, partitions=1).orderBy("attempt").collect()
+    assert [(r["task_id"], r["ok"], r["last"]) for r in attempts] == [("a" * 64, False, False), ("a" * 64, True, True)]
+    assert attempts[0]["error"].startswith("TimeoutError")
+
+
+def test_a_broken_run_is_resumed_without_repeated_calls(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+    broken = tmp_path / "broken"
+
+    def factory():
+        def call(request, attempt):
+            if request == "r7" and not broken.exists():
+                broken.touch()
+                raise SystemExit("the worker is lost")
+            (log / f"{request}-{time.time_ns()}").touch()
+            return request
+
+        return call
+
+    rows = [(i, "m", f"r{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "task_id bigint, model string, request string")
+    path = str(tmp_path / "attempts")
+    with pytest.raises(Exception, match="(?i)worker|exit|task"):
+        invoke.invoke(df, factory, backoff_s=0.0, timeout_s=None, partitions=1, concurrency=1, attempts_path=path, buckets=20)
+    before = len(list(log.iterdir()))
+    attempts = invoke.invoke(df, factory, backoff_s=0.0, timeout_s=None, partitions=1, attempts_path=path, buckets=4)
+    assert sorted(r["response"] for r in attempts.where("last").collect()) == sorted(r[2] for r in rows)
+    calls = [f.name.split("-")[0] for f in log.iterdir()]
+    # Only requests that shared the broken bucket were called again.
+    assert before > 0 and set(calls) == {r[2] for r in rows} and len(calls) <= 20 + 3
 
 
 def test_unreadable_answers_are_retried(spark, flaky_client):
@@ -282,8 +331,8 @@ def test_every_request_has_one_end(spark):
 
 
 def test_accuracy_is_per_dataset_row(spark):
-    dataset = spark.range(10).withColumn("nl2sql_model", F.lit("m"))
-    verdicts = spark.createDataFrame([("m", "yes")] * 6 + [("m", "no")] * 2, "nl2sql_model string, resolve_yn string")
+    dataset = spark.range(10).withColumn("tested_model", F.lit("m"))
+    verdicts = spark.createDataFrame([("m", "yes")] * 6 + [("m", "no")] * 2, "tested_model string, resolve_yn string")
     assert outcomes.verification_stats(dataset, verdicts).first()["accuracy"] == 60.0
 
 
@@ -294,9 +343,15 @@ def test_verdicts_without_id_join_nothing(spark):
     assert len(got) == 2 and got[0]["gt_sql"] == "a"
 
 
-def test_long_lists_are_refused(spark):
-    with pytest.raises(ValueError):
-        joins.listed_names(spark.range(2000).select(F.col("id").cast("string").alias("model")))
+def test_run_matrix_of_long_lists(spark):
+    names = spark.range(2000).select(F.col("id").cast("string").alias("model"))
+    assert joins.run_matrix(names.where("id < 3"), names).count() == 6000
+
+
+def test_admission_slots_are_exact(spark):
+    df = spark.createDataFrame([(0, 999333), (1, 0), (2, 0), (3, 1)], "task_id bigint, tokens bigint")
+    plan = timeline.plan_admission(df, max_requests=3000, max_tokens=1_000_000).orderBy("task_id").collect()
+    assert [r["slot"] for r in plan] == [0, 0, 0, 0]
 
 
 def test_final_status_of_unstarted_requests(spark):
@@ -316,11 +371,11 @@ def test_latency_means_of_missing_values(spark):
 
 
 def test_spread_of_one_run(spark):
-    df = spark.createDataFrame([("m", 1.0)], "nl2sql_model string, accuracy double")
+    df = spark.createDataFrame([("m", 1.0)], "tested_model string, accuracy double")
     row = reports.metric_spread(df).first()
     assert (row["mean"], row["std"], row["n"]) == (1.0, None, 1)
     with pytest.raises(ValueError):
-        reports.metric_spread(df.select("nl2sql_model"))
+        reports.metric_spread(df.select("tested_model"))
 
 
 def test_numbers_in_wiki_lines_round_like_python(spark):
@@ -332,9 +387,9 @@ def test_numbers_in_wiki_lines_round_like_python(spark):
 
 
 def test_missing_metrics_in_long_form(spark):
-    df = spark.createDataFrame([(1, "m")], "id int, nl2sql_model string")
+    df = spark.createDataFrame([(1, "m")], "id int, tested_model string")
     got = {r["metric"]: r["value"] for r in reports.run_metrics_long(df, ["id"]).collect()}
-    assert got["NL2SQL Model"] == "m" and got["Test Size"] == "N/A" and got["Accuracy"] == "0.00%"
+    assert got["Model"] == "m" and got["Test Size"] == "N/A" and got["Accuracy"] == "0.00%"
     assert "Evaluator Model" not in got and "Success Count" not in got
 
 

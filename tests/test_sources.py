@@ -15,7 +15,7 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, sql string")
     datasets.write_csv(df, str(tmp_path / "c"))
     back = datasets.read_csv(spark, str(tmp_path / "c"), "id int, sql string")
-    assert sorted(tuple(r) for r in back.collect()) == [(i, t or None) for i, t in rows]
+    assert sorted(tuple(r) for r in back.collect()) == rows
 
 
 def test_missing_dataset_is_an_error(spark, tmp_path):
@@ -82,8 +82,8 @@ def test_result_log(spark, tmp_path):
 
 def test_stats_log(spark, tmp_path):
     path = str(tmp_path / "stats")
-    one = spark.createDataFrame([("m", 50.0, "verification", 9)], "nl2sql_model string, accuracy double, phase string, memory_usage int")
-    two = spark.createDataFrame([("m", 1500.0, "translation")], "nl2sql_model string, avg_translation_time_ms double, phase string")
+    one = spark.createDataFrame([("m", 50.0, "verification", 9)], "tested_model string, accuracy double, phase string, memory_usage int")
+    two = spark.createDataFrame([("m", 1500.0, "translation")], "tested_model string, avg_translation_time_ms double, phase string")
     stats.append_stats(one, path)
     stats.append_stats(two, path)
     rows = {r["phase"]: r for r in stats.read_stats(spark, path).collect()}
@@ -158,7 +158,7 @@ def test_stream_progress_has_closed_minutes_only(attempt_files):
 
 def test_repeated_batch_leaves_one_copy(spark, attempt_files):
     stream, tmp = attempt_files
-    rows = stream.select(F.lit("m").alias("nl2sql_model"), F.lit("d").alias("test_dataset"), F.col("end_ts").alias("start_ts"), "end_ts", "ok")
+    rows = stream.select(F.lit("m").alias("tested_model"), F.lit("d").alias("test_dataset"), F.col("end_ts").alias("start_ts"), "end_ts", "ok")
     for checkpoint in ("s1", "s2"):
         stream_logs.append_stats_stream(rows, str(tmp / "stats"), str(tmp / checkpoint)).awaitTermination()
     got = spark.read.parquet(str(tmp / "stats")).collect()

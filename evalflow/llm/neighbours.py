@@ -113,22 +113,38 @@ class Tree:
             limit[rows] = np.maximum(limit[rows], best[rows, -1])
 
         at = {lo: i for i, (lo, _, _) in enumerate(self.nodes(len(self.ids)))}
+
+        def measured(rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+            self.visited += len(rows) * (hi - lo)
+            products = queries[rows] @ self.points[lo:hi].T
+            offer(rows, lo, hi, products)
+            return products
+
+        # First down to one leaf, always to the nearer side: the k-th best there limits the search from its start.
+        todo = [(0, len(self.ids), np.arange(len(queries)))]
+        while todo:
+            lo, hi, rows = todo.pop()
+            if lo not in at or hi - lo <= LEAF:
+                measured(rows, lo, hi)
+                continue
+            mid = lo + 1 + (hi - lo - 1) // 2
+            d = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * measured(rows, lo, lo + 1)[:, 0], 0.0))
+            inner = d <= self.ranges[at[lo], 1:3].mean()
+            todo += [(*side, rows[some]) for side, some in (((lo + 1, mid), inner), ((mid, hi), ~inner)) if some.any()]
+        best[:], place[:] = -np.inf, -1
+
         todo = [(0, len(self.ids), np.arange(len(queries)), np.zeros(len(queries)))]
         while todo:
             lo, hi, rows, bound = todo.pop()
             reach = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * (limit[rows] - _SLACK), 0.0))
-            keep = bound * relax <= reach + _SLACK
-            rows = rows[keep]
+            rows = rows[bound * relax <= reach + _SLACK]
             if not len(rows):
                 continue
             if lo not in at or hi - lo <= LEAF:
-                self.visited += len(rows) * (hi - lo)
-                offer(rows, lo, hi, queries[rows] @ self.points[lo:hi].T)
+                measured(rows, lo, hi)
                 continue
             mid = lo + 1 + (hi - lo - 1) // 2
-            product = queries[rows] @ self.points[lo]
-            self.visited += len(rows)
-            offer(rows, lo, lo + 1, product[:, None])
+            product = measured(rows, lo, lo + 1)[:, 0]
             d = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * product, 0.0))
             near, edge, far_edge, far = self.ranges[at[lo]]
             todo.append((mid, hi, rows, np.maximum(far_edge - d, d - far)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evalflow.llm import oracles
 from evalflow.llm.decontamination import op1_decontamination
 from evalflow.llm.jaccard import op8_jaccard_join
 from evalflow.llm.mixing import op6_mixing
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others are compared with brute force, the library or held-out data in tests/llm.
+ORACLES = {
+    "op1_decontamination": oracles.DECONTAMINATION,
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_jaccard_join": oracles.JACCARD_JOIN,
+}

@@ -5,10 +5,10 @@ Seconds are cut (not rounded) to 6 decimals and token rates to 2, by integer div
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalflow.functions.text import json_object, let
+from evalflow.functions.text import with_json_object
 
 
 def _int_div(a: Column, b: Column) -> Column:
@@ -30,47 +30,46 @@ def _token_rate(tokens: Column, total_micros: Column) -> Column:
     return F.when((tokens != 0) & (total_micros > 0), cents.cast("double") / F.lit(100.0))
 
 
-def response_latency(response_json: Column, measured_s: Column) -> Column:
-    """Struct of load, first-token and total seconds, tokens and token rate of one response.
+_LATENCY = ("load_s", "first_token_s", "total_s", "tokens", "tokens_per_s")
+
+
+def with_response_latency(df: DataFrame, response_json: Column, measured_s: Column) -> DataFrame:
+    """The rows with load, first-token and total seconds, tokens and token rate of their response.
 
     Server times are nanoseconds. The measured time stands in for the total when the server
-    gave none; an invalid or failed response keeps only the measured time.
+    gave none; an invalid or failed response keeps only the measured time. Each value that is needed more than
+    once is a projection of its own, which the optimizer does not merge into the next: the JSON is parsed once
+    and everything stays in generated code.
     """
     thousand = F.lit(1000).cast("bigint")
-
-    def read(response: Column) -> Column:
-        error = F.try_variant_get(response, "$.error", "string")
-
-        def nanos(name: str) -> Column:
-            return F.coalesce(F.try_variant_get(response, f"$.{name}", "bigint"), F.lit(0).cast("bigint"))
-
-        return F.struct(
-            (response.isNotNull() & (error.isNull() | error.isin("", "false"))).alias("usable"),
-            nanos("total_duration").alias("total"),
-            nanos("prompt_eval_duration").alias("load"),
-            nanos("eval_duration").alias("generation"),
-            nanos("eval_count").alias("tokens"),
-        )
-
-    def fields(r: Column) -> Column:
-        usable, tokens = r["usable"], r["tokens"]
-        timed = usable & (r["generation"] != 0) & (r["total"] != 0)
-        total_micros = F.when(timed, _int_div(r["total"], thousand)).otherwise(_to_micros(measured_s))
-
-        def rest(micros: Column) -> Column:
-            return F.struct(
-                F.when(usable & (r["load"] != 0), _micros_to_seconds(_int_div(r["load"], thousand))).alias("load_s"),
-                F.when(timed, _micros_to_seconds(_int_div(r["total"] - r["generation"], thousand))).alias(
-                    "first_token_s"
-                ),
-                _micros_to_seconds(micros).alias("total_s"),
-                F.when(usable, tokens).alias("tokens"),
-                F.when(usable, _token_rate(tokens, micros)).alias("tokens_per_s"),
-            )
-
-        return let(total_micros, rest)
-
-    return let(let(json_object(response_json), read), fields)
+    rows = with_json_object(df.withColumn("_measured", measured_s), response_json, "_json")
+
+    def nanos(name: str) -> Column:
+        return F.coalesce(F.try_variant_get("_json", f"$.{name}", "bigint"), F.lit(0).cast("bigint"))
+
+    error = F.try_variant_get("_json", "$.error", "string")
+    rows = rows.withColumns(
+        {
+            "_usable": F.col("_json").isNotNull() & (error.isNull() | error.isin("", "false")),
+            "_total": nanos("total_duration"),
+            "_load": nanos("prompt_eval_duration"),
+            "_generation": nanos("eval_duration"),
+            "_tokens": nanos("eval_count"),
+        }
+    )
+    usable, total, tokens = F.col("_usable"), F.col("_total"), F.col("_tokens")
+    rows = rows.withColumn("_timed", usable & (F.col("_generation") != 0) & (total != 0))
+    timed = F.col("_timed")
+    micros = F.when(timed, _int_div(total, thousand)).otherwise(_to_micros(F.col("_measured")))
+    rows = rows.withColumn("_micros", micros)
+    return rows.select(
+        *[c for c in df.columns if c not in _LATENCY],
+        F.when(usable & (F.col("_load") != 0), _micros_to_seconds(_int_div(F.col("_load"), thousand))).alias("load_s"),
+        F.when(timed, _micros_to_seconds(_int_div(total - F.col("_generation"), thousand))).alias("first_token_s"),
+        _micros_to_seconds(F.col("_micros")).alias("total_s"),
+        F.when(usable, tokens).alias("tokens"),
+        F.when(usable, _token_rate(tokens, F.col("_micros"))).alias("tokens_per_s"),
+    )
 
 
 def _millis(text: Column, *patterns: str) -> Column:

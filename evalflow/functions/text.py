@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters Python's str.strip() removes.
@@ -111,6 +111,16 @@ def json_object(text: Column) -> Column:
     return let(text, read)
 
 
+def with_json_object(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """The rows with `json_object` of the text as a column, in projections instead of bound values."""
+    rows = df.withColumn("_text", text)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit(f',"{_END_MARK}"]')))
+    rows = rows.withColumn("_items", F.try_variant_get(wrapped, "$", "array<variant>"))
+    mark = F.try_variant_get(F.get("_items", 1), "$", "string")
+    whole = F.ltrim(F.col("_text"), F.lit(" \t\r\n")).startswith("{") & (F.size("_items") == 2) & mark.eqNullSafe(F.lit(_END_MARK))
+    return rows.withColumn(name, F.when(whole, F.get("_items", 0))).drop("_text", "_items")
+
+
 def json_field(text: Column, name: str) -> Column:
     """A field of a text that is one JSON object, rendered as string; NULL when absent."""
     return F.try_variant_get(json_object(text), f"$.{name}", "string")

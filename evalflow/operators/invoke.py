@@ -179,8 +179,11 @@ def run_attempts(attempts: DataFrame) -> DataFrame:
 def latest_outcome(attempts: DataFrame, keys: tuple[str, ...] = ("task_id",), order: tuple[str, ...] = ("attempt",)) -> DataFrame:
     """One row per request: its last attempt.
 
-    ``max_by`` is combined before the shuffle, so a request logged very often costs one row per task.
+    Attempts of ``invoke`` mark it, which makes this a filter. Otherwise ``max_by`` is combined before the shuffle, so a
+    request logged very often costs one row per task.
     """
+    if "last" in attempts.columns:
+        return attempts.where("last")
     others = [c for c in attempts.columns if c not in keys]
     last = F.max_by(F.struct(*others), F.struct(*order))
     return attempts.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")

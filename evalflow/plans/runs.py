@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalflow.functions.latency import response_latency
+from evalflow.functions.latency import with_response_latency
 from evalflow.functions.responses import response_content, translation
 from evalflow.functions.sql_text import generated_sql
 from evalflow.functions.times import seconds_between
@@ -62,13 +62,13 @@ def _call(
 
 
 def _outcomes(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per request with its last answer text and the time span of all its attempts."""
-    ends = attempts.groupBy(*keys).agg(
-        F.max_by("response", "attempt").alias("_response"),
-        F.min("start_ts").alias("start_ts"),
-        F.max("end_ts").alias("end_ts"),
-    )
-    return ends.withColumn("content", response_content(F.col("_response"))).drop("_response")
+    """One row per request with its last answer text and the time span of all its attempts.
+
+    The last attempt is marked, so answers are filtered, not sorted; only times are aggregated.
+    """
+    spans = attempts.groupBy(*keys).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    answers = attempts.where("last").select(*keys, response_content(F.col("response")).alias("content"))
+    return answers.join(spans, list(keys))
 
 
 def _each(df: DataFrame, names: str | Sequence[str], column: str) -> DataFrame:
@@ -182,9 +182,10 @@ def benchmark(
         partitions=options.partitions,
     )
     last = latest_outcome(attempts.drop("model", "phase"))
-    timed = last.withColumn("_l", response_latency(F.col("response"), seconds_between(F.col("start_ts"), F.col("end_ts"))))
+    timed = with_response_latency(last, F.col("response"), seconds_between(F.col("start_ts"), F.col("end_ts")))
+    fields = ("load_s", "first_token_s", "total_s", "tokens", "tokens_per_s")
     missing = F.lit(None).cast("double")
-    rows = with_start_type(tests, force_cold=force_cold).join(timed.select("task_id", "_l.*"), "task_id", "left")
+    rows = with_start_type(tests, force_cold=force_cold).join(timed.select("task_id", *fields), "task_id", "left")
     return rows.select(
         "model",
         "test_no",

@@ -310,9 +310,8 @@ def _(spark, sf):
 )
 def accuracy_by_model(spark, sf):
     """Verdict answers, read, normalised, joined to their rows and counted per model."""
-    dataset = _dataset(spark, sf).select("task_id", "tested_model", "answer")
-    joined = joins.join_verdicts(_verdicts(spark, sf), dataset)
-    stats = outcomes.verification_stats(dataset, joined)
+    # The verdicts carry their model, so nothing has to be joined to count them.
+    stats = outcomes.verification_stats(_dataset(spark, sf).select("tested_model"), _verdicts(spark, sf))
     return stats.select("tested_model", "test_size", "successful_count", F.round("accuracy", 4).alias("accuracy"))
 
 

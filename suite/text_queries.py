@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalflow.functions import responses as R
 from evalflow.functions.dialect import DIALECT_HINTS, DIALECT_PATTERNS, dialect_hint, dialect_label, pattern_dialects
-from evalflow.functions.latency import resource_sample, response_latency, text_latency
+from evalflow.functions.latency import resource_sample, text_latency, with_response_latency
 from evalflow.functions.naming import artifact_key, endpoint_kind, model_size, provider_kind, safe_name
 from evalflow.functions.sql_text import extract_sql, extract_sql_without_json, generated_sql
 from evalflow.functions.text import strip
@@ -227,7 +227,7 @@ def _(spark, sf):
         .otherwise(F.to_json(body))
     )
     events = spark.read.parquet(f"{sf}/events.parquet")
-    return events.select("event_id", response_latency(text, value + 1).alias("l")).select("event_id", "l.*")
+    return with_response_latency(events, text, value + 1).select("event_id", "load_s", "first_token_s", "total_s", "tokens", "tokens_per_s")
 
 
 def _verbose_text():

@@ -147,7 +147,7 @@ def test_processors():
     assert responses.processor_for("anything") is responses.processor_for("generate")
 
 
-def test_response_latency(evaluate):
+def test_response_latency(spark):
     full = '{"total_duration": 2000000000, "eval_duration": 1500000000, "prompt_eval_duration": 100000000, "eval_count": 10}'
     cases = [
         (full, (0.1, 0.5, 2.0, 10, 5.0)),
@@ -156,7 +156,9 @@ def test_response_latency(evaluate):
         ('{"error": "x", "eval_count": 10}', (None, None, 3.0, None, None)),
         ("bad", (None, None, 3.0, None, None)),
     ]
-    check(evaluate, lambda c: latency.response_latency(c, F.lit(3.0)), cases)
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i int, text string")
+    rows = latency.with_response_latency(df, F.col("text"), F.lit(3.0)).orderBy("i").collect()
+    assert [tuple(r)[2:] for r in rows] == [want for _, want in cases]
 
 
 def test_text_latency(evaluate):

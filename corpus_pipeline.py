@@ -15,7 +15,7 @@ from evalflow.llm.jaccard import one_of_each
 from evalflow.llm.mixing import mixed_documents
 from evalflow.llm.sharding import shard
 from evalflow.llm.toxicity import without_toxic
-from evalflow.staging import stage
+from evalflow.staging import owned, stage
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        # What a stage wrote for itself goes with it; its result stays for the next one.
+        with owned(spark) as tables:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            tables.pop()
     return docs

@@ -3,9 +3,10 @@
 Rows are ordered by a 64-bit key whose upper 36 bits come from the text and whose lower 28 bits come from
 the document id: equal texts are neighbours. A splitter stays between groups of equal texts if it can come
 near enough to its target there, and otherwise cuts the group.
-Each round counts the exact bytes of the cells around every splitter that is not yet near enough and
-halves the cells 12 times over; a round moves at most (splitters x 4096) sums to the driver, whatever the
-number of rows. Rows cross the network once, to the piece of the key space that the splitters give them.
+Each round counts the exact bytes of the cells around every splitter that is not yet near enough, in finer cells
+than the round before; a round moves at most (splitters x 4096) sums to the driver, whatever the number of
+rows. Shards of many rows are cut into pieces, whose borders may be rough, so that no task numbers a whole shard.
+Rows cross the network once, to their piece.
 
 Defined results: rows with equal key, that is equal text and id, stay together. A NULL text has no bytes.
 A NULL id is an id like any other. An empty table gives an empty result. All columns are kept, whatever
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,10 +50,11 @@ def byte_size(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + ROW_BYTES).cast("bigint")
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list[int]:
+def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE, cells_each: int = 1 << _BITS) -> list[int]:
     """Boundaries b_1 <= ... <= b_(parts - 1) on `key` that leave equal sums of `size` between them.
 
-    ``keys`` has the columns key and size and is read once per round.
+    ``keys`` has the columns key and size and is read once per round; a round has about ``cells_each`` cells for
+    each boundary.
     """
     total = keys.agg(F.sum("size")).first()[0]
     if not total or parts < 2:
@@ -63,7 +66,10 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE) -> list
     open_in: dict[int, tuple[int | None, int]] = {j: (None, 0) for j in range(len(targets))}
     shift = 64
     while open_in:
-        finer = max(0, shift - _BITS)
+        parents = len({c for c, _ in open_in.values()})
+        finer = max(0, shift - min(_BITS, max(4, math.ceil(math.log2(cells_each * parts / parents)))))
+        if finer < _GROUP_BITS < shift:  # a round ends where groups of equal texts begin
+            finer = _GROUP_BITS
         rows = keys
         if shift < 64:
             cells = sorted({c for c, _ in open_in.values()})
@@ -116,11 +122,14 @@ def shard(
     size = byte_size() if size is None else size
     keys = stage(docs.select(key.alias("key"), size.alias("size")), "shard-keys")
     pieces = max(1, -(-keys.count() // (shards * piece_rows)))
-    bounds = splitters(keys, shards * pieces, tolerance)
+    of_shards = splitters(keys, shards, tolerance)
+    bounds = of_shards if pieces == 1 else sorted({*of_shards, *splitters(keys, shards * pieces, 0.5, 16)})
     k, piece, first = (fresh(docs, c) for c in ("key", "piece", "first"))
     # The exact rows of every piece, from the narrow table: one row per piece.
-    counts = keys.groupBy(_part_of(F.col("key"), bounds).alias("piece")).count()
-    starts = counts.withColumn("shard", (F.col("piece") / pieces).cast("int")).select(
+    counts = keys.groupBy(
+        _part_of(F.col("key"), bounds).alias("piece"), _part_of(F.col("key"), of_shards).alias("shard")
+    ).count()
+    starts = counts.select(
         F.col("piece").alias(f"{piece}_of"),
         (F.sum("count").over(W.partitionBy("shard").orderBy("piece")) - F.col("count")).alias(first),
     )
@@ -130,7 +139,7 @@ def shard(
     numbered = dealt.withColumn("slot", F.row_number().over(W.partitionBy(piece).orderBy(k, *ties)))
     return numbered.join(starts, F.col(piece) == F.col(f"{piece}_of"), "left").select(
         *docs.columns,
-        F.floor(F.col(piece) / pieces).cast("int").alias("shard"),
+        _part_of(F.col(k), of_shards).cast("int").alias("shard"),
         (F.col("slot") - 1 + F.coalesce(F.col(first), F.lit(0))).cast("bigint").alias("slot"),
     )
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,31 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{stage_dir(spark)}/evalflow/{label}-{uuid.uuid4().hex}"
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged inside are deleted at the end, but for those that are taken out of the yielded list of paths.
+
+    For runs whose result is written before the end; a result that still reads a staged table must outlive it.
+    """
+    paths: list[str] = []
+    _OWNERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _OWNERS.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written table."""
     spark = df.sparkSession
     path = stage_path(spark, label)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

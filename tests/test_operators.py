@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evalflow.functions.tokens import python_tokens
 from evalflow.operators import ids, invoke, joins, outcomes, prompts, reports, shape, timeline
 from evalflow.sources.datasets import ColumnRoles, DatasetSpec, apply_roles, output_column
-from evalflow.staging import stage, stage_dir
+from evalflow.staging import owned, stage, stage_dir
 
 
 @pytest.fixture(scope="module")
@@ -405,3 +405,15 @@ def test_stage_uses_the_folder_of_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or stage_dir(spark)
     df = stage(spark.range(5), "x")
     assert df.count() == 5 and folder.removeprefix("file:") in df.inputFiles()[0]
+
+
+def test_owned_tables_are_deleted_at_the_end(spark):
+    with owned(spark) as tables:
+        kept = stage(spark.range(5), "kept")
+        path = tables.pop()
+        stage(spark.range(7), "gone")
+        gone = tables[0]
+        assert spark.read.parquet(gone).count() == 7
+    assert kept.count() == 5 and spark.read.parquet(path).count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone)

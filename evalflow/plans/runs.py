@@ -136,15 +136,20 @@ def verify(
     roles: ColumnRoles | None = None,
     options: RunOptions | None = None,
     dataset_name: str = "",
+    done: DataFrame | None = None,
 ) -> RunResult:
     """Ask one or more evaluators about every generated query and compute the accuracy.
 
-    ``results`` are the rows of ``generate``. The verdicts are joined back to their rows by task and
+    ``results`` are the rows of ``generate``. ``done`` holds the verdicts of earlier runs (``task_id, tested_model,
+    evaluator_model``); those are not asked again and do not count in the result. The verdicts are joined back to their rows by task and
     model; the statistics have one row per model and evaluator.
     """
     roles, options = roles or ColumnRoles(), options or RunOptions()
     answers = results.withColumnRenamed("model", "tested_model")
     asked = _each(answers, evaluators, "model")
+    if done is not None:
+        earlier = done.select("task_id", "tested_model", F.col("evaluator_model").alias("model"))
+        asked = pending_rows(asked, earlier, ["task_id", "tested_model", "model"])
     attempts = _call(verdict_prompts(asked, roles), "verdict", client_factory, options, carry=["tested_model"])
     read = with_verdict(_outcomes(attempts, ["task_id", "tested_model", "model"]))
     verdicts = tidy_verdicts(read.select("task_id", "tested_model", F.col("model").alias("evaluator_model"), "resolve_yn"))

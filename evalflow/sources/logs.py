@@ -122,6 +122,22 @@ def read_result_log(
     return parse_result_lines(spark.read.text(path), response_column, compat)
 
 
+def write_result_log(requests: DataFrame, attempts: DataFrame, path: str, mode: str = "append") -> None:
+    """Write a line ``[request, response or error, {task_id}]`` for every request that has ended.
+
+    ``requests`` has ``task_id, model, request`` (JSON text or a struct), ``attempts`` are those of ``invoke``.
+    """
+    asked = requests.select("task_id", "model", "request")
+    if dict(asked.dtypes)["request"] != "string":
+        asked = asked.withColumn("request", F.to_json("request"))
+    last = attempts.where("last").select("task_id", "model", "response", "error")
+    answered = F.col("error").isNull() & F.try_parse_json("response").isNotNull()
+    problem = F.to_json(F.struct(F.coalesce("error", F.lit("response is no JSON")).alias("error")))
+    response = F.when(answered, F.col("response")).otherwise(problem)
+    rows = asked.join(last, ["task_id", "model"])
+    rows.select(result_line(F.col("request"), response, F.col("task_id")).alias("value")).write.mode(mode).text(path)
+
+
 def result_line(request: Column, response: Column, task_id: Column, metadata: Column | None = None) -> Column:
     """One result-log line from JSON texts; ``response`` may be an error object."""
     parts = [request, response] + ([metadata] if metadata is not None else [])

@@ -11,8 +11,8 @@ from evalflow.functions import templates as T
 from evalflow.functions.dialect import DIALECT_HINTS
 from evalflow.functions.tokens import python_tokens
 from evalflow.operators import ids, invoke, joins, outcomes, prompts, shape, timeline
-from evalflow.plans import runs
-from evalflow.sources import artifacts
+from evalflow.plans import flows, runs
+from evalflow.sources import artifacts, logs, stats
 from evalflow.sources.datasets import ColumnRoles, apply_roles, output_column
 from evalflow.staging import stage_path
 from suite import duck
@@ -602,6 +602,60 @@ def _(spark, sf):
     return result.stats.withColumn("accuracy", F.round("accuracy", 4))
 
 
+@query(
+    "verification_flow",
+    f"""SELECT 'yes' AS kind, CAST(count(*) FILTER (ok AND n % 2 = 1) AS BIGINT) AS n FROM ({_JUDGED}) j
+        UNION ALL SELECT 'no', CAST(count(*) FILTER (ok AND n % 2 = 0) AS BIGINT) FROM ({_JUDGED}) j
+        UNION ALL SELECT 'size', CAST(count(*) AS BIGINT) FROM ({_JUDGED}) j
+        UNION ALL SELECT 'correct', CAST(count(*) FILTER (ok AND n % 2 = 1) AS BIGINT) FROM ({_JUDGED}) j""",
+)
+def _(spark, sf):
+    results = _gen(_qa(spark, sf)).withColumn("model", F.lit("qwq"))
+    target = stage_path(spark, "verification")
+    # The second run takes up what the first one left.
+    flows.verification_flow(results.where("split = 'en'"), "judge", stub_client, target, options=_OPTIONS, dataset_name="first")
+    flows.verification_flow(results, "judge", stub_client, target, options=_OPTIONS, dataset_name="all")
+    cases = spark.read.parquet(f"{target}/cases").groupBy(F.col("resolve_yn").alias("kind")).agg(F.count("*").alias("n"))
+    logged = stats.read_stats(spark, f"{target}/stats").where("test_dataset = 'all'")
+    sums = logged.select(F.explode(F.create_map(F.lit("size"), "test_size", F.lit("correct"), "successful_count")).alias("kind", "n"))
+    return cases.unionByName(sums)
+
+
+@query(
+    "split_flow",
+    f"""SELECT task_id, split, CASE WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql, 3 AS copies
+        FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY task_id) AS r FROM ({_STUB}) s) t WHERE split <> 'fr' AND r <= 200""",
+)
+def _(spark, sf):
+    qa, target = _qa(spark, sf), stage_path(spark, "splits")
+    parts = {name: qa.where(F.col("split") == name) for name in ("de", "en", "es")}
+    # A split whose rows cannot be read fails, the others do not.
+    broken = qa.where("split = 'fr'").withColumn("question", F.raise_error(F.lit("unreadable")).cast("string"))
+    failed = flows.split_flow({**parts, "fr": broken}, "qwq", stub_client, target, 200, options=_OPTIONS)
+    published = spark.read.parquet(f"{target}/published").where(~F.col("split").isin(failed)).select("task_id", "split", "gen_sql")
+    out = published
+    for name in parts:
+        lines = spark.read.schema("task_id bigint, gen_sql string").json(f"{target}/{name}.jsonl")
+        schema = spark.read.parquet(f"{target}/rows/{name}").schema
+        cells = spark.read.schema(schema).options(header="true", multiLine="true", quote='"', escape='"', nullValue="\\N").csv(f"{target}/{name}.csv")
+        for df in (lines, cells):
+            out = out.unionByName(df.select("task_id", F.lit(name).alias("split"), "gen_sql"))
+    counted = out.groupBy("task_id", "split", "gen_sql").agg(F.count("*").cast("int").alias("copies"))
+    return counted
+
+
+@query(
+    "result_log_written",
+    f"SELECT CAST(task_id AS VARCHAR) AS task_id, NOT ok AS failed, CAST(3 AS INTEGER) AS n_elements FROM ({_STUB}) s",
+)
+def _(spark, sf):
+    requests = prompts.build_requests(prompts.generation_prompts(_qa(spark, sf), "qwq"), "qwq")
+    attempts = invoke.invoke(requests, stub_client, max_attempts=4, backoff_s=0.0)
+    path = stage_path(spark, "log")
+    logs.write_result_log(requests, attempts, path)
+    return logs.read_result_log(spark, path).where("bad_line IS NULL").select("task_id", "failed", "n_elements")
+
+
 @query(
     "translation_run",
     f"""SELECT task_id, split, CASE WHEN ok THEN 'Q' || n END AS e_question, CASE WHEN ok THEN 'SELECT ' || n END AS e_answer, CASE WHEN ok THEN 'ok' ELSE 'rejected' END AS parse_status

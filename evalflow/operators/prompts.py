@@ -146,10 +146,9 @@ def with_token_cost(
     name: str = "tokens",
 ) -> DataFrame:
     """Add the token estimate of requests given as JSON text or as the struct of ``build_requests``."""
-    source = F.col(request)
     if dict(df.dtypes)[request] != "string":
-        source = F.to_json(source)
-    parsed = F.try_parse_json(source)
+        return df.withColumn(name, _struct_cost(df, endpoint, request, counter))
+    parsed = F.try_parse_json(F.col(request))
 
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get("_req", f"$.{path}", kind)
@@ -168,3 +167,24 @@ def with_token_cost(
         counter=counter,
     )
     return df.withColumn("_req", parsed).withColumn(name, cost).drop("_req")
+
+
+def _struct_cost(df: DataFrame, endpoint: Column, request: str, counter: TokenCounter) -> Column:
+    """The estimate from the fields of a request struct, without rendering and parsing it."""
+    has = set(df.schema[request].dataType.names)
+
+    def field(name: str, kind: str) -> Column:
+        return F.col(f"{request}.{name}") if name in has else F.lit(None).cast(kind)
+
+    def message(m: Column) -> Column:
+        return F.struct(m["role"].alias("role"), m["content"].alias("content"), F.lit(None).cast("string").alias("name"))
+
+    return request_cost(
+        endpoint,
+        messages=F.transform(field("messages", "array<struct<role: string, content: string>>"), message),
+        prompts=F.array(field("prompt", "string")),
+        inputs=F.array(field("input", "string")),
+        max_tokens=field("max_tokens", "bigint"),
+        n=field("n", "bigint"),
+        counter=counter,
+    )

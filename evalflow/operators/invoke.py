@@ -108,6 +108,7 @@ def invoke(
     partitions: int | None = None,
     phase: str = "run",
     carry: Sequence[str] = (),
+    spread: Sequence[str] = ("task_id", "model"),
     attempts_path: str | None = None,
     buckets: int = 1,
 ) -> DataFrame:
@@ -115,8 +116,9 @@ def invoke(
 
     A request is tried until it succeeds, fails for good, or used ``max_attempts``. A call without answer after
     ``timeout_s`` and an answer that ``accept`` turns down are failures that may be repeated. Columns in ``carry``
-    are repeated on every attempt; ids keep their type. Requests are spread by task id and model over tasks of about
-    TASK_REQUESTS requests, or ``partitions`` tasks, with ``concurrency`` calls at once in each.
+    are repeated on every attempt; ids keep their type. Requests are spread by ``spread`` over tasks of about
+    TASK_REQUESTS requests, or ``partitions`` tasks, with ``concurrency`` calls at once in each, and called in the order
+    of their ids inside a task.
 
     The attempts are written and read back, so no later action repeats a call. With ``attempts_path`` they are written
     there in ``buckets`` parts, one after the other, and requests that have ended in an earlier run are not
@@ -149,7 +151,7 @@ def invoke(
     def called(part: DataFrame) -> DataFrame:
         # A fixed number of tasks: adaptive execution would merge small requests into a few slow tasks.
         tasks = partitions or max(spark.sparkContext.defaultParallelism, -(-part.count() // TASK_REQUESTS))
-        return part.repartition(tasks, "task_id", "model").mapInPandas(run, schema)
+        return part.repartition(tasks, *spread).sortWithinPartitions("task_id").mapInPandas(run, schema)
 
     if attempts_path is None:
         return stage(called(source), "attempts")

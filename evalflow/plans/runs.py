@@ -173,9 +173,10 @@ def benchmark(
 ) -> DataFrame:
     """Latency rows of ``repeats`` tests per model; a failed test keeps only its measured time.
 
-    Tests of one model run side by side unless ``options`` asks for one task and one call at a time.
+    Models are spread over the tasks; the tests of one model run one after the other, in order, unless ``options`` asks
+    for several calls at a time.
     """
-    options = options or RunOptions(max_attempts=1, concurrency=1, partitions=1)
+    options = options or RunOptions(max_attempts=1, concurrency=1)
     tests = assign_task_ids(benchmark_matrix(models, repeats), ["model", "test_no"])
     requests = build_requests(probe_prompts(tests, prompt_length), F.col("model"), "text")
     attempts = invoke(
@@ -185,6 +186,7 @@ def benchmark(
         concurrency=options.concurrency,
         backoff_s=options.backoff_s,
         partitions=options.partitions,
+        spread=["model"],
     )
     last = latest_outcome(attempts.drop("model", "phase"))
     timed = with_response_latency(last, F.col("response"), seconds_between(F.col("start_ts"), F.col("end_ts")))

@@ -155,10 +155,10 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 def publish(df: DataFrame, target: str, mode: str = "errorifexists") -> None:
     """Write a dataset as a table with one folder per split.
 
-    Rows are spread over many tasks per split, so a large split does not end in one file;
-    the file size follows ``spark.sql.files.maxRecordsPerFile`` and the input partitions.
+    Adaptive execution deals the rows by split and cuts or joins the pieces to its advisory size, so a large split
+    does not end in one task and a small one not in many files.
     """
-    df.write.mode(mode).partitionBy("split").parquet(target)
+    df.hint("rebalance", F.col("split")).write.mode(mode).partitionBy("split").parquet(target)
 
 
 def publish_splits(splits: dict[str, DataFrame | None], target: str, mode: str = "errorifexists") -> None:

@@ -215,7 +215,7 @@ def test_dialect_label(spark):
 
 def test_dialect_hint(evaluate):
     got = evaluate(["ORACLE", "General DBMS", None], dialect.dialect_hint)
-    assert "Oracle" in got[0] and got[1:] == ["", ""]
+    assert "FETCH FIRST" in got[0] and got[1:] == ["", ""]
 
 
 def test_safe_name(evaluate):

@@ -24,8 +24,10 @@ _CONTROLS = re.compile("[\x1c-\x1f]")
 #: Letters, then full stops and commas: two pieces for either vocabulary.
 _STOPPED = re.compile(r"(.*[A-Za-z])([.,]+)\Z", re.S)
 
-#: Pieces kept by a worker; beyond it the cache starts anew.
-CACHE = 600_000
+#: Pieces kept by a worker. The first ones are the frequent ones, so a full cache stays as it is; it starts anew
+#: when texts have changed so much that STALE pieces were not in it.
+CACHE = 1_200_000
+STALE = 8_000_000
 
 
 class _Pieces(dict):
@@ -34,20 +36,25 @@ class _Pieces(dict):
         self.library = tokenizers.Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.lower = lower
+        self.missed = 0
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         if self.lower and not piece.islower() and (low := piece.lower()) != piece and piece.isascii():
             ids = self[low]
         elif stopped := _STOPPED.match(piece):
             ids = self[stopped[1]] + self[stopped[2]]  # numbers or bytes
         else:
             ids = self.encode(piece)
-        self[piece] = ids
+        if len(self) < CACHE:
+            self[piece] = ids
+        else:
+            self.missed += 1
+            if self.missed >= STALE:
+                self.clear()
+                self.missed = 0
         return ids
 
 

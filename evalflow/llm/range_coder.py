@@ -27,13 +27,13 @@ CHUNK = 128
 #: Chunks after which order 0 is brought up to date.
 UPPER_EVERY = 4
 #: Ids of a block and blocks coded side by side, at most.
-BLOCK_IDS = 4096
-SIDE_BY_SIDE = 1024
+BLOCK_IDS = 2048
+SIDE_BY_SIDE = 2048
 
 _CLASS_BITS, _UPPER_BITS, _LOWER_BITS = 10, 11, 8
 _LITERAL_BITS = _UPPER_BITS + _LOWER_BITS
 _TOTAL_BITS = _CLASS_BITS + _LITERAL_BITS
-_TABLE_BITS = 12
+_TABLE_BITS = 10
 _U = np.uint64
 
 

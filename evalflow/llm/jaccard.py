@@ -5,8 +5,8 @@ Each document is the set of hashes of its word shingles; equal sets are one clas
 1. Order. All shingles have a global order by hash, the heaviest last (a bounded list, counted over all
    documents). In that order a class has a prefix of n - m + r shingles, m being the fewest shingles that a linked
    class must share and r = min(REPEATS, m): two linked classes share at least the smaller r within their prefixes.
-2. Groups. Classes with the same first shingle form a group, cut into blocks by hash where the
-   group has more shingles than a block may hold.
+2. Groups. Classes with the same smallest shingle hash form a group, which near copies mostly share, cut into
+   blocks by hash where the group has more shingles than a block may hold.
 3. Matrix. For each group the union of its members' prefixes, with the range of their sizes: one row for each
    shingle and group. A self-join counts the shingles that two groups share; this bounds the overlap of any two
    members. Pairs of groups below the bound, or whose sizes cannot match, are not opened.
@@ -73,7 +73,7 @@ def _prefix(ordered: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set) and `prefix` for every row of docs."""
+    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set), `head` (the smallest shingle) and `prefix`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,13 +87,14 @@ def signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> D
                         part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([int(s[0].view(np.int64)) if len(s) else None for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64())),
                     ],
-                    names=["doc_id", "text_key", "n", "set_id", "prefix"],
+                    names=["doc_id", "text_key", "n", "set_id", "head", "prefix"],
                 )
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_key long, n long, set_id binary, prefix array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n long, set_id binary, head long, prefix array<long>")
 
 
 def heavy_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
@@ -115,14 +116,29 @@ def heavy_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     return np.sort(heaviest.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shared values of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _union(members: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
+    return members[0][1] if len(members) == 1 else np.unique(np.concatenate([s for _, s in members]))
+
+
 def _links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
     """Links that connect what is connected among the members of one group (right is None) or between two."""
     both = left + (right or [])
     if right is not None:
+        if len(left) == len(right) == 1:  # most groups have one member, which then is its own union
+            (a, x), (b, y) = left[0], right[0]
+            common = _common(x, y)
+            return [(a, b)] if 100 * common >= percent * (len(x) + len(y) - common) else []
         # The group bound, with whole unions: a member that shares too little with the other group's union is left out.
-        unions = [np.unique(np.concatenate([s for _, s in side])) for side in (left, right)]
+        unions = [_union(side) for side in (left, right)]
         sides = [
-            [m for m in side if np.isin(m[1], other, assume_unique=True).sum() >= fewest(len(m[1]), percent)]
+            [m for m in side if _common(m[1], other) >= fewest(len(m[1]), percent)]
             for side, other in ((left, unions[1]), (right, unions[0]))
         ]
         if not all(sides):
@@ -134,8 +150,9 @@ def _links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.nda
     owner = np.repeat(np.arange(len(both)), lengths)[shared]
     _, column = np.unique(column[shared], return_inverse=True)
     overlap = np.zeros((len(both), len(both)), dtype=np.float32)
-    width = max(1, 4_000_000 // max(1, len(both)))
-    for at in range(0, int(column.max()) + 1 if len(column) else 0, width):
+    columns = int(column.max()) + 1 if len(column) else 0
+    width = max(1, min(columns, 4_000_000 // len(both)))
+    for at in range(0, columns, width):
         here = (column >= at) & (column < at + width)
         present = np.zeros((len(both), width), dtype=np.float32)
         present[owner[here], column[here] - at] = 1.0
@@ -180,11 +197,10 @@ def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, rows: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """`a` and `b`, set ids of linked classes; connects every two classes that links connect."""
     first = rows.where("n > 0").groupBy("set_id").agg(
-        F.min(F.struct("text_key", "n", "prefix")).alias("one")
-    ).select("set_id", "one.text_key", "one.n", "one.prefix")
-    headed = first.withColumn("head", F.get("prefix", 0))
-    blocks = headed.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    grouped = headed.join(blocks, "head").withColumn("group", F.xxhash64("head", F.pmod(F.xxhash64("set_id"), "blocks")))
+        F.min(F.struct("text_key", "n", "head", "prefix")).alias("one")
+    ).select("set_id", "one.text_key", "one.n", "one.head", "one.prefix")
+    blocks = first.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    grouped = first.join(blocks, "head").withColumn("group", F.xxhash64("head", F.pmod(F.xxhash64("set_id"), "blocks")))
     classes = stage(grouped.select("set_id", "text_key", "n", "prefix", "group"), "jaccard-classes")
     pairs = stage(_group_pairs(classes, percent), "jaccard-pairs")
     opened = pairs.select("left").union(pairs.select("right")).distinct().withColumnRenamed("left", "group")

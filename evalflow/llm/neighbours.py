@@ -4,7 +4,7 @@ Inner product becomes distance by one more coordinate: with M the largest norm o
 sqrt(M**2 - |x|**2) and a query by 0, and |q - x|**2 = |q|**2 + M**2 - 2 q.x. A subtree whose points have
 distances between low and high to its vantage point v holds nothing nearer to q than
 max(low - d(q, v), d(q, v) - high). It is skipped if this bound times the factor RELAX exceeds the distance of the
-k-th best found so far. With factor one only subtrees without an answer are skipped (exact search); a larger one
+k-th best found so far. With factor one, the default, only subtrees without an answer are skipped (exact search); a larger one
 skips more and may miss some.
 
 Vectors are dealt to shards of bounded size by the hash of their id; every one is indexed. A query is first searched
@@ -37,8 +37,9 @@ QUERY_STEP = 20
 SHARD_ROWS = 4096
 BLOCK_ROWS = 2048
 LEAF = 64
-#: Chosen for a recall above 0.95 on held-out queries; see tests/llm/test_neighbours.py for the measurement.
-RELAX = 4.0
+#: Exact search. Larger factors save little on vectors without clusters and lose neighbours on those of low dimension;
+#: see the README for the measurement.
+RELAX = 1.0
 _SLACK = 1e-9
 
 
@@ -90,7 +91,8 @@ class Tree:
     ) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the k best points for each query (-1: none) and their inner products.
 
-        Only points of at least ``limit`` are returned; the query's own id is left out.
+        Only points of at least ``limit`` are returned; the query's own id is left out. Below a vantage point that is
+        the query itself the search is not relaxed: its bound there is exact and the nearest points lie on both sides.
         """
         best = np.full((len(queries), k), -np.inf)
         place = np.full((len(queries), k), -1, dtype=np.int64)
@@ -121,34 +123,41 @@ class Tree:
             return products
 
         # First down to one leaf, always to the nearer side: the k-th best there limits the search from its start.
+        # These hits stay; the search leaves out that leaf and the vantage points above it.
+        leaf = np.zeros(len(queries), dtype=np.int64)
         todo = [(0, len(self.ids), np.arange(len(queries)))]
         while todo:
             lo, hi, rows = todo.pop()
             if lo not in at or hi - lo <= LEAF:
+                leaf[rows] = lo
                 measured(rows, lo, hi)
                 continue
             mid = lo + 1 + (hi - lo - 1) // 2
             d = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * measured(rows, lo, lo + 1)[:, 0], 0.0))
             inner = d <= self.ranges[at[lo], 1:3].mean()
             todo += [(*side, rows[some]) for side, some in (((lo + 1, mid), inner), ((mid, hi), ~inner)) if some.any()]
-        best[:], place[:] = -np.inf, -1
 
         todo = [(0, len(self.ids), np.arange(len(queries)), np.zeros(len(queries)))]
         while todo:
             lo, hi, rows, bound = todo.pop()
             reach = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * (limit[rows] - _SLACK), 0.0))
-            rows = rows[bound * relax <= reach + _SLACK]
+            rows = rows[bound <= reach + _SLACK]
             if not len(rows):
                 continue
+            done = (lo <= leaf[rows]) & (leaf[rows] < hi)  # measured on the way down
             if lo not in at or hi - lo <= LEAF:
-                measured(rows, lo, hi)
+                if not done.all():
+                    measured(rows[~done], lo, hi)
                 continue
             mid = lo + 1 + (hi - lo - 1) // 2
-            product = measured(rows, lo, lo + 1)[:, 0]
+            if not done.all():
+                measured(rows[~done], lo, lo + 1)
+            product = queries[rows] @ self.points[lo]
             d = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * product, 0.0))
+            factor = np.where(self.ids[lo] == ids[rows], 1.0, relax)
             near, edge, far_edge, far = self.ranges[at[lo]]
-            todo.append((mid, hi, rows, np.maximum(far_edge - d, d - far)))
-            todo.append((lo + 1, mid, rows, np.maximum(near - d, d - edge)))
+            todo.append((mid, hi, rows, factor * np.maximum(far_edge - d, d - far)))
+            todo.append((lo + 1, mid, rows, factor * np.maximum(near - d, d - edge)))
         place[(best < limit[:, None] - _SLACK) & (best > -np.inf)] = -1
         return place, best
 

@@ -68,6 +68,45 @@ def test_pruning_visits_less_where_vectors_cluster():
         assert {int(tree.ids[p]) for p in found} == {v for v, _ in want[q]}
 
 
+def _shapes():
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16)) * 3
+    return {
+        "four": rng.normal(size=(3000, 4)),
+        "eight": rng.normal(size=(3000, 8)),
+        "rank five": rng.normal(size=(3000, 5)) @ rng.normal(size=(5, 64)),
+        "clusters": centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)),
+        "tight clusters": centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.1,
+    }
+
+
+@pytest.mark.parametrize("shape", _shapes())
+@pytest.mark.parametrize("unit", [True, False])
+def test_recall_on_low_dimensions_and_clusters(shape, unit):
+    points = _shapes()[shape]
+    if unit:
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+    tree = N.Tree.build(np.arange(3000), points)
+    queries = np.arange(0, 3000, 20)
+    places, _ = tree.search(queries, points[queries], np.full(len(queries), -np.inf), 20, N.RELAX)
+    want = brute(np.arange(3000), points, 20, 20)
+    hits = [len({int(tree.ids[p]) for p in found if p >= 0} & {v for v, _ in want[q]}) for q, found in zip(queries.tolist(), places, strict=True)]
+    assert np.mean(hits) / 20 >= 0.95 and min(hits) >= 18
+
+
+def test_relaxed_search_keeps_first_hits_and_serves_vantage_points():
+    points = _shapes()["four"]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    tree = N.Tree.build(np.arange(3000), points)
+    every = np.arange(3000)
+    places, _ = tree.search(every, points, np.full(3000, -np.inf), 20, 8.0)
+    assert (places >= 0).all() and all(len(set(p)) == 20 for p in places.tolist())
+    root = tree.ids[:1]
+    places, _ = tree.search(root, points[root], np.full(1, -np.inf), 20, 4.0)
+    want = {v for v, _ in brute(every, points, 20, 1)[int(root[0])]}
+    assert len({int(tree.ids[p]) for p in places[0]} & want) >= 18
+
+
 def test_unusable_vectors_and_repeated_ids(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

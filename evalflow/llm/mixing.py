@@ -2,11 +2,12 @@
 
 Every document of a source should be taken target / size times. The whole copies in that number are
 certain. For the rest, a document with inclusion probability p gets the rank (U / (1 - U)) / (p / (1 - p)),
-U being a repeatable number from its id and text, and the documents of lowest rank are taken until the
-words that are left of the target are filled: a sample of fixed size with unequal probabilities. The last
-gap, smaller than the document that would not fit any more, goes to the unused document nearest to it in
-size. Ranks are summed by range partitions (`running_values`), so a source with most of the rows is no
-single task.
+U being a repeatable number from its id and text, and documents are taken in rank order until the words that are
+left of the target are filled: a sample of fixed size. Documents larger than what is left are left out from the start.
+Where one stops the draw, a further round goes on down the ranks with the unused documents of at most half the
+gap, so every round at least halves the gap or uses up those documents. Then the unused document nearest to the gap in
+size closes it, if that comes nearer to the target. Ranks are summed by range partitions (`running_values`), so a source with
+most of the rows is no single task.
 
 Defined results: a NULL source is a source, the last one. NULL and empty texts have size 0 and take nothing.
 Rows that agree in all columns are drawn one by one. An empty table gives an empty result. Helper columns
@@ -16,6 +17,7 @@ get names that the input does not have.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -82,37 +84,34 @@ def mix(
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("sure", F.floor(each)).withColumn("p", each - F.col("sure"))
     u = uniform("doc_id", "text_key", seed=seed)
-    ranked = rows.where((F.col("p") > 0) & (F.col("size") > 0)).withColumn("rank", u / (1 - u) * (1 - F.col("p")) / F.col("p"))
-    summed = stage(
-        running_values(ranked, ["rank", "doc_id", "text_key"], {"filled": ("sum", F.col("size"))}, ["source"]), "mix-ranks"
+    named = ["doc_id", "source", "size", "text_key", "source_size", "target", "sure"]
+    pool = rows.where((F.col("p") > 0) & (F.col("size") > 0)).select(
+        *named,
+        (u / (1 - u) * (1 - F.col("p")) / F.col("p")).alias("rank"),
+        (F.col("target") - F.col("sure") * F.col("source_size")).alias("gap"),
+        F.monotonically_increasing_id().alias("row"),  # tells rows apart that agree in all columns
     )
-    left = F.col("target") - F.col("sure") * F.col("source_size")
-    drawn = summed.withColumn("drawn", F.col("filled") <= left)
-    gaps = drawn.groupBy("source").agg(
-        (F.first(left) - F.coalesce(F.max(F.when(F.col("drawn"), F.col("filled"))), F.lit(0))).alias("gap")
+    parts, fits = [], F.col("size") <= F.col("gap")
+    while True:
+        summed = running_values(pool, ["rank", "doc_id", "text_key"], {"filled": ("sum", F.when(fits, F.col("size")).otherwise(0))}, ["source"])
+        drawn = stage(summed.withColumn("drawn", fits & (F.col("filled") <= F.col("gap"))), "mix-ranks")
+        gaps = drawn.groupBy("source").agg((F.first("gap") - F.coalesce(F.max(F.when(F.col("drawn"), F.col("filled"))), F.lit(0))).alias("left"))
+        gaps = stage(gaps.withColumnRenamed("source", "gap_source"), "mix-gaps")
+        judged = drawn.join(gaps, F.col("source").eqNullSafe(F.col("gap_source")))
+        open_ = ~F.col("drawn") & (F.col("size") <= 2 * F.col("left"))  # larger ones cannot come nearer to the target
+        parts.append(judged.where(~open_).select(*named, F.col("drawn").cast("bigint").alias("more")))
+        pool = judged.where(open_).select(*named, "rank", F.col("left").alias("gap"), "row")
+        fits = 2 * F.col("size") <= F.col("gap")
+        if pool.where(fits).isEmpty():
+            break
+    last = pool.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "rank", "doc_id", "text_key", "row")).alias("best"))
+    last = last.select(F.col("source").alias("last_source"), F.col("best.row").alias("last_row"))
+    closed = pool.join(last, F.col("source").eqNullSafe(F.col("last_source"))).select(
+        *named, (F.col("row") == F.col("last_row")).cast("bigint").alias("more")
     )
-    last = (
-        drawn.where(~F.col("drawn"))
-        .join(gaps.withColumnRenamed("source", "gap_source"), F.col("source").eqNullSafe(F.col("gap_source")))
-        .where(F.col("size") <= 2 * F.col("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "rank", "doc_id", "text_key")).alias("best"))
-        .select(F.col("source").alias("last_source"), "best")
-    )
-    chosen = drawn.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left").select(
-        "doc_id", "source", "size", "text_key", "source_size", "target", "sure",
-        (
-            F.col("drawn")
-            | F.coalesce(
-                (F.col("rank") == F.col("best.rank"))
-                & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
-                & (F.col("text_key") == F.col("best.text_key")),
-                F.lit(False),
-            )
-        ).cast("bigint").alias("more"),
-    )
+    chosen = reduce(DataFrame.unionByName, parts, closed)
     whole = rows.where((F.col("p") <= 0) | (F.col("size") <= 0)).select(
-        "doc_id", "source", "size", "text_key", "source_size", "target", "sure", F.lit(0).cast("bigint").alias("more")
+        *named, F.lit(0).cast("bigint").alias("more")
     )
     return chosen.unionByName(whole).select(
         "doc_id", "source", "text_key", "size", "source_size", "target", (F.col("sure") + F.col("more")).alias("copies")

@@ -68,6 +68,26 @@ def test_inclusion_follows_the_probability(documents):
     assert max(drawn.values()) <= 8 and len({n for n in drawn.values()}) > 2
 
 
+@pytest.mark.parametrize("long,share", [(250, 0.2), (110, 0.25)])
+def test_a_long_document_does_not_end_a_source(spark, long, share):
+    """Half or 30 % of a source in one document among short ones: these fill what it cannot."""
+    rows = spark.range(24 * 101).where("id % 101 <= 70 + floor(id / 101)").select(
+        F.col("id").alias("doc_id"),
+        F.repeat(F.lit("w "), F.when(F.col("id") % 101 == 0, long).otherwise(F.col("id") % 5 + 1).cast("int")).alias("text"),
+        F.concat(F.lit("s"), F.floor(F.col("id") / 101)).alias("source"),
+    )
+    taken, target = defaultdict(int), {}
+    for r in M.mix(rows, weights=(1,), share=share).collect():
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 24 and all(abs(taken[s] - target[s]) <= 5 for s in target)
+
+
+def test_equal_rows_close_a_gap_one_by_one(spark):
+    rows = spark.createDataFrame([(1, "a a a a a", "x")] * 6, "doc_id long, text string, source string")
+    assert sum(r["copies"] for r in M.mix(rows, weights=(1,), share=0.3).collect()) == 2
+
+
 def test_documents_of_the_mix(documents):
     mixed = M.mixed_documents(documents)
     assert mixed.columns == documents.columns

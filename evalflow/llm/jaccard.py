@@ -1,12 +1,14 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Each document is the set of hashes of its word shingles; equal sets are one class. Links are found in steps:
+Each document is the set of hashes of its word shingles; equal sets are one class. Short sets, whose links can only
+be to sets with one shingle more or less, are linked by equality: the set without one of its shingles is the other
+one. They take no part in the steps below, which find the links between all others:
 
 1. Order. All shingles have a global order by hash, the heaviest last (a bounded list, counted over all
    documents). In that order a class has a prefix of n - m + r shingles, m being the fewest shingles that a linked
    class must share and r = min(REPEATS, m): two linked classes share at least the smaller r within their prefixes.
 2. Groups. Classes with the same smallest shingle hash form a group, which near copies mostly share, cut into
-   blocks by hash where the group has more shingles than a block may hold.
+   blocks by hash where the group has more shingles or members than a block may hold.
 3. Matrix. For each group the union of its members' prefixes, with the range of their sizes: one row for each
    shingle and group. A self-join counts the shingles that two groups share; this bounds the overlap of any two
    members. Pairs of groups below the bound, or whose sizes cannot match, are not opened.
@@ -45,6 +47,10 @@ HEAVY_FROM = 12
 HEAVY_MOST = 200_000
 #: Shingles of all members of a block, about.
 BLOCK_SHINGLES = 60_000
+#: Members of a block, about: comparing two blocks takes memory by the square of their members.
+BLOCK_MEMBERS = 1000
+#: Sets up to this size may count as short; others of them go through the groups.
+SHORT_MOST = 16
 
 _SIGN = 1 << 63
 
@@ -54,6 +60,19 @@ def fewest(n: int, percent: int = PERCENT) -> int:
     return -(-n * percent // 100)
 
 
+def short(percent: int = PERCENT) -> int:
+    """The largest size of sets that differ in one shingle at most from every set they are linked to."""
+    n = 0
+    # A linked set differs in (100 - percent) % of the union at most, which has n * 100 / percent shingles at most.
+    while n < SHORT_MOST and (100 - percent) * (100 * (n + 1) // percent) < 200:
+        n += 1
+    return n
+
+
+def _name(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _ordered(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     if not len(heavy) or not len(shingles):
         return shingles
@@ -73,7 +92,15 @@ def _prefix(ordered: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set), `head` (the smallest shingle) and `prefix`."""
+    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set), `head` (the smallest shingle), `prefix` and `without`.
+
+    ``without`` has the set ids that a set has without one of its shingles, where those may be short sets linked to it.
+    """
+    most = short(percent) + 1
+
+    def without(s: np.ndarray) -> list[bytes]:
+        near = len(s) <= most and 100 * (len(s) - 1) >= percent * len(s)
+        return [_name(np.delete(s, k)) for k in range(len(s))] if near and len(s) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +113,16 @@ def signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> D
                         part.column("doc_id").cast(pa.int64()),
                         part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_name(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([int(s[0].view(np.int64)) if len(s) else None for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64())),
+                        pa.array([without(s) for s in sets], pa.list_(pa.binary())),
                     ],
-                    names=["doc_id", "text_key", "n", "set_id", "head", "prefix"],
+                    names=["doc_id", "text_key", "n", "set_id", "head", "prefix", "without"],
                 )
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(run, "doc_id long, text_key long, n long, set_id binary, head long, prefix array<long>")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n long, set_id binary, head long, prefix array<long>, without array<binary>")
 
 
 def heavy_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
@@ -196,10 +224,16 @@ def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """`a` and `b`, set ids of linked classes; connects every two classes that links connect."""
-    first = rows.where("n > 0").groupBy("set_id").agg(
+    few = short(percent)
+    fewer = rows.where(F.size("without") > 0).select(F.col("set_id").alias("a"), F.explode("without").alias("b")).distinct()
+    shorts = rows.where((F.col("n") > 0) & (F.col("n") <= few)).select(F.col("set_id").alias("b")).distinct()
+    one_less = fewer.join(shorts, "b").select("a", "b")
+    first = rows.where(F.col("n") > few).groupBy("set_id").agg(
         F.min(F.struct("text_key", "n", "head", "prefix")).alias("one")
     ).select("set_id", "one.text_key", "one.n", "one.head", "one.prefix")
-    blocks = first.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    blocks = first.groupBy("head").agg(
+        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks")
+    )
     grouped = first.join(blocks, "head").withColumn("group", F.xxhash64("head", F.pmod(F.xxhash64("set_id"), "blocks")))
     classes = stage(grouped.select("set_id", "text_key", "n", "prefix", "group"), "jaccard-classes")
     pairs = stage(_group_pairs(classes, percent), "jaccard-pairs")
@@ -242,7 +276,8 @@ def links(docs: DataFrame, rows: DataFrame, size: int = SIZE, percent: int = PER
                         names=["a", "b"],
                     )
 
-    return stage(alone.unionByName(two).mapInArrow(compare, "a binary, b binary"), "jaccard-links")
+    compared = alone.unionByName(two).mapInArrow(compare, "a binary, b binary")
+    return stage(compared.unionByName(one_less), "jaccard-links")
 
 
 def components(edges: DataFrame, node: str = "binary") -> DataFrame:

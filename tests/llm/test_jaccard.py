@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evalflow.llm import jaccard as J
 
@@ -57,6 +58,40 @@ def test_components_equal_brute_force(spark, monkeypatch, size, percent, block):
     assert len({c for _, c in got.values()}) < len(rows)
 
 
+@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80)])
+def test_short_sets_link_by_one_shingle(spark, size, percent):
+    """Texts around the border of short sets, cut by words at either end, against brute force."""
+    rng = random.Random(size)
+    texts = []
+    for f in range(12):
+        base = words(f"short{f}", size + 15, 3000)
+        for _ in range(8):
+            at = rng.randrange(0, 4)
+            texts.append(" ".join(base[at : at + size - 1 + rng.randrange(1, 15)]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df, size, percent).collect()}
+    assert got == brute(rows, size, percent) and len({c for _, c in got.values()}) < len(set(texts))
+
+
+def test_groups_hold_no_short_sets_and_blocks_few_members(spark, monkeypatch):
+    """Short texts with a common opening meet in no group; blocks of a large group are bounded by members."""
+    seen, plain = [], J._group_pairs
+
+    def spied(classes, percent):
+        seen.append(classes.groupBy("group").agg(F.count("*").alias("members"), F.min("n").alias("n")).collect())
+        return plain(classes, percent)
+
+    monkeypatch.setattr(J, "_group_pairs", spied)
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 20, raising=False)
+    opening = " ".join(words("opening", 24))
+    texts = [f"a common opening of t{k}" for k in range(400)] + [f"{opening} e{k}" for k in range(400)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == (k if k < 400 else 400) for k in got) and len(got) == 800
+    assert all(r["n"] > 2 and r["members"] <= 60 for r in seen[0])
+
+
 def test_every_order_keeps_all_links(spark):
     """Prefixes share what linked sets must share, whatever shingles count as heavy."""
     rng = np.random.default_rng(4)

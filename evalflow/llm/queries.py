@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evalflow.llm import oracles
 from evalflow.llm.decontamination import op1_decontamination
+from evalflow.llm.fill_in_middle import op13_fill_in_middle
 from evalflow.llm.jaccard import op8_jaccard_join
 from evalflow.llm.mixing import op6_mixing
 from evalflow.llm.neighbours import op3_nearest
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: The others are compared with brute force, the library or held-out data in tests/llm.
@@ -32,4 +34,5 @@ ORACLES = {
     "op1_decontamination": oracles.DECONTAMINATION,
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_jaccard_join": oracles.JACCARD_JOIN,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evalflow.llm import oracles
+from evalflow.llm.alignment import op11_alignment
 from evalflow.llm.decontamination import op1_decontamination
 from evalflow.llm.fill_in_middle import op13_fill_in_middle
 from evalflow.llm.jaccard import op8_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op1_decontamination": oracles.DECONTAMINATION,
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_jaccard_join": oracles.JACCARD_JOIN,
+    "op11_alignment": op11_alignment,
     "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }

@@ -7,11 +7,14 @@ one. They take no part in the steps below, which find the links between all othe
 1. Order. All shingles have a global order by hash, the heaviest last (a bounded list, counted over all
    documents). In that order a class has a prefix of n - m + r shingles, m being the fewest shingles that a linked
    class must share and r = min(REPEATS, m): two linked classes share at least the smaller r within their prefixes.
-2. Groups. Classes with the same smallest shingle hash form a group, which near copies mostly share, cut into
-   blocks by hash where the group has more shingles or members than a block may hold.
-3. Matrix. For each group the union of its members' prefixes, with the range of their sizes: one row for each
-   shingle and group. A self-join counts the shingles that two groups share; this bounds the overlap of any two
-   members. Pairs of groups below the bound, or whose sizes cannot match, are not opened.
+2. Groups. Classes with the same smallest shingle hash form a group, which near copies mostly share; classes most of
+   whose prefix is heavy form groups by the heaviest of it, so a large family of similar texts is in a few groups and not in
+   one for each change. Groups are cut into blocks by hash where they have more shingles or members than a block may hold.
+3. Matrix. For each group the union of its members' prefixes, with the range of their sizes and the most overlap that
+   is still possible from the shingle's place in the order on: one row for each shingle and group. A self-join counts the
+   shingles that two groups share; this bounds the overlap of any two members. Pairs of groups below the bound,
+   or whose sizes cannot match, are not opened; rows from which on too little can be shared are not even
+   joined, which leaves out a large group of texts that are alike, but not enough.
 4. Opening. For each remaining pair the members' whole sets are compared, first with the other group's whole union,
    then member by member; exact counts decide. A pair of groups gives only the links that connect it (a
    spanning forest), so a large group of near copies does not give all its pairs.
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +77,37 @@ def _name(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _ordered(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    if not len(heavy) or not len(shingles):
-        return shingles
-    late = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles
+@dataclass(frozen=True)
+class Heavy:
+    """Shingles that come last in the order, sorted, and in how many prefixes of the plain order they are."""
+
+    shingles: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+
+    def among(self, shingles: np.ndarray) -> np.ndarray:
+        """How often each of the given shingles counts; 0 where it is not in the list."""
+        if not len(self.shingles) or not len(shingles):
+            return np.zeros(len(shingles), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.times[at], 0)
+
+
+def _ordered(shingles: np.ndarray, heavy: Heavy) -> np.ndarray:
+    late = heavy.among(shingles) > 0
     return np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
 
 
+def _head(shingles: np.ndarray, heavy: Heavy, percent: int) -> int:
+    """The shingle that names the group: the heaviest of the plain prefix where most of that is heavy, else the smallest.
+
+    In a large family of similar texts each has some of the same heavy shingles, so that a few groups hold them all,
+    linked or not. A text that only shares a line or a passage with many others stays with its own.
+    """
+    times = heavy.among(_prefix(shingles, percent))
+    at = int(times.argmax()) if 2 * (times > 0).sum() >= len(times) else 0
+    return int(shingles[at].view(np.int64))
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for part in pieces(batch):
         words, bounds = word_hashes(part.column(part.schema.get_field_index("text")), fold=True)
@@ -91,8 +119,8 @@ def _prefix(ordered: np.ndarray, percent: int) -> np.ndarray:
     return ordered[: n - fewest(n, percent) + min(REPEATS, fewest(n, percent))]
 
 
-def signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set), `head` (the smallest shingle), `prefix` and `without`.
+def signatures(docs: DataFrame, size: int, percent: int, heavy: Heavy) -> DataFrame:
+    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set), `head` (see `_head`), `prefix` and `without`.
 
     ``without`` has the set ids that a set has without one of its shingles, where those may be short sets linked to it.
     """
@@ -114,7 +142,7 @@ def signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> D
                         part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_name(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([int(s[0].view(np.int64)) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([_head(s, heavy, percent) if len(s) else None for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64())),
                         pa.array([without(s) for s in sets], pa.list_(pa.binary())),
                     ],
@@ -125,9 +153,9 @@ def signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray) -> D
     return keyed.mapInArrow(run, "doc_id long, text_key long, n long, set_id binary, head long, prefix array<long>, without array<binary>")
 
 
-def heavy_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+def heavy_shingles(docs: DataFrame, size: int, percent: int) -> Heavy:
     """The shingles in most prefixes of the plain order, sorted; at most HEAVY_MOST."""
-    none = np.zeros(0, dtype=np.uint64)
+    none = Heavy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +169,10 @@ def heavy_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
     counted = docs.select("text").mapInArrow(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     heaviest = counted.where(F.col("times") > HEAVY_FROM).orderBy(F.col("times").desc(), "shingle").limit(HEAVY_MOST)
-    return np.sort(heaviest.select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+    found = heaviest.toPandas()
+    shingles = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return Heavy(shingles[order], found["times"].to_numpy(dtype=np.int64)[order])
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -155,7 +186,7 @@ def _union(members: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
     return members[0][1] if len(members) == 1 else np.unique(np.concatenate([s for _, s in members]))
 
 
-def _links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
+def spanning_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
     """Links that connect what is connected among the members of one group (right is None) or between two."""
     both = left + (right or [])
     if right is not None:
@@ -207,10 +238,16 @@ def _links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.nda
 def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """`left` and `right` (left <= right): the groups to open. ``classes`` has set_id, n, prefix and group."""
     # One exchange by shingle serves the union of the groups and both sides of the self-join.
-    cells = classes.select(F.explode("prefix").alias("shingle"), "group", "n").repartition("shingle")
-    matrix = cells.groupBy("shingle", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    cells = classes.select(F.posexplode("prefix").alias("place", "shingle"), "group", "n").repartition("shingle")
+    # Before the t-th shared shingle, t - 1 are shared, so the overlap is t - 1 + n - place at most; a link needs
+    # percent * (n + other n) / (100 + percent). What a member has beyond its own part of that is left for the other's.
+    spare = (F.col("n") - F.col("place") + REPEATS - 1) * (100 + percent) - F.col("n") * percent
+    matrix = cells.groupBy("shingle", "group").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(spare).alias("spare")
+    )
     a, b = matrix.alias("a"), matrix.alias("b")
     fits = (F.col("a.high") * 100 >= F.col("b.low") * percent) & (F.col("b.high") * 100 >= F.col("a.low") * percent)
+    fits &= (F.col("a.spare") >= F.col("b.low") * percent) & (F.col("b.spare") >= F.col("a.low") * percent)
     met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.group") < F.col("b.group")) & fits)
     least = F.least(F.ceil(F.least("a.low", "b.low") * percent / 100), F.lit(REPEATS)).cast("int")
     shared = met.groupBy(F.col("a.group").alias("left"), F.col("b.group").alias("right")).agg(
@@ -229,16 +266,17 @@ def links(docs: DataFrame, rows: DataFrame, size: int = SIZE, percent: int = PER
     shorts = rows.where((F.col("n") > 0) & (F.col("n") <= few)).select(F.col("set_id").alias("b")).distinct()
     one_less = fewer.join(shorts, "b").select("a", "b")
     first = rows.where(F.col("n") > few).groupBy("set_id").agg(
-        F.min(F.struct("text_key", "n", "head", "prefix")).alias("one")
-    ).select("set_id", "one.text_key", "one.n", "one.head", "one.prefix")
+        F.min(F.struct("doc_id", "text_key", "n", "head", "prefix")).alias("one")
+    ).select("set_id", "one.doc_id", "one.text_key", "one.n", "one.head", "one.prefix")
     blocks = first.groupBy("head").agg(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks")
     )
     grouped = first.join(blocks, "head").withColumn("group", F.xxhash64("head", F.pmod(F.xxhash64("set_id"), "blocks")))
-    classes = stage(grouped.select("set_id", "text_key", "n", "prefix", "group"), "jaccard-classes")
+    classes = stage(grouped.select("set_id", "doc_id", "text_key", "n", "prefix", "group"), "jaccard-classes")
     pairs = stage(_group_pairs(classes, percent), "jaccard-pairs")
     opened = pairs.select("left").union(pairs.select("right")).distinct().withColumnRenamed("left", "group")
-    needed = classes.select("set_id", "text_key", "group").join(opened, "group", "left_semi")
+    needed = classes.select("set_id", F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "group")
+    needed = needed.join(opened, "group", "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,9 +286,10 @@ def links(docs: DataFrame, rows: DataFrame, size: int = SIZE, percent: int = PER
                     names=["set_id", "group", "shingles"],
                 )
 
-    # Texts of equal key have equal sets, so one of them will do.
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(needed, "text_key")
-    members = texts.dropDuplicates(["text_key"]).select("set_id", "group", "text")
+    # One row stands for a class: copies of its text under other ids stay where they are.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    texts = keyed.join(needed, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    members = texts.dropDuplicates(["set_id"]).select("set_id", "group", "text")
     packed = members.mapInArrow(whole, "set_id binary, group long, shingles binary").groupBy("group").agg(
         F.collect_list(F.struct("set_id", "shingles")).alias("members")
     )
@@ -269,7 +308,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int = SIZE, percent: int = PER
         for batch in batches:
             for row in range(batch.num_rows):  # one pair at a time: a pair holds two blocks of members
                 left, right = (sets(batch.column(k)[row].as_py()) for k in (0, 1))
-                found = _links(left, right, percent)
+                found = spanning_links(left, right, percent)
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())],

@@ -92,6 +92,26 @@ def test_groups_hold_no_short_sets_and_blocks_few_members(spark, monkeypatch):
     assert all(r["n"] > 2 and r["members"] <= 60 for r in seen[0])
 
 
+def test_a_large_family_is_in_few_groups(spark):
+    """Copies of one text, most with more changes than a link allows, are in a few groups."""
+    rng = random.Random(8)
+    base, texts = words("base", 150), []
+    for k in range(400):
+        copy = list(base)
+        for _ in range(k % 8):
+            copy[rng.randrange(len(copy))] = f"own{k}x{rng.randrange(1000)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = J.signatures(docs, 4, 85, J.heavy_shingles(docs, 4, 85))
+    classes = signed.select("set_id", "n", "prefix", F.col("head").alias("group")).dropDuplicates(["set_id"])
+    groups = classes.select("group").distinct().count()
+    plain = signed.select(F.array_min("prefix").alias("head")).distinct().count()
+    assert groups < 20 < plain and J._group_pairs(classes, 85).count() <= groups * groups
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+
+
 def test_every_order_keeps_all_links(spark):
     """Prefixes share what linked sets must share, whatever shingles count as heavy."""
     rng = np.random.default_rng(4)
@@ -101,6 +121,7 @@ def test_every_order_keeps_all_links(spark):
         common = len(np.intersect1d(a, b))
         if 100 * common >= 85 * (len(a) + len(b) - common):
             heavy = np.sort(rng.choice(np.arange(60, dtype=np.uint64), 20, replace=False))
+            heavy = J.Heavy(heavy, np.ones(len(heavy), dtype=np.int64))
             shared = np.intersect1d(J._prefix(J._ordered(a, heavy), 85), J._prefix(J._ordered(b, heavy), 85))
             assert len(shared) >= min(J.REPEATS, J.fewest(len(a)), J.fewest(len(b)))
 
@@ -108,10 +129,10 @@ def test_every_order_keeps_all_links(spark):
 def test_opening_gives_a_spanning_forest():
     same = np.arange(100, dtype=np.uint64)
     group = [(bytes([k]), np.append(same, np.uint64(1000 + k))) for k in range(30)]
-    assert len(J._links(group, None, 85)) == 29
+    assert len(J.spanning_links(group, None, 85)) == 29
     other = [(bytes([100 + k]), np.append(same, np.uint64(2000 + k))) for k in range(30)]
-    assert len(J._links(group, other, 85)) == 59
-    assert J._links(group, [(b"z", np.arange(5000, 5100, dtype=np.uint64))], 85) == []
+    assert len(J.spanning_links(group, other, 85)) == 59
+    assert J.spanning_links(group, [(b"z", np.arange(5000, 5100, dtype=np.uint64))], 85) == []
 
 
 def test_components_of_a_chain(spark):

@@ -125,16 +125,17 @@ def test_products_equal_dense_ones():
 
 def test_segments_give_the_ids_of_whole_texts():
     rng = random.Random(5)
-    alphabet = ["a", "b", "the", "'s", " ", "  ", "\n", "\t", ".", "1", "é", "\U0001f600", "数", "▁", "\xa0", "ing", "<s>"]
+    alphabet = ["a", "b", "the", "'s", " ", "  ", "\n", "\t", ".", "1", "é", "\U0001f600", "数", "▁", "\xa0", "ing", "<s>", " caf", " été", "ñ ", "\u2003", "\x85"]
     texts = [" " + "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(600)]
     a = tokenizers.Tokenizer.from_file(A_PATH)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
-    for (coder, _), whole in ((S.byte_level(A_PATH), lambda t: a.encode(t, add_special_tokens=False).ids), (S.sentence_pieces(B_PATH), lambda t: b.encode(t[1:]))):
-        assert coder.split is not None
+    for coder, whole in ((S.byte_level(A_PATH), lambda t: a.encode(t, add_special_tokens=False).ids), (S.sentence_pieces(B_PATH), lambda t: b.encode(t[1:]))):
+        assert coder.breaks is not None
         coder.kept = 50  # starts anew in between
+        assert max(map(len, coder.shown)) > 4
         for at in range(0, 600, 100):
-            ids, counts = coder(texts[at : at + 100])
+            ids, counts, good = coder([t.encode() for t in texts[at : at + 100]])
             want = [whole(t) for t in texts[at : at + 100]]
             assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
@@ -146,8 +147,9 @@ def test_other_layouts_get_whole_texts(tmp_path):
     layout["normalizer"] = {"type": "Lowercase"}
     other = tmp_path / "other.json"
     other.write_text(json.dumps(layout))
-    coder, _ = S.byte_level(str(other))
-    assert coder.split is None
-    ids, counts = coder([" Some Text", "", " more"])
+    coder = S.byte_level(str(other))
+    assert coder.breaks is None
+    ids, counts, good = coder([b" Some Text", b"", b" more"])
+    assert good.tolist() == [False, True, True]
     want = tokenizers.Tokenizer.from_file(str(other)).encode_batch([" Some Text", "", " more"], add_special_tokens=False)
     assert ids.tolist() == [i for w in want for i in w.ids] and counts.tolist() == [len(w.ids) for w in want]

@@ -186,6 +186,22 @@ def _union(members: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
     return members[0][1] if len(members) == 1 else np.unique(np.concatenate([s for _, s in members]))
 
 
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a symmetric relation that connect what it connects."""
+    out, seen = [], np.zeros(len(linked), dtype=bool)
+    for root in range(len(linked)):
+        if seen[root]:
+            continue
+        seen[root], frontier = True, [root]
+        while frontier:
+            at = frontier.pop()
+            for to in np.flatnonzero(linked[at] & ~seen):
+                seen[to] = True
+                frontier.append(int(to))
+                out.append((at, int(to)))
+    return out
+
+
 def spanning_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None, percent: int) -> list[tuple[bytes, bytes]]:
     """Links that connect what is connected among the members of one group (right is None) or between two."""
     both = left + (right or [])
@@ -221,18 +237,7 @@ def spanning_links(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes
     if right is not None:
         linked[:border, :border] = linked[border:, border:] = False
     np.fill_diagonal(linked, False)
-    out, seen = [], np.zeros(len(both), dtype=bool)
-    for root in range(len(both)):
-        if seen[root]:
-            continue
-        seen[root], frontier = True, [root]
-        while frontier:
-            at = frontier.pop()
-            for to in np.flatnonzero(linked[at] & ~seen):
-                seen[to] = True
-                frontier.append(int(to))
-                out.append((both[at][0], both[int(to)][0]))
-    return out
+    return [(both[x][0], both[y][0]) for x, y in forest(linked)]
 
 
 def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:

@@ -18,20 +18,27 @@ SELECT doc_id, n AS n_words, n - len(k) AS n_removed, sha256(coalesce(array_to_s
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-JACCARD_JOIN = f"""
+
+def _components(size: int, percent: int, more: str = "") -> str:
+    """Components of documents whose sets of word shingles are alike, by comparing every two with a common shingle."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace('text', _LOWERED, 1)} AS w FROM documents),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) END AS s
   FROM d),
 cells AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM cells a JOIN cells b ON a.x = b.x AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON p.a = r.b)
-SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.b) AS component_id{more}
 FROM sets s JOIN reached r ON r.a = s.doc_id GROUP BY s.doc_id"""
 
+
+JACCARD_JOIN = _components(4, 85)
+SKETCH_DUPLICATES = _components(5, 85, ", s.doc_id = min(r.b) AS kept")
+
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
 DECONTAMINATION = f"""

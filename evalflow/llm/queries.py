@@ -11,6 +11,7 @@ from evalflow.llm.mixing import op6_mixing
 from evalflow.llm.neighbours import op3_nearest
 from evalflow.llm.pii import op2_pii
 from evalflow.llm.sharding import op7_sharding
+from evalflow.llm.sketch_duplicates import op12_sketch_duplicates
 from evalflow.llm.substrings import op4_substring_dedup
 from evalflow.llm.token_counts import op9_token_counts
 from evalflow.llm.token_files import op5_token_files
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op12_sketch_duplicates": op12_sketch_duplicates,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -37,5 +39,6 @@ ORACLES = {
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_jaccard_join": oracles.JACCARD_JOIN,
     "op11_alignment": op11_alignment,
+    "op12_sketch_duplicates": oracles.SKETCH_DUPLICATES,
     "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }

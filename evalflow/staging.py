@@ -31,6 +31,12 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{stage_dir(spark)}/evalflow/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote; nothing happens where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _OWNERS: list[list[str]] = []
 
 
@@ -47,8 +53,7 @@ def owned(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         _OWNERS.remove(paths)
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            remove(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from evalflow.operators.outcomes import generation_counts, generation_stats_of, is_final
+from evalflow.operators.outcomes import generation_counts, generation_stats_of, is_final, terminal_attempts
 from evalflow.sources.logs import parse_result_lines
 from evalflow.sources.stats import stats_rows
 
@@ -27,10 +28,47 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
 def first_outcome_stream(
     outcomes: DataFrame, delay: str = "1 hour", time: str = "end_ts", keys: Sequence[str] = ("task_id",)
 ) -> DataFrame:
-    """One outcome per task. State is kept for ``delay``; a repeat after it passes, so batch reads drop repeats again."""
+    """One outcome per task. State is kept for ``delay``; a repeat after it passes. `record_outcomes` keeps no state and
+    lets none pass."""
     return event_time(outcomes, time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def record_outcomes(
+    attempts: DataFrame, path: str, checkpoint: str, max_attempts: int = 3, time: str = "end_ts", keys: Sequence[str] = ("task_id",)
+) -> StreamingQuery:
+    """Write the first outcome of every task to a ledger: once, however often and late it is reported, also across restarts.
+
+    Only attempts that end a task count. A micro-batch is reduced to one row per task, the earliest; tasks of earlier
+    batches are left out; the rest is written to a folder of the batch, which a repeated batch overwrites. The ledger is
+    reduced to the tasks of the batch first, so that a small batch makes it a scan of keys without an exchange.
+    """
+    keys = list(keys)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ended = terminal_attempts(batch, max_attempts)
+        others = [c for c in batch.columns if c not in (*keys, time)]
+        first = ended.groupBy(*keys).agg(F.min(F.struct(time, *others)).alias("_first")).select(*keys, "_first.*")
+        first = first.select(*batch.columns)
+        try:
+            earlier = spark.read.parquet(path).where(F.col("batch_id") < batch_id).select(*keys)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            known = earlier.join(first.select(*keys), keys, "left_semi").distinct()
+            first = first.join(known, keys, "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        attempts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def recorded_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch_id")
+
+
 def progress_per_minute(
     outcomes: DataFrame, delay: str | None = "10 minutes", time: str = "end_ts", keys: Sequence[str] = ("model",)
 ) -> DataFrame:
@@ -47,19 +85,27 @@ def progress_per_minute(
     )
 
 
-def status_stream(attempts: DataFrame, max_attempts: int = 3, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """Current status per task as a streaming aggregate (update or complete mode).
+def status_stream(
+    attempts: DataFrame,
+    max_attempts: int = 3,
+    delay: str = "10 minutes",
+    lost_after: str = "1 hour",
+    time: str = "end_ts",
+    keys: Sequence[str] = ("task_id",),
+) -> DataFrame:
+    """Final status and number of attempts of each task (``success``, ``failed``, ``lost``), as a session aggregate.
 
-    The state of a task is kept as long as the stream runs; `attempt_states` forgets tasks with event time.
+    A session of attempts less than ``lost_after`` apart is closed once event time has passed its end; its row then appears
+    and its state goes, in append mode. A task without an outcome by then is lost. Everything runs in built-in
+    aggregates; for changes as they happen see `attempt_states`.
     """
-    folded = attempts.groupBy(*keys).agg(
-        F.count("*").alias("attempts"),
-        F.coalesce(F.bool_or("ok"), F.lit(False)).alias("_ok"),
-        F.bool_or(is_final(attempts)).alias("_final"),
+    slim = attempts.select(*keys, time, F.coalesce("ok", F.lit(False)).alias("ok"), is_final(attempts).alias("final"))
+    folded = event_time(slim, time, delay).groupBy(*keys, F.session_window(time, lost_after).alias("_s")).agg(
+        F.count("*").alias("attempts"), F.bool_or("ok").alias("_ok"), F.bool_or("final").alias("_final")
     )
-    waiting = ~F.col("_final") & (F.col("attempts") < max_attempts)
-    status = F.when(F.col("_ok"), "success").when(waiting, "retry").otherwise("failed")
-    return folded.withColumn("status", status).drop("_ok", "_final")
+    failed = F.col("_final") | (F.col("attempts") >= max_attempts)
+    status = F.when(F.col("_ok"), "success").when(failed, "failed").otherwise("lost")
+    return folded.select(*keys, "attempts", status.alias("status"))
 
 
 def append_stats_stream(

@@ -11,7 +11,7 @@ from evalflow.streaming import logs
 from suite import duck
 from suite.io_queries import _LOG, _write_log
 from suite.registry import query
-from suite.views import derive, table
+from suite.views import derive, table, view
 
 
 def _attempt_stream(spark, sf):
@@ -40,37 +40,68 @@ def _(spark, sf):
     return logs.run_to_table(logs.progress_per_minute(ended), f"{out}/rows", f"{out}/state")
 
 
-@query("stream_first_outcomes", "SELECT DISTINCT task_id FROM {attempts} a WHERE ok OR attempt >= 3")
+def _call_slices(spark, sf, repeats: bool = False):
+    """The calls as a stream of four micro-batches in the order of time, with refused requests among them.
+
+    With ``repeats`` a fifth one reports the ends of the first again, days later and with the opposite outcome.
+    """
+    path = stage_path(spark, "calls")
+    calls = view(spark, sf, "calls")
+    for part in range(4):
+        calls.where(F.col("slice") == part).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    if repeats:
+        again = terminal_attempts(calls.where("slice = 0"), 3).drop("slice")
+        again = again.withColumns({"ok": ~F.col("ok"), "end_ts": F.col("end_ts") + F.expr("INTERVAL 40 DAYS")})
+        again.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(calls.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_first_outcomes", "SELECT task_id, ok, end_ts FROM {calls} a WHERE ok OR final OR attempt >= 3")
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    ended = terminal_attempts(_attempt_stream(spark, sf), 3)
-    deduped = logs.first_outcome_stream(ended.select("task_id", "end_ts"), "1 day")
-    return logs.run_to_table(deduped, f"{out}/rows", f"{out}/state").select("task_id")
+    logs.record_outcomes(_call_slices(spark, sf, repeats=True), f"{out}/ledger", f"{out}/state").awaitTermination()
+    return logs.recorded_outcomes(spark, f"{out}/ledger").select("task_id", "ok", "end_ts")
+
+
+@query("stream_outcomes_in_delay", "SELECT task_id, ok, end_ts FROM {calls} a WHERE ok OR final OR attempt >= 3")
+def _(spark, sf):
+    out = stage_path(spark, "stream")
+    ended = terminal_attempts(_call_slices(spark, sf), 3)
+    deduped = logs.first_outcome_stream(ended.select("task_id", "ok", "end_ts"), "1 day")
+    rows = logs.run_to_table(deduped, f"{out}/rows", f"{out}/state")
+    return rows.withColumn("end_ts", F.col("end_ts").cast("timestamp_ntz"))
 
 
-_STATUS = """SELECT task_id, CAST(count(*) AS BIGINT) AS attempts, CASE WHEN bool_or(ok) THEN 'success' WHEN count(*) < 3 THEN 'retry' ELSE 'failed' END AS status,
-    max(ts) AS last FROM {attempts} a GROUP BY task_id"""
+# A task's state after each slice: counts and flags of all its calls so far.
+_AFTER = """SELECT task_id, slice, ts, sum(n) OVER w AS attempts, bool_or(ok) OVER w AS ok, bool_or(final) OVER w AS final
+    FROM (SELECT task_id, slice, max(ts) AS ts, count(*) AS n, bool_or(ok) AS ok, bool_or(final) AS final FROM {calls} a GROUP BY task_id, slice) b
+    WINDOW w AS (PARTITION BY task_id ORDER BY slice)"""
+_STATUS = f"""SELECT task_id, slice, ts, CAST(attempts AS BIGINT) AS attempts,
+    CASE WHEN ok THEN 'success' WHEN final OR attempts >= 3 THEN 'failed' ELSE 'retry' END AS status FROM ({_AFTER}) c"""
+_LAST = f"SELECT task_id, max(ts) AS ts, max(attempts) AS attempts, arg_max(status, slice) AS status FROM ({_STATUS}) s GROUP BY task_id"
+_PASSED = "INTERVAL 1 HOUR <= (SELECT max(ts) FROM {calls} x) - INTERVAL 10 MINUTE"
 
 
-@query("stream_status", f"SELECT task_id, attempts, status FROM ({_STATUS}) s")
+@query(
+    "stream_status",
+    f"""SELECT task_id, attempts, CASE WHEN status = 'retry' THEN 'lost' ELSE status END AS status
+        FROM ({_LAST}) s WHERE ts + {_PASSED}""",
+)
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    status = logs.status_stream(_attempt_stream(spark, sf))
-    batches = logs.run_updates_to_table(status, f"{out}/rows", f"{out}/state", "update")
-    # The last update of a task holds its status.
-    last = batches.groupBy("task_id").agg(F.max_by(F.struct("attempts", "status"), "batch_id").alias("s"))
-    return last.select("task_id", "s.*")
+    return logs.run_to_table(logs.status_stream(_call_slices(spark, sf)), f"{out}/rows", f"{out}/state")
 
 
 @query(
     "stream_attempt_states",
-    f"""SELECT task_id, attempts, status FROM ({_STATUS}) s
-        UNION ALL SELECT task_id, attempts, 'lost' FROM ({_STATUS}) s WHERE status = 'retry' AND last + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    f"""SELECT task_id, attempts, status FROM (SELECT *, lag(status) OVER (PARTITION BY task_id ORDER BY slice) AS before FROM ({_STATUS}) s) t
+        WHERE before IS NULL OR before <> status
+        UNION ALL SELECT task_id, attempts, 'lost' FROM ({_LAST}) s WHERE status = 'retry' AND ts + {_PASSED}""",
 )
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    states = attempt_stream.attempt_states(_attempt_stream(spark, sf))
-    return logs.run_updates_to_table(states, f"{out}/rows", f"{out}/state").drop("batch_id")
+    attempt_stream.track_attempts(_call_slices(spark, sf), f"{out}/states", f"{out}/checkpoint").awaitTermination()
+    return attempt_stream.state_changes(spark, f"{out}/states").drop("batch_id")
 
 
 @query(

@@ -153,6 +153,17 @@ VIEWS: dict[str, str] = {
         FROM {pages}""",
 }
 
+#: Calls up to the one that ends a task: a refused request is not repeated. ``slice`` cuts the month into four.
+VIEWS["calls"] = f"""
+        SELECT event_id, task_id, attempt, model, ts, start_ts, end_ts, error, api_error, ok, final,
+               CAST(floor((day(ts) - 1) / 8) AS INT) AS slice
+        FROM (
+          SELECT b.*, sum(CASE WHEN ok OR final THEN 1 ELSE 0 END)
+            OVER (PARTITION BY task_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_before
+          FROM (SELECT a.*, coalesce(api_error LIKE 'bad request%', false) AS final FROM ({VIEWS['attempts']}) a) b
+        ) c
+        WHERE coalesce(over_before, 0) = 0"""
+
 
 def _names(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{([a-z]+)\}", sql)))

@@ -121,21 +121,89 @@ def attempt_files(spark, tmp_path):
     return spark.readStream.schema(df.schema).parquet(path), tmp_path
 
 
-def test_stream_states(attempt_files):
+def _tracked(spark, stream, tmp, **options):
+    attempt_stream.track_attempts(stream, str(tmp / "states"), str(tmp / "checkpoint"), **options).awaitTermination()
+    return sorted((r["batch_id"], r["task_id"], r["status"], r["attempts"]) for r in attempt_stream.state_changes(spark, str(tmp / "states")).collect())
+
+
+def test_stream_states(spark, attempt_files):
     stream, tmp = attempt_files
-    states = attempt_stream.attempt_states(stream)
-    got = stream_logs.run_updates_to_table(states, str(tmp / "out"), str(tmp / "state")).collect()
-    assert sorted((r["task_id"], r["status"], r["attempts"]) for r in got) == [
+    assert [r[1:] for r in _tracked(spark, stream, tmp)] == [
         (1, "success", 2),
         (2, "lost", 1),
         (2, "retry", 1),
         (3, "failed", 3),
         (4, "success", 1),
     ]
+    # Tasks that are over or lost are forgotten: what is left is bounded by time.
+    assert [r["task_id"] for r in spark.read.parquet(str(tmp / "states" / "state")).collect()] == [4]
+
+
+def _attempt_batches(spark, path, batches):
+    kind = "task_id string, ok boolean, final boolean, end_ts timestamp_ntz"
+    for rows in batches:
+        df = spark.createDataFrame([(*r[:3], "2024-01-01 " + r[3]) for r in rows], "task_id string, ok boolean, final boolean, end_ts string")
+        df.withColumn("end_ts", F.col("end_ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_BATCHES = [
+    [("a", False, False, "00:00:10"), ("b", False, True, "00:00:20"), ("c", False, None, "00:00:30"), ("é", None, False, "00:00:40")],
+    [("a", True, False, "00:01:00"), ("b", True, False, "00:01:10"), ("c", False, False, "00:01:20"), (None, False, False, "00:01:30")],
+    [("c", False, True, "00:02:00"), ("d", True, False, "05:00:00")],
+    [("a", False, False, "00:00:10"), ("d", False, False, "05:00:10"), ("e", False, False, "05:01:00")],
+]
+
+
+def test_stream_states_over_micro_batches(spark, tmp_path):
+    """Text ids, final failures, tasks that wait over several batches, late repeats, and a NULL id."""
+    stream = _attempt_batches(spark, str(tmp_path / "in"), _BATCHES)
+    attempt_stream.track_attempts(stream, str(tmp_path / "states"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {tuple(r[c] for c in ("batch_id", "task_id", "status", "attempts")) for r in attempt_stream.state_changes(spark, str(tmp_path / "states")).collect()}
+    assert got == {
+        (0, "a", "retry", 1), (0, "b", "failed", 1), (0, "c", "retry", 1), (0, "é", "retry", 1),
+        (1, "a", "success", 2), (1, None, "retry", 1),
+        (2, "c", "failed", 3), (2, "d", "success", 1), (2, "é", "lost", 1), (2, None, "lost", 1),
+        (3, "e", "retry", 1),
+    }
+    state = spark.read.parquet(str(tmp_path / "states" / "state"))
+    assert {r["task_id"] for r in state.where("batch_id = 3").collect()} == {"d", "e"}
+    assert {r["batch_id"] for r in state.select("batch_id").distinct().collect()} == {2, 3}
+
+
+def test_a_repeated_batch_of_states_changes_nothing(spark, tmp_path):
+    stream = _attempt_batches(spark, str(tmp_path / "in"), _BATCHES[:1])
+    first = _tracked(spark, stream, tmp_path / "x")
+    for checkpoint in ("one", "two"):
+        attempt_stream.track_attempts(stream, str(tmp_path / "x" / "states"), str(tmp_path / checkpoint)).awaitTermination()
+    again = attempt_stream.state_changes(spark, str(tmp_path / "x" / "states"))
+    assert sorted((r["batch_id"], r["task_id"], r["status"], r["attempts"]) for r in again.collect()) == first
+
+
+def test_closed_status_of_every_task(spark, tmp_path):
+    stream = _attempt_batches(spark, str(tmp_path / "in"), [*_BATCHES[:3], [("z", True, False, "09:00:00")]])
+    status = stream_logs.status_stream(stream)
+    got = stream_logs.run_to_table(status, str(tmp_path / "out"), str(tmp_path / "checkpoint")).collect()
+    assert {(r["task_id"], r["status"], r["attempts"]) for r in got} == {
+        ("a", "success", 2), ("b", "success", 2), ("c", "failed", 3), ("é", "lost", 1), (None, "lost", 1), ("d", "success", 1),
+    }
+
+
+def test_outcomes_are_recorded_once(spark, tmp_path):
+    """The first end of a task counts, however late it is repeated and whatever the repeat says."""
+    stream = _attempt_batches(spark, str(tmp_path / "in"), [*_BATCHES, [("a", False, True, "23:00:00"), ("b", True, False, "23:00:00")]])
+    stream = stream.withColumn("attempt", F.lit(1))
+    for _ in range(2):  # the second start finds nothing new
+        stream_logs.record_outcomes(stream, str(tmp_path / "ledger"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r["task_id"]: (r["ok"], str(r["end_ts"])) for r in stream_logs.recorded_outcomes(spark, str(tmp_path / "ledger")).collect()}
+    assert got == {
+        "a": (True, "2024-01-01 00:01:00"), "b": (False, "2024-01-01 00:00:20"), "c": (False, "2024-01-01 00:02:00"), "d": (True, "2024-01-01 05:00:00"),
+    }
+    assert stream_logs.recorded_outcomes(spark, str(tmp_path / "ledger")).count() == 4
 
 
 def test_stream_states_of_a_hot_task(spark, tmp_path):
-    """A task with many more rows than one Arrow batch is still counted whole."""
+    """A task with very many rows is counted whole, combined before the exchange."""
     rows = spark.range(25_000).select(
         F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(1).alias("task_id"),
         (F.col("id") == 7).alias("ok"),
@@ -143,11 +211,9 @@ def test_stream_states_of_a_hot_task(spark, tmp_path):
     )
     path = str(tmp_path / "attempts")
     rows.coalesce(1).write.parquet(path)
-    states = attempt_stream.attempt_states(spark.readStream.schema(rows.schema).parquet(path))
-    got = stream_logs.run_updates_to_table(states, str(tmp_path / "out"), str(tmp_path / "state"))
-    hot = got.where("task_id = 1").collect()
-    assert [(r["status"], r["attempts"]) for r in hot] == [("success", 22_500)]
-    assert got.count() == 2501
+    got = _tracked(spark, spark.readStream.schema(rows.schema).parquet(path), tmp_path)
+    assert [r[2:] for r in got if r[1] == 1] == [("success", 22_500)]
+    assert len(got) == 2501
 
 
 def test_stream_progress_has_closed_minutes_only(attempt_files):

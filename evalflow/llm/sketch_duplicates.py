@@ -32,7 +32,7 @@ from evalflow.llm.common import table
 from evalflow.llm.jaccard import components, forest, spanning_links
 from evalflow.llm.set_sketch import REGISTERS, may_reach, sketches
 from evalflow.llm.words import mix, pieces, shingle_sets, word_hashes
-from evalflow.staging import stage
+from evalflow.staging import owned, stage
 
 SIZE, PERCENT = 5, 85
 BANDS = 42
@@ -41,7 +41,7 @@ SLACK = 18.0
 #: Members of a block, and shingles of all its members, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 60_000
 
-_SKETCH = "doc_id long, text_key long, n long, set_id binary, registers binary, buckets array<long>"
+_SKETCH = "doc_id long, text_key long, n long, set_id binary, registers binary"
 
 
 def least_size(percent: int) -> float:
@@ -66,7 +66,7 @@ def _buckets(registers: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set), `registers` and `buckets` (NULL for too small sets)."""
+    """`doc_id`, `text_key`, `n`, `set_id` (NULL for the empty set) and `registers` (NULL for too small sets)."""
     least = least_size(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,6 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for part, sets in _sets(batch, size):
                 rows = [k for k, s in enumerate(sets) if len(s) >= least]
                 found = sketches([sets[k] for k in rows])
-                buckets = _buckets(found, BANDS).view(np.int64)
                 place = dict(zip(rows, range(len(rows)), strict=True))
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -84,9 +83,8 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(names, pa.binary()),
                         pa.array([found[place[k]].tobytes() if k in place else None for k in range(len(sets))], pa.binary()),
-                        pa.array([buckets[place[k]] if k in place else None for k in range(len(sets))], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "text_key", "n", "set_id", "registers", "buckets"],
+                    names=["doc_id", "text_key", "n", "set_id", "registers"],
                 )
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -103,10 +101,23 @@ def _allowed(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, per
     return may_reach(percent / 100, SLACK, n_x, n_y, larger, smaller, x.shape[1] - larger - smaller)
 
 
+def bucket_cells(sketched: DataFrame) -> DataFrame:
+    """`set_id` and `bucket` of every class and band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
+                buckets = _buckets(_matrix(batch.column("registers")), BANDS).view(np.int64)
+                owners = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+                yield pa.RecordBatch.from_arrays([batch.column("set_id").take(owners), pa.array(buckets.ravel())], names=["set_id", "bucket"])
+
+    return sketched.select("set_id", "registers").mapInArrow(run, "set_id binary, bucket long")
+
+
 def _with_head(cells: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """`a` and `b`: classes that may be linked to the class of smallest name in a bucket of theirs."""
-    heads = cells.groupBy("bucket").agg(F.min("set_id").alias("b"), F.count("*").alias("members")).where("members > 1")
-    pairs = cells.join(heads, "bucket").where(F.col("set_id") > F.col("b")).select(F.col("set_id").alias("a"), "b").distinct()
+    """`a` and `b`: classes that may be linked to the class of smallest name (``head``) in a bucket of theirs."""
+    pairs = cells.where(F.col("set_id") > F.col("head")).select(F.col("set_id").alias("a"), F.col("head").alias("b")).distinct()
     side = sketched.select("set_id", "n", "registers")
     for name in ("a", "b"):
         side_of = side.toDF(name, f"n_{name}", f"r_{name}")
@@ -176,6 +187,7 @@ def _compared(pairs: DataFrame, compare) -> DataFrame:
 def _in_blocks(cells: DataFrame, sketched: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """`a` and `b` from the buckets of three classes or more in which several clusters meet."""
     named = clusters.select(F.col("node").alias("set_id"), "root")
+    cells = cells.where("members > 2").select("set_id", "bucket")
     labelled = cells.join(named, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = labelled.groupBy("bucket").agg(
         F.count("*").alias("members"),
@@ -184,7 +196,7 @@ def _in_blocks(cells: DataFrame, sketched: DataFrame, clusters: DataFrame, perce
         F.bit_xor(F.xxhash64("set_id")).alias("sign"),
     )
     # Of the buckets with the same members one will do.
-    mixed = mixed.where("members > 2 and first < last").groupBy("members", "sign").agg(F.min("bucket").alias("bucket"))
+    mixed = mixed.where("first < last").groupBy("members", "sign").agg(F.min("bucket").alias("bucket"))
     blocks = mixed.select("bucket", F.ceil(F.col("members") / BLOCK_MEMBERS).alias("blocks"))
     rows = cells.join(blocks, "bucket").join(sketched.select("set_id", "n", "registers"), "set_id")
     pairs = _block_pairs(rows.withColumn("member", F.struct("set_id", "n", "registers")), "bucket", "member")
@@ -193,8 +205,10 @@ def _in_blocks(cells: DataFrame, sketched: DataFrame, clusters: DataFrame, perce
 
 def candidate_clusters(sketched: DataFrame, percent: int) -> DataFrame:
     """`node` and `root`: every two linked classes have the same root. ``sketched`` has one row per class."""
-    # One exchange by bucket serves both sides of the join and the count.
-    cells = sketched.select("set_id", F.explode("buckets").alias("bucket")).repartition("bucket")
+    # One exchange by bucket serves both sides of the join; classes alone in their bucket go no further.
+    cells = bucket_cells(sketched).repartition("bucket")
+    heads = cells.groupBy("bucket").agg(F.min("set_id").alias("head"), F.count("*").alias("members")).where("members > 1")
+    cells = stage(cells.join(heads, "bucket"), "sketch-cells")
     near = stage(_with_head(cells, sketched, percent), "sketch-candidates")
     further = _in_blocks(cells, sketched, components(near), percent)
     return components(near.unionByName(further))
@@ -212,6 +226,8 @@ def links(docs: DataFrame, sketched: DataFrame, size: int = SIZE, percent: int =
     wanted = members.join(blocks, "root").select(
         "set_id", "root", "blocks", F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")
     )
+    # A written table has a known size: where it is small, texts are not exchanged to find its rows.
+    wanted = stage(wanted, "sketch-wanted")
     # One row stands for a class: copies of its text under other ids stay where they are.
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
@@ -237,13 +253,17 @@ def links(docs: DataFrame, sketched: DataFrame, size: int = SIZE, percent: int =
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """`doc_id`, `text_key`, `n_shingles`, `component_id` and `kept` (of smallest id in its component) for every row."""
-    signed = stage(signatures(docs, size, percent), "sketch-signatures")
-    # A class is its row of smallest id; copies are combined before the exchange.
-    fields = ("doc_id", "text_key", "n", "registers", "buckets")
-    classes = signed.where("buckets is not null").groupBy("set_id").agg(F.min(F.struct(*fields)).alias("one"))
-    sketched = stage(classes.select("set_id", "one.*"), "sketch-classes")
+    with owned(docs.sparkSession) as tables:
+        signed = stage(signatures(docs, size, percent), "sketch-signatures")
+        # A class is its row of smallest id; copies are combined before the exchange.
+        one = F.min(F.struct("doc_id", "text_key", "n", "registers")).alias("one")
+        classes = signed.where("registers is not null").groupBy("set_id").agg(one)
+        sketched = stage(classes.select("set_id", "one.*"), "sketch-classes")
+        tables.pop()
+        signed = stage(signed.select("doc_id", "text_key", "n", "set_id"), "sketch-names")
+        tables.pop()
     roots = components(links(docs, sketched, size, percent))
-    rows = signed.select("doc_id", "text_key", "n", "set_id").join(roots, F.col("set_id") == F.col("node"), "left")
+    rows = signed.join(roots, F.col("set_id") == F.col("node"), "left")
     rows = stage(rows.select("doc_id", "text_key", "n", F.coalesce("root", "set_id").alias("root")), "sketch-rooted")
     named = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "of_root")
     found = rows.join(named, F.col("root") == F.col("of_root"), "left")

@@ -6,6 +6,7 @@ callable ``client(request_json, attempt) -> response_json``; it signals failure
 
 from __future__ import annotations
 
+import queue
 import threading
 import time
 from collections import deque
@@ -29,6 +30,8 @@ ATTEMPT_SCHEMA = (
 )
 #: Requests of a task, about: what is lost with an executor, and the smallest share that can be dealt anew.
 TASK_REQUESTS = 1000
+#: Attempts that leave a task at a time, about.
+_ROWS = 500
 _COLUMNS = [field.strip().split(" ")[0] for field in ATTEMPT_SCHEMA.split(",")]
 
 
@@ -51,29 +54,44 @@ def _is_final(error: Exception) -> bool:
     return not isinstance(error, (ConnectionError, TimeoutError))
 
 
-def _within(timeout_s: float | None, call: Callable[[], str]) -> str:
-    """The call's result; a call that takes longer is left behind in its thread and counts as timed out."""
-    if not timeout_s or timeout_s <= 0:
-        return call()
-    box: dict[str, object] = {}
+class _Caller:
+    """Makes calls in a thread of its own, so that a call can be left behind when its time is over.
 
-    def run() -> None:
+    The thread is kept from call to call; only one that did not answer is replaced.
+    """
+
+    def __init__(self, client: Client):
+        self.client = client
+        self._start()
+
+    def _start(self) -> None:
+        self.asked, self.answers = queue.SimpleQueue(), queue.SimpleQueue()
+        threading.Thread(target=self._serve, args=(self.asked, self.answers), daemon=True).start()
+
+    def _serve(self, asked: queue.SimpleQueue, answers: queue.SimpleQueue) -> None:
+        while (call := asked.get()) is not None:
+            try:
+                answers.put((self.client(*call), None))
+            except BaseException as e:  # the worker's own exit has to reach the worker
+                answers.put((None, e))
+
+    def __call__(self, request: str, attempt: int, timeout_s: float) -> str:
+        self.asked.put((request, attempt))
         try:
-            box["result"] = call()
-        except Exception as e:
-            box["error"] = e
+            response, error = self.answers.get(timeout=timeout_s)
+        except queue.Empty:
+            self.asked.put(None)  # for when the call comes back after all
+            self._start()
+            raise TimeoutError(f"no answer within {timeout_s:g} s") from None
+        if error is not None:
+            raise error
+        return response
 
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(timeout_s)
-    if thread.is_alive():
-        raise TimeoutError(f"no answer within {timeout_s:g} s")
-    if "error" in box:
-        raise box["error"]
-    return box["result"]
+    def close(self) -> None:
+        self.asked.put(None)
 
 
-def _call_with_retries(client, accept, max_attempts, backoff_s, timeout_s, row: tuple) -> list[tuple]:
+def _call_with_retries(client, accept, max_attempts, backoff_s, row: tuple) -> list[tuple]:
     """All attempts of one request, the last one being a success or the final failure."""
     task_id, model, phase, request, *carried = row
     attempts = []
@@ -81,7 +99,7 @@ def _call_with_retries(client, accept, max_attempts, backoff_s, timeout_s, row:
         start = pd.Timestamp.now("UTC").tz_localize(None)
         response, error, final = None, None, False
         try:
-            response = _within(timeout_s, lambda: client(request, attempt))  # noqa: B023
+            response = client(request, attempt)
             if accept is not None and not accept(response):
                 error = "response could not be read"
         except Exception as e:
@@ -116,13 +134,14 @@ def invoke(
 
     A request is tried until it succeeds, fails for good, or used ``max_attempts``. A call without answer after
     ``timeout_s`` and an answer that ``accept`` turns down are failures that may be repeated. Columns in ``carry``
-    are repeated on every attempt; ids keep their type. Requests are spread by ``spread`` over tasks of about
-    TASK_REQUESTS requests, or ``partitions`` tasks, with ``concurrency`` calls at once in each, and called in the order
-    of their ids inside a task.
+    are repeated on every attempt and belong to the key of a request; ids keep their type. Requests are spread by ``spread``
+    over tasks of about TASK_REQUESTS requests, or ``partitions`` tasks, with ``concurrency`` calls at once in each, and
+    called in the order of their ids inside a task.
 
     The attempts are written and read back, so no later action repeats a call. With ``attempts_path`` they are written
-    there in ``buckets`` parts, one after the other, and requests that have ended in an earlier run are not
-    called again: a run that is broken off repeats the calls of one bucket at most.
+    there, every task's as soon as it is done (a repeated task replaces its own file), and requests that have ended in an
+    earlier run are not called again: a run that is broken off repeats the calls of the tasks that were running at
+    most. ``buckets`` cuts a run into that many jobs, one after the other.
     """
     spark = requests.sparkSession
     source = requests.select("task_id", "model", F.lit(phase).alias("phase"), "request", *carry)
@@ -134,18 +153,40 @@ def invoke(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
+        callers, idle = [], queue.SimpleQueue()
+
+        def ask(request: str, attempt: int) -> str:
+            if not timeout_s or timeout_s <= 0:
+                return client(request, attempt)
+            caller = idle.get()
+            try:
+                return caller(request, attempt, timeout_s)
+            finally:
+                idle.put(caller)
+
         try:
+            if timeout_s and timeout_s > 0:
+                callers = [_Caller(client) for _ in range(concurrency)]
+                for caller in callers:
+                    idle.put(caller)
             with ThreadPoolExecutor(concurrency) as pool:
                 # The pool is kept filled across batches; results leave in the order of the requests.
-                waiting = deque()
+                waiting, held = deque(), []
                 for batch in batches:
                     for row in batch.itertuples(index=False, name=None):
-                        waiting.append(pool.submit(_call_with_retries, client, accept, max_attempts, backoff_s, timeout_s, row))
+                        waiting.append(pool.submit(_call_with_retries, ask, accept, max_attempts, backoff_s, row))
                         if len(waiting) > 4 * concurrency:
-                            yield pd.DataFrame(waiting.popleft().result(), columns=columns)
+                            held += waiting.popleft().result()
+                        if len(held) >= _ROWS:
+                            yield pd.DataFrame(held, columns=columns)
+                            held = []
                 while waiting:
-                    yield pd.DataFrame(waiting.popleft().result(), columns=columns)
+                    held += waiting.popleft().result()
+                if held:
+                    yield pd.DataFrame(held, columns=columns)
         finally:
+            for caller in callers:
+                caller.close()
             getattr(client, "close", lambda: None)()
 
     def called(part: DataFrame) -> DataFrame:
@@ -155,23 +196,27 @@ def invoke(
 
     if attempts_path is None:
         return stage(called(source), "attempts")
+    keys = ["task_id", "model", "phase", *carry]
     try:
-        ended = spark.read.schema(schema).parquet(attempts_path).where("last").select("task_id", "model", "phase")
-        source = source.join(ended, ["task_id", "model", "phase"], "left_anti").select(*source.columns)
+        ended = spark.read.schema(schema).parquet(attempts_path).where("last").select(*keys)
+        source = source.join(ended, keys, "left_anti").select(*source.columns)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
     source = stage(source, "requests")
     for bucket in range(buckets):
-        part = source.where(F.pmod(F.xxhash64("task_id", "model"), F.lit(buckets)) == bucket)
-        called(part).write.mode("append").parquet(attempts_path)
+        part = source.where(F.pmod(F.xxhash64("task_id", "model"), F.lit(buckets)) == bucket) if buckets > 1 else source
+        # Version 2 of the committer puts a task's file in place when the task ends, not when the job does.
+        called(part).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(attempts_path)
     return spark.read.schema(schema).parquet(attempts_path)
 
 
-def warm_up(spark: SparkSession, client_factory: ClientFactory, model: str, request: str) -> DataFrame:
+def warm_up(
+    spark: SparkSession, client_factory: ClientFactory, model: str, request: str, timeout_s: float | None = 300.0
+) -> DataFrame:
     """Attempt rows of one call that loads the model; phase ``warmup`` keeps them out of statistics."""
     one = spark.createDataFrame([(-1, model, request)], "task_id bigint, model string, request string")
-    return invoke(one, client_factory, max_attempts=1, concurrency=1, partitions=1, phase="warmup")
+    return invoke(one, client_factory, max_attempts=1, concurrency=1, partitions=1, phase="warmup", timeout_s=timeout_s)
 
 
 def run_attempts(attempts: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
@@ -15,15 +17,12 @@ from evalflow.plans.runs import RunOptions, generate, verify
 from evalflow.sources.datasets import ColumnRoles, publish, write_csv, write_json_lines
 from evalflow.sources.stats import append_stats
 
-_VERDICT_KEYS = ["task_id", "tested_model", "evaluator_model"]
-
-
 def _written(df: DataFrame, path: str) -> DataFrame | None:
     """What is at the path, or None where nothing is yet."""
     try:
         return df.sparkSession.read.parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
@@ -37,19 +36,21 @@ def verification_flow(
     options: RunOptions | None = None,
     dataset_name: str = "",
 ) -> DataFrame:
-    """Verify generated queries and write verdicts, success and failure cases and statistics below ``target``.
+    """Verify generated queries; write the cases by verdict and the statistics below ``target``.
 
-    Rows that have a verdict in ``target`` are not asked again; the cases and the statistics cover the whole table.
-    Returns the statistics. Each call appends one row per model and evaluator to the log of statistics.
+    ``cases`` is the table of verdicts, one folder per kind (yes, no, other); a call adds its own rows to it. Rows with a
+    verdict there are not asked again, those whose call failed are; the statistics cover the whole table. Returns
+    the statistics. Each call appends one row per model and evaluator to the log of statistics.
     """
-    verdicts, names = f"{target}/verdicts", [evaluators] if isinstance(evaluators, str) else list(evaluators)
-    done = _written(results, verdicts)
-    run = verify(results, names, client_factory, roles, options, dataset_name, done)
-    run.rows.write.mode("append").parquet(verdicts)
-    whole = _written(results, verdicts)
-    # One folder per verdict: the success cases are resolve_yn=yes, the failure cases resolve_yn=no.
-    found = whole.where(F.col("resolve_yn").isin("yes", "no"))
-    found.sortWithinPartitions("task_id").write.mode("overwrite").partitionBy("resolve_yn").parquet(f"{target}/cases")
+    cases, names = f"{target}/cases", [evaluators] if isinstance(evaluators, str) else list(evaluators)
+    run = verify(results, names, client_factory, roles, options, dataset_name, _written(results, cases))
+    kind = F.when(F.col("resolve_yn").isin("yes", "no"), F.col("resolve_yn")).otherwise("other")
+    # A failed call has no verdict.
+    found = run.rows.where(F.col("resolve_yn").isNotNull()).withColumn("kind", kind)
+    found.sortWithinPartitions("task_id").write.mode("append").partitionBy("kind").parquet(cases)
+    whole = _written(results, cases)
+    if whole is None:  # not one call has succeeded so far
+        whole = results.sparkSession.createDataFrame([], found.schema)
     sizes = results.withColumnRenamed("model", "tested_model").withColumn(
         "evaluator_model", F.explode(F.array(*[F.lit(n) for n in names]))
     )
@@ -60,6 +61,21 @@ def verification_flow(
     return stats
 
 
+def _cause(error: Exception) -> str:
+    return f"{type(error).__name__}: {str(error).strip().splitlines()[0] if str(error).strip() else ''}"
+
+
+def _unreadable(splits: Mapping[str, DataFrame]) -> dict[str, str]:
+    """The splits whose rows cannot be read, each with its cause; a pass over every split, made only after a failure."""
+    found = {}
+    for name, rows in splits.items():
+        try:
+            rows.write.format("noop").mode("overwrite").save()
+        except Exception as error:  # whatever stops a split must not stop the others
+            found[name] = _cause(error)
+    return found
+
+
 def split_flow(
     splits: Mapping[str, DataFrame],
     models: str | Sequence[str],
@@ -68,32 +84,45 @@ def split_flow(
     per_split: int | None = None,
     roles: ColumnRoles | None = None,
     options: RunOptions | None = None,
-) -> list[str]:
-    """Generate for every split, write JSON lines and CSV for each, and publish those that went through.
+) -> dict[str, str]:
+    """Generate for all splits in one plan, write JSON lines, CSV and a published table, each with a folder per split.
 
-    A split that fails is left out and named in the result; the others are not touched by it. ``per_split`` takes the
-    first rows of each split by task id.
+    Returns the splits that failed with their causes: those whose rows cannot be read, and those none of whose requests
+    was answered. They are left out; the others are not touched by them. Where rows cannot be read the plan is
+    made again without their split, and calls that were made already are not repeated. ``per_split`` takes the first rows
+    of each split by task id.
     """
-    from evalflow.operators.ids import limit_rows
+    from evalflow.operators.ids import limit_per_group
 
-    failed, published = [], []
-    for name, rows in splits.items():
+    options = options or RunOptions()
+    if options.attempts_path is None:
+        options = replace(options, attempts_path=f"{target}/attempts")
+    failed, left = {}, dict(splits)
+    while left:
         try:
-            asked = rows if per_split is None else limit_rows(rows, per_split, ["task_id"])
-            done = generate(asked.drop("split"), models, client_factory, roles, options).rows
-            done.write.mode("overwrite").parquet(f"{target}/rows/{name}")
-            written = done.sparkSession.read.parquet(f"{target}/rows/{name}")
-            write_json_lines(written, f"{target}/{name}.jsonl", "overwrite")
-            write_csv(written, f"{target}/{name}.csv", "overwrite")
-        except Exception:  # whatever stops a split must not stop the others
-            failed.append(name)
-            continue
-        published.append(written.withColumn("split", F.lit(name)))
-    if published:
-        whole = published[0]
-        for part in published[1:]:
-            whole = whole.unionByName(part, allowMissingColumns=True)
-        publish(whole, f"{target}/published", "overwrite")
+            parts = [rows.drop("split").withColumn("split", F.lit(name)) for name, rows in left.items()]
+            whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+            asked = whole if per_split is None else limit_per_group(whole, per_split, ["task_id"], ["split"])
+            run = generate(asked, models, client_factory, roles, options, by=["split"])
+            run.rows.write.mode("overwrite").parquet(f"{target}/rows")
+            break
+        except Exception:
+            broken = _unreadable(left)
+            if not broken:  # the fault is not in the rows
+                raise
+            failed |= broken
+            left = {name: rows for name, rows in left.items() if name not in broken}
+    if not left:
+        return failed
+    verdicts = run.attempts.where("last").groupBy("split").agg(
+        F.bool_or("ok").alias("answered"), F.max_by("error", "end_ts").alias("error")
+    )
+    for split in verdicts.where("not answered").collect():
+        failed[split["split"]] = split["error"]
+    written = whole.sparkSession.read.schema(run.rows.schema).parquet(f"{target}/rows").where(~F.col("split").isin(*failed))
+    write_json_lines(written, f"{target}/jsonl", "overwrite")
+    write_csv(written, f"{target}/csv", "overwrite")
+    publish(written, f"{target}/published", "overwrite")
     return failed
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import json
+import warnings
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalflow.functions.latency import with_response_latency
@@ -30,19 +32,75 @@ from evalflow.sources.datasets import ColumnRoles
 
 @dataclass(frozen=True)
 class RunOptions:
+    """How the calls of a run are made.
+
+    ``accept`` says by mode whether an answer can be read (`readable` where a mode is not named, None: every answer is taken);
+    one that cannot is asked for again. With ``attempts_path`` calls are kept as they are made, below a folder per
+    mode, and a run that was broken off goes on with what is left. ``warm_up`` is a prompt that every model is sent
+    once before the run.
+    """
+
     max_attempts: int = 10
     concurrency: int = 10
     backoff_s: float = 1.0
     partitions: int | None = None
+    timeout_s: float | None = 300.0
+    accept: Mapping[str, Callable[[str], bool] | None] = field(default_factory=dict)
+    attempts_path: str | None = None
+    buckets: int = 1
+    warm_up: str | None = None
 
 
 @dataclass(frozen=True)
 class RunResult:
-    """Rows of a run, the attempts behind them and the statistics."""
+    """Rows of a run, the attempts behind them, the statistics, and the warm-up calls if there were any."""
 
     rows: DataFrame
     attempts: DataFrame
     stats: DataFrame
+    warm_ups: DataFrame | None = None
+
+
+def _answer(response: str) -> str | None:
+    """The answer text of a response in either shape; None where there is none."""
+    try:
+        found = json.loads(response)
+        if found.get("choices"):
+            return found["choices"][0]["message"]["content"]
+        return found["response"] if "response" in found else found["message"]["content"]
+    except (ValueError, TypeError, AttributeError, KeyError, IndexError):
+        return None
+
+
+def readable(mode: str) -> Callable[[str], bool]:
+    """Whether a response has an answer text, which for a translation has to be a JSON object."""
+
+    def read(response: str) -> bool:
+        answer = _answer(response)
+        if not isinstance(answer, str) or (mode != "text" and not answer.strip()):
+            return False
+        if mode != "translate":
+            return True
+        try:
+            return isinstance(json.loads(answer), dict)
+        except ValueError:
+            return False
+
+    return read
+
+
+def _warmed(spark: SparkSession, models: Sequence[str], mode: str, client_factory: ClientFactory, options: RunOptions) -> DataFrame | None:
+    """The warm-up calls of a run's models, one after the other; a failure is a warning."""
+    if options.warm_up is None:
+        return None
+    rows = spark.createDataFrame([(-1 - k, m, options.warm_up) for k, m in enumerate(models)], "task_id bigint, model string, prompt string")
+    requests = build_requests(rows, F.col("model"), mode).select("task_id", "model", "request")
+    calls = invoke(
+        requests, client_factory, max_attempts=1, concurrency=1, partitions=1, phase="warmup", timeout_s=options.timeout_s
+    )
+    for failed in calls.where("not ok").select("model", "error").collect():
+        warnings.warn(f"warm-up of {failed['model']} failed: {failed['error']}", stacklevel=3)
+    return calls.select("model", "ok", "error", seconds_between(F.col("start_ts"), F.col("end_ts")).alias("seconds"))
 
 
 def _call(
@@ -57,6 +115,10 @@ def _call(
         concurrency=options.concurrency,
         backoff_s=options.backoff_s,
         partitions=options.partitions,
+        timeout_s=options.timeout_s,
+        accept=options.accept.get(mode, readable(mode)),
+        attempts_path=options.attempts_path and f"{options.attempts_path}/{mode}",
+        buckets=options.buckets,
         carry=carry,
     )
 
@@ -71,10 +133,13 @@ def _outcomes(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return answers.join(spans, list(keys))
 
 
+def _named(names: str | Sequence[str]) -> list[str]:
+    return [names] if isinstance(names, str) else list(names)
+
+
 def _each(df: DataFrame, names: str | Sequence[str], column: str) -> DataFrame:
     """The rows once per name of a short list of models."""
-    listed = [names] if isinstance(names, str) else list(names)
-    return df.withColumn(column, F.explode(F.array(*[F.lit(n) for n in listed])))
+    return df.withColumn(column, F.explode(F.array(*[F.lit(n) for n in _named(names)])))
 
 
 def generate(
@@ -86,21 +151,24 @@ def generate(
     mode: str = "generate",
     dataset_name: str = "",
     done: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> RunResult:
     """Ask one or more models for SQL (or a translation) of every row; the dataset needs a ``task_id``.
 
     The result holds every row once per model, told apart by the column ``model``. ``done`` holds the
     keys of earlier output (``task_id``, and ``model`` if it is there); those rows are not asked again.
-    Splits are a column, so all models and splits run as one plan.
+    Splits are a column, so all models and splits run as one plan; ``by`` names columns without which a ``task_id`` is not
+    unique.
     """
     roles, options = roles or ColumnRoles(), options or RunOptions()
-    keys = ["task_id", "model"]
+    keys = ["task_id", "model", *by]
+    warm = _warmed(dataset.sparkSession, _named(models), mode, client_factory, options)
     asked = _each(dataset, models, "model")
     if done is not None:
         asked = pending_rows(asked, done, [k for k in keys if k in done.columns])
     translate = mode == "translate"
     prompted = translation_prompts(asked, roles) if translate else generation_prompts(asked, F.col("model"), roles)
-    attempts = _call(prompted, mode, client_factory, options)
+    attempts = _call(prompted, mode, client_factory, options, carry=by)
     answers = _outcomes(attempts, keys)
     if translate:
         parsed = answers.withColumn("_t", translation(F.col("content"))).select(
@@ -126,7 +194,7 @@ def generate(
             "ok": F.col("parse_status").eqNullSafe("ok"),
         }
     )
-    return RunResult(rows.drop("start_ts", "end_ts"), attempts, generation_stats(measured))
+    return RunResult(rows.drop("start_ts", "end_ts"), attempts, generation_stats(measured), warm)
 
 
 def verify(
@@ -150,6 +218,7 @@ def verify(
     if done is not None:
         earlier = done.select("task_id", "tested_model", F.col("evaluator_model").alias("model"))
         asked = pending_rows(asked, earlier, ["task_id", "tested_model", "model"])
+    warm = _warmed(results.sparkSession, _named(evaluators), "verdict", client_factory, options)
     attempts = _call(verdict_prompts(asked, roles), "verdict", client_factory, options, carry=["tested_model"])
     read = with_verdict(_outcomes(attempts, ["task_id", "tested_model", "model"]))
     verdicts = tidy_verdicts(read.select("task_id", "tested_model", F.col("model").alias("evaluator_model"), "resolve_yn"))
@@ -160,7 +229,7 @@ def verify(
         verdicts.withColumn("test_dataset", F.lit(dataset_name)),
         names,
     )
-    return RunResult(joined, attempts, stats)
+    return RunResult(joined, attempts, stats, warm)
 
 
 def benchmark(
@@ -186,6 +255,10 @@ def benchmark(
         concurrency=options.concurrency,
         backoff_s=options.backoff_s,
         partitions=options.partitions,
+        timeout_s=options.timeout_s,
+        accept=options.accept.get("text"),
+        attempts_path=options.attempts_path and f"{options.attempts_path}/benchmark",
+        buckets=options.buckets,
         spread=["model"],
     )
     last = latest_outcome(attempts.drop("model", "phase"))

@@ -137,13 +137,20 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """CSV whose texts may hold line breaks and doubled quotes."""
+    """CSV whose texts may hold line breaks and doubled quotes. Such a file cannot be cut, so a large table has to come as
+    many files (or as JSON lines); each file is one task.
+    """
     return _reader(spark, "csv", schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with doubled quotes; NULL is written as a mark of its own, so empty texts and NULL both come back."""
-    df.write.mode(mode).options(header="true", quote='"', escape='"', nullValue=NULL_MARK).csv(path)
+    """CSV with doubled quotes, one folder per split when there is a ``split`` column; NULL is written as a mark of its
+    own, so empty texts and NULL both come back.
+
+    A file whose texts hold line breaks is read back by one task, so write as many files as there are tasks to read them.
+    """
+    writer = df.write.mode(mode).options(header="true", quote='"', escape='"', nullValue=NULL_MARK)
+    (writer.partitionBy("split") if "split" in df.columns else writer).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalflow.operators import outcomes, shape
-from evalflow.sources import datasets, logs, stats
+from evalflow.sources import artifacts, datasets, logs, stats
 from evalflow.staging import stage_path
 from suite import duck
 from suite.registry import query
@@ -240,10 +240,14 @@ def _(spark, sf):
 def _(spark, sf):
     path = stage_path(spark, "resume")
     rows = _documents(spark, sf)
-    first = rows.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    first.withColumn("run", F.lit("first")).write.parquet(path)
-    done = spark.read.parquet(path)
-    # Running the rest twice adds nothing the second time.
-    for _ in range(2):
-        shape.pending_rows(rows, spark.read.parquet(path), ["doc_id"]).withColumn("run", F.lit("second")).write.mode("append").parquet(path)
-    return spark.read.schema(done.schema).parquet(path)
+    labels = table(spark, sf, "labels").select("doc_id")
+    schema = rows.withColumn("run", F.lit("")).schema
+
+    def stage_of(run, todo, finished=None):
+        return artifacts.resume_stage(todo, path, ["doc_id"], lambda r: r.withColumn("run", F.lit(run)), schema, 16, finished)
+
+    stage_of("first", rows.join(labels, "doc_id", "left_semi"))
+    # Rows that fail are tried again by the next run; running the rest twice adds nothing the second time.
+    stage_of("second", rows, F.col("doc_id") % 2 == 0)
+    stage_of("second", rows)
+    return stage_of("third", rows)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import warnings
+import zlib
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -14,7 +16,7 @@ from evalflow.operators import ids, invoke, joins, outcomes, prompts, shape, tim
 from evalflow.plans import flows, runs
 from evalflow.sources import artifacts, logs, stats
 from evalflow.sources.datasets import ColumnRoles, apply_roles, output_column
-from evalflow.staging import stage_path
+from evalflow.staging import stage, stage_path
 from suite import duck
 from suite.registry import query
 from suite.views import table, view
@@ -615,33 +617,164 @@ def _(spark, sf):
     # The second run takes up what the first one left.
     flows.verification_flow(results.where("split = 'en'"), "judge", stub_client, target, options=_OPTIONS, dataset_name="first")
     flows.verification_flow(results, "judge", stub_client, target, options=_OPTIONS, dataset_name="all")
-    cases = spark.read.parquet(f"{target}/cases").groupBy(F.col("resolve_yn").alias("kind")).agg(F.count("*").alias("n"))
+    cases = spark.read.parquet(f"{target}/cases").groupBy("kind").agg(F.count("*").alias("n"))
     logged = stats.read_stats(spark, f"{target}/stats").where("test_dataset = 'all'")
     sums = logged.select(F.explode(F.create_map(F.lit("size"), "test_size", F.lit("correct"), "successful_count")).alias("kind", "n"))
     return cases.unionByName(sums)
 
 
+def _split_copies(spark, target, names):
+    """How often a row of a split is in the published table, the JSON lines and the CSV."""
+    schema = spark.read.parquet(f"{target}/rows").drop("split").schema
+    out = spark.read.parquet(f"{target}/published").select("task_id", "split", "gen_sql")
+    for name in names:
+        lines = spark.read.schema("task_id bigint, gen_sql string").json(f"{target}/jsonl/split={name}")
+        cells = spark.read.schema(schema).options(header="true", multiLine="true", quote='"', escape='"', nullValue="\\N").csv(f"{target}/csv/split={name}")
+        for df in (lines, cells):
+            out = out.unionByName(df.select("task_id", F.lit(name).alias("split"), "gen_sql"))
+    return out.groupBy("task_id", "split", "gen_sql").agg(F.count("*").cast("int").alias("copies"))
+
+
 @query(
     "split_flow",
-    f"""SELECT task_id, split, CASE WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql, 3 AS copies
-        FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY task_id) AS r FROM ({_STUB}) s) t WHERE split <> 'fr' AND r <= 200""",
+    f"SELECT task_id, split, CASE WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql, 3 AS copies FROM ({_STUB}) s WHERE split <> 'fr'",
 )
 def _(spark, sf):
     qa, target = _qa(spark, sf), stage_path(spark, "splits")
     parts = {name: qa.where(F.col("split") == name) for name in ("de", "en", "es")}
-    # A split whose rows cannot be read fails, the others do not.
+    # A split whose rows cannot be read fails and is named, the others do not.
     broken = qa.where("split = 'fr'").withColumn("question", F.raise_error(F.lit("unreadable")).cast("string"))
-    failed = flows.split_flow({**parts, "fr": broken}, "qwq", stub_client, target, 200, options=_OPTIONS)
-    published = spark.read.parquet(f"{target}/published").where(~F.col("split").isin(failed)).select("task_id", "split", "gen_sql")
-    out = published
-    for name in parts:
-        lines = spark.read.schema("task_id bigint, gen_sql string").json(f"{target}/{name}.jsonl")
-        schema = spark.read.parquet(f"{target}/rows/{name}").schema
-        cells = spark.read.schema(schema).options(header="true", multiLine="true", quote='"', escape='"', nullValue="\\N").csv(f"{target}/{name}.csv")
-        for df in (lines, cells):
-            out = out.unionByName(df.select("task_id", F.lit(name).alias("split"), "gen_sql"))
-    counted = out.groupBy("task_id", "split", "gen_sql").agg(F.count("*").cast("int").alias("copies"))
-    return counted
+    failed = flows.split_flow({**parts, "fr": broken}, "qwq", stub_client, target, options=_OPTIONS)
+    if list(failed) != ["fr"] or "unreadable" not in failed["fr"]:
+        raise ValueError(f"failed splits: {failed}")
+    return _split_copies(spark, target, parts)
+
+
+@query(
+    "split_flow_head",
+    f"""SELECT task_id, split, CASE WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql, 3 AS copies
+        FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY task_id) AS r FROM ({_STUB}) s) t WHERE r <= 20""",
+)
+def _(spark, sf):
+    qa, target = _qa(spark, sf), stage_path(spark, "splits")
+    parts = {name: qa.where(F.col("split") == name) for name in ("de", "en", "es", "fr")}
+    flows.split_flow(parts, "qwq", stub_client, target, 20, options=_OPTIONS)
+    return _split_copies(spark, target, parts)
+
+
+def breaking_client():
+    """The stub, but some requests end the worker: the run breaks off half way."""
+    call = stub_client()
+
+    def broken(request_json, attempt):
+        if zlib.crc32(request_json.encode()) % 50 == 0:
+            raise SystemExit("the worker is lost")
+        return call(request_json, attempt)
+
+    return broken
+
+
+@query(
+    "broken_run_resumed",
+    f"""SELECT task_id, CAST(attempts AS BIGINT) AS calls, CAST(1 AS BIGINT) AS ends,
+        CASE WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql FROM ({_STUB}) s""",
+)
+def _(spark, sf):
+    """A run that breaks off half way and is started again: every call is in the log once, every request has one end."""
+    options = runs.RunOptions(max_attempts=4, backoff_s=0.0, partitions=64, concurrency=2, attempts_path=stage_path(spark, "calls"))
+    try:
+        runs.generate(_qa(spark, sf), "qwq", breaking_client, options=options)
+    except Exception:
+        pass
+    rows = runs.generate(_qa(spark, sf), "qwq", stub_client, options=options)
+    ends = rows.attempts.groupBy("task_id").agg(F.count("*").alias("calls"), F.count_if("last").alias("ends"))
+    return ends.join(rows.rows.select("task_id", "gen_sql"), "task_id")
+
+
+def unreadable_client():
+    """Every third prompt length is answered with no JSON first, with no answer text then, and readably at last."""
+    call = stub_client()
+
+    def answer(request_json, attempt):
+        if len(json.loads(request_json)["prompt"]) % 3 == 0 and attempt <= 2:
+            return "Sorry, here it comes" if attempt == 1 else json.dumps({"response": None})
+        return call(request_json, attempt)
+
+    return answer
+
+
+@query(
+    "unreadable_answers",
+    f"""SELECT task_id, CASE WHEN n % 3 <> 0 THEN attempts WHEN n % 7 = 0 THEN 3 WHEN n % 11 = 0 THEN 4 ELSE 3 END::BIGINT AS calls,
+        CASE WHEN n % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS unreadable, CASE WHEN ok THEN 'SELECT ' || n || ';' END AS gen_sql FROM ({_STUB}) s""",
+)
+def _(spark, sf):
+    result = runs.generate(_qa(spark, sf), "qwq", unreadable_client, options=_OPTIONS)
+    calls = result.attempts.groupBy("task_id").agg(
+        F.count("*").alias("calls"), F.count_if(F.col("error") == "response could not be read").alias("unreadable")
+    )
+    return calls.join(result.rows.select("task_id", "gen_sql"), "task_id")
+
+
+def refusing_judge():
+    """The stub for verdicts, but out of order for every fifth prompt length."""
+    call = stub_client()
+
+    def judge(request_json, attempt):
+        if len(json.loads(request_json)["prompt"]) % 5 == 0:
+            raise invoke.CallError("out of order", 503)
+        return call(request_json, attempt)
+
+    return judge
+
+
+@query(
+    "failed_verdicts_repeated",
+    f"""SELECT 'first' AS run, CAST(count(*) FILTER (ok AND n % 5 <> 0 AND n % 2 = 1) AS BIGINT) AS correct,
+          CAST(count(*) FILTER (ok AND n % 5 <> 0) AS BIGINT) AS verdicts FROM ({_JUDGED}) j
+        UNION ALL SELECT 'second', CAST(count(*) FILTER (ok AND n % 2 = 1) AS BIGINT), CAST(count(*) FILTER (ok) AS BIGINT) FROM ({_JUDGED}) j""",
+)
+def _(spark, sf):
+    """Rows whose call failed are asked again by the next run; those with a verdict are not."""
+    results = _gen(_qa(spark, sf)).withColumn("model", F.lit("qwq"))
+    target, out = stage_path(spark, "verification"), None
+    for name, client in (("first", refusing_judge), ("second", stub_client)):
+        stats_of = flows.verification_flow(results, "judge", client, target, options=_OPTIONS, dataset_name="d")
+        cases = spark.read.parquet(f"{target}/cases").agg(F.count("*").alias("verdicts"))
+        row = stats_of.select(F.lit(name).alias("run"), F.col("successful_count").alias("correct"))
+        # Written, since the next run adds to the cases.
+        row = stage(row.join(F.broadcast(cases)), "verdict-counts")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "warmed_run",
+    f"""SELECT model, warm, CASE WHEN warm THEN 0 ELSE 1 END::INTEGER AS errors, (SELECT count(*) FROM ({_STUB}) s)::BIGINT AS requests
+        FROM (VALUES ('gone', false), ('qwq', true)) v(model, warm)""",
+)
+def _(spark, sf):
+    """Warm-up calls are reported apart; a model that does not warm up is a warning, and its run goes on."""
+
+    def client():
+        call = stub_client()
+
+        def answer(request_json, attempt):
+            if '"hello"' in request_json:
+                if "gone" in request_json:
+                    raise invoke.CallError("no such model", 404)
+                return json.dumps({"response": "hi"})
+            return call(request_json, attempt)
+
+        return answer
+
+    options = runs.RunOptions(max_attempts=4, backoff_s=0.0, warm_up="hello")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        result = runs.generate(_qa(spark, sf), ["qwq", "gone"], client, options=options)
+    asked = result.attempts.where("last").groupBy("model").agg(F.count("*").alias("requests"))
+    warm = result.warm_ups.select("model", F.col("ok").alias("warm"), F.col("error").isNotNull().cast("int").alias("errors"))
+    return warm.join(asked, "model")
 
 
 @query(

@@ -9,6 +9,8 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from evalflow.functions.tokens import python_tokens
+from evalflow.plans import flows, runs
+from evalflow.sources import artifacts
 from evalflow.operators import ids, invoke, joins, outcomes, prompts, reports, shape, timeline
 from evalflow.sources.datasets import ColumnRoles, DatasetSpec, apply_roles, output_column
 from evalflow.staging import owned, stage, stage_dir
@@ -303,12 +305,125 @@ def test_a_broken_run_is_resumed_without_repeated_calls(spark, tmp_path):
     assert before > 0 and set(calls) == {r[2] for r in rows} and len(calls) <= 20 + 3
 
 
+def test_finished_tasks_of_a_broken_job_are_kept(spark, tmp_path):
+    """Without any buckets: a task's calls are in place when it ends, not when the job does."""
+    log = tmp_path / "calls"
+    log.mkdir()
+    broken = tmp_path / "broken"
+
+    def factory():
+        def call(request, attempt):
+            if request == "r150" and not broken.exists():
+                while len(list(log.iterdir())) < 150:
+                    time.sleep(0.05)
+                time.sleep(2)
+                broken.touch()
+                raise SystemExit("the worker is lost")
+            (log / f"{request}-{time.time_ns()}").touch()
+            return request
+
+        return call
+
+    df = spark.createDataFrame([(i, "m", f"r{i}") for i in range(200)], "task_id bigint, model string, request string")
+    path = str(tmp_path / "attempts")
+    options = dict(backoff_s=0.0, concurrency=1, partitions=200, attempts_path=path)
+    with pytest.raises(Exception, match="(?i)worker|exit|task"):
+        invoke.invoke(df, factory, **options)
+    attempts = invoke.invoke(df, factory, **options)
+    assert attempts.count() == attempts.where("last").select("task_id").distinct().count() == 200
+    # Only what was under way when the job ended is called again: a task at most for each core.
+    assert 200 <= len(list(log.iterdir())) <= 208
+
+
+def test_carried_columns_belong_to_the_key_of_a_request(spark, tmp_path):
+    rows = [(1, "m", "x", "a"), (1, "m", "y", "b")]
+    df = spark.createDataFrame(rows, "task_id bigint, model string, request string, tested string")
+    client = lambda: lambda request, attempt: request
+    for part in (df.where("tested = 'a'"), df):
+        attempts = invoke.invoke(part, client, carry=["tested"], attempts_path=str(tmp_path / "calls"))
+    assert sorted((r["tested"], r["response"]) for r in attempts.collect()) == [("a", "x"), ("b", "y")]
+
+
+def test_readable_answers():
+    yes, no = runs.readable("generate"), runs.readable("translate")
+    assert yes('{"response": "x"}') and yes('{"choices": [{"message": {"content": "x"}}]}') and yes('{"message": {"content": "x"}}')
+    assert not any(yes(x) for x in ("", "no json", "[]", "null", '{"response": null}', '{"response": " "}', '{"choices": [{}]}', '{"other": 1}'))
+    assert no('{"response": "{\\"question\\": \\"q\\"}"}') and not no('{"response": "plain"}') and not no('{"response": "[1]"}')
+
+
+def test_warm_up_failures_are_warnings(spark):
+    def factory():
+        def call(request, attempt):
+            raise invoke.CallError("no such model", 404)
+
+        return call
+
+    rows = spark.createDataFrame([(1, "c", "q", "a")], "task_id bigint, context string, question string, answer string")
+    with pytest.warns(UserWarning, match="warm-up of m2 failed: .*no such model"):
+        result = runs.generate(rows, ["m1", "m2"], factory, options=runs.RunOptions(max_attempts=1, warm_up="hello"))
+    assert result.warm_ups.count() == 2 and result.attempts.where("phase <> 'run'").count() == 0
+    assert runs.generate(rows, "m1", factory, options=runs.RunOptions(max_attempts=1)).warm_ups is None
+
+
+def test_resume_exchanges_the_rows_to_do_only(spark, tmp_path):
+    path = str(tmp_path / "it's finished")
+    todo = spark.range(1000).select(F.col("id").cast("string").alias("task_id"), (F.col("id") % 3).alias("part"))
+    schema = todo.withColumn("n", F.lit(1)).schema
+    keys, before = ["task_id", "part"], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def run(rows, n, **options):
+        return artifacts.resume_stage(rows, path, keys, lambda r: r.withColumn("n", F.lit(n)), schema, 16, **options)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run(todo.where("task_id < 300"), 1)
+        run(todo, 2, finished=F.col("task_id") != "7000")
+        got = run(todo, 3)
+        assert {(r["n"], r["count"]) for r in got.groupBy("n").count().collect()} == {(1, 300), (2, 700)}
+        known = artifacts.bucketed_table(spark, path, schema, keys, 16)
+        plan = shape.pending_rows(todo, known, keys)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = plan.index("FileScan")
+    assert plan[:scan].count("Exchange") == 1 and plan.index("Exchange") < plan.index("Range") < scan
+    # Failed rows are tried again.
+    run(todo.withColumn("task_id", F.concat(F.lit("x"), "task_id")), 4, finished=F.col("part") > 0)
+    assert run(todo.withColumn("task_id", F.concat(F.lit("x"), "task_id")), 5).where("n = 5").count() == 334
+
+
 def test_unreadable_answers_are_retried(spark, flaky_client):
     df = spark.createDataFrame([(1, "m", "x")], "task_id bigint, model string, request string")
     attempts = invoke.invoke(df, flaky_client, max_attempts=3, backoff_s=0.0, accept=lambda r: False)
     assert [r["error"] for r in attempts.orderBy("attempt").collect()] == ["response could not be read"] * 3
 
 
+def test_split_flow_names_failed_splits_and_their_causes(spark, tmp_path):
+    def factory():
+        import json
+
+        def call(request, attempt):
+            if "hopeless" in request:
+                raise invoke.CallError("quota used up", 403)
+            return json.dumps({"response": "```sql\nSELECT 1;\n```"})
+
+        return call
+
+    def rows(n, question="q"):
+        return spark.range(n).select(F.col("id").alias("task_id"), F.lit("c").alias("context"), F.lit(question).alias("question"), F.lit("a").alias("answer"))
+
+    bad = rows(3).withColumn("question", F.raise_error(F.lit("broken page")).cast("string"))
+    splits = {"good": rows(5), "bad": bad, "refused": rows(2, "hopeless"), "more": rows(4).withColumn("extra", F.lit(1))}
+    failed = flows.split_flow(splits, "m", factory, str(tmp_path / "out"), options=runs.RunOptions(max_attempts=2, backoff_s=0.0))
+    assert set(failed) == {"bad", "refused"} and "broken page" in failed["bad"] and "quota used up" in failed["refused"]
+    published = spark.read.parquet(str(tmp_path / "out" / "published"))
+    assert {(r["split"], r["count"]) for r in published.groupBy("split").count().collect()} == {("good", 5), ("more", 4)}
+    assert published.where("gen_sql is null").count() == 0
+    # The same ids in several splits are different requests; none was made twice.
+    calls = spark.read.parquet(str(tmp_path / "out" / "attempts" / "generate"))
+    assert calls.count() == calls.select("split", "task_id").distinct().count() == 11
+    assert flows.split_flow({"bad": bad}, "m", factory, str(tmp_path / "none")).keys() == {"bad"}
+
+
 def test_calls_are_not_repeated(spark):
     """A client that answers differently each time still gives one answer per request."""
 

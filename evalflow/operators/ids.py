@@ -18,13 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalflow.staging import stage
+from evalflow.staging import stage_dealt
 
 _PART, _SEQ = "_part", "_seq"
 
 
 def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], partitions: int | None) -> DataFrame:
-    """Staged copy of ``df``, range-partitioned and sorted, with its partition and row number."""
+    """Staged copy of ``df``, range-partitioned and sorted, with its partition and row number.
+
+    This is the one exchange of the rows: the copy is dealt by partition, so windows over it are computed where it is read.
+    """
     keys = [*group, *order]
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     numbered = ranged.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
@@ -35,7 +38,8 @@ def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
             _SEQ: F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)),
         }
     ).drop("_mid")
-    return stage(numbered, "ranged")
+    buckets = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage_dealt(numbered, "ranged", _PART, max(1, buckets))
 
 
 def _group_window(group: Sequence[str]):
@@ -49,28 +53,9 @@ def positions(
     name: str = "position",
     partitions: int | None = None,
 ) -> DataFrame:
-    """Add the zero-based position of each row in the order (inside its group).
-
-    The second pass aggregates to one row per (group, partition), so its windows see at most one
-    row per partition and group.
-    """
-    ranged = _ranged(df, group, order, partitions)
-    before = _group_window(group).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*group, _PART)
-        .agg(F.count("*").alias("_n"), F.min(_SEQ).alias("_first"))
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first"))
-        .drop("_n", "_first")
-    )
-    joined = _null_safe_join(ranged, offsets, [*group, _PART])
-    return joined.withColumn(name, (F.col("_shift") + F.col(_SEQ)).cast("bigint")).select(*df.columns, name)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that also matches NULL keys (a NULL group is a group)."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    matches = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, reduce(and_, matches)).drop(*[f"_r_{k}" for k in keys])
+    """Add the zero-based position of each row in the order (inside its group)."""
+    counted = running_values(df, order, {"_count": ("sum", F.lit(1).cast("bigint"))}, group, partitions)
+    return counted.select(*df.columns, (F.col("_count") - 1).alias(name))
 
 
 def running_values(
@@ -82,25 +67,33 @@ def running_values(
 ) -> DataFrame:
     """Add running sums or maxima from the start of the group up to and including the row.
 
-    ``values`` maps a new column to ``("sum" | "max", expression)``.
+    ``values`` maps a new column to ``("sum" | "max", expression)``. A group goes on in a partition only where it has the
+    partition's first row, so what came before is one row per partition at most, whatever the number of groups.
     """
     merge = {"sum": F.sum, "max": F.max}
     inputs = {f"_in_{name}": expr for name, (_, expr) in values.items()}
     ranged = _ranged(df.withColumns(inputs), group, order, partitions)
-    before = _group_window(group).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     totals = ranged.groupBy(*group, _PART).agg(
-        *[merge[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in values.items()]
+        F.min(_SEQ).alias("_first"),
+        F.max(_SEQ).alias("_last"),
+        *[merge[kind](f"_in_{name}").alias(f"_tot_{name}") for name, (kind, _) in values.items()],
     )
-    shifts = totals.select(
-        *group,
-        _PART,
+    # Groups that have the first or the last row of a partition; no other one can be in two.
+    ends = totals.withColumn("_end", F.max("_last").over(W.partitionBy(_PART))).where("_first = 0 or _last = _end")
+    before = _group_window(group).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
+    shifts = ends.select(
+        *[F.col(g).alias(f"_r_{g}") for g in group],
+        F.col(_PART).alias("_r_part"),
+        F.count("*").over(before).alias("_earlier"),
         *[merge[kind](f"_tot_{name}").over(before).alias(f"_before_{name}") for name, (kind, _) in values.items()],
-    )
+    ).where("_earlier > 0")
     inside = W.partitionBy(*group, _PART).orderBy(_SEQ).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = ranged.withColumns(
         {f"_run_{name}": merge[kind](f"_in_{name}").over(inside) for name, (kind, _) in values.items()}
     )
-    joined = _null_safe_join(rows, shifts, [*group, _PART])
+    # A NULL group is a group.
+    same = [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in group]
+    joined = rows.join(F.broadcast(shifts), reduce(and_, same, F.col(_PART) == F.col("_r_part")), "left")
 
     def total(name: str, kind: str) -> Column:
         here, earlier = F.col(f"_run_{name}"), F.col(f"_before_{name}")
@@ -126,12 +119,31 @@ def keyed_task_ids(df: DataFrame, key: Sequence[str], name: str = "task_id") ->
 
 def limit_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
     """The first ``n`` rows in the order; no task holds all of them."""
-    return positions(df, order, name="_rank").where(F.col("_rank") < n).drop("_rank")
+    return limit_per_group(df, n, order, [])
 
 
 def limit_per_group(df: DataFrame, n: int, order: Sequence[Column | str], group: Sequence[str] = ("split",)) -> DataFrame:
-    """The first ``n`` rows of every group, by positions: a group's rows are in as many tasks as it needs."""
-    return positions(df, order, group, "_rank").where(F.col("_rank") < n).drop("_rank")
+    """The first ``n`` rows of every group: those up to the group's n-th key.
+
+    Keys alone are dealt by range and numbered, in as many tasks as a group needs; the rows themselves are only filtered.
+    A group with fewer rows has no such key. The order must be total and ascending.
+    """
+    names = [f"_k{i}" for i in range(len(order))]
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    slim = df.select(*group, *[k.alias(name) for k, name in zip(keys, names, strict=True)])
+    numbered = positions(slim, names, group, "_rank").where(F.col("_rank") == n - 1)
+    last = numbered.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.struct(*names).alias("_limit"))
+    key = F.struct(*[k.alias(name) for k, name in zip(keys, names, strict=True)])
+    if n < 1:
+        return df.limit(0)
+    if not group:
+        found = last.first()
+        if found is None:
+            return df
+        limit = F.struct(*[F.lit(v).cast(t).alias(c) for c, v, (_, t) in zip(names, found["_limit"], slim.dtypes, strict=True)])
+        return df.where(key <= limit)
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])
+    return df.join(last, same, "left").where(F.col("_limit").isNull() | (key <= F.col("_limit"))).select(*df.columns)
 
 
 def batch_numbers(

@@ -62,6 +62,24 @@ def test_running_values(hot_rows, partitions):
     assert got == want
 
 
+def test_running_values_exchange_the_rows_once(hot_rows, spark):
+    """Range-partitioned rows are read back as they were dealt: the plan only exchanges ends of partitions."""
+    _, df = hot_rows
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = ids.running_values(df, ["t", "id"], {"s": ("sum", F.col("n"))}, ["grp"], 12)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    exchanges = [k for k, line in enumerate(lines) if "Exchange" in line]
+    assert len(exchanges) == 2 and "BroadcastExchange" in lines[exchanges[0]]
+    # Below the other one only the first and last groups of every partition are left.
+    assert any("_first" in line and "_end" in line and "Filter" in line for line in lines[exchanges[1] :])
+    assert sum("Bucketed: true" in line for line in lines) == 2
+
+
 def test_a_hot_group_is_split(hot_rows, spark):
     """The tasks of the ranged table are even although one group holds a third of the rows."""
     rows, df = hot_rows

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalflow.llm.common import table, uniform, word_count
-from evalflow.operators.ids import running_values
+from evalflow.llm.common import fresh, table, uniform, word_count
+from evalflow.operators.ids import positions, running_values
 from evalflow.staging import stage
 
 #: Weights of the sources in their order, repeated as often as needed.
@@ -54,8 +54,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     everything = W.partitionBy(F.lit(0))
     level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.col("full")) / F.col("rest")
     levels = weighted.withColumns({"full": full, "rest": rest}).withColumn("level", level)
-    below = F.when(F.col("level") < F.col("limit") / F.col("weight"), F.struct(F.col("limit") / F.col("weight"), "level"))
-    found = F.min(below).over(everything)["level"]
+    # The first source, in the order of the limits, that does not get full: of sources with equal limits per weight, only the
+    # level of the first one counts none of them as full.
+    ratio = F.col("limit") / F.col("weight")
+    first = F.struct(ratio, F.col("source").isNull(), "source", "level")
+    found = F.min(F.when(F.col("level") < ratio, first)).over(everything)["level"]
     return levels.select(
         "source",
         "source_size",
@@ -120,18 +123,31 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: a document taken twice comes twice, with all its columns."""
-    taken = mix(docs, **options).where(F.col("copies") > 0)
-    # Rows that agree in id and text share one entry: each of the n equal rows stands for its own copies.
-    taken = taken.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    keyed = docs.alias("d").join(
-        taken.alias("t"),
-        F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("t.source"))
-        & (F.xxhash64(F.col("d.text")) == F.col("t.text_key")),
+    taken = mix(docs, **options).withColumn("rows", F.lit(1).cast("bigint"))
+    # Rows that agree in id and text share one entry: all get the same whole copies, the first ones of them one more.
+    taken = taken.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"), F.sum("rows").alias("rows"))
+    names = {c: fresh(docs, c) for c in ("t_id", "t_source", "t_key", "t_copies", "t_rows", "t_no", "t_row")}
+    entry = taken.select(
+        F.col("doc_id").alias(names["t_id"]), F.col("source").alias(names["t_source"]), F.col("text_key").alias(names["t_key"]),
+        F.col("copies").alias(names["t_copies"]), F.col("rows").alias(names["t_rows"]),
+    )
+    same = (
+        F.col("doc_id").eqNullSafe(F.col(names["t_id"]))
+        & F.col("source").eqNullSafe(F.col(names["t_source"]))
+        & (F.xxhash64("text") == F.col(names["t_key"]))
     )
-    copies = F.col("t.copies") / F.col("t.n")
-    # Equal rows differ in copies only by the one that fills the gap; ceil keeps the mix at or above the target.
-    return keyed.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.ceil(copies).cast("int")))).select("d.*")
+    keyed = docs.join(entry, same)
+    copies, rows = F.col(names["t_copies"]), F.col(names["t_rows"])
+    alone = keyed.where(copies % rows == 0).withColumn(names["t_no"], F.floor(copies / rows).cast("int"))
+    uneven = keyed.where(copies % rows > 0)
+    if not uneven.isEmpty():
+        group = [names[c] for c in ("t_id", "t_source", "t_key")]
+        numbered = positions(uneven.withColumn(names["t_row"], F.monotonically_increasing_id()), [names["t_row"]], group, names["t_no"])
+        more = (F.col(names["t_no"]) < copies % rows).cast("int")
+        alone = alone.unionByName(numbered.withColumn(names["t_no"], F.floor(copies / rows).cast("int") + more).drop(names["t_row"]))
+    several = alone.where(F.col(names["t_no"]) > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col(names["t_no"])))
+    return several.withColumn(names["t_no"], each).select(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -43,16 +43,40 @@ RELAX = 1.0
 _SLACK = 1e-9
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise products, every row summed in the same order."""
+    return (a * b).sum(axis=1)
+
+
+def _scaled(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows over powers of two that bring their largest component near 1, those powers, and the rows' lengths then.
+
+    Dividing by a power of two is exact, so vectors of any magnitude are measured alike.
+    """
+    _, powers = np.frexp(np.abs(points).max(axis=1, initial=0.0))
+    small = np.ldexp(points, -powers[:, None])
+    return small, powers, np.sqrt((small * small).sum(axis=1))
+
+
 class Tree:
-    """Points in tree order. A node over [lo, hi) has its vantage point at lo; inner half, then outer half, behind it."""
+    """Points in tree order. A node over [lo, hi) has its vantage point at lo; inner half, then outer half, behind it.
+
+    Distances are those of the points over the longest one, with a component more that brings them all to length 1, to
+    queries of length 1. Only they decide what is visited; hits are compared by the exact products of the original vectors.
+    """
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, ranges: np.ndarray):
         self.ids, self.points, self.ranges = ids, points, ranges
-        norms = (points * points).sum(axis=1)
-        self.square = float(norms.max()) if len(norms) else 0.0
-        self.extra = np.sqrt(np.maximum(self.square - norms, 0.0))
+        self.unit, self.power, self.longest = self._unit(points)
         self.visited = 0
 
+    @staticmethod
+    def _unit(points: np.ndarray) -> tuple[np.ndarray, int, float]:
+        _, power = np.frexp(np.abs(points).max(initial=0.0))
+        small = np.ldexp(points, -power)
+        longest = float(np.sqrt((small * small).sum(axis=1).max(initial=0.0))) or 1.0
+        return small / longest, int(power), longest
+
     @staticmethod
     def nodes(n: int) -> Iterator[tuple[int, int, int]]:
         """(lo, mid, hi) of every inner node, parents first."""
@@ -67,8 +91,8 @@ class Tree:
     @classmethod
     def build(cls, ids: np.ndarray, points: np.ndarray) -> Tree:
         order = np.argsort(ids, kind="stable")
-        norms = (points * points).sum(axis=1)
-        full = np.column_stack([points, np.sqrt(np.maximum(norms.max() - norms, 0.0))])
+        unit = cls._unit(points)[0]
+        full = np.column_stack([unit, np.sqrt(np.maximum(1.0 - (unit * unit).sum(axis=1), 0.0))])
         ranges = {}
         for lo, mid, hi in cls.nodes(len(ids)):
             here = order[lo:hi]
@@ -96,29 +120,43 @@ class Tree:
         """
         best = np.full((len(queries), k), -np.inf)
         place = np.full((len(queries), k), -1, dtype=np.int64)
-        limit = limit.copy()
-        lengths = (queries * queries).sum(axis=1)
+        lowest, limit = limit, limit.copy()
+        small, powers, lengths = _scaled(queries)
+        unit = small / np.where(lengths > 0, lengths, 1.0)[:, None]
+
+        def bar(rows: np.ndarray) -> np.ndarray:
+            """What a product of unit vectors has to reach, a little less for rounding."""
+            with np.errstate(over="ignore"):
+                scaled = np.ldexp(limit[rows], -(powers[rows] + self.power))
+            return scaled / np.where(lengths[rows] > 0, lengths[rows] * self.longest, 1.0) - _SLACK
 
         def offer(rows: np.ndarray, lo: int, hi: int, products: np.ndarray) -> None:
-            products = np.where(self.ids[None, lo:hi] == ids[rows, None], -np.inf, products)
-            some = (products >= limit[rows, None] - _SLACK).any(axis=1)
+            open_ = (products >= bar(rows)[:, None]) & (self.ids[None, lo:hi] != ids[rows, None])
+            some = open_.any(axis=1)
             if not some.any():
                 return
-            rows, products = rows[some], products[some]
-            at = np.broadcast_to(np.arange(lo, hi), products.shape)
-            values = np.concatenate([best[rows], products], axis=1)
+            rows, open_ = rows[some], open_[some]
+            x, y = np.nonzero(open_)
+            exact = np.full(open_.shape, -np.inf)
+            for part in range(0, len(x), 1 << 16):
+                i, j = x[part : part + (1 << 16)], y[part : part + (1 << 16)]
+                exact[i, j] = _dot(queries[rows[i]], self.points[lo + j])
+            at = np.broadcast_to(np.arange(lo, hi), exact.shape)
+            values = np.concatenate([best[rows], exact], axis=1)
             places = np.concatenate([place[rows], at], axis=1)
-            # Rounded, so that sums in another order do not part equal vectors.
-            order = np.lexsort((np.where(places < 0, 0, self.ids[places]), -np.round(values, 12)), axis=1)[:, :k]
+            order = np.lexsort((np.where(places < 0, 0, self.ids[places]), -values), axis=1)[:, :k]
             best[rows] = np.take_along_axis(values, order, axis=1)
             place[rows] = np.where(np.isneginf(best[rows]), -1, np.take_along_axis(places, order, axis=1))
             limit[rows] = np.maximum(limit[rows], best[rows, -1])
 
+        def distance(products: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(2.0 - 2.0 * products, 0.0))
+
         at = {lo: i for i, (lo, _, _) in enumerate(self.nodes(len(self.ids)))}
 
         def measured(rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
             self.visited += len(rows) * (hi - lo)
-            products = queries[rows] @ self.points[lo:hi].T
+            products = unit[rows] @ self.unit[lo:hi].T
             offer(rows, lo, hi, products)
             return products
 
@@ -133,15 +171,14 @@ class Tree:
                 measured(rows, lo, hi)
                 continue
             mid = lo + 1 + (hi - lo - 1) // 2
-            d = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * measured(rows, lo, lo + 1)[:, 0], 0.0))
+            d = distance(measured(rows, lo, lo + 1)[:, 0])
             inner = d <= self.ranges[at[lo], 1:3].mean()
             todo += [(*side, rows[some]) for side, some in (((lo + 1, mid), inner), ((mid, hi), ~inner)) if some.any()]
 
         todo = [(0, len(self.ids), np.arange(len(queries)), np.zeros(len(queries)))]
         while todo:
             lo, hi, rows, bound = todo.pop()
-            reach = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * (limit[rows] - _SLACK), 0.0))
-            rows = rows[bound <= reach + _SLACK]
+            rows = rows[bound <= distance(bar(rows)) + _SLACK]
             if not len(rows):
                 continue
             done = (lo <= leaf[rows]) & (leaf[rows] < hi)  # measured on the way down
@@ -152,21 +189,15 @@ class Tree:
             mid = lo + 1 + (hi - lo - 1) // 2
             if not done.all():
                 measured(rows[~done], lo, lo + 1)
-            product = queries[rows] @ self.points[lo]
-            d = np.sqrt(np.maximum(lengths[rows] + self.square - 2 * product, 0.0))
+            d = distance(unit[rows] @ self.unit[lo])
             factor = np.where(self.ids[lo] == ids[rows], 1.0, relax)
             near, edge, far_edge, far = self.ranges[at[lo]]
             todo.append((mid, hi, rows, factor * np.maximum(far_edge - d, d - far)))
             todo.append((lo + 1, mid, rows, factor * np.maximum(near - d, d - edge)))
-        place[(best < limit[:, None] - _SLACK) & (best > -np.inf)] = -1
+        place[best < lowest[:, None]] = -1
         return place, best
 
 
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise products, every row summed in the same order."""
-    return (a * b).sum(axis=1)
-
-
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """`id`, `dim` and `vector` of the rows that take part."""
     v = F.col("vector")

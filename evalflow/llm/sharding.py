@@ -8,7 +8,10 @@ than the round before; a round moves at most (splitters x 4096) sums to the driv
 rows. Shards of many rows are cut into pieces, whose borders may be rough, so that no task numbers a whole shard.
 Rows cross the network once, to their piece.
 
-Defined results: rows with equal key, that is equal text and id, stay together. A NULL text has no bytes.
+Where rows that repeat id and text weigh more than a splitter may be off, all rows get a number of their own, which
+replaces the id in the key; the numbered rows are written first, so that every pass sees the same numbers.
+
+Defined results: rows of equal text and id stay together unless there are too many. A NULL text has no bytes.
 A NULL id is an id like any other. An empty table gives an empty result. All columns are kept, whatever
 their names, except `shard` and `slot`, which are replaced.
 """
@@ -118,9 +121,18 @@ def shard(
 ) -> DataFrame:
     """Add `shard` (0 to shards - 1, near equal sums of size) and `slot` (position in the shard from 0)."""
     docs = docs.drop("shard", "slot")
+    kept = docs.columns
     key = sort_key() if key is None else key
     size = byte_size() if size is None else size
     keys = stage(docs.select(key.alias("key"), size.alias("size")), "shard-keys")
+    whole = keys.agg(F.sum("size")).first()[0] or 0
+    repeated = keys.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where("n > 1")
+    if not repeated.where(F.col("size") > tolerance * whole / shards).isEmpty():
+        number = fresh(docs, "number")
+        docs = stage(docs.withColumn(number, F.monotonically_increasing_id()), "shard-numbered")
+        low = F.lit((1 << _GROUP_BITS) - 1)
+        key = key.bitwiseAND(F.lit(-1 << _GROUP_BITS)).bitwiseOR(F.xxhash64(key, number).bitwiseAND(low))
+        keys = stage(docs.select(key.alias("key"), size.alias("size")), "shard-keys")
     pieces = max(1, -(-keys.count() // (shards * piece_rows)))
     of_shards = splitters(keys, shards, tolerance)
     bounds = of_shards if pieces == 1 else sorted({*of_shards, *splitters(keys, shards * pieces, 0.5, 16)})
@@ -138,7 +150,7 @@ def shard(
     ties = [c for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]
     numbered = dealt.withColumn("slot", F.row_number().over(W.partitionBy(piece).orderBy(k, *ties)))
     return numbered.join(starts, F.col(piece) == F.col(f"{piece}_of"), "left").select(
-        *docs.columns,
+        *kept,
         _part_of(F.col(k), of_shards).cast("int").alias("shard"),
         (F.col("slot") - 1 + F.coalesce(F.col(first), F.lit(0))).cast("bigint").alias("slot"),
     )

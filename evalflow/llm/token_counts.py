@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalflow.llm.common import table
+from evalflow.llm.common import fresh, table
 from evalflow.llm.pieces import token_counter
 from evalflow.staging import stage_path
 
@@ -64,11 +64,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, text: str = "
             )
 
     misses.mapInPandas(encode, _CACHE).write.mode("append").parquet(cache)
-    rows = docs.drop("n_bytes", "n_tokens").withColumns(
-        {"_digest": digest, "n_bytes": F.octet_length(content).cast("bigint")}
-    )
-    known = cached_counts(spark, cache, version).withColumnRenamed("digest", "_known")
-    return rows.drop(text).join(known, F.col("_digest") == F.col("_known")).drop("_digest", "_known")
+    own, known = fresh(docs, "digest"), fresh(docs, "known")
+    rows = docs.drop("n_bytes", "n_tokens").withColumns({own: digest, "n_bytes": F.octet_length(content).cast("bigint")})
+    counts = cached_counts(spark, cache, version).withColumnRenamed("digest", known)
+    return rows.drop(text).join(counts, F.col(own) == F.col(known)).drop(own, known)
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:

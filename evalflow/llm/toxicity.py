@@ -133,14 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGO
     share = min(1.0, max_rows / max(1, labels.count()))
     # About max_rows rows of three numbers: a bounded table, so the texts need not be shuffled to meet it.
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(F.broadcast(sample), "doc_id")
     ys = [f"y{i}" for i in range(len(categories))]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["doc_id", *ys]].assign(words=[sorted(words_of(t)) for t in batch["text"]])
+            yield batch[["doc_id", "text_key", *ys]].assign(words=[sorted(words_of(t)) for t in batch["text"]])
 
-    kind = "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>"
+    kind = "doc_id long, text_key long, " + ", ".join(f"{y} double" for y in ys) + ", words array<string>"
     rows = stage(texts.mapInPandas(split, kind), "toxicity-sample")
     sums = [F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]]
     total = rows.agg(*sums).first()
@@ -153,14 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGO
             for r in counted.orderBy(apart.desc(), "word").limit(WORDS_PER_CATEGORY).collect():
                 words.setdefault(r["word"], len(words))
     known = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    fitted = rows.select("doc_id", *ys, F.array_intersect("words", known).alias("words")).toPandas()
+    fitted = rows.select("doc_id", "text_key", *ys, F.array_intersect("words", known).alias("words")).toPandas()
     fitted = fitted.sort_values("doc_id", kind="stable")
     x = np.zeros((len(fitted), len(words) + 1))
     x[:, 0] = 1.0
     for row, found in enumerate(fitted["words"]):
         for word in found:
             x[row, 1 + words[word]] = 1.0
-    folds = (fitted["doc_id"].to_numpy(dtype="int64") % FOLDS) if len(fitted) else np.zeros(0, dtype="int64")
+    # By the text, so that no copy of a row teaches what is predicted for it.
+    folds = (fitted["text_key"].to_numpy(dtype="int64") % FOLDS) if len(fitted) else np.zeros(0, dtype="int64")
     weights, thresholds = fit_chain(x, fitted[ys].to_numpy(dtype="float64"), folds)
     return Chain(words, tuple(categories), weights, thresholds)
 

@@ -106,3 +106,28 @@ def test_awkward_tables(awkward, no_documents):
 def test_all_texts_empty(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id long, text string, source string")
     assert [(r["target"], r["copies"]) for r in M.mix(rows).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+@pytest.mark.parametrize("sources", [1, 2, 3, 6, 9, 14])
+def test_targets_of_equal_sources(spark, sources):
+    sizes = {f"s{k:02}": 100 for k in range(sources)}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in M.targets(rows).collect()}
+    assert got == pytest.approx(reshared(sizes)) and sum(got.values()) == pytest.approx(min(150 * sources, 200 * sources))
+
+
+def test_targets_of_partly_equal_sources(spark):
+    sizes = {"a": 100, "b": 100, "c": 50, "d": 100, "e": 100, "f": 1000, "g": 300, None: 100}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in M.targets(rows).collect()}
+    assert got == pytest.approx(reshared(sizes)) and min(got.values()) >= 0
+
+
+@pytest.mark.parametrize("rows", [100, 7])
+def test_repeated_rows_come_as_often_as_they_are_taken(spark, rows):
+    docs = spark.createDataFrame([(5, "two words", "s", 1)] * rows + [(6, "three more words", "s", 2)], "doc_id long, text string, source string, t_no int")
+    taken = M.mix(docs, share=1.25).agg(F.sum(F.col("copies") * F.col("size"))).first()[0]
+    mixed = M.mixed_documents(docs, share=1.25)
+    assert mixed.columns == docs.columns
+    words = mixed.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    assert words == taken and abs(taken - 1.25 * (2 * rows + 3)) <= 3

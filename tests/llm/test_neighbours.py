@@ -121,3 +121,39 @@ def test_unusable_vectors_and_repeated_ids(spark):
 def test_empty_table(spark):
     assert N.nearest(N.usable(spark.createDataFrame([], VECTORS))).count() == 0
     assert N.nearest(N.usable(spark.createDataFrame([(1, [1.0], 0, 0, "")], VECTORS))).select(F.max("rank")).first()[0] is None
+
+
+@pytest.mark.parametrize("scale", [1e-180, 1e-8, 1e-6, 1e8, 1e150])
+@pytest.mark.parametrize("dims", [4, 16])
+def test_exact_at_every_scale(scale, dims):
+    rng = np.random.default_rng(dims)
+    points = rng.normal(size=(1500, dims)) * scale
+    points[100:140] = points[100]
+    with np.errstate(under="ignore"):
+        want = brute(np.arange(1500), points, 20, 50)
+    tree = N.Tree.build(np.arange(1500), points)
+    queries = np.arange(0, 1500, 50)
+    places, best = tree.search(queries, points[queries], np.full(len(queries), -np.inf), 20, 1.0)
+    for q, found, scores in zip(queries.tolist(), places, best, strict=True):
+        if scale > 1e-150:
+            assert list(zip(tree.ids[found].tolist(), scores.tolist(), strict=True)) == want[q]
+        else:  # products of such numbers vanish, so all scores are equal
+            assert [s for _, s in want[q]] == scores.tolist()
+
+
+def test_exact_for_lengths_of_every_magnitude_in_one_tree():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(2000, 8)) * 10.0 ** rng.uniform(-9, 9, size=(2000, 1))
+    tree = N.Tree.build(np.arange(2000), points)
+    queries = np.arange(0, 2000, 40)
+    places, best = tree.search(queries, points[queries], np.full(len(queries), -np.inf), 20, 1.0)
+    want = brute(np.arange(2000), points, 20, 40)
+    for q, found, scores in zip(queries.tolist(), places, best, strict=True):
+        assert list(zip(tree.ids[found].tolist(), scores.tolist(), strict=True)) == want[q]
+
+
+@pytest.mark.parametrize("scale", [1e-7, 1e7])
+def test_query_at_other_scales(spark, scale):
+    points = np.random.default_rng(4).normal(size=(900, 6)) * scale
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    assert collected(N.nearest(N.usable(df), k=7, shard_rows=200)) == brute(np.arange(900), points, 7, 20)

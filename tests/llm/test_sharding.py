@@ -66,3 +66,14 @@ def test_awkward_tables(awkward, no_documents):
 def test_size_and_checksum(spark):
     row = spark.createDataFrame([("ä1",), (None,)], "text string").select(S.byte_size().alias("n"), F.crc32(F.coalesce("text", F.lit(""))).alias("c")).collect()
     assert [tuple(r) for r in row] == [(19, zlib.crc32("ä1".encode())), (16, 0)]
+
+
+def test_repeated_rows_keep_the_law(spark):
+    """Rows of one id and text that are most of the table are spread; slots stay gapless, extra columns come back."""
+    rows = [(7, "the same row", 1)] * 300 + [(k, f"row number {k:03}", 2) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int").repartition(5)
+    groups = by_shard(S.shard(docs, 4).collect())
+    assert sorted(len(g) for g in groups.values()) == [100] * 4 or max(map(len, groups.values())) <= 103
+    assert sum(len(g) for g in groups.values()) == 400 and sum(r["number"] for g in groups.values() for r in g) == 500
+    for g in groups.values():
+        assert sorted(r["slot"] for r in g) == list(range(len(g)))

@@ -21,6 +21,12 @@ def test_counts_are_those_of_the_library(spark, awkward, no_documents):
     assert T.token_counts(no_documents, PATH, cache).count() == 0
 
 
+def test_names_of_helpers_may_be_taken(spark):
+    docs = spark.createDataFrame([(1, "some words", 7, 8, 9, 10)], "doc_id long, text string, _digest int, digest int, _known int, known int")
+    row = T.token_counts(docs, PATH, stage_path(spark, "cache-test")).first()
+    assert (row["_digest"], row["digest"], row["_known"], row["known"], row["n_bytes"]) == (7, 8, 9, 10, 10)
+
+
 def test_only_distinct_misses_are_encoded(spark, awkward, tmp_path):
     cache = stage_path(spark, "cache-test")
     T.token_counts(awkward, PATH, cache)

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +38,8 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_OWNERS: list[list[str]] = []
+#: The lists of paths of the enclosing `owned` blocks of a thread.
+_OWNERS: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
 
 
 @contextmanager
@@ -47,20 +49,27 @@ def owned(spark: SparkSession) -> Iterator[list[str]]:
     For runs whose result is written before the end; a result that still reads a staged table must outlive it.
     """
     paths: list[str] = []
-    _OWNERS.append(paths)
+    token = _OWNERS.set((*_OWNERS.get(), paths))
     try:
         yield paths
     finally:
-        _OWNERS.remove(paths)
+        _OWNERS.reset(token)
         for path in paths:
             spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
             remove(spark, path)
 
 
+def hand_on(paths: list[str]) -> None:
+    """Leave the table staged last to the enclosing block, if there is one."""
+    path, owners = paths.pop(), _OWNERS.get()
+    if len(owners) > 1:
+        owners[-2].append(path)
+
+
 def _new_path(spark: SparkSession, label: str) -> str:
     path = stage_path(spark, label)
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    if _OWNERS.get():
+        _OWNERS.get()[-1].append(path)
     return path
 
 

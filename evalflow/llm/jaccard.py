@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from evalflow.llm.common import fresh, table
 from evalflow.llm.words import pieces, shingle_sets, word_hashes
-from evalflow.staging import stage
+from evalflow.staging import hand_on, owned, stage
 
 SIZE = 4
 PERCENT = 85
@@ -264,24 +264,28 @@ def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, rows: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """`a` and `b`, set ids of linked classes; connects every two classes that links connect."""
-    few = short(percent)
-    fewer = rows.where(F.size("without") > 0).select(F.col("set_id").alias("a"), F.explode("without").alias("b")).distinct()
-    shorts = rows.where((F.col("n") > 0) & (F.col("n") <= few)).select(F.col("set_id").alias("b")).distinct()
-    one_less = fewer.join(shorts, "b").select("a", "b")
-    first = rows.where(F.col("n") > few).groupBy("set_id").agg(
+def grouped_classes(signed: DataFrame, percent: int) -> DataFrame:
+    """One row for each class that is not short, with its `group`, a block of the classes of one head."""
+    first = signed.where(F.col("n") > short(percent)).groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_key", "n", "head", "prefix")).alias("one")
     ).select("set_id", "one.doc_id", "one.text_key", "one.n", "one.head", "one.prefix")
     blocks = first.groupBy("head").agg(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks")
     )
     grouped = first.join(blocks, "head").withColumn("group", F.xxhash64("head", F.pmod(F.xxhash64("set_id"), "blocks")))
-    classes = stage(grouped.select("set_id", "doc_id", "text_key", "n", "prefix", "group"), "jaccard-classes")
+    return grouped.select("set_id", "doc_id", "text_key", "n", "prefix", "group")
+
+
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """`a` and `b`, set ids of linked classes; connects every two classes that links connect."""
+    fewer = rows.where(F.size("without") > 0).select(F.col("set_id").alias("a"), F.explode("without").alias("b")).distinct()
+    shorts = rows.where((F.col("n") > 0) & (F.col("n") <= short(percent))).select(F.col("set_id").alias("b")).distinct()
+    one_less = fewer.join(shorts, "b").select("a", "b")
     pairs = stage(_group_pairs(classes, percent), "jaccard-pairs")
     opened = pairs.select("left").union(pairs.select("right")).distinct().withColumnRenamed("left", "group")
     needed = classes.select("set_id", F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "group")
-    needed = needed.join(opened, "group", "left_semi")
+    # A written table has a known size: where it is small, texts are not exchanged to find its rows.
+    needed = stage(needed.join(opened, "group", "left_semi"), "jaccard-needed")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,8 +354,14 @@ def components(edges: DataFrame, node: str = "binary") -> DataFrame:
 def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """`doc_id`, `text_key`, `n` and `root`, a name of the component (NULL for the empty set), for every row."""
     heavy = heavy_shingles(docs, size, percent)
-    rows = stage(signatures(docs, size, percent, heavy), "jaccard-signatures")
-    roots = components(links(docs, rows, size, percent))
+    # The signatures hold every prefix; they go once the classes have them.
+    with owned(docs.sparkSession) as tables:
+        signed = stage(signatures(docs, size, percent, heavy), "jaccard-signatures")
+        rows = stage(signed.select("doc_id", "text_key", "n", "set_id", "without"), "jaccard-rows")
+        hand_on(tables)
+        classes = stage(grouped_classes(signed, percent), "jaccard-classes")
+        hand_on(tables)
+    roots = components(links(docs, rows, classes, size, percent))
     # A large class is spread by AQE's skew join; the other side has one row per class.
     found = rows.select("doc_id", "text_key", "n", "set_id").join(roots, F.col("set_id") == F.col("node"), "left")
     return stage(found.select("doc_id", "text_key", "n", F.coalesce("root", "set_id").alias("root")), "jaccard-rooted")

@@ -32,7 +32,7 @@ from evalflow.llm.common import table
 from evalflow.llm.jaccard import components, forest, spanning_links
 from evalflow.llm.set_sketch import REGISTERS, may_reach, sketches
 from evalflow.llm.words import mix, pieces, shingle_sets, word_hashes
-from evalflow.staging import owned, stage
+from evalflow.staging import hand_on, owned, stage
 
 SIZE, PERCENT = 5, 85
 BANDS = 42
@@ -259,9 +259,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         one = F.min(F.struct("doc_id", "text_key", "n", "registers")).alias("one")
         classes = signed.where("registers is not null").groupBy("set_id").agg(one)
         sketched = stage(classes.select("set_id", "one.*"), "sketch-classes")
-        tables.pop()
+        hand_on(tables)
         signed = stage(signed.select("doc_id", "text_key", "n", "set_id"), "sketch-names")
-        tables.pop()
+        hand_on(tables)
     roots = components(links(docs, sketched, size, percent))
     rows = signed.join(roots, F.col("set_id") == F.col("node"), "left")
     rows = stage(rows.select("doc_id", "text_key", "n", F.coalesce("root", "set_id").alias("root")), "sketch-rooted")

@@ -23,14 +23,12 @@ Use only the tables and columns listed. Answer with JSON only, in this form:
 {_ANSWER_JSON}"""
 
 # The markers [QUESTION], [/QUESTION] and [SQL], and the slot names of all templates.
-GENERATE_TAGGED = """### Task
-Write a SQL query that answers [QUESTION]{question}[/QUESTION]
+GENERATE_TAGGED = """[QUESTION]{question}[/QUESTION]
 
-### Tables
+Nothing but these tables can be read:
 {schema}
 
-### Answer
-The query for [QUESTION]{question}[/QUESTION] is
+One query has to return what [QUESTION]{question}[/QUESTION] asks for. Begin it after the mark and add no prose.
 [SQL]
 """
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalflow.operators.ids import positions
+from evalflow.staging import stage
 
 METRICS = [
     "success_rate", "accuracy", "avg_processing_time", "throughput", "avg_translation_time_s",
@@ -67,13 +68,31 @@ def display(df: DataFrame, digits: int = 3) -> DataFrame:
     )
 
 
+def summary_rows(runs: DataFrame) -> DataFrame:
+    """The rows of all summary tables from one pass over the runs: grouping sets, told apart by `level`."""
+    keys = ["tested_model", "test_dataset", "evaluator_model"]
+    sets = [["tested_model"], ["tested_model", "test_dataset"], ["tested_model", "evaluator_model"]]
+    grouped = _known(runs, "tested_model").groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("level"),
+        F.avg("accuracy").alias("accuracy"),
+        F.avg("avg_processing_time").alias("avg_processing_time"),
+        F.avg("batch_throughput").alias("batch_throughput"),
+        F.sum("test_size").alias("test_size"),
+    )
+    # A bit of the level is set for a key that is not grouped by; unknown keys form no group.
+    unknown = [F.col(k).isNull() & (F.col("level").bitwiseAND(F.lit(4 >> i)) == 0) for i, k in enumerate(keys)]
+    return grouped.where(~(unknown[1] | unknown[2]))
+
+
 def summary_report(runs: DataFrame) -> dict[str, DataFrame]:
-    """The three summary tables by name."""
-    return {
-        "model_summary": model_summary(runs),
-        "dataset_summary": dataset_summary(runs),
-        "evaluator_summary": evaluator_summary(runs),
+    """The three summary tables by name, computed together and written once."""
+    rows = stage(summary_rows(runs), "summary")
+    tables = {
+        "model_summary": (3, ["tested_model", "accuracy", "avg_processing_time", "batch_throughput", "test_size"]),
+        "dataset_summary": (1, ["tested_model", "test_dataset", "accuracy", "avg_processing_time"]),
+        "evaluator_summary": (2, ["tested_model", "evaluator_model", "accuracy"]),
     }
+    return {name: rows.where(F.col("level") == level).select(*columns) for name, (level, columns) in tables.items()}
 
 
 def metric_spread(runs: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:

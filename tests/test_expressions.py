@@ -136,6 +136,59 @@ def test_recovered_prompt(evaluate):
     check(evaluate, responses.recovered_prompt, cases)
 
 
+def test_plain_python_literals_are_read_without_python(evaluate, spark):
+    cases = [
+        ("{'prompt': 'it\\'s \"so\"', 'stream': False, 'format': None, 'n': [1, -2.5e3, {'a': True}]}", "it's \"so\""),
+        ("{'request': {'prompt': \"x\\\\\\n'y'\"}}", "x\\\n'y'"),
+        ("{'model': 'm', 'prompt': None}", None),
+        (" {'prompt': 'Straße \U0001f600 \ttab'}", None),
+    ]
+    cases[3] = (cases[3][0].replace("\t", " "), "Straße \U0001f600  tab")
+    check(evaluate, lambda c: responses.recovered_prompt(c, fallback=False), cases)
+    # Left to Python: tuples, other escapes, trailing commas, numbers as prompts, joined strings, repeated keys.
+    left = ["{'prompt': ('a',)}", "{'prompt': '\\x41'}", "{'prompt': 'a',}", "{'prompt': 1.0}", "{'prompt': 'a' 'b'}", "{'prompt': 'a', 'prompt': 'b'}"]
+    assert evaluate(left, lambda c: responses.recovered_prompt(c, fallback=False)) == left
+    assert evaluate(left, responses.recovered_prompt) == ["('a',)", "A", "a", "1.0", "ab", "b"]
+    plan = spark.range(1).select(responses.recovered_prompt(F.col("id").cast("string"), fallback=False))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_literals_are_read_as_python_reads_them(evaluate):
+    import random
+
+    rng = random.Random(6)
+    pieces = ["a", "'", '"', "\\", "\n", "\t", "é", "\U0001f600", "{", "}", ":", ", ", "None", "\x00", "\x7f", "\u2028", "x" * 50]
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 3:
+            return "".join(rng.choice(pieces) for _ in range(rng.randrange(6)))
+        if kind == 3:
+            return rng.choice([True, False, None, 0, -7, 1.5, 1e30, 10**25])
+        if kind == 4:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return {rng.choice(["prompt", "request", "a", "b"]): value(depth - 1) for _ in range(rng.randrange(4))}
+
+    texts = [repr({"prompt" if rng.random() < 0.7 else "request": value(3), "k": value(2)}) for _ in range(400)]
+    texts += [t[: rng.randrange(len(t))] + rng.choice(["", "'", "}", "\\"]) + t[rng.randrange(len(t)) :] for t in texts[:150]]
+
+    def wanted(text):
+        found = responses._python_literal_prompts([text]).iloc[0]
+        return found["prompt"] if found["parsed"] else text
+
+    import json
+
+    def is_json(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+
+    texts = [t for t in texts if not is_json(t)]
+    assert evaluate(texts, responses.recovered_prompt) == [wanted(t) for t in texts]
+
+
 def test_translation(evaluate):
     got = evaluate(['{"question": "q", "sql_query": "s"}', '{"question": "q"}', "text"], responses.translation)
     assert got == [("q", "s"), ("q", ""), (None, None)]

@@ -550,3 +550,19 @@ def test_owned_tables_are_deleted_at_the_end(spark):
     assert kept.count() == 5 and spark.read.parquet(path).count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(gone)
+
+
+def test_summaries_come_from_one_pass(spark):
+    rows = [
+        ("m1", "d1", "e1", 90.0, 1.0, 2.0, 10), ("m1", "d1", None, 70.0, None, 4.0, 20), ("m1", None, "e2", 50.0, 3.0, None, 30),
+        ("m2", "d2", "e1", None, 2.0, 1.0, 5), (None, "d1", "e1", 1.0, 1.0, 1.0, 1),
+    ]
+    kind = "tested_model string, test_dataset string, evaluator_model string, accuracy double, avg_processing_time double, batch_throughput double, test_size bigint"
+    runs = spark.createDataFrame(rows, kind)
+    report = reports.summary_report(runs)
+    alone = {"model_summary": reports.model_summary(runs), "dataset_summary": reports.dataset_summary(runs), "evaluator_summary": reports.evaluator_summary(runs)}
+    for name, table in alone.items():
+        assert report[name].columns == table.columns
+        assert sorted(map(repr, report[name].collect())) == sorted(map(repr, table.collect()))
+    plan = reports.summary_rows(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1

@@ -8,10 +8,10 @@ A written table survives the loss of executors and keeps column pruning on re-re
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +38,17 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: The lists of paths of the enclosing `owned` blocks of a thread.
-_OWNERS: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
+class _Owners(threading.local):
+    """The lists of paths of the enclosing `owned` blocks of a thread. What is sent to a worker with a function has none."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+    def __reduce__(self):
+        return _Owners, ()
+
+
+_OWNERS = _Owners()
 
 
 @contextmanager
@@ -49,11 +58,11 @@ def owned(spark: SparkSession) -> Iterator[list[str]]:
     For runs whose result is written before the end; a result that still reads a staged table must outlive it.
     """
     paths: list[str] = []
-    token = _OWNERS.set((*_OWNERS.get(), paths))
+    _OWNERS.blocks.append(paths)
     try:
         yield paths
     finally:
-        _OWNERS.reset(token)
+        _OWNERS.blocks.pop()
         for path in paths:
             spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
             remove(spark, path)
@@ -61,15 +70,15 @@ def owned(spark: SparkSession) -> Iterator[list[str]]:
 
 def hand_on(paths: list[str]) -> None:
     """Leave the table staged last to the enclosing block, if there is one."""
-    path, owners = paths.pop(), _OWNERS.get()
-    if len(owners) > 1:
-        owners[-2].append(path)
+    path = paths.pop()
+    if len(_OWNERS.blocks) > 1:
+        _OWNERS.blocks[-2].append(path)
 
 
 def _new_path(spark: SparkSession, label: str) -> str:
     path = stage_path(spark, label)
-    if _OWNERS.get():
-        _OWNERS.get()[-1].append(path)
+    if _OWNERS.blocks:
+        _OWNERS.blocks[-1].append(path)
     return path
 
 

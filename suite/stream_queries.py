@@ -85,11 +85,12 @@ _PASSED = "INTERVAL 1 HOUR <= (SELECT max(ts) FROM {calls} x) - INTERVAL 10 MINU
 @query(
     "stream_status",
     f"""SELECT task_id, attempts, CASE WHEN status = 'retry' THEN 'lost' ELSE status END AS status
-        FROM ({_LAST}) s WHERE ts + {_PASSED}""",
+        FROM ({_LAST}) s WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM {{calls}} x) - INTERVAL 10 MINUTE""",
 )
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    return logs.run_to_table(logs.status_stream(_call_slices(spark, sf)), f"{out}/rows", f"{out}/state")
+    status = logs.status_stream(_call_slices(spark, sf), lost_after="1 day")
+    return logs.run_to_table(status, f"{out}/rows", f"{out}/state")
 
 
 @query(

@@ -284,8 +284,7 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int = SIZE
     pairs = stage(_group_pairs(classes, percent), "jaccard-pairs")
     opened = pairs.select("left").union(pairs.select("right")).distinct().withColumnRenamed("left", "group")
     needed = classes.select("set_id", F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "group")
-    # A written table has a known size: where it is small, texts are not exchanged to find its rows.
-    needed = stage(needed.join(opened, "group", "left_semi"), "jaccard-needed")
+    needed = needed.join(opened, "group", "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,9 +294,10 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int = SIZE
                     names=["set_id", "group", "shingles"],
                 )
 
-    # One row stands for a class: copies of its text under other ids stay where they are.
+    # One row stands for a class: copies of its text under other ids stay where they are. The needed rows grow with the
+    # table, so they are met by an exchange at every size.
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = keyed.join(needed, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    texts = keyed.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
     members = texts.dropDuplicates(["set_id"]).select("set_id", "group", "text")
     packed = members.mapInArrow(whole, "set_id binary, group long, shingles binary").groupBy("group").agg(
         F.collect_list(F.struct("set_id", "shingles")).alias("members")

@@ -226,11 +226,10 @@ def links(docs: DataFrame, sketched: DataFrame, size: int = SIZE, percent: int =
     wanted = members.join(blocks, "root").select(
         "set_id", "root", "blocks", F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")
     )
-    # A written table has a known size: where it is small, texts are not exchanged to find its rows.
-    wanted = stage(wanted, "sketch-wanted")
-    # One row stands for a class: copies of its text under other ids stay where they are.
+    # One row stands for a class: copies of its text under other ids stay where they are. The wanted rows grow with the
+    # table, so they are met by an exchange at every size.
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    texts = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
     texts = texts.dropDuplicates(["set_id"]).select("set_id", "root", "blocks", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
             WHEN 6 THEN CASE WHEN doc_id % 2 = 0 THEN '{"gen_sql": "VALUES (' || doc_id || ')", "reasoning": "short"}'
                         ELSE '{"gen_sql": "SELECT ' || doc_id || '", "description": "one row"}' END
             WHEN 7 THEN text
-            ELSE CASE WHEN doc_id % 2 = 0 THEN '' ELSE '```sql ``` SELECT ' || doc_id END
+            ELSE CASE WHEN doc_id % 18 = 8 THEN '' ELSE text || chr(10) || '```sql ``` SELECT ' || doc_id END
           END AS content
         FROM {documents}""",
     # Verdict answers in many forms around whole documents.
@@ -53,7 +53,7 @@ VIEWS: dict[str, str] = {
             WHEN 4 THEN 'The answer is ' || yn || '. ' || text
             WHEN 5 THEN CASE WHEN yn = 'yes' THEN 'Yes, same. ' ELSE 'not sure. ' END || text
             WHEN 6 THEN text
-            ELSE 'none'
+            ELSE 'none ' || text
           END AS content
         FROM (
           SELECT l.doc_id AS task_id, d.source AS model, d.lang AS split, d.text,

@@ -1,16 +1,20 @@
 """Token ids by the tokenizers library, one call per distinct piece of text.
 
-Both vocabularies that are used here split a text at white space before any merge, so the ids of a text are
+Two layouts of a tokenizer's file are known to split a text at white space before any merge, so that the ids of a text are
 the ids of its pieces one after the other. A piece is looked up in a cache that lives as long as the Python
 worker; only pieces that are not in it go to the library. A text that holds one of the special strings goes to
-the library as a whole, since those are cut out before anything else.
+the library as a whole, since those are cut out before anything else, and so do all texts if the file has another layout.
+
+With the layout that lowers case, a piece of visible ASCII characters and Latin letters is parted here as its pattern
+does, and only the merges of its parts are left to the library's model: most of a call is spent before the merges.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 
-import numpy as np
 import tokenizers
 
 # The characters of Unicode's White_Space property, at which the libraries' patterns split.
@@ -20,34 +24,66 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACED = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 _BARE = re.compile(f"[^{WHITE_SPACE}]+")
 #: Characters at which str.split() parts words and the libraries do not.
-_CONTROLS = re.compile("[\x1c-\x1f]")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Letters, then full stops and commas: two pieces for either vocabulary.
 _STOPPED = re.compile(r"(.*[A-Za-z])([.,]+)\Z", re.S)
 
+# The normalizer and the pre-tokenizer of the two known layouts.
+_KEEPS_BLANKS = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_LOWERS = (
+    {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+#: The letters of Latin-1 from U+00C0 on; none of them changes when normalised, all of them are letters to the pattern.
+_LATIN = "À-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[!-~{_LATIN}]+")
+#: What the pattern of _LOWERS comes to on such characters in lower case.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+
 #: Pieces kept by a worker. The first ones are the frequent ones, so a full cache stays as it is; it starts anew
 #: when texts have changed so much that STALE pieces were not in it.
 CACHE = 1_200_000
 STALE = 8_000_000
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Pieces(dict):
-    def __init__(self, path: str, lower: bool):
+    """Pieces and their ids. ``known``: the layout under which texts are cut at white space."""
+
+    known: tuple
+
+    def __init__(self, path: str):
         super().__init__()
         self.library = tokenizers.Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.lower = lower
+        with open(path, encoding="utf-8") as file:
+            layout = json.load(file)
+        self.cut = (layout.get("normalizer"), layout.get("pre_tokenizer")) == self.known
         self.missed = 0
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> bool:
+        return not self.cut or any(s in text for s in self.specials)
 
-    def __missing__(self, piece: str) -> bytes:
-        if self.lower and not piece.islower() and (low := piece.lower()) != piece and piece.isascii():
-            ids = self[low]
-        elif stopped := _STOPPED.match(piece):
-            ids = self[stopped[1]] + self[stopped[2]]  # numbers or bytes
-        else:
-            ids = self.encode(piece)
+    def __missing__(self, piece: str):
+        ids = self.find(piece)
         if len(self) < CACHE:
             self[piece] = ids
         else:
@@ -59,26 +95,57 @@ class _Pieces(dict):
 
 
 class _Counts(_Pieces):
+    known = _KEEPS_BLANKS
+
     def encode(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False).ids)
 
+    def find(self, piece: str) -> int:
+        if stopped := _STOPPED.match(piece):
+            return self[stopped[1]] + self[stopped[2]]
+        return self.encode(piece)
+
+
+class _Ids(_Pieces):
+    known = _LOWERS
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.merge = self.library.model.tokenize
+        # The characters that stand for the bytes of a letter, as the library has them.
+        before = self.library.pre_tokenizer
+        self.bytes_of = {c: before.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100) if self.cut and chr(c).isalpha()}
+
+    def encode(self, text: str) -> bytes:
+        return _packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def find(self, piece: str) -> bytes:
+        if not _PLAIN.fullmatch(piece):
+            return self.encode(piece)
+        low = piece.lower()
+        parts = _PARTS.findall(low)
+        if low != piece or len(parts) > 1:
+            return b"".join([self[p] for p in parts])
+        letters = low if low.isascii() else low.translate(self.bytes_of)
+        return _packed([t.id for t in self.merge(letters)])
+
 
-def _of_worker(kind: type, path: str, lower: bool) -> _Pieces:
+def _of_worker(kind: type, path: str) -> _Pieces:
     # Functions shipped with a task get new globals each time; the library's module stays.
     kept = tokenizers.__dict__.setdefault("_evalflow_pieces", {})
-    key = (kind.__name__, path, lower)
+    key = (kind.__name__, path)
     if key not in kept:
-        kept[key] = kind(path, lower)
+        kept[key] = kind(path)
     return kept[key]
 
 
 def token_counter(path: str):
-    """A function from a text to its number of tokens, for a byte-level vocabulary that keeps blanks."""
-    pieces = _of_worker(_Counts, path, False)
+    """A function from a text to its number of tokens; quick for a byte-level vocabulary that keeps blanks."""
+    pieces = _of_worker(_Counts, path)
     look = pieces.__getitem__
 
     def count(text: str) -> int:
-        if any(s in text for s in pieces.specials):
+        if pieces.whole(text):
             return pieces.encode(text)
         return sum(map(look, _SPACED.findall(text)))
 
@@ -86,14 +153,14 @@ def token_counter(path: str):
 
 
 def token_ids(path: str):
-    """A function from a text to its ids as little-endian 32-bit numbers, for a vocabulary that lowers case and drops
+    """A function from a text to its ids as little-endian 32-bit numbers; quick for a vocabulary that lowers case and drops
     white space."""
-    pieces = _of_worker(_Pieces, path, True)
+    pieces = _of_worker(_Ids, path)
     look = pieces.__getitem__
 
     def ids(text: str) -> bytes:
-        if any(s in text for s in pieces.specials):
+        if pieces.whole(text):
             return pieces.encode(text)
-        return b"".join(map(look, _BARE.findall(text) if _CONTROLS.search(text) else text.split()))
+        return b"".join(map(look, _BARE.findall(text) if any(c in text for c in _CONTROLS) else text.split()))
 
     return ids

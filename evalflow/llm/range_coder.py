@@ -87,10 +87,14 @@ class _Model:
     def learn(self, ids: np.ndarray, at2: np.ndarray, at1: np.ndarray, kind: np.ndarray, context: np.ndarray) -> None:
         """Take in a chunk; all arrays have one row per block, ``context`` is within a block."""
         blocks, n = ids.shape
+        known = (ids << 2).astype(np.int32)
         for table, at in ((self.order2, at2), (self.order1, at1)):
-            old = table[at]
-            sure = np.where(old >> 2 == ids, np.minimum((old & 3) + 1, 3), 1)
-            table[at.reshape(-1)] = ((ids << 2) | sure).reshape(-1)
+            # One more of four times the id and its count, up to 3; a new id begins with 1.
+            more = table[at] - known
+            np.copyto(more, 0, where=(more < 0) | (more > 3))
+            np.minimum(more + 1, 3, out=more)
+            more += known
+            table[at.reshape(-1)] = more.reshape(-1)
         lane = self.lane[:, None]
         upper = (lane * self.uppers + (ids >> _LOWER_BITS))[kind == 2]
         self.upper_counts += 16 * np.bincount(upper, minlength=blocks * self.uppers).reshape(blocks, self.uppers)
@@ -105,6 +109,11 @@ class _Model:
         self.refresh()
 
 
+def _digits_due(width: np.ndarray) -> np.ndarray:
+    """Digits by which an interval has to grow: none, one or two, as a step leaves at least 2 ** 19 of 2 ** 48."""
+    return (width < _U(1 << 48)).astype(np.int64) + (width < _U(1 << 32))
+
+
 def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list[bytes]:
     """Blocks of the ids, SIDE_BY_SIDE at a time."""
     if len(ids) and int(ids.max()) >= vocabulary:
@@ -148,14 +157,14 @@ def _encode_together(ids: np.ndarray, vocabulary: int, block_ids: int) -> list[b
             carry = moved < low
             if carry.any():
                 digits[place[carry] - 1] += 1
-            low, width = moved, unit * span[j]
-            small = np.flatnonzero(width < _U(1 << 48))
-            while len(small):
-                digits[place[small]] = low[small] >> _U(48)
-                place[small] += 1
-                low[small] <<= _U(16)
-                width[small] <<= _U(16)
-                small = small[width[small] < _U(1 << 48)]
+            width = unit * span[j]
+            # Two digits are written, as many of them are settled as count; the others are written over.
+            count = _digits_due(width)
+            digits[place] = moved >> _U(48)
+            digits[place + 1] = moved >> _U(32) & _U(0xFFFF)
+            place += count
+            shift = count.astype(_U) << _U(4)
+            low, width = moved << shift, width << shift
         model.learn(now, at2, at1, kind, context)
     for _ in range(4):
         digits[place] = low >> _U(48)
@@ -214,12 +223,12 @@ def _decode_together(payloads: list[bytes], steps: int, vocabulary: int) -> np.n
     digits = np.zeros((blocks, stride), dtype=np.uint16)
     for b, p in enumerate(payloads):
         digits[b, : len(p) // 2] = np.frombuffer(p, dtype="<u2")
-    digits = digits.reshape(-1).astype(_U)
-    place, last = model.lane * stride, (model.lane + 1) * stride - 1
-    value = np.zeros(blocks, dtype=_U)
-    for _ in range(4):
-        value = (value << _U(16)) | digits[place]
-        place = place + 1
+    # Every place has its digit and the next one.
+    pairs = digits.reshape(-1).astype(np.uint32) << 16
+    pairs[:-1] |= pairs[1:] >> 16
+    place, last = model.lane * stride, (model.lane + 1) * stride - 2
+    value = pairs[place].astype(_U) << _U(32) | pairs[place + 2]
+    place = place + 4
     width = np.full(blocks, (1 << 64) - 1, dtype=_U)
     grid = np.zeros((blocks, steps), dtype=np.int64)
     one, two = np.zeros(blocks, dtype=np.int64), np.zeros(blocks, dtype=np.int64)
@@ -255,12 +264,11 @@ def _decode_together(payloads: list[bytes], steps: int, vocabulary: int) -> np.n
             span = np.where(is2, size * rest, np.where(is0, first, second - first) << _LITERAL_BITS)
             value = value - unit * start.astype(_U)
             width = unit * span.astype(_U)
-            small = np.flatnonzero(width < _U(1 << 48))
-            while len(small):
-                value[small] = (value[small] << _U(16)) | digits[place[small]]
-                place[small] = np.minimum(place[small] + 1, last[small])
-                width[small] <<= _U(16)
-                small = small[width[small] < _U(1 << 48)]
+            count = _digits_due(width)
+            shift = count.astype(_U) << _U(4)
+            value = value << shift | pairs[place].astype(_U) >> (_U(32) - shift)
+            width <<= shift
+            place = np.minimum(place + count, last)
             kind = is2.astype(np.int64) + 1 - is0
             for name, found in zip(names, (ids, at2, at1, kind, context), strict=True):
                 kept[name][j] = found

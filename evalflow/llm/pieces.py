@@ -122,12 +122,16 @@ class _Ids(_Pieces):
     def find(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return self.encode(piece)
-        low = piece.lower()
-        parts = _PARTS.findall(low)
-        if low != piece or len(parts) > 1:
-            return b"".join([self[p] for p in parts])
-        letters = low if low.isascii() else low.translate(self.bytes_of)
-        return _packed([t.id for t in self.merge(letters)])
+        found = []
+        for part in _PARTS.findall(piece.lower()):
+            ids = self.get(part)
+            if ids is None:
+                letters = part if part.isascii() else part.translate(self.bytes_of)
+                ids = _packed([t.id for t in self.merge(letters)])
+                if part != piece and len(self) < CACHE:
+                    self[part] = ids
+            found.append(ids)
+        return b"".join(found)
 
 
 def _of_worker(kind: type, path: str) -> _Pieces:

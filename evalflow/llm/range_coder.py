@@ -71,8 +71,9 @@ class _Model:
             room = (1 << _UPPER_BITS) - self.uppers
             f = 1 + counts * room // counts.sum(axis=1, keepdims=True)
             f[self.lane, f.argmax(axis=1)] += (1 << _UPPER_BITS) - f.sum(axis=1)
-            self.upper_size = f.reshape(-1)
-            self.upper_start = (np.cumsum(f, axis=1) - f).reshape(-1)
+            self.upper_sizes = f
+            # Start and size side by side, so that both are fetched at once.
+            self.upper = (np.cumsum(f, axis=1) - f << 16 | f).astype(np.int32).reshape(-1)
         shares = [(c << _CLASS_BITS) // c.sum(axis=2, keepdims=True) for c in (*self.seen, self.seen[0].sum(axis=1, keepdims=True))]
         self.shares = shares
         weight = (1 << 20) // (16 + self.errors) ** 2 + 1
@@ -81,24 +82,26 @@ class _Model:
         mixed //= w2 + w1 + w0
         size = 1 + mixed * ((1 << _CLASS_BITS) - 3) // (1 << _CLASS_BITS)
         size[..., 2] = (1 << _CLASS_BITS) - size[..., 0] - size[..., 1]
-        self.first = size[..., 0].reshape(-1).copy()
-        self.second = (size[..., 0] + size[..., 1]).reshape(-1)
+        # The ends of the first and of the second interval, likewise.
+        self.ends = ((size[..., 0] << 16) + size[..., 0] + size[..., 1]).astype(np.int32).reshape(-1)
 
-    def learn(self, ids: np.ndarray, at2: np.ndarray, at1: np.ndarray, kind: np.ndarray, context: np.ndarray) -> None:
-        """Take in a chunk; all arrays have one row per block, ``context`` is within a block."""
-        blocks, n = ids.shape
-        known = (ids << 2).astype(np.int32)
-        for table, at in ((self.order2, at2), (self.order1, at1)):
+    def learn(self, lane: np.ndarray, ids: np.ndarray, at2, at1, known2, known1, kind: np.ndarray, context: np.ndarray) -> None:
+        """Take in a chunk. All arrays have one entry per block and id, later ids of a block behind earlier ones; ``lane`` is
+        the block's number along their axes, ``known2`` and ``known1`` are what the tables hold at ``at2`` and ``at1``,
+        ``context`` is 32 times the block's number and the context in it."""
+        blocks, n = len(self.lane), ids.size // len(self.lane)
+        now = (ids << 2).astype(np.int32)
+        for table, at, known in ((self.order2, at2, known2), (self.order1, at1, known1)):
             # One more of four times the id and its count, up to 3; a new id begins with 1.
-            more = table[at] - known
+            more = known - now
             np.copyto(more, 0, where=(more < 0) | (more > 3))
-            np.minimum(more + 1, 3, out=more)
-            more += known
+            more += 1
+            np.minimum(more, 3, out=more)
+            more += now
             table[at.reshape(-1)] = more.reshape(-1)
-        lane = self.lane[:, None]
         upper = (lane * self.uppers + (ids >> _LOWER_BITS))[kind == 2]
         self.upper_counts += 16 * np.bincount(upper, minlength=blocks * self.uppers).reshape(blocks, self.uppers)
-        found = np.bincount(((lane * 32 + context) * 3 + kind).reshape(-1), minlength=blocks * 96).reshape(blocks, 4, 8, 3)
+        found = np.bincount((context * 3 + kind).reshape(-1), minlength=blocks * 96).reshape(blocks, 4, 8, 3)
         news = [found.sum(axis=2), found.sum(axis=1), found.sum(axis=(1, 2))[:, None]]
         for k, (new, share) in enumerate(zip(news, self.shares, strict=True)):
             missed = (new * ((1 << _CLASS_BITS) - share)).sum(axis=(1, 2)) // n
@@ -111,7 +114,7 @@ class _Model:
 
 def _digits_due(width: np.ndarray) -> np.ndarray:
     """Digits by which an interval has to grow: none, one or two, as a step leaves at least 2 ** 19 of 2 ** 48."""
-    return (width < _U(1 << 48)).astype(np.int64) + (width < _U(1 << 32))
+    return ((width < _U(1 << 48)).view(np.int8) + (width < _U(1 << 32)).view(np.int8)).astype(np.int64)
 
 
 def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list[bytes]:
@@ -142,12 +145,12 @@ def _encode_together(ids: np.ndarray, vocabulary: int, block_ids: int) -> list[b
         at2, at1 = model.cells(history[:, begin + 1 : begin + 1 + n], history[:, begin : begin + n], lane)
         known2, known1 = model.order2[at2], model.order1[at1]
         kind = np.where((known2 >> 2 == now) & (known2 & 3 > 0), 0, np.where((known1 >> 2 == now) & (known1 & 3 > 0), 1, 2))
-        context = ((known2 & 3) << 3) + ((known1 & 3) << 1) + (known2 >> 2 == known1 >> 2)
-        place_in = lane * 32 + context
-        first, second = model.first[place_in], model.second[place_in]
-        upper = lane * model.uppers + (now >> _LOWER_BITS)
-        size, rest = model.upper_size[upper], (1 << _CLASS_BITS) - second
-        inner = (model.upper_start[upper] << _LOWER_BITS) + (now & (1 << _LOWER_BITS) - 1) * size
+        context = lane * 32 + (((known2 & 3) << 3) + ((known1 & 3) << 1) + (known2 >> 2 == known1 >> 2))
+        ends = model.ends[context]
+        first, second = ends >> 16, ends & 0xFFFF
+        upper = model.upper[lane * model.uppers + (now >> _LOWER_BITS)]
+        size, rest = upper & 0xFFFF, (1 << _CLASS_BITS) - second
+        inner = (upper >> 16 << _LOWER_BITS) + (now & (1 << _LOWER_BITS) - 1) * size
         start = np.where(kind == 0, 0, np.where(kind == 1, first, second)) << _LITERAL_BITS
         start = (start + np.where(kind == 2, inner * rest, 0)).astype(_U).T.copy()
         span = np.where(kind == 2, size * rest, np.where(kind == 0, first, second - first) << _LITERAL_BITS).astype(_U).T.copy()
@@ -163,9 +166,9 @@ def _encode_together(ids: np.ndarray, vocabulary: int, block_ids: int) -> list[b
             digits[place] = moved >> _U(48)
             digits[place + 1] = moved >> _U(32) & _U(0xFFFF)
             place += count
-            shift = count.astype(_U) << _U(4)
+            shift = (count << 4).view(_U)
             low, width = moved << shift, width << shift
-        model.learn(now, at2, at1, kind, context)
+        model.learn(lane, now, at2, at1, known2, known1, kind, context)
     for _ in range(4):
         digits[place] = low >> _U(48)
         place += 1
@@ -230,50 +233,50 @@ def _decode_together(payloads: list[bytes], steps: int, vocabulary: int) -> np.n
     value = pairs[place].astype(_U) << _U(32) | pairs[place + 2]
     place = place + 4
     width = np.full(blocks, (1 << 64) - 1, dtype=_U)
-    grid = np.zeros((blocks, steps), dtype=np.int64)
+    grid = np.zeros((blocks, steps), dtype=np.uint32)
     one, two = np.zeros(blocks, dtype=np.int64), np.zeros(blocks, dtype=np.int64)
-    names = ("ids", "at2", "at1", "kind", "context")
+    # What a chunk is learnt from, one row per step.
+    kept = [np.empty((CHUNK, blocks), dtype=kind) for kind in ("i8", "i8", "i8", "i4", "i4", "i1", "i8")]
     lane_contexts = model.lane * 32
     lane, lane_uppers, lane_inverse = model.lane, model.lane * model.uppers, model.lane << _UPPER_BITS
     lower = (1 << _LOWER_BITS) - 1
     for begin in range(0, steps, CHUNK):
         n = min(CHUNK, steps - begin)
-        kept = {name: np.empty((n, blocks), dtype=np.int64) for name in names}
         if model.chunks % UPPER_EVERY == 0:
-            inverse = np.repeat(np.tile(np.arange(model.uppers, dtype=np.int16), blocks), model.upper_size)
+            inverse = np.repeat(np.tile(np.arange(model.uppers, dtype=np.int16), blocks), model.upper_sizes.reshape(-1))
         for j in range(n):
             at2, at1 = model.cells(one, two, lane)
             known2, known1 = model.order2[at2], model.order1[at1]
             p2, p1 = known2 >> 2, known1 >> 2
-            context = ((known2 & 3) << 3) + ((known1 & 3) << 1) + (p2 == p1)
-            place_in = lane_contexts + context
-            first, second = model.first[place_in], model.second[place_in]
+            context = lane_contexts + (((known2 & 3) << 3) + ((known1 & 3) << 1) + (p2 == p1))
+            ends = model.ends[context]
+            first, second = ends >> 16, ends & 0xFFFF
             unit = width >> _U(_TOTAL_BITS)
-            target = np.minimum(value // unit, _U((1 << _TOTAL_BITS) - 1)).astype(np.int64)
+            # Below 2 ** _TOTAL_BITS, as are all its parts.
+            target = np.minimum(value // unit, _U((1 << _TOTAL_BITS) - 1)).astype(np.int32)
             share = target >> _LITERAL_BITS
             is0, is2 = share < first, share >= second
             rest = (1 << _CLASS_BITS) - second
             begin2 = second << _LITERAL_BITS
             literal = np.where(is2, target - begin2, 0) // rest
             upper = inverse[lane_inverse + (literal >> _LOWER_BITS)]
-            cell = lane_uppers + upper
-            size, origin = model.upper_size[cell], model.upper_start[cell] << _LOWER_BITS
+            cell = model.upper[lane_uppers + upper]
+            size, origin = cell & 0xFFFF, cell >> 16 << _LOWER_BITS
             low_part = (literal - origin) // size
-            ids = np.where(is0, p2, np.where(is2, (upper.astype(np.int64) << _LOWER_BITS) + (low_part & lower), p1))
+            ids = np.where(is0, p2, np.where(is2, (upper.astype(np.int32) << _LOWER_BITS) + (low_part & lower), p1))
             start = np.where(is0, 0, np.where(is2, begin2 + (origin + low_part * size) * rest, first << _LITERAL_BITS))
             span = np.where(is2, size * rest, np.where(is0, first, second - first) << _LITERAL_BITS)
             value = value - unit * start.astype(_U)
             width = unit * span.astype(_U)
             count = _digits_due(width)
-            shift = count.astype(_U) << _U(4)
+            shift = (count << 4).view(_U)
             value = value << shift | pairs[place].astype(_U) >> (_U(32) - shift)
             width <<= shift
             place = np.minimum(place + count, last)
-            kind = is2.astype(np.int64) + 1 - is0
-            for name, found in zip(names, (ids, at2, at1, kind, context), strict=True):
-                kept[name][j] = found
-            two, one = one, ids
-        chunk = [np.ascontiguousarray(kept[name].T) for name in names]
-        grid[:, begin : begin + n] = chunk[0]
-        model.learn(*chunk)
+            kind = is2.view(np.int8) + np.int8(1) - is0.view(np.int8)
+            for rows, found in zip(kept, (ids, at2, at1, known2, known1, kind, context), strict=True):
+                rows[j] = found
+            two, one = one, ids.astype(np.int64)
+        grid[:, begin : begin + n] = kept[0][:n].T
+        model.learn(lane, *(rows[:n] for rows in kept))
     return grid

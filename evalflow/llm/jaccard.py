@@ -53,6 +53,8 @@ HEAVY_MOST = 200_000
 BLOCK_SHINGLES = 60_000
 #: Members of a block, about: comparing two blocks takes memory by the square of their members.
 BLOCK_MEMBERS = 1000
+#: Edges that a task of a round of `components` has, about.
+EDGES_PER_TASK = 20_000
 #: Sets up to this size may count as short; others of them go through the groups.
 SHORT_MOST = 16
 
@@ -339,16 +341,18 @@ def components(edges: DataFrame, node: str = "binary") -> DataFrame:
         if (sign["n"], sign["x"]) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = (sign["n"], sign["x"])
+        # A round has no more edges than it began with and a node each, so it takes tasks by their number.
+        tasks = -(-sign["n"] // EDGES_PER_TASK) or 1
         # Large star: every larger neighbour is linked to the smallest neighbour.
         around = edges.union(edges.select("b", "a"))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b").coalesce(tasks)
         # Small star: every smaller neighbour, and the node itself, is linked to the smallest one.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.select("a", F.col("m").alias("b"))
-        edges = stage(small.union(own).where("a <> b").distinct(), "components")
+        edges = stage(small.union(own).where("a <> b").coalesce(tasks).distinct().coalesce(tasks), "components")
 
 
 def rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

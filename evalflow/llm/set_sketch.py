@@ -90,7 +90,14 @@ def may_reach(similarity: float, slack: float, n_a: np.ndarray, n_b: np.ndarray,
     """Pairs whose sizes allow the similarity and whose registers are less likely under it than under their best
     estimate by ``slack`` in the logarithm at most (18: some six standard deviations)."""
     n_a, n_b = n_a.astype(np.float64), n_b.astype(np.float64)
-    best = estimate(n_a, n_b, larger, smaller, equal)
     counts = (n_a, n_b, larger, smaller, equal)
-    close = log_likelihood(best, *counts) - log_likelihood(np.full(len(n_a), similarity), *counts) <= slack
-    return (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) * (1 - 1e-12)) & ((best >= similarity) | close)
+    fits = np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) * (1 - 1e-12)
+    # The likelihood is concave: where it still rises at the similarity, the best estimate is not below.
+    at = log_likelihood(np.full(len(n_a), similarity), *counts)
+    further = similarity + np.maximum(np.minimum(n_a / n_b, n_b / n_a) - similarity, 0) / 1000
+    reach = fits & (further > similarity) & (log_likelihood(further, *counts) >= at)
+    open_ = np.flatnonzero(fits & ~reach)
+    left = tuple(c[open_] for c in counts)
+    best = estimate(*left)
+    reach[open_] = (best >= similarity) | (log_likelihood(best, *left) - at[open_] <= slack)
+    return reach

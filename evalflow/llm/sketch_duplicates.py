@@ -135,20 +135,29 @@ def _with_head(cells: DataFrame, sketched: DataFrame, percent: int) -> DataFrame
 
 
 def _block_candidates(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple[bytes, bytes]]:
-    """Pairs that connect what may be linked among the members of a block (right is None) or across two."""
+    """Pairs that connect what may be linked among the members of a block (right is None) or across two.
+
+    Members of one cluster (``root``, if they have one) are connected already and not compared.
+    """
     members = left + (right or [])
     registers = np.frombuffer(b"".join(m["registers"] for m in members), dtype=np.uint16).reshape(len(members), -1)
     sizes = np.array([m["n"] for m in members], dtype=np.int64)
-    equal = np.zeros((len(members), len(members)), dtype=np.int16)
-    for k in range(registers.shape[1]):
-        equal += registers[:, k, None] == registers[None, :, k]
+    cluster = np.unique([m.get("root", m["set_id"]).hex() for m in members], return_inverse=True)[1]
+    # Across two blocks only the rectangle of left and right is counted.
+    first = 0 if right is None else len(left)
+    rows, columns = (np.ascontiguousarray(side.T) for side in (registers[: len(left)], registers[first:]))
+    equal = np.zeros((len(left), len(members) - first), dtype=np.uint8 if len(rows) < 256 else np.int32)
+    for mine, others in zip(rows, columns, strict=True):
+        equal += mine[:, None] == others[None, :]
     # A link has percent of its registers equal on average; six and a half standard deviations below is out of reach.
     m, p = registers.shape[1], percent / 100
-    near = np.triu(equal >= m * p - 6.5 * np.sqrt(m * p * (1 - p)), 1)
-    if right is not None:
-        near[: len(left), : len(left)] = near[len(left) :, len(left) :] = False
+    near = equal >= m * p - 6.5 * np.sqrt(m * p * (1 - p))
+    near &= cluster[: len(left), None] != cluster[None, first:]
+    if right is None:
+        near = np.triu(near, 1)
     x, y = np.nonzero(near)
-    linked = np.zeros_like(near)
+    y += first
+    linked = np.zeros((len(members), len(members)), dtype=bool)
     for at in range(0, len(x), 20_000):
         i, j = x[at : at + 20_000], y[at : at + 20_000]
         good = _allowed(registers[i], registers[j], sizes[i], sizes[j], percent)
@@ -198,8 +207,8 @@ def _in_blocks(cells: DataFrame, sketched: DataFrame, clusters: DataFrame, perce
     # Of the buckets with the same members one will do.
     mixed = mixed.where("first < last").groupBy("members", "sign").agg(F.min("bucket").alias("bucket"))
     blocks = mixed.select("bucket", F.ceil(F.col("members") / BLOCK_MEMBERS).alias("blocks"))
-    rows = cells.join(blocks, "bucket").join(sketched.select("set_id", "n", "registers"), "set_id")
-    pairs = _block_pairs(rows.withColumn("member", F.struct("set_id", "n", "registers")), "bucket", "member")
+    rows = labelled.join(blocks, "bucket").join(sketched.select("set_id", "n", "registers"), "set_id")
+    pairs = _block_pairs(rows.withColumn("member", F.struct("set_id", "root", "n", "registers")), "bucket", "member")
     return _compared(pairs, lambda left, right: _block_candidates(left, right, percent))
 
 
@@ -210,8 +219,10 @@ def candidate_clusters(sketched: DataFrame, percent: int) -> DataFrame:
     heads = cells.groupBy("bucket").agg(F.min("set_id").alias("head"), F.count("*").alias("members")).where("members > 1")
     cells = stage(cells.join(heads, "bucket"), "sketch-cells")
     near = stage(_with_head(cells, sketched, percent), "sketch-candidates")
-    further = _in_blocks(cells, sketched, components(near), percent)
-    return components(near.unionByName(further))
+    clusters = components(near)
+    further = _in_blocks(cells, sketched, clusters, percent)
+    # What is connected already enters as stars, so only what joins them is left to settle.
+    return components(clusters.toDF("a", "b").unionByName(further))
 
 
 def links(docs: DataFrame, sketched: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

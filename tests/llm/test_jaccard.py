@@ -159,3 +159,26 @@ def test_one_of_each(spark, awkward, no_documents):
     assert J.one_of_each(no_documents).count() == 0
     nameless = spark.createDataFrame(rows_of([" ".join(words(1, 50))] * 3, [None] * 3), DOCUMENTS)
     assert J.one_of_each(nameless).count() == 1
+
+
+def test_rounds_take_tasks_by_their_edges(spark, monkeypatch):
+    """A chain of 40 nodes is one task's work in every round, however many shuffle partitions there are."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    parts, plain = [], J.stage
+
+    def spied(df, label):
+        written = plain(df, label)
+        parts.append(len(written.inputFiles()))
+        return written
+
+    monkeypatch.setattr(J, "stage", spied)
+    edges = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(40)], "a binary, b binary")
+    try:
+        for key, value in zip(kept, ("37", "false"), strict=True):
+            spark.conf.set(key, value)
+        got = J.components(edges).collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert {(bytes(r["node"]), bytes(r["root"])) for r in got} == {(bytes([k]), bytes([0])) for k in range(1, 41)}
+    assert len(parts) > 2 and max(parts[1:]) == 1

@@ -123,6 +123,31 @@ def test_blocks_find_what_the_heads_do_not(spark, monkeypatch):
     assert [(bytes(r["node"]), bytes(r["root"])) for r in found] == [(bytes([2]), bytes([1]))]
 
 
+def test_blocks_compare_clusters_only():
+    """Members that heads have connected are left out; a pair of two clusters is found in a block and across two."""
+    rng = np.random.default_rng(1)
+    a, b = pair(rng, 100, 100, 95)
+    cells = [dict(n=100, set_id=bytes([k]), root=bytes([0]), registers=K.sketches([s])[0].tobytes()) for k, s in enumerate((a, b, a))]
+    assert D._block_candidates(cells, None, 85) == D._block_candidates(cells[:1], cells[1:], 85) == []
+    cells[2]["root"] = bytes([2])
+    assert {max(p) for p in D._block_candidates(cells, None, 85)} == {bytes([2])}
+    assert D._block_candidates(cells[:1], cells[1:], 85) == [(bytes([0]), bytes([2]))]
+
+
+def test_rising_likelihood_decides_like_the_best_estimate():
+    rng = np.random.default_rng(3)
+    n_a, n_b = rng.integers(6, 900, 5000), rng.integers(6, 900, 5000)
+    n_b[::2] = np.maximum(6, (n_a[::2] * rng.uniform(0.8, 1.25, 2500)).astype(int))
+    equal = rng.integers(150, 253, 5000)
+    larger = ((252 - equal) * rng.uniform(0, 1, 5000)).astype(int)
+    counts = (n_a.astype(float), n_b.astype(float), larger, 252 - equal - larger, equal)
+    best = K.estimate(*counts)
+    close = K.log_likelihood(best, *counts) - K.log_likelihood(np.full(5000, 0.85), *counts) <= D.SLACK
+    fits = np.minimum(n_a, n_b) >= 0.85 * np.maximum(n_a, n_b) * (1 - 1e-12)
+    got = K.may_reach(0.85, D.SLACK, n_a, n_b, *counts[2:])
+    assert (got == (fits & ((best >= 0.85) | close))).all() and 500 < got.sum() < 4500
+
+
 def test_awkward_rows(spark, awkward, no_documents):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     want = brute(rows, 5)

@@ -40,35 +40,47 @@ def _(spark, sf):
     return logs.run_to_table(logs.progress_per_minute(ended), f"{out}/rows", f"{out}/state")
 
 
-def _call_slices(spark, sf, repeats: bool = False):
-    """The calls as a stream of four micro-batches in the order of time, with refused requests among them.
+def _in_slices(spark, sf, run, repeats: bool = False):
+    """What ``run`` makes of the calls as a stream of four micro-batches in the order of time, with refused requests among them.
 
-    With ``repeats`` a fifth one reports the ends of the first again, days later and with the opposite outcome.
+    The calls are cut once, by the tasks that derive them. Each slice is appended as they left it; the stream then goes on
+    from its checkpoint and takes the new files as one micro-batch. With ``repeats`` a fifth one reports the ends of the
+    first again, days later and with the opposite outcome.
     """
-    path = stage_path(spark, "calls")
+    path, cut = stage_path(spark, "calls"), stage_path(spark, "slices")
     calls = view(spark, sf, "calls")
-    for part in range(4):
-        calls.where(F.col("slice") == part).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    calls.write.partitionBy("slice").parquet(cut)
+    calls = spark.read.schema(calls.schema).parquet(cut)
+    parts = [calls.where(F.col("slice") == part).drop("slice") for part in range(4)]
     if repeats:
-        again = terminal_attempts(calls.where("slice = 0"), 3).drop("slice")
-        again = again.withColumns({"ok": ~F.col("ok"), "end_ts": F.col("end_ts") + F.expr("INTERVAL 40 DAYS")})
-        again.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(calls.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(path)
+        again = terminal_attempts(parts[0], 3)
+        parts.append(again.withColumns({"ok": ~F.col("ok"), "end_ts": F.col("end_ts") + F.expr("INTERVAL 40 DAYS")}))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        result = run(spark.readStream.schema(part.schema).parquet(path))
+    return result
 
 
 @query("stream_first_outcomes", "SELECT task_id, ok, end_ts FROM {calls} a WHERE ok OR final OR attempt >= 3")
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    logs.record_outcomes(_call_slices(spark, sf, repeats=True), f"{out}/ledger", f"{out}/state").awaitTermination()
+
+    def run(calls):
+        logs.record_outcomes(calls, f"{out}/ledger", f"{out}/state").awaitTermination()
+
+    _in_slices(spark, sf, run, repeats=True)
     return logs.recorded_outcomes(spark, f"{out}/ledger").select("task_id", "ok", "end_ts")
 
 
 @query("stream_outcomes_in_delay", "SELECT task_id, ok, end_ts FROM {calls} a WHERE ok OR final OR attempt >= 3")
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    ended = terminal_attempts(_call_slices(spark, sf), 3)
-    deduped = logs.first_outcome_stream(ended.select("task_id", "ok", "end_ts"), "1 day")
-    rows = logs.run_to_table(deduped, f"{out}/rows", f"{out}/state")
+
+    def run(calls):
+        ended = terminal_attempts(calls, 3).select("task_id", "ok", "end_ts")
+        return logs.run_to_table(logs.first_outcome_stream(ended, "1 day"), f"{out}/rows", f"{out}/state")
+
+    rows = _in_slices(spark, sf, run)
     return rows.withColumn("end_ts", F.col("end_ts").cast("timestamp_ntz"))
 
 
@@ -89,8 +101,11 @@ _PASSED = "INTERVAL 1 HOUR <= (SELECT max(ts) FROM {calls} x) - INTERVAL 10 MINU
 )
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    status = logs.status_stream(_call_slices(spark, sf), lost_after="1 day")
-    return logs.run_to_table(status, f"{out}/rows", f"{out}/state")
+
+    def run(calls):
+        return logs.run_to_table(logs.status_stream(calls, lost_after="1 day"), f"{out}/rows", f"{out}/state")
+
+    return _in_slices(spark, sf, run)
 
 
 @query(
@@ -101,7 +116,11 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = stage_path(spark, "stream")
-    attempt_stream.track_attempts(_call_slices(spark, sf), f"{out}/states", f"{out}/checkpoint").awaitTermination()
+
+    def run(calls):
+        attempt_stream.track_attempts(calls, f"{out}/states", f"{out}/checkpoint").awaitTermination()
+
+    _in_slices(spark, sf, run)
     return attempt_stream.state_changes(spark, f"{out}/states").drop("batch_id")
 
 

@@ -28,6 +28,25 @@ def test_results_file_suffix(spark):
         datasets.publish_results_file(spark, "/x/file.xlsx", "a int", "/x/out")
 
 
+@pytest.mark.parametrize("kind", ["jsonl", "csv"])
+def test_a_results_file_is_published_by_the_tasks_that_read_it(spark, tmp_path, kind):
+    """No exchange: the rows of every task stay together, in a file of their own."""
+    rows = [(k, f"text {k}") for k in range(400)]
+    write = datasets.write_json_lines if kind == "jsonl" else datasets.write_csv
+    path, target, key = str(tmp_path / f"r.{kind}"), str(tmp_path / "table"), "spark.sql.files.maxPartitionBytes"
+    write(spark.createDataFrame(rows, "id int, text string").repartition(4), path)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        tasks = spark.read.text(path).rdd.getNumPartitions() if kind == "jsonl" else 4
+        datasets.publish_results_file(spark, path, "id int, text string", target)
+    finally:
+        spark.conf.set(key, before)
+    back = spark.read.parquet(target)
+    assert 4 <= len(back.inputFiles()) <= tasks
+    assert sorted(tuple(r) for r in back.collect()) == [(*r, "test") for r in rows]
+
+
 def test_jobs_with_bad_lines(spark, tmp_path):
     lines = ['{"task_id": 1, "index": 3, "request": {"model": "m", "messages": [{"role": "user", "content": "a"}]}}', "{bad", '{"task_id": "b", "request": {"prompt": "p"}, "metadata": {"k": 1}}']
     (tmp_path / "jobs.jsonl").write_text("\n".join(lines) + "\n")

@@ -120,6 +120,9 @@ class _Ids(_Pieces):
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def find(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():  # one part
+            lower = piece.lower()
+            return self[lower] if lower != piece else _packed([t.id for t in self.merge(piece)])
         if not _PLAIN.fullmatch(piece):
             return self.encode(piece)
         found = []

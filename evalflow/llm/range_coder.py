@@ -61,8 +61,9 @@ class _Model:
     def cells(self, one: np.ndarray, two: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the tables of order 2 and order 1 after the ids ``two``, ``one``."""
         base, keep = lane << _TABLE_BITS, (1 << _TABLE_BITS) - 1
-        mixed = one * 0x9E3779B1
-        return base + ((mixed + two * 0x85EBCA77 >> 15) & keep), base + ((mixed >> 15) & keep)
+        # 32-bit numbers that wrap: the bits that are kept are the same.
+        mixed = one.astype(np.uint32) * np.uint32(0x9E3779B1)
+        return base + ((mixed + two.astype(np.uint32) * np.uint32(0x85EBCA77) >> np.uint32(15)) & np.uint32(keep)), base + ((mixed >> np.uint32(15)) & np.uint32(keep))
 
     def refresh(self) -> None:
         """Whole-number frequencies from the counts."""
@@ -76,11 +77,13 @@ class _Model:
             self.upper = (np.cumsum(f, axis=1) - f << 16 | f).astype(np.int32).reshape(-1)
         shares = [(c << _CLASS_BITS) // c.sum(axis=2, keepdims=True) for c in (*self.seen, self.seen[0].sum(axis=1, keepdims=True))]
         self.shares = shares
-        weight = (1 << 20) // (16 + self.errors) ** 2 + 1
+        weight = ((1 << 20) // (16 + self.errors) ** 2 + 1).astype(np.int32)
         w2, w1, w0 = (weight[:, k, None, None, None] for k in range(3))
-        mixed = w2 * shares[0][:, :, None, :] + w1 * shares[1][:, None, :, :] + w0 * shares[2][:, :, None, :]
+        # At most 3 * 4097 * 1024.
+        narrow = [s.astype(np.int32) for s in shares]
+        mixed = w2 * narrow[0][:, :, None, :] + w1 * narrow[1][:, None, :, :] + w0 * narrow[2][:, :, None, :]
         mixed //= w2 + w1 + w0
-        size = 1 + mixed * ((1 << _CLASS_BITS) - 3) // (1 << _CLASS_BITS)
+        size = 1 + (mixed * ((1 << _CLASS_BITS) - 3) >> _CLASS_BITS)
         size[..., 2] = (1 << _CLASS_BITS) - size[..., 0] - size[..., 1]
         # The ends of the first and of the second interval, likewise.
         self.ends = ((size[..., 0] << 16) + size[..., 0] + size[..., 1]).astype(np.int32).reshape(-1)
@@ -130,7 +133,7 @@ def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list
 
 def _encode_together(ids: np.ndarray, vocabulary: int, block_ids: int) -> list[bytes]:
     blocks = -(-len(ids) // block_ids)
-    padded = np.zeros(blocks * block_ids, dtype=np.int64)
+    padded = np.zeros(blocks * block_ids, dtype=np.int32)
     padded[: len(ids)] = ids
     grid = padded.reshape(blocks, block_ids)
     model = _Model(blocks, vocabulary)
@@ -138,22 +141,24 @@ def _encode_together(ids: np.ndarray, vocabulary: int, block_ids: int) -> list[b
     low, width = np.zeros(blocks, dtype=_U), np.full(blocks, (1 << 64) - 1, dtype=_U)
     stride = 2 * block_ids + 8
     digits, place = np.zeros(blocks * stride, dtype=np.uint32), model.lane * stride + 1
-    history = np.concatenate([np.zeros((blocks, 2), dtype=np.int64), grid], axis=1)
+    history = np.concatenate([np.zeros((blocks, 2), dtype=np.int32), grid], axis=1)
     for begin in range(0, block_ids, CHUNK):
         now = grid[:, begin : begin + CHUNK]
         n = now.shape[1]
         at2, at1 = model.cells(history[:, begin + 1 : begin + 1 + n], history[:, begin : begin + n], lane)
         known2, known1 = model.order2[at2], model.order1[at1]
-        kind = np.where((known2 >> 2 == now) & (known2 & 3 > 0), 0, np.where((known1 >> 2 == now) & (known1 & 3 > 0), 1, 2))
+        by2, by1 = (known2 >> 2 == now) & (known2 & 3 > 0), (known1 >> 2 == now) & (known1 & 3 > 0)
+        kind = np.where(by2, np.int8(0), np.where(by1, np.int8(1), np.int8(2)))
         context = lane * 32 + (((known2 & 3) << 3) + ((known1 & 3) << 1) + (known2 >> 2 == known1 >> 2))
         ends = model.ends[context]
         first, second = ends >> 16, ends & 0xFFFF
         upper = model.upper[lane * model.uppers + (now >> _LOWER_BITS)]
         size, rest = upper & 0xFFFF, (1 << _CLASS_BITS) - second
         inner = (upper >> 16 << _LOWER_BITS) + (now & (1 << _LOWER_BITS) - 1) * size
-        start = np.where(kind == 0, 0, np.where(kind == 1, first, second)) << _LITERAL_BITS
-        start = (start + np.where(kind == 2, inner * rest, 0)).astype(_U).T.copy()
-        span = np.where(kind == 2, size * rest, np.where(kind == 0, first, second - first) << _LITERAL_BITS).astype(_U).T.copy()
+        is0, is2 = kind == 0, kind == 2
+        # Both stay below 2 ** _TOTAL_BITS, as in the decoder.
+        start = np.where(is0, np.int32(0), np.where(is2, (second << _LITERAL_BITS) + inner * rest, first << _LITERAL_BITS)).T.astype(_U, order="C")
+        span = np.where(is2, size * rest, np.where(is0, first, second - first) << _LITERAL_BITS).T.astype(_U, order="C")
         for j in range(n):
             unit = width >> _U(_TOTAL_BITS)
             moved = low + unit * start[j]

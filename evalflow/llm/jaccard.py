@@ -171,10 +171,10 @@ def heavy_shingles(docs: DataFrame, size: int, percent: int) -> Heavy:
 
     counted = docs.select("text").mapInArrow(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     heaviest = counted.where(F.col("times") > HEAVY_FROM).orderBy(F.col("times").desc(), "shingle").limit(HEAVY_MOST)
-    found = heaviest.toPandas()
-    shingles = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    found = heaviest.toArrow()  # as rows they would take ten times the memory of the driver
+    shingles = found["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return Heavy(shingles[order], found["times"].to_numpy(dtype=np.int64)[order])
+    return Heavy(shingles[order], found["times"].to_numpy()[order])
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:

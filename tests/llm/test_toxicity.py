@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -81,3 +82,29 @@ def test_awkward_tables(spark, awkward, no_documents):
 def test_threshold():
     assert T.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0.0])) == pytest.approx(0.5)
     assert T.best_threshold(np.zeros(3), np.zeros(3)) > 1
+
+
+def test_fit_takes_little_of_the_drivers_memory():
+    rng = np.random.default_rng(5)
+    x = (rng.random((T.MAX_ROWS, 1 + 2 * T.WORDS_PER_CATEGORY)) < 0.1).astype(np.uint8)
+    x[:, 0] = 1
+    labels = np.column_stack([x[:, 1] | x[:, 2], x[:, 3]]).astype(float)
+    tracemalloc.start()
+    try:
+        weights, _ = T.fit_chain(x, labels, np.arange(len(x)) % T.FOLDS)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6
+    assert weights[0][1:3].min() > 2 and weights[1][3] > 2
+
+
+def test_fit_in_blocks_is_the_fit_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.column_stack([np.ones(500), rng.integers(0, 2, (500, 4))])
+    y = (rng.random(500) < 0.2 + 0.5 * x[:, 2]).astype(float)
+    whole = T.fit_linear(x, y)
+    monkeypatch.setattr(T, "FIT_ROWS", 7)
+    assert np.allclose(T.fit_linear([x[:, :3].astype(np.uint8), x[:, 3:]], y), whole)
+    some = np.flatnonzero(x[:, 1] > 0)
+    assert np.allclose(T.fit_linear(x, y[some], rows=some), T.fit_linear(x[some], y[some]))

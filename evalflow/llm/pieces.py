@@ -65,6 +65,11 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _as_bytes(text: str) -> str:
+    """One character, of the same number, for each byte."""
+    return text.encode().decode("latin-1")
+
+
 class _Pieces(dict):
     """Pieces and their ids. ``known``: the layout under which texts are cut at white space."""
 
@@ -112,25 +117,35 @@ class _Ids(_Pieces):
     def __init__(self, path: str):
         super().__init__(path)
         self.merge = self.library.model.tokenize
-        # The characters that stand for the bytes of a letter, as the library has them.
-        before = self.library.pre_tokenizer
-        self.bytes_of = {c: before.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100) if self.cut and chr(c).isalpha()}
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values()))] if self.cut else []
+        # A byte stands for itself in the library, but for these of the bytes of letters in lower case.
+        self.others: dict[str, str] = {}
+        for letter in [chr(c) for c in range(0xC0, 0x100) if self.cut and chr(c).isalpha() and chr(c).islower()]:
+            own = self.library.pre_tokenizer.pre_tokenize_str(letter)[0][0]
+            self.others |= {x: y for x, y in zip(_as_bytes(letter), own, strict=True) if x != y}
+
+    def merged(self, part: str) -> bytes:
+        if not part.isascii():
+            part = _as_bytes(part)
+            for x, y in self.others.items():
+                part = part.replace(x, y)
+        four = self.four
+        return b"".join([four[t.id] for t in self.merge(part)])
 
     def encode(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def find(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():  # one part
-            lower = piece.lower()
-            return self[lower] if lower != piece else _packed([t.id for t in self.merge(piece)])
         if not _PLAIN.fullmatch(piece):
             return self.encode(piece)
+        lower = piece.lower()
+        if piece.isalpha():  # one part
+            return self[lower] if lower != piece else self.merged(piece)
         found = []
-        for part in _PARTS.findall(piece.lower()):
+        for part in _PARTS.findall(lower):
             ids = self.get(part)
             if ids is None:
-                letters = part if part.isascii() else part.translate(self.bytes_of)
-                ids = _packed([t.id for t in self.merge(letters)])
+                ids = self.merged(part)
                 if part != piece and len(self) < CACHE:
                     self[part] = ids
             found.append(ids)

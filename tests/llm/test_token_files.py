@@ -89,3 +89,20 @@ def test_files(spark, awkward, no_documents):
     empty = stage_path(spark, "token-test")
     T.write_tokens(no_documents, empty, WORDS)
     assert T.read_tokens(spark, empty).count() == 0
+
+
+def test_every_letter_of_latin_1_has_the_ids_of_the_library():
+    library, find = tokenizers.Tokenizer.from_file(WORDS), token_ids(WORDS)
+    letters = [chr(c) for c in range(0xC0, 0x100)]
+    for word in (*letters, *[f"a{x}b{x}'s1" for x in letters], "".join(letters), "àíß", "ÀÍẞ"):
+        expected = np.array(library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert find(word) == expected, word
+
+
+def test_quotients_of_the_decoder_are_exact():
+    rng = np.random.default_rng(8)
+    by = rng.integers(1, 1 << 11, 200_000).astype(np.int32)
+    whole = rng.integers(0, (1 << 29) // by)
+    for more in (0, 1, by - 1):  # at and beside whole multiples
+        of = (whole * by + np.minimum(more, by - 1)).astype(np.int32)
+        assert ((of / by).astype(np.int32) == of // by).all()

@@ -5,26 +5,29 @@ the ids of its pieces one after the other. A piece is looked up in a cache that
 worker; only pieces that are not in it go to the library. A text that holds one of the special strings goes to
 the library as a whole, since those are cut out before anything else, and so do all texts if the file has another layout.
 
-With the layout that lowers case, a piece of visible ASCII characters and Latin letters is parted here as its pattern
-does, and only the merges of its parts are left to the library's model: most of a call is spent before the merges.
+With the layout that lowers case, words of visible ASCII characters and Latin letters are lowered and parted here as its
+pattern does, by array operations over the bytes of many texts. Arrow numbers the parts, so only distinct ones are looked up,
+and the library's model merges the new ones in one call, parted again after each id that ends a word. Words with
+any other character go to the library one by one.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import struct
 
+import numpy as np
+import pyarrow as pa
 import tokenizers
 
+from evalflow.llm.sparse import spans
+
 # The characters of Unicode's White_Space property, at which the libraries' patterns split.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 #: A word with the one blank before it; all but the last of several white space characters; a single one.
 _SPACED = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 _BARE = re.compile(f"[^{WHITE_SPACE}]+")
-#: Characters at which str.split() parts words and the libraries do not.
-_CONTROLS = "\x1c\x1d\x1e\x1f"
 #: Letters, then full stops and commas: two pieces for either vocabulary.
 _STOPPED = re.compile(r"(.*[A-Za-z])([.,]+)\Z", re.S)
 
@@ -49,20 +52,32 @@ _LOWERS = (
     },
 )
 
-#: The letters of Latin-1 from U+00C0 on; none of them changes when normalised, all of them are letters to the pattern.
-_LATIN = "À-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"[!-~{_LATIN}]+")
-#: What the pattern of _LOWERS comes to on such characters in lower case.
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+")
+# Plain characters: visible ASCII and the letters of Latin-1 from U+00C0 on. None of the letters changes when normalised, all of
+# them are letters to the pattern of _LOWERS, and each is 0xC3 and one byte more.
+_PLAIN_BYTES = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+_WHITE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _kind(byte: int) -> int:
+    if byte in b"\t\n\x0b\x0c\r ":
+        return _WHITE
+    if bytes([byte]).isalpha() or byte == 0xC3 or 0x80 <= byte < 0xC0:
+        return _LETTER
+    if bytes([byte]).isdigit():
+        return _DIGIT
+    return _SIGN if 0x20 < byte < 0x7F else _ODD
+
+
+#: The kind of every byte; one that goes on a character is of the kind of its first.
+_KINDS = bytes(map(_kind, range(256)))
 
 #: Pieces kept by a worker. The first ones are the frequent ones, so a full cache stays as it is; it starts anew
 #: when texts have changed so much that STALE pieces were not in it.
 CACHE = 1_200_000
 STALE = 8_000_000
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+#: Bytes of texts that are parted together, and new parts that the library merges in one call.
+TOGETHER = 8_000_000
+MERGED = 20_000
 
 
 def _as_bytes(text: str) -> str:
@@ -112,44 +127,159 @@ class _Counts(_Pieces):
 
 
 class _Ids(_Pieces):
+    """Parts and odd words, numbered, with their ids in one array after the other."""
+
     known = _LOWERS
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.merge = self.library.model.tokenize
-        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values()))] if self.cut else []
+        self.by_part = self.library.model.tokenize
+        self.merger = tokenizers.Tokenizer(self.library.model)
+        self.merger.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(" ")
+        self.last = np.zeros(0, dtype=bool)  # ids that end a part
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        if self.cut and suffix:
+            vocab = self.library.get_vocab(with_added_tokens=False)
+            self.last = np.zeros(1 + max(vocab.values()), dtype=bool)
+            self.last[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
         # A byte stands for itself in the library, but for these of the bytes of letters in lower case.
         self.others: dict[str, str] = {}
         for letter in [chr(c) for c in range(0xC0, 0x100) if self.cut and chr(c).isalpha() and chr(c).islower()]:
             own = self.library.pre_tokenizer.pre_tokenize_str(letter)[0][0]
             self.others |= {x: y for x, y in zip(_as_bytes(letter), own, strict=True) if x != y}
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.missed = 0
+        self.ids, self.ends = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
-    def merged(self, part: str) -> bytes:
-        if not part.isascii():
-            part = _as_bytes(part)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def merged(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts of plain characters in lower case, and where those of each end."""
+        joined = b" ".join(parts).decode("latin-1")
+        if not joined.isascii():
             for x, y in self.others.items():
-                part = part.replace(x, y)
-        four = self.four
-        return b"".join([four[t.id] for t in self.merge(part)])
-
-    def encode(self, text: str) -> bytes:
-        return _packed(self.library.encode(text, add_special_tokens=False).ids)
-
-    def find(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
-            return self.encode(piece)
-        lower = piece.lower()
-        if piece.isalpha():  # one part
-            return self[lower] if lower != piece else self.merged(piece)
-        found = []
-        for part in _PARTS.findall(lower):
-            ids = self.get(part)
-            if ids is None:
-                ids = self.merged(part)
-                if part != piece and len(self) < CACHE:
-                    self[part] = ids
-            found.append(ids)
-        return b"".join(found)
+                joined = joined.replace(x, y)
+        if len(self.last):
+            ids = np.array(self.merger.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(parts):
+                return ids, ends
+        each = [[t.id for t in self.by_part(part)] for part in joined.split(" ")]
+        return np.array([i for ids in each for i in ids], dtype="<u4"), np.cumsum([len(ids) for ids in each])
+
+    def learn(self, segments: list[bytes]) -> None:
+        plain, odd = [], []
+        for s in segments:
+            (plain if _PLAIN_BYTES(s) else odd).append(s)
+        for at in range(0, len(plain), MERGED):
+            some = plain[at : at + MERGED]
+            self.enter(some, *self.merged(some))
+        if odd:
+            found = [np.concatenate([self.encode(w) for w in _BARE.findall(s.decode())] or [self.ids[:0]]) for s in odd]
+            self.enter(odd, np.concatenate(found), np.cumsum([len(ids) for ids in found]))
+
+    def enter(self, segments: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.update(zip(segments, range(len(self), len(self) + len(segments)), strict=True))
+        self.ids, self.ends = np.append(self.ids, ids), np.append(self.ends, self.ends[-1] + ends)
+
+    def forget(self) -> None:
+        """Back to CACHE segments, or none at all if there was much to forget."""
+        more = len(self) - CACHE
+        if more > 0:
+            for _ in range(more):
+                self.popitem()
+            self.ends = self.ends[: CACHE + 1]
+            self.ids = self.ids[: self.ends[-1]]
+            self.missed += more
+            if self.missed >= STALE:
+                self.clear()
+
+    def of_segments(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each of them has."""
+        segments, numbers = _segments(raw)
+        coded = segments.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        which = np.fromiter((self.get(s, -1) for s in distinct), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            self.learn(distinct[new].tolist())
+            which[new] = [self[s] for s in distinct[new]]
+        # The ids of the distinct ones side by side are few enough to stay at hand.
+        begin, width = self.ends[which], self.ends[which + 1] - self.ends[which]
+        near, begin = self.ids[spans(begin, width)], np.cumsum(width) - width
+        self.forget()
+        at = coded.indices.to_numpy()
+        width = width[at]
+        ids = near[spans(begin[at], width)]
+        return ids, np.diff(np.append(0, np.cumsum(width))[numbers])
+
+    def of_texts(self, raw: list[bytes]) -> list[np.ndarray]:
+        specials = [s.encode() for s in self.specials]
+        found: list[np.ndarray] = [self.ids[:0]] * len(raw)
+        parted, held = [], 0
+        for k, own in enumerate(raw):
+            if not self.cut or any(s in own for s in specials):
+                found[k] = self.encode(own.decode())
+                continue
+            parted.append(k)
+            held += len(own)
+            if held >= TOGETHER:
+                self._fill(found, raw, parted)
+                parted, held = [], 0
+        if parted:
+            self._fill(found, raw, parted)
+        return found
+
+    def _fill(self, found: list[np.ndarray], raw: list[bytes], places: list[int]) -> None:
+        ids, counts = self.of_segments([raw[k] for k in places])
+        ends = np.cumsum(counts)
+        for k, end, n in zip(places, ends.tolist(), counts.tolist(), strict=True):
+            found[k] = ids[end - n : end]
+
+
+def _segments(raw: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The parts of plain words in lower case and the odd words of all texts, and the number of them before each text and
+    in all. A word is odd if it holds a byte that is none of a plain character."""
+    # Three bytes of white space behind the last text: contractions look ahead.
+    joined = b"\n" + b"\n".join(raw) + b"\n\n\n"
+    data, kinds = np.frombuffer(joined, dtype=np.uint8), np.frombuffer(joined.translate(_KINDS), dtype=np.uint8)
+    lower = np.frombuffer(bytearray(joined.lower()), dtype=np.uint8)  # bytes.lower() changes A-Z alone
+    seconds = np.flatnonzero(data == 0xC3) + 1
+    at = seconds[(data[seconds] < 0x9F) & (data[seconds] != 0x97)]
+    lower[at] += 0x20
+    shown = kinds != _WHITE
+    begins = np.zeros(len(data), dtype=bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+    begins |= kinds == _DIGIT
+    begins &= shown
+    # An apostrophe that begins signs and a contraction behind it are one part.
+    at = np.flatnonzero((data == 0x27) & begins)
+    if len(at):
+        one, two = lower[at + 1], lower[at + 2]
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+        at, behind = at[long | short], (at + 2 + long)[long | short]
+        begins[at + 1] = False
+        begins[behind] |= kinds[behind] == _LETTER
+    odd = np.append(np.flatnonzero(kinds == _ODD), seconds[(data[seconds] == 0x97) | (data[seconds] == 0xB7)])
+    if len(odd):
+        blanks = np.flatnonzero(~shown)
+        after = np.unique(np.searchsorted(blanks, odd))
+        first, ends = blanks[after - 1] + 1, blanks[after]
+        inside = spans(first, ends - first)
+        begins[inside] = False
+        begins[first] = True
+        lower[inside] = data[inside]
+    bounds = np.cumsum([1] + [len(r) + 1 for r in raw])
+    numbers = np.searchsorted(np.flatnonzero(begins), bounds)
+    starts = np.flatnonzero(begins[shown])
+    kept = lower[shown]
+    offsets = pa.py_buffer(np.append(starts, len(kept)).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(kept)]), numbers
 
 
 def _of_worker(kind: type, path: str) -> _Pieces:
@@ -174,15 +304,13 @@ def token_counter(path: str):
     return count
 
 
-def token_ids(path: str):
-    """A function from a text to its ids as little-endian 32-bit numbers; quick for a vocabulary that lowers case and drops
-    white space."""
-    pieces = _of_worker(_Ids, path)
-    look = pieces.__getitem__
+def ids_of_texts(path: str):
+    """A function from texts in UTF-8 to the ids of each, as little-endian 32-bit numbers; quick for a vocabulary that lowers case
+    and drops white space."""
+    return _of_worker(_Ids, path).of_texts
 
-    def ids(text: str) -> bytes:
-        if pieces.whole(text):
-            return pieces.encode(text)
-        return b"".join(map(look, _BARE.findall(text) if any(c in text for c in _CONTROLS) else text.split()))
 
-    return ids
+def token_ids(path: str):
+    """The same from one text to the bytes of its ids."""
+    find = ids_of_texts(path)
+    return lambda text: find([text.encode()])[0].tobytes()

@@ -17,17 +17,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalflow.llm.common import table
-from evalflow.llm.pieces import token_ids
+from evalflow.llm.pieces import TOGETHER, ids_of_texts
 from evalflow.llm.range_coder import BLOCK_IDS, SIDE_BY_SIDE, decode, encode
 from evalflow.staging import stage_path
 
@@ -39,17 +41,26 @@ RUN_IDS = BLOCK_IDS * SIDE_BY_SIDE
 _RUN = "part int, before long, n_ids long, doc_ids array<long>, lengths array<long>, blocks binary"
 
 
-def _run_row(part: int, before: int, docs: list[int | None], coded: list[bytes], vocabulary: int) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(coded), dtype="<u4")
+def _run_row(part: int, before: int, docs: list[int | None], found: list[np.ndarray], end_id: int, vocabulary: int) -> pa.RecordBatch:
+    ends = np.cumsum([len(f) for f in found])
+    ids = np.insert(np.concatenate(found), ends, end_id)
     # Fewer ids are cut into shorter blocks, of which as many can be coded side by side.
     block = min(BLOCK_IDS, max(256, -(-len(ids) // SIDE_BY_SIDE)))
     row = {
-        "part": part, "before": before, "n_ids": len(ids), "doc_ids": docs, "lengths": [len(c) // 4 for c in coded],
+        "part": part, "before": before, "n_ids": len(ids), "doc_ids": docs, "lengths": [len(f) + 1 for f in found],
         "blocks": b"".join(encode(ids, vocabulary, block)),
     }
     return pa.RecordBatch.from_pylist([row], schema=_RUN_SCHEMA)
 
 
+def _some_rows(texts: pa.Array) -> Iterator[slice]:
+    """Consecutive rows that hold about TOGETHER bytes; a longer text is alone or the last."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    group = (np.cumsum(sizes, dtype=np.int64) - sizes) // TOGETHER
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return (slice(a, b) for a, b in pairwise(bounds) if a < b)
+
+
 _RUN_SCHEMA = pa.schema(
     [
         ("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -66,23 +77,25 @@ def write_tokens(
     keys = [F.col("doc_id").asc_nulls_first(), "text_key"]
     # Tokenising comes after the exchange: drawing its bounds reads the input once more.
     ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, held = TaskContext.get().partitionId(), 0, 0
-        docs, coded = [], []
-        tokenise = token_ids(tokenizer_path)
+        docs, found = [], []
+        tokenise = ids_of_texts(tokenizer_path)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokenise(text.as_py() or "") + end
-                docs.append(doc_id)
-                coded.append(ids)
-                held += len(ids) // 4
-                if held >= run_ids:
-                    yield _run_row(part, before, docs, coded, vocabulary)
-                    before, held, docs, coded = before + held, 0, [], []
+            # A batch holds any number of bytes; its texts are tokenised some at a time.
+            for at in _some_rows(batch.column(1)):
+                rows = batch.slice(at.start, at.stop - at.start)
+                raw = [r or b"" for r in rows.column(1).cast(pa.binary()).to_pylist()]
+                for doc_id, ids in zip(rows.column(0).to_pylist(), tokenise(raw), strict=True):
+                    docs.append(doc_id)
+                    found.append(ids)
+                    held += len(ids) + 1
+                    if held >= run_ids:
+                        yield _run_row(part, before, docs, found, end_id, vocabulary)
+                        before, held, docs, found = before + held, 0, [], []
         if docs:
-            yield _run_row(part, before, docs, coded, vocabulary)
+            yield _run_row(part, before, docs, found, end_id, vocabulary)
 
     ranged.mapInArrow(run, _RUN).write.parquet(path)
 

@@ -4,9 +4,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from evalflow.llm import pieces as P
 from evalflow.llm import range_coder as R
 from evalflow.llm import token_files as T
 from evalflow.llm.pieces import token_counter, token_ids
@@ -106,3 +107,56 @@ def test_quotients_of_the_decoder_are_exact():
     for more in (0, 1, by - 1):  # at and beside whole multiples
         of = (whole * by + np.minimum(more, by - 1)).astype(np.int32)
         assert ((of / by).astype(np.int32) == of // by).all()
+
+
+def test_new_parts_are_merged_by_few_calls():
+    class Counted:
+        def __init__(self, library):
+            self.library, self.calls = library, 0
+
+        def encode_batch_fast(self, *args, **more):
+            self.calls += 1
+            return self.library.encode_batch_fast(*args, **more)
+
+    finder = P._Ids(WORDS)
+    finder.merger, finder.by_part = Counted(finder.merger), None
+    texts = [" ".join(f"{a}q{b}x, {a}É{b}'s" for b in "abcdefghij") for a in ("ka", "lo", "mü", "n")]
+    for _ in range(2):  # the second time nothing is new
+        _all_same(finder, texts)
+        assert finder.merger.calls == 1
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text(alphabet="aBrevlLtS.,'  \n\t\x1c\x85 éÉ×÷ß̱Hσ1<|>\x00", max_size=30), max_size=12))
+def test_ids_of_texts_together(texts, monkeypatch):
+    """With few parts kept, few texts at a time and few parts in a call."""
+    for name, value in (("CACHE", 6), ("STALE", 15), ("TOGETHER", 40), ("MERGED", 3)):
+        monkeypatch.setattr(P, name, value)
+    finder = P._Ids(WORDS) if not _FINDERS else _FINDERS[0]
+    _FINDERS[:] = [finder]
+    _all_same(finder, [*texts, *TEXTS, *texts])
+    assert len(finder) <= 6
+
+
+_FINDERS = []
+
+
+def _all_same(finder, texts):
+    for text, ids in zip(texts, finder.of_texts([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == _LIBRARY[WORDS].encode(text, add_special_tokens=False).ids, text
+
+
+def test_carries_run_through_settled_digits():
+    digits, none = np.zeros(12, dtype=np.uint32), np.zeros((3, 2), dtype=bool)
+    tops = np.array([[0xFFFF0001, 0x00050006], [0xFFFF0002, 0x00070008], [0x00030004, 0x0009000A]], dtype=np.uint64)
+    place = R._write_digits(digits, np.array([1, 7]), tops, none, np.array([[1, 2], [2, 0], [0, 1]], dtype=np.int8))
+    assert digits.tolist() == [0, 0xFFFF, 0xFFFF, 2, 0, 0, 0, 5, 6, 9, 0, 0] and place.tolist() == [4, 10]
+    carries = np.array([[True, False], [True, False], [False, True]])
+    place = R._write_digits(digits, place, tops, carries, np.array([[0, 0], [1, 0], [0, 1]], dtype=np.int8))
+    assert digits.tolist() == [0, 0xFFFF, 0xFFFF, 4, 0xFFFF, 0, 0, 5, 6, 10, 9, 0] and place.tolist() == [5, 11]
+
+
+def test_blocks_are_coded_as_before():
+    """Written files stay readable: the sum is that of the coder's first blocks."""
+    ids = np.minimum(np.random.default_rng(5).zipf(1.2, 60_000) - 1, 49_407).astype(np.uint32)
+    assert zlib.crc32(b"".join(R.encode(np.concatenate([ids, ids[:20_000]]), 49_408, 700))) == 1837614438

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,11 @@ _LOWERS = (
 # them are letters to the pattern of _LOWERS, and each is 0xC3 and one byte more.
 _PLAIN_BYTES = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _WHITE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_BLANKS = b"\t\n\x0b\x0c\r "
 
 
 def _kind(byte: int) -> int:
-    if byte in b"\t\n\x0b\x0c\r ":
+    if byte in _BLANKS:
         return _WHITE
     if bytes([byte]).isalpha() or byte == 0xC3 or 0x80 <= byte < 0xC0:
         return _LETTER
@@ -171,16 +173,22 @@ class _Ids(_Pieces):
         each = [[t.id for t in self.by_part(part)] for part in joined.split(" ")]
         return np.array([i for ids in each for i in ids], dtype="<u4"), np.cumsum([len(ids) for ids in each])
 
-    def learn(self, segments: list[bytes]) -> None:
-        plain, odd = [], []
-        for s in segments:
-            (plain if _PLAIN_BYTES(s) else odd).append(s)
-        for at in range(0, len(plain), MERGED):
-            some = plain[at : at + MERGED]
+    def learn(self, segments: np.ndarray, all_plain: bool) -> np.ndarray:
+        """Enter new segments; returns their numbers."""
+        plain = np.full(len(segments), all_plain)
+        if not all_plain:
+            plain[:] = [_PLAIN_BYTES(s) is not None for s in segments]
+        numbers = np.empty(len(segments), dtype=np.int64)
+        parts, odd = segments[plain].tolist(), segments[~plain].tolist()
+        numbers[plain] = np.arange(len(self), len(self) + len(parts))
+        for at in range(0, len(parts), MERGED):
+            some = parts[at : at + MERGED]
             self.enter(some, *self.merged(some))
+        numbers[~plain] = np.arange(len(self), len(self) + len(odd))
         if odd:
             found = [np.concatenate([self.encode(w) for w in _BARE.findall(s.decode())] or [self.ids[:0]]) for s in odd]
             self.enter(odd, np.concatenate(found), np.cumsum([len(ids) for ids in found]))
+        return numbers
 
     def enter(self, segments: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         self.update(zip(segments, range(len(self), len(self) + len(segments)), strict=True))
@@ -200,14 +208,13 @@ class _Ids(_Pieces):
 
     def of_segments(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each of them has."""
-        segments, numbers = _segments(raw)
+        segments, numbers, all_plain = _segments(raw)
         coded = segments.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False)
-        which = np.fromiter((self.get(s, -1) for s in distinct), dtype=np.int64, count=len(distinct))
+        which = np.fromiter(map(self.get, distinct.tolist(), repeat(-1)), dtype=np.int64, count=len(distinct))
         new = np.flatnonzero(which < 0)
         if len(new):
-            self.learn(distinct[new].tolist())
-            which[new] = [self[s] for s in distinct[new]]
+            which[new] = self.learn(distinct[new], all_plain)
         # The ids of the distinct ones side by side are few enough to stay at hand.
         begin, width = self.ends[which], self.ends[which + 1] - self.ends[which]
         near, begin = self.ids[spans(begin, width)], np.cumsum(width) - width
@@ -241,11 +248,11 @@ class _Ids(_Pieces):
             found[k] = ids[end - n : end]
 
 
-def _segments(raw: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
-    """The parts of plain words in lower case and the odd words of all texts, and the number of them before each text and
-    in all. A word is odd if it holds a byte that is none of a plain character."""
+def _segments(raw: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray, bool]:
+    """The parts of plain words in lower case and the odd words of all texts, the number of them before each text and in all,
+    and whether no word is odd. A word is odd if it holds a byte that is none of a plain character."""
     # Three bytes of white space behind the last text: contractions look ahead.
-    joined = b"\n" + b"\n".join(raw) + b"\n\n\n"
+    joined = b"\n".join([b"", *raw, b"\n\n"])
     data, kinds = np.frombuffer(joined, dtype=np.uint8), np.frombuffer(joined.translate(_KINDS), dtype=np.uint8)
     lower = np.frombuffer(bytearray(joined.lower()), dtype=np.uint8)  # bytes.lower() changes A-Z alone
     seconds = np.flatnonzero(data == 0xC3) + 1
@@ -275,11 +282,14 @@ def _segments(raw: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
         begins[first] = True
         lower[inside] = data[inside]
     bounds = np.cumsum([1] + [len(r) + 1 for r in raw])
-    numbers = np.searchsorted(np.flatnonzero(begins), bounds)
-    starts = np.flatnonzero(begins[shown])
-    kept = lower[shown]
-    offsets = pa.py_buffer(np.append(starts, len(kept)).astype(np.int32))
-    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(kept)]), numbers
+    starts = np.flatnonzero(begins)
+    numbers = np.searchsorted(starts, bounds)
+    # White space is left out: a part ends before it, or where the next one begins.
+    begins |= ~shown
+    lengths = np.flatnonzero(begins[1:] & shown[:-1]) + 1 - starts
+    kept = lower.tobytes().translate(None, _BLANKS)
+    offsets = pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(kept)]), numbers, not len(odd)
 
 
 def _of_worker(kind: type, path: str) -> _Pieces:

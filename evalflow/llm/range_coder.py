@@ -110,11 +110,13 @@ class _Model:
         for table, at, known in ((self.order2, at2, known2), (self.order1, at1, known1)):
             # One more of four times the id and its count, up to 3; a new id begins with 1.
             more = known - now
-            np.copyto(more, 0, where=more.view(np.uint32) > 3)
+            same = (more.view(np.uint32) <= 3).view(np.int8)
             np.minimum(more, 2, out=more)
+            more *= same
             more += first
             table[at.reshape(-1)] = more.reshape(-1)
-        self.upper_news.append((lane * self.uppers + (ids >> np.int32(_LOWER_BITS)))[kind == 2])
+        upper = (lane * self.uppers).astype(np.int32) + (ids >> np.int32(_LOWER_BITS))
+        self.upper_news.append(upper.reshape(-1)[np.flatnonzero(kind == 2)])
         found = np.bincount((context + kind * np.int64(blocks * 32)).reshape(-1), minlength=blocks * 96).reshape(3, 4, 8, blocks)
         by2, by1 = found.sum(axis=2).transpose(1, 0, 2), found.sum(axis=1).transpose(1, 0, 2)
         for k, (new, share) in enumerate(zip((by2, by1, by2.sum(axis=0, keepdims=True)), self.shares, strict=True)):
@@ -319,9 +321,6 @@ def _decode_together(payloads: list[bytes], steps: int, vocabulary: int) -> np.n
             low_part = (literal / size).astype(np.int32)
             np.left_shift(upper, _LOWER_BITS, out=ids, dtype=np.int32)
             ids += low_part & lower
-            by_proposal = ~is2
-            np.copyto(ids, p1, where=by_proposal)
-            np.copyto(ids, p2, where=is0)
             start = low_part
             start *= size
             start += origin
@@ -329,11 +328,12 @@ def _decode_together(payloads: list[bytes], steps: int, vocabulary: int) -> np.n
             start += begin2
             size *= rest
             span = size
-            np.copyto(span, second - first << _LITERAL_BITS, where=by_proposal)
-            first <<= _LITERAL_BITS
-            np.copyto(start, first, where=by_proposal)
-            np.copyto(start, none, where=is0)
-            np.copyto(span, first, where=is0)
+            # Most ids are no proposals; those that are take their proposal and its interval.
+            some = np.flatnonzero(share < second)
+            by2, end2, end1 = is0[some], first[some], second[some]
+            ids[some] = np.where(by2, p2[some], p1[some])
+            start[some] = np.where(by2, none, end2 << _LITERAL_BITS)
+            span[some] = np.where(by2, end2, end1 - end2) << _LITERAL_BITS
             value -= unit * start.astype(_U)
             width = np.multiply(unit, span.astype(_U), out=unit)
             count = _digits_due(width)

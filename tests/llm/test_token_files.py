@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -160,3 +161,22 @@ def test_blocks_are_coded_as_before():
     """Written files stay readable: the sum is that of the coder's first blocks."""
     ids = np.minimum(np.random.default_rng(5).zipf(1.2, 60_000) - 1, 49_407).astype(np.uint32)
     assert zlib.crc32(b"".join(R.encode(np.concatenate([ids, ids[:20_000]]), 49_408, 700))) == 1837614438
+
+
+@pytest.mark.parametrize("where,value", [("normalizer", None), ("pre_tokenizer", {"type": "WhitespaceSplit"})])
+def test_texts_of_another_layout_go_whole_to_the_library(tmp_path, where, value):
+    with open(WORDS, encoding="utf-8") as file:
+        layout = json.load(file)
+    layout[where] = value
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(layout), encoding="utf-8")
+    library, finder = tokenizers.Tokenizer.from_file(str(path)), P._Ids(str(path))
+    for text, ids in zip(TEXTS, finder.of_texts([t.encode() for t in TEXTS]), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert not finder
+
+
+def test_parts_without_an_end_mark_are_merged_one_by_one():
+    finder = P._Ids(WORDS)
+    finder.last = finder.last[:0]
+    _all_same(finder, [*TEXTS, "word, wörd's wordword 12"])
